@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import op02_token_planes
+from voxloom.llm import op01_simhash, op02_token_planes, op07_pii, op08_quality
 from voxloom.llm.shared import work_folder
 from voxloom.llm.tokens import default_tokenizer
 
@@ -15,13 +15,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op01_simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_folder(spark, "op2")
     totals = op02_token_planes.write_token_files(table(spark, sf_dir, "documents"), default_tokenizer(), folder)
     return op02_token_planes.read_token_files(spark, folder, totals)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op07_pii.digest(table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return op08_quality.score(docs, op08_quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op2_token_planes": op2_token_planes,
+    "op7_pii": op7_pii,
+    "op8_quality": op8_quality,
 }
 ORACLES: dict[str, str] = {}
