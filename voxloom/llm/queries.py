@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import op01_simhash, op02_token_planes, op07_pii, op08_quality
+from voxloom.llm import op01_simhash, op02_token_planes, op06_warc, op07_pii, op08_quality
 from voxloom.llm.shared import work_folder
 from voxloom.llm.tokens import default_tokenizer
 
@@ -25,6 +25,10 @@ def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_token_planes.read_token_files(spark, folder, totals)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op06_warc.store_and_read(table(spark, sf_dir, "pages"), work_folder(spark, "op6"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op07_pii.digest(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_planes": op2_token_planes,
+    "op6_warc": op6_warc,
     "op7_pii": op7_pii,
     "op8_quality": op8_quality,
 }
