@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import op01_simhash, op02_token_planes, op06_warc, op07_pii, op08_quality
+from voxloom.llm import op01_simhash, op02_token_planes, op06_warc, op07_pii, op08_quality, op09_bit_sliced
 from voxloom.llm.shared import work_folder
 from voxloom.llm.tokens import default_tokenizer
 
@@ -38,11 +38,28 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op08_quality.score(docs, op08_quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op09_bit_sliced.top_k(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_planes": op2_token_planes,
     "op6_warc": op6_warc,
     "op7_pii": op7_pii,
     "op8_quality": op8_quality,
+    "op9_bit_sliced": op9_bit_sliced,
+}
+ORACLES: dict[str, str] = {
+    "op9_bit_sliced": """
+        WITH v AS (
+            SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([1 FOR x IN embedding IF NOT coalesce(isfinite(x), false)]) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+        ), r AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 }
-ORACLES: dict[str, str] = {}
