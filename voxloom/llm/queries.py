@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import op01_simhash, op02_token_planes, op06_warc, op07_pii, op08_quality, op09_bit_sliced
+from voxloom.llm import op01_simhash, op02_token_planes, op03_packing, op04_tiling, op06_warc, op07_pii, op08_quality, op09_bit_sliced
 from voxloom.llm.shared import work_folder
 from voxloom.llm.tokens import default_tokenizer
 
@@ -25,6 +25,14 @@ def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_token_planes.read_token_files(spark, folder, totals)
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op03_packing.pack_documents(table(spark, sf_dir, "documents"), default_tokenizer())
+
+
+def op4_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op04_tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op06_warc.store_and_read(table(spark, sf_dir, "pages"), work_folder(spark, "op6"))
 
@@ -45,6 +53,8 @@ def op9_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_planes": op2_token_planes,
+    "op3_packing": op3_packing,
+    "op4_tiling": op4_tiling,
     "op6_warc": op6_warc,
     "op7_pii": op7_pii,
     "op8_quality": op8_quality,
