@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import op01_simhash, op02_token_planes, op03_packing, op04_tiling, op06_warc, op07_pii, op08_quality, op09_bit_sliced
+from voxloom.llm import op01_simhash, op02_token_planes, op03_packing, op04_tiling, op06_warc, op07_pii, op08_quality, op09_bit_sliced, op10_bilinear
 from voxloom.llm.shared import work_folder
 from voxloom.llm.tokens import default_tokenizer
 
@@ -50,6 +50,10 @@ def op9_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op09_bit_sliced.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op10_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_bilinear.score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_planes": op2_token_planes,
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pii": op7_pii,
     "op8_quality": op8_quality,
     "op9_bit_sliced": op9_bit_sliced,
+    "op10_bilinear_lm": op10_bilinear_lm,
 }
 ORACLES: dict[str, str] = {
     "op9_bit_sliced": """
