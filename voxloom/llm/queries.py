@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import op01_simhash, op02_token_planes, op03_packing, op04_tiling, op06_warc, op07_pii, op08_quality, op09_bit_sliced, op10_bilinear
+from voxloom.llm import op01_simhash, op02_token_planes, op03_packing, op04_tiling, op05_repeats, op06_warc, op07_pii, op08_quality, op09_bit_sliced, op10_bilinear
 from voxloom.llm.shared import work_folder
 from voxloom.llm.tokens import default_tokenizer
 
@@ -33,6 +33,10 @@ def op4_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op04_tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op05_repeats.drop_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op06_warc.store_and_read(table(spark, sf_dir, "pages"), work_folder(spark, "op6"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_planes": op2_token_planes,
     "op3_packing": op3_packing,
     "op4_tiling": op4_tiling,
+    "op5_repeats": op5_repeats,
     "op6_warc": op6_warc,
     "op7_pii": op7_pii,
     "op8_quality": op8_quality,
