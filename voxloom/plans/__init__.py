@@ -1,0 +1,6 @@
+"""Queries of the library; importing the modules registers them."""
+
+from voxloom.plans import library, speech  # noqa: F401
+from voxloom.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
