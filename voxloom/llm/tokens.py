@@ -5,6 +5,11 @@ case and then splits at white space, so ASCII white space always ends a token:
 the ids of a text are the ids of its words one after the other. Each different
 word is encoded by the tokenizers library once per memo; a text costs one
 dictionary look-up a word.
+
+Most words are letters and then punctuation. The file's pre-tokenizer cuts these
+in two, and NFC and lower case change the letters A-Z and those of Latin-1 as Python does; so their parts go
+to the library's BPE model itself, lower-cased and with bytes as the byte-level characters.
+All other words go through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -32,10 +37,22 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Letters of ASCII and Latin-1, then ASCII punctuation without the apostrophe.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+
+
+def byte_characters() -> dict[int, str]:
+    """Characters that stand for bytes: printable ones for themselves, the others from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class WordEncoder:
     """Texts to ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -43,26 +60,54 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+        self.table = byte_characters()
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        steps = [x["type"] for x in (said["normalizer"] or {}).get("normalizers", [])]
+        self.two_parts = steps == ["NFC", "Replace", "Lowercase"] and said["model"]["type"] == "BPE" and not said["model"]["ignore_merges"]
+
+    def _part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.table)
+            found = np.array([x.id for x in self.model(mapped)], "<u4").tobytes()
+            if len(part) <= MEMO_WORD:
+                if len(self.parts) >= MEMO_WORDS:
+                    self.parts = {"": b""}
+                self.parts[part] = found
+        return found
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        self.model = self.tokenizer.model.tokenize
+        out: list[bytes] = []
+        other: list[int] = []
+        for k, word in enumerate(words):
+            if self.two_parts and (m := _PLAIN.fullmatch(word)):
+                out.append(self._part(m[1].lower()) + self._part(m[2]))
+            else:
+                out.append(b"")
+                other.append(k)
+        found = self.tokenizer.encode_batch_fast([words[k] for k in other], add_special_tokens=False)
+        for k, x in zip(other, found, strict=True):
+            out[k] = np.array(x.ids, "<u4").tobytes()
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text with the end id; a null text counts as empty."""
         split = [_SPLIT.sub(" ", x).split(" ") if x else [] for x in texts]
-        new = set().union(*split) - self.memo.keys()
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo.clear()
-            new = set().union(*split)
-        words = list(new)
         memo = self.memo
-        memo.update(zip(words, self._encode(words), strict=True))
-        out = [b"".join([*map(memo.__getitem__, x), END]) for x in split]
-        for w in words:
-            if len(w) > MEMO_WORD:
-                del memo[w]
-        return out
+        found = [list(map(memo.get, x)) for x in split]
+        late = [k for k, x in enumerate(found) if None in x]
+        new = {w for k in late for w, x in zip(split[k], found[k], strict=True) if x is None}
+        words = list(new)
+        ids = dict(zip(words, self._encode(words), strict=True))
+        for k in late:
+            found[k] = [ids[w] if x is None else x for w, x in zip(split[k], found[k], strict=True)]
+        if len(memo) + len(ids) > MEMO_WORDS:
+            memo.clear()
+        memo.update(x for x in ids.items() if len(x[0]) <= MEMO_WORD)
+        return [b"".join(x) + END for x in found]
 
 
 @functools.lru_cache(maxsize=2)
