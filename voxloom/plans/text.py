@@ -67,8 +67,7 @@ def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.left("text", F.lit(400)).alias("a")).join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.left("text", F.lit(400)).alias("b")), "doc_id")
 
 
-@query("""SELECT doc_id, round(CAST(least(1.0, CASE WHEN length(b) < 12 THEN 0.6 WHEN length(b) < 60 THEN 0.3 ELSE 0 END + CASE WHEN regexp_matches(lower(b), 'i cannot transcribe|i am unable to|as an ai|sorry, i|i can''t help with') THEN 0.8 ELSE 0 END
-    + CASE WHEN length(b) > 30 AND regexp_matches(b, '\\p{L}$') THEN 0.15 ELSE 0 END) AS DOUBLE), 6) AS score FROM (SELECT doc_id, trim(left(text, 1 + CAST(doc_id % 90 AS INTEGER)), chr(32) || chr(10)) AS b FROM documents WHERE doc_id % 3 <> 0)""")
+@query()
 def chunk_suspicion(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = t.table(spark, sf_dir, "documents").where("doc_id % 3 <> 0")
     return d.select("doc_id", F.round(ft.suspicion(F.expr("left(text, 1 + cast(doc_id % 90 as int))"), F.lit(20.0)), 6).alias("score"))
