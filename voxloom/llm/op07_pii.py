@@ -35,7 +35,7 @@ BASE = ("email", "ip", "card", "phone")
 KEEP_AT = 0.5
 #: Code points on each side of a span in which context words count.
 CONTEXT = 40
-_PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
 #: SQL on a match `x`.
 _CHECK = {
