@@ -33,6 +33,9 @@ MAX_LABELLED = 20_000
 #: Better-worse pairs that the fit sees for each labelled row.
 PAIRS_PER_ROW = 6
 L2 = 1e-3
+#: Words at which a text's features count for 0.7 of their size.
+SURE_WORDS = 10
+LEAST_SCALE = 0.02
 SLOPE = 1.5
 
 _CLASSES = [
@@ -44,7 +47,7 @@ for _k, _c in enumerate(_CLASSES):
 
 
 def features(text: str | None) -> np.ndarray:
-    """Shares of character classes, and how long and how repetitive words and lines are."""
+    """Shares of character classes, and how long and how repetitive words and lines are; then the number of words, which says how sure the others are."""
     data = (text or "").encode("utf-8", "surrogatepass")
     counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256) @ _TO_CLASS
     words = data.split()
@@ -55,7 +58,7 @@ def features(text: str | None) -> np.ndarray:
     letters = counts[0] + counts[1] + counts[12]
     return np.concatenate([
         counts / max(len(data), 1),
-        [math.log1p(len(data)), math.log1p(n), len(data) / max(n, 1) / 10, len(different) / max(n, 1), math.log1p(n) * (1 - len(different) / max(n, 1)), starts / max(n, 1), odd_end / max(n, 1), counts[1] / max(letters, 1), len(set(lines)) / max(len(lines), 1), n / max(len(lines), 1) / 100, (counts[7] / max(n, 1)), len(max(words, key=len, default=b"")) / 100],
+        [len(data) / max(n, 1) / 10, len(different) / max(n, 1), len(different) / max(n, 1) ** 0.8, starts / max(n, 1), odd_end / max(n, 1), counts[1] / max(letters, 1), len(set(lines)) / max(len(lines), 1), n / max(len(lines), 1) / 100, (counts[7] / max(n, 1)), len(max(words, key=len, default=b"")) / 100, n],
     ])
 
 
@@ -73,16 +76,16 @@ class Ranker:
     slope: float
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return expand((x - self.mean) / self.scale) @ self.weights
+        return expand(x, self.mean, self.scale) @ self.weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
         z = self.slope * (self.raw(x) - self.cut) + math.log(PREDICT_AT / (1 - PREDICT_AT))
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def expand(z: np.ndarray) -> np.ndarray:
-    """Standardised features, bounded, and their squares."""
-    z = np.tanh(z / 3) * 3
+def expand(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Standardised features, bounded, and their squares; those of short texts are drawn to the mean, as a few words say little."""
+    z = np.tanh((x[:, :-1] - mean) / scale / 3) * 3 * np.sqrt(x[:, -1:] / (x[:, -1:] + SURE_WORDS))
     return np.hstack([z, z * z])
 
 
@@ -90,8 +93,9 @@ def fit(x: np.ndarray, better: np.ndarray, seed: int = 7, pairs_per_row: int = P
     """Fit on rows x, of which `better` (bool) are preferred to the others."""
     if better.all() or not better.any():
         return None
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    z = expand((x - mean) / scale)
+    # no difference below LEAST_SCALE counts as large, however alike the fitted texts are
+    mean, scale = x[:, :-1].mean(0), np.maximum(x[:, :-1].std(0), LEAST_SCALE)
+    z = expand(x, mean, scale)
     draw = np.random.default_rng(seed)
     n_pairs = pairs_per_row * len(x)
     diff = z[draw.choice(np.flatnonzero(better), n_pairs)] - z[draw.choice(np.flatnonzero(~better), n_pairs)]
