@@ -10,6 +10,7 @@ once a block, so no bucket holds more than its share of different keys for each
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.shared import written
+from voxloom.llm.shared import input_parts, work_folder
 
 #: UTF-8 bytes at which a block is closed. A longer document is a block of its own.
 BLOCK_BYTES = 8_000_000
@@ -37,7 +38,10 @@ def plain(data: bytes) -> bytes:
 
 
 def make_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A written table block, heads, data: the documents (doc_id, text) in blocks, in the order in which a scan meets them."""
+    """A table block, heads, data: the documents (doc_id, text) in blocks, in the order in which a scan meets them.
+
+    It lies in the shared folder, bucketed by block, so that joins of answers to blocks move the answers only.
+    """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -65,7 +69,12 @@ def make_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if held:
             yield close()
 
-    return written(docs.select("doc_id", "text").mapInArrow(gather, "block long, heads binary, data binary"), "blocks")
+    spark, name = docs.sparkSession, f"voxloom_blocks_{uuid.uuid4().hex}"
+    # as many buckets as a join has partitions, else Spark would deal the blocks anew
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_parts(docs))
+    rows = docs.select("doc_id", "text").mapInArrow(gather, "block long, heads binary, data binary")
+    rows.write.option("path", work_folder(spark, "blocks")).option("compression", "zstd").bucketBy(buckets, "block").sortBy("block").saveAsTable(name)
+    return spark.table(name)
 
 
 def open_block(heads: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:

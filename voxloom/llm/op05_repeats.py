@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm.blocks import BLOCK_BYTES, doc_id_array, make_blocks, open_block, plain, press, with_answers
-from voxloom.llm.shared import drop_written, written
+from voxloom.llm.shared import written
 
 LENGTH, GRAM = 50, 24
 #: Blocks in which an anchor may be before its windows are dealt one by one.
@@ -164,59 +164,65 @@ def shared_anchors(blocks: DataFrame, buckets: int, hot: int = HOT) -> DataFrame
     return written(rows.groupBy("bucket").applyInArrow(answer, "block long, bucket int, data binary"), "anchors")
 
 
-def candidate_stretches(blocks: DataFrame, anchors: DataFrame, buckets: int, text_buckets: int) -> DataFrame:
-    """A written table of block, bucket, data.
+class _Candidates:
+    """A block's stretches with shared anchors, and their different texts dealt to buckets."""
+
+    def __init__(self, mine: _Block, said: dict[int, bytes], buckets: int, text_buckets: int):
+        state = np.zeros(len(mine.keys), np.uint8)
+        for k in range(buckets):
+            if mine.edges[k] < mine.edges[k + 1]:
+                state[mine.edges[k] : mine.edges[k + 1]] = np.frombuffer(plain(said[k]), np.uint8)
+        state = state[mine.which]
+        one, many = np.flatnonzero(state == 1), np.flatnonzero(state == 2)
+        times = mine.count[many]
+        inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        self.first = np.concatenate([mine.first[one], np.repeat(mine.first[many], times) + inner])
+        end = np.concatenate([mine.first[one] + mine.count[one] + LENGTH - 1, self.first[len(one) :] + LENGTH])
+        self.doc = np.concatenate([mine.doc[one], np.repeat(mine.doc[many], times)])
+        deal = ((mine.anchor[one] >> _U(11)) % _U(text_buckets)).astype(np.int64).tolist()
+        raw, index = mine.raw, {}
+        number, homes = [], []
+        for k, (a, b) in enumerate(zip(self.first.tolist(), end.tolist(), strict=True)):
+            text = raw[a:b]
+            nr = index.setdefault(text, len(index))
+            if nr == len(homes):
+                homes.append(deal[k] if k < len(deal) else zlib.crc32(text) % text_buckets)
+            number.append(nr)
+        self.number, self.homes, self.texts = np.array(number, np.int64), np.array(homes, np.int64), list(index)
+        #: Texts in the order in which they go to the buckets.
+        self.order = np.argsort(self.homes, kind="stable")
+
+
+def _first_answers(answers) -> dict[int, bytes]:
+    return {x["bucket"]: x["said"] for x in answers or ()}
 
-    bucket -1: the block's candidates (first byte, number of its different text) and its
-    different texts' buckets; others: the different texts for a bucket, in order,
-    their smallest doc_ids and the bytes before them (256: different ones, 257: a document's start).
-    """
+
+def candidate_stretches(blocks: DataFrame, anchors: DataFrame, buckets: int, text_buckets: int) -> DataFrame:
+    """block, bucket, data: the block's different texts for a bucket, in order, their smallest
+    doc_ids and the bytes before them (256: different ones, 257: a document's start)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, heads, data, answers in zip(*batch.columns, strict=True):
                 mine = _Block(heads.as_py(), data.as_py(), buckets)
-                said = {x["bucket"]: x["said"] for x in answers.as_py() or ()}
-                state = np.zeros(len(mine.keys), np.uint8)
-                for k in range(buckets):
-                    if mine.edges[k] < mine.edges[k + 1]:
-                        state[mine.edges[k] : mine.edges[k + 1]] = np.frombuffer(plain(said[k]), np.uint8)
-                state = state[mine.which]
-                one, many = np.flatnonzero(state == 1), np.flatnonzero(state == 2)
-                times = mine.count[many]
-                inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                first = np.concatenate([mine.first[one], np.repeat(mine.first[many], times) + inner])
-                end = np.concatenate([mine.first[one] + mine.count[one] + LENGTH - 1, first[len(one) :] + LENGTH])
-                doc = np.concatenate([mine.doc[one], np.repeat(mine.doc[many], times)])
-                deal = ((mine.anchor[one] >> _U(11)) % _U(text_buckets)).astype(np.int64).tolist()
-                raw, index, number = mine.raw, {}, []
-                homes: list[int] = []
-                for k, (a, b) in enumerate(zip(first.tolist(), end.tolist(), strict=True)):
-                    text = raw[a:b]
-                    nr = index.setdefault(text, len(index))
-                    if nr == len(homes):
-                        homes.append(deal[k] if k < len(deal) else zlib.crc32(text) % text_buckets)
-                    number.append(nr)
-                number = np.array(number, np.int64)
-                before = np.where(first == mine.begin[doc], 257, mine.data[first - 1])
-                low, high = np.full(len(index), 999), np.full(len(index), -1)
-                smallest = np.full(len(index), np.iinfo(np.int64).max)
-                np.minimum.at(low, number, before)
-                np.maximum.at(high, number, before)
-                np.minimum.at(smallest, number, mine.ids[doc])
+                c = _Candidates(mine, _first_answers(answers.as_py()), buckets, text_buckets)
+                before = np.where(c.first == mine.begin[c.doc], 257, mine.data[c.first - 1])
+                low, high = np.full(len(c.texts), 999), np.full(len(c.texts), -1)
+                smallest = np.full(len(c.texts), np.iinfo(np.int64).max)
+                np.minimum.at(low, c.number, before)
+                np.maximum.at(high, c.number, before)
+                np.minimum.at(smallest, c.number, mine.ids[c.doc])
                 left = np.where(low == high, low, 256)
-                homes = np.array(homes, np.int64)
-                texts = list(index)
-                order = np.argsort(homes, kind="stable")
-                cuts = np.flatnonzero(np.diff(homes[order], prepend=-1))
-                rows = [(-1, _pack(first.astype("<i4"), number.astype("<i4"), homes.astype("<i4")))]
-                for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
-                    part = order[a:b]
-                    chosen = [texts[k] for k in part.tolist()]
-                    rows.append((int(homes[part[0]]), _pack(np.array([len(x) for x in chosen], "u1"), np.frombuffer(b"".join(chosen), np.uint8), smallest[part].astype("<i8"), left[part].astype("<i2"))))
-                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * len(rows), pa.int64()), pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["block", "bucket", "data"])
+                cuts = np.flatnonzero(np.diff(c.homes[c.order], prepend=-1))
+                rows = []
+                for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(c.order)][: len(cuts)], strict=True):
+                    part = c.order[a:b]
+                    chosen = [c.texts[k] for k in part.tolist()]
+                    rows.append((int(c.homes[part[0]]), _pack(np.array([len(x) for x in chosen], "u1"), np.frombuffer(b"".join(chosen), np.uint8), smallest[part].astype("<i8"), left[part].astype("<i2"))))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * len(rows), pa.int64()), pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["block", "bucket", "data"])
 
-    return written(with_answers(blocks, anchors).mapInArrow(send, "block long, bucket int, data binary"), "stretches")
+    return with_answers(blocks, anchors).mapInArrow(send, "block long, bucket int, data binary")
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -249,7 +255,7 @@ class SuffixArray:
         at = begin[self.text] + self.offset
         left = sizes[self.text] - self.offset  # bytes to the text's end
         keep = np.array([0, *((0xFFFFFFFFFFFFFFFF << (64 - 8 * k)) & 0xFFFFFFFFFFFFFFFF for k in range(1, 9))], _U)
-        order = np.argsort(word[at], kind="stable")
+        order = np.argsort(word[at] & keep[np.clip(left, 0, 8)], kind="stable")
         same = np.zeros(len(order), bool)  # as far as the words compared, equal to the one before
         common = np.zeros(len(order), np.int64)
         here, group, j = np.arange(len(order)), np.zeros(len(order), np.int64), 0
@@ -348,15 +354,15 @@ def _touched(common: np.ndarray) -> np.ndarray:
     return out
 
 
-def _covered(heads: bytes, data: bytes, answers: list[dict]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray]:
+def _covered(heads: bytes, data: bytes, answers: list[dict], buckets: int, text_buckets: int) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray]:
     """doc_ids, begin, bytes of a block, and which bytes are covered."""
-    ids, begin, raw = open_block(heads, data)
-    said = {x["bucket"]: x["said"] for x in answers}
-    first, number, homes = _unpack(said[-1], ["<i4", "<i4", "<i4"])
+    said = _first_answers(answers)
+    mine = _Block(heads, data, buckets)
+    c = _Candidates(mine, said, buckets, text_buckets)
+    ids, begin, raw, first, number, homes, order = mine.ids, mine.begin, mine.raw, c.first, c.number, c.homes, c.order
     runs, size, value = np.zeros(len(homes), np.int64), [], []
-    order = np.argsort(homes, kind="stable")  # as the texts were sent
     for k in np.unique(homes).tolist():
-        n, s, v = _unpack(said[k], ["u1", "u1", "<i8"])
+        n, s, v = _unpack(said[-1 - k], ["u1", "u1", "<i8"])
         runs[homes == k] = n
         size.append(s)
         value.append(v)
@@ -378,45 +384,48 @@ def _covered(heads: bytes, data: bytes, answers: list[dict]) -> tuple[np.ndarray
     return ids, begin, raw, np.cumsum(change[:-1]) > 0
 
 
-def covered_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
-    """Blocks with the answers from which :func:`_covered` tells the repeated bytes."""
+def covered_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> tuple[DataFrame, int, int]:
+    """Blocks with the answers from which :func:`_covered` tells the repeated bytes, and the two numbers of buckets."""
     blocks = make_blocks(docs, block_bytes)
     n = max(1, blocks.count())
     buckets, text_buckets = max(1, n // 2), 2 * n
     anchors = shared_anchors(blocks, buckets, hot)
     sent = candidate_stretches(blocks, anchors, buckets, text_buckets)
-    drop_written(anchors)
-    firsts = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(_first_documents, "block long, bucket int, data binary")
-    return with_answers(blocks, firsts.unionAll(sent.where("bucket = -1")))
+    firsts = written(sent.groupBy("bucket").applyInArrow(_first_documents, "block long, bucket int, data binary"), "firsts")
+    return with_answers(blocks, anchors.unionAll(firsts.selectExpr("block", "-1 - bucket as bucket", "data"))), buckets, text_buckets
 
 
 def drop_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary: the bytes that stay) of every row."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
+    rows, buckets, text_buckets = covered_blocks(docs, block_bytes, hot)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, heads, data, answers in zip(*batch.columns, strict=True):
-                ids, begin, raw, gone = _covered(heads.as_py(), data.as_py(), answers.as_py())
-                bytes_, rows = np.frombuffer(raw, np.uint8), []
+                ids, begin, raw, gone = _covered(heads.as_py(), data.as_py(), answers.as_py(), buckets, text_buckets)
+                bytes_, out = np.frombuffer(raw, np.uint8), []
                 for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
                     mask = gone[a:b]
                     n = int(np.count_nonzero(mask))
                     kept = raw[a:b] if not n else bytes_[a:b][~mask].tobytes()
                     spans = int(mask[0]) + int(np.count_nonzero(mask[1:] & ~mask[:-1])) if n else 0
-                    rows.append((b - a, n, spans, hashlib.sha256(kept).hexdigest(), kept))
-                yield pa.RecordBatch.from_arrays([doc_id_array(ids), *[pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), list(schema)[1:], strict=True)]], schema=schema)
+                    out.append((b - a, n, spans, hashlib.sha256(kept).hexdigest(), kept))
+                yield pa.RecordBatch.from_arrays([doc_id_array(ids), *[pa.array(x, t.type) for x, t in zip(zip(*out, strict=True), list(schema)[1:], strict=True)]], schema=schema)
 
-    return covered_blocks(docs, block_bytes, hot).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return rows.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def repeat_spans(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """doc_id, start, end (bytes) of each maximal covered span."""
 
+    rows, buckets, text_buckets = covered_blocks(docs, block_bytes, hot)
+
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, heads, data, answers in zip(*batch.columns, strict=True):
-                ids, begin, _, gone = _covered(heads.as_py(), data.as_py(), answers.as_py())
+                ids, begin, _, gone = _covered(heads.as_py(), data.as_py(), answers.as_py(), buckets, text_buckets)
                 first = np.zeros(len(gone) + 1, bool)
                 first[begin] = True
                 starts = np.flatnonzero(gone & (first[:-1] | ~np.concatenate([[False], gone[:-1]])))
@@ -424,4 +433,4 @@ def repeat_spans(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT
                 doc = np.searchsorted(begin, starts, side="right") - 1
                 yield pa.RecordBatch.from_arrays([doc_id_array(ids[doc]), pa.array(starts - begin[doc]), pa.array(ends - begin[doc])], names=["doc_id", "start", "end"])
 
-    return covered_blocks(docs, block_bytes, hot).mapInArrow(spans, "doc_id long, start long, end long")
+    return rows.mapInArrow(spans, "doc_id long, start long, end long")
