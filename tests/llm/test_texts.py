@@ -295,3 +295,18 @@ def test_language_model_without_training_documents(spark):
     held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2)
     r = op10_bilinear.score_documents(docs_frame(spark, [(held, "a b")])).first()
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (True, 3, 0, 0, 0.0, 0.0)
+
+
+def test_maximal_repeats_list_all_occurrences(spark, odd_rows):
+    rnd = random.Random(3)
+    line = prose(rnd, 14)[:70]
+    rows = [(d, t) for d, t in odd_rows if d is not None and d != 11 and len(t or "") < 5000] + [(300 + k, prose(rnd, 10) + "\n" + line + "\n" + prose(rnd, 12)) for k in range(12)]
+    texts = {d: (t or "").encode() for d, t in rows}
+    groups = {}
+    for r in op05_repeats.maximal_repeats(docs_frame(spark, rows), 1500).collect():
+        assert texts[r.doc_id][r.start : r.start + r.length] == bytes(r.text)
+        groups.setdefault(bytes(r.text), set()).add((r.doc_id, r.start))
+    assert any(line.encode()[:50] in g for g in groups)
+    for text, found in groups.items():
+        want = {(d, m.start()) for d, b in texts.items() for m in re.finditer(b"(?=" + re.escape(text) + b")", b)}
+        assert found == want and len(found) > 1 and len(text) >= 50
