@@ -36,3 +36,9 @@ def test_entry(spark):
 
     assert e.entry(spark).columns == ["id", "title", "language", "folder"]
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["segment_speakers", "word_speakers", "minor_speakers_merged", "segments_near_boundaries", "diarization_hints", "samples_by_chunk", "library_search", "speaker_names"])
+def test_joins_have_equality_keys(spark, small, name):
+    plan = plans.QUERIES[name](spark, small)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan

@@ -94,13 +94,12 @@ def reading_disputes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def version_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = "struct<added:int,removed:int,same:int>"
-
-    def count(a: str, b: str) -> dict:
+    def count(a: str, b: str) -> list[int]:
         kinds = [k for _, k in fw.word_diff(a, b)]
-        return {"added": kinds.count(fw.ADDED), "removed": kinds.count(fw.REMOVED), "same": kinds.count(fw.SAME)}
+        return [kinds.count(k) for k in (fw.ADDED, fw.REMOVED, fw.SAME)]
 
-    return _readings(spark, sf_dir).withColumn("d", fw.arrow(count, out)("a", "b")).select("doc_id", "d.*")
+    rows = _readings(spark, sf_dir).withColumn("d", fw.arrow(count, "array<int>")("a", "b"))
+    return rows.select("doc_id", *[F.col("d")[k].alias(n) for k, n in enumerate(("added", "removed", "same"))])
 
 
 @query()
