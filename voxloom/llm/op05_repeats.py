@@ -346,6 +346,44 @@ def _first_documents(key: tuple, found: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([x for x, _ in rows], pa.int64()), "bucket": pa.array([key[0].as_py()] * len(rows), pa.int32()), "data": pa.array([x for _, x in rows], pa.binary())})
 
 
+def _groups(texts: list[bytes], left: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """(length, [(text, offset)]) of each repeat that different bytes stand before; `left` has the byte before each text."""
+    array = SuffixArray(texts)
+    rank = np.flatnonzero(_touched(array.common))
+    rows = array.order[rank]
+    text, offset = array.text[rows].tolist(), array.offset[rows].tolist()
+    sides = [int(left[t]) if o == 0 else texts[t][o - 1] for t, o in zip(text, offset, strict=True)]
+    whole = set()  # texts that are themselves the repeat of some interval
+    for length, a, b, _ in intervals(array.common[rank].tolist(), LENGTH):
+        members = range(a, b + 1)
+        seen = {sides[k] for k in members}
+        if len(seen) > 1 or seen & {256, 257}:
+            yield length, [(text[k], offset[k]) for k in members]
+        whole.update(text[k] for k in members if offset[k] == 0 and len(texts[text[k]]) == length)
+    for t, side in enumerate(left.tolist()):
+        if side == 256 and t not in whole:  # the same whole text in several places
+            yield len(texts[t]), [(t, 0)]
+
+
+def _repeats_of_texts(key: tuple, found: pa.Table) -> pa.Table:
+    """For each asking block and text, its repeats: offset, length and a number made from the repeated bytes."""
+    import xxhash
+
+    texts, _, left, asks = _gather(found)
+    mine: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    for length, members in _groups(texts, left):
+        t, o = members[0]
+        number = xxhash.xxh64_intdigest(texts[t][o : o + length]) - 2**63
+        for t, o in members:
+            mine[t].append((o, length, number))
+    rows = []
+    for block, numbers in asks:
+        all_ = [x for t in numbers.tolist() for x in mine[t]]
+        n = np.array([len(mine[t]) for t in numbers.tolist()], "<i4")
+        rows.append((block, _pack(n, np.array([x[0] for x in all_], "u1"), np.array([x[1] for x in all_], "u1"), np.array([x[2] for x in all_], "<i8"))))
+    return pa.table({"block": pa.array([x for x, _ in rows], pa.int64()), "bucket": pa.array([key[0].as_py()] * len(rows), pa.int32()), "data": pa.array([x for _, x in rows], pa.binary())})
+
+
 def _touched(common: np.ndarray) -> np.ndarray:
     """Ranks that have LENGTH bytes in common with a neighbour."""
     long = common >= LENGTH
@@ -384,22 +422,47 @@ def _covered(heads: bytes, data: bytes, answers: list[dict], buckets: int, text_
     return ids, begin, raw, np.cumsum(change[:-1]) > 0
 
 
-def covered_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> tuple[DataFrame, int, int]:
-    """Blocks with the answers from which :func:`_covered` tells the repeated bytes, and the two numbers of buckets."""
+def answered_blocks(docs: DataFrame, block_bytes: int, hot: int, answer) -> tuple[DataFrame, int, int]:
+    """Blocks with the anchors' and the texts' answers, and the two numbers of buckets."""
     blocks = make_blocks(docs, block_bytes)
     n = max(1, blocks.count())
     buckets, text_buckets = max(1, n // 2), 2 * n
     anchors = shared_anchors(blocks, buckets, hot)
     sent = candidate_stretches(blocks, anchors, buckets, text_buckets)
-    firsts = written(sent.groupBy("bucket").applyInArrow(_first_documents, "block long, bucket int, data binary"), "firsts")
-    return with_answers(blocks, anchors.unionAll(firsts.selectExpr("block", "-1 - bucket as bucket", "data"))), buckets, text_buckets
+    found = written(sent.groupBy("bucket").applyInArrow(answer, "block long, bucket int, data binary"), "answers")
+    return with_answers(blocks, anchors.unionAll(found.selectExpr("block", "-1 - bucket as bucket", "data"))), buckets, text_buckets
+
+
+def maximal_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
+    """repeat_id, doc_id, start, length, text: every occurrence (in bytes) of each repeat that can be extended neither to the left nor, within its stretch, to the right."""
+    names = "repeat_id long, doc_id long, start long, length long, text binary"
+    rows, buckets, text_buckets = answered_blocks(docs, block_bytes, hot, _repeats_of_texts)
+
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, heads, data, answers in zip(*batch.columns, strict=True):
+                said = _first_answers(answers.as_py())
+                mine = _Block(heads.as_py(), data.as_py(), buckets)
+                c = _Candidates(mine, said, buckets, text_buckets)
+                repeats: dict[int, list[tuple[int, int, int]]] = {}
+                for k in np.unique(c.homes).tolist():
+                    n, offset, length, number = _unpack(said[-1 - k], ["<i4", "u1", "u1", "<i8"])
+                    ends = np.cumsum(n)
+                    for t, a, b in zip(np.flatnonzero(c.homes == k).tolist(), (ends - n).tolist(), ends.tolist(), strict=True):
+                        repeats[t] = list(zip(number[a:b].tolist(), offset[a:b].tolist(), length[a:b].tolist(), strict=True))
+                out = [(number, d, first + o, n) for first, d, t in zip(c.first.tolist(), c.doc.tolist(), c.number.tolist(), strict=True) for number, o, n in repeats[t]]
+                doc = np.array([x[1] for x in out], np.int64)
+                at = np.array([x[2] for x in out], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), doc_id_array(mine.ids[doc]), pa.array(at - mine.begin[doc]), pa.array([x[3] for x in out], pa.int64()), pa.array([mine.raw[a : a + n] for _, _, a, n in out], pa.binary())], names=[x.split()[0] for x in names.split(", ")])
+
+    return rows.mapInArrow(occurrences, names)
 
 
 def drop_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary: the bytes that stay) of every row."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
-    rows, buckets, text_buckets = covered_blocks(docs, block_bytes, hot)
+    rows, buckets, text_buckets = answered_blocks(docs, block_bytes, hot, _first_documents)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -420,7 +483,7 @@ def drop_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT
 def repeat_spans(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """doc_id, start, end (bytes) of each maximal covered span."""
 
-    rows, buckets, text_buckets = covered_blocks(docs, block_bytes, hot)
+    rows, buckets, text_buckets = answered_blocks(docs, block_bytes, hot, _first_documents)
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
