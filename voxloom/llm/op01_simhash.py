@@ -150,8 +150,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similar: float = SIMILA
     (measured on near copies that share 0.8 of their five-word shingles: over 0.99 found). A
     segment has as many bits as keep chance meetings rare for the number of texts. Candidates are
     compared on the signature of shingles. Groups of a variant beyond `PAIRS_TO` members are
-    compared with two hubs, the member that meets most others and the smallest; copies of one text are
-    so linked to it.
+    compared with two hubs, the member with the smallest doc_id and one by hash, which differs from variant to
+    variant; a text is in many variants' groups and so meets many hubs, the first of its copies among them.
     """
     names = [f"w{k}" for k in range(WORD_LONGS)] + [f"s{k}" for k in range(SHINGLE_LONGS)]
 
@@ -167,16 +167,17 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similar: float = SIMILA
     parts = max(12, n * SEGMENTS * bits // 2_000_000)
 
     words = "array(" + ", ".join(f"shiftrightunsigned(w{k // 2}, {32 * (k % 2)}) & {(1 << bits) - 1}" for k in range(SEGMENTS)) + ")"
-    wild = texts.select("id", F.expr(words).alias("segments")).repartition(max(12, n // 20_000), "id").select("id", "segments", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * bits - 1))).alias("v"))
-    wild = wild.select("id", F.expr(f"shiftleft(cast(v as bigint), 32) | (segments[cast(v div {bits} as int)] & ~shiftleft(1L, v % {bits}))").alias("key"))
-    counts = wild.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(wild.join(counts, "key"), "members")
+    wild = texts.select("id", "first", F.expr(words).alias("segments")).repartition(max(12, n // 20_000), "id").select("id", "first", "segments", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * bits - 1))).alias("v"))
+    wild = wild.select("id", "first", F.expr(f"shiftleft(cast(v as bigint), 32) | (segments[cast(v div {bits} as int)] & ~shiftleft(1L, v % {bits}))").alias("key"))
+    groups = wild.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("g"), F.min("first").alias("f")).where("n > 1")
+    members = written(wild.select("key", "id").join(groups, "key"), "members")
     small = members.where(f"n <= {PAIRS_TO}")
     pairs = small.select("key", F.col("id").alias("a")).join(small.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
     large = members.where(f"n > {PAIRS_TO}")
-    weights = members.groupBy("id").agg(F.sum("n").alias("weight"))
-    hubs = large.join(weights, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", "id")).alias("h"), F.min("id").alias("g"))
-    stars = large.join(hubs, "key").select("id", F.explode(F.array("h", "g")).alias("h")).where("id <> h").select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
+    # each text and its hubs once; the hub with the smallest doc_id is found again by it
+    by_first = texts.select(F.col("id").alias("h"), F.col("first").alias("f"))
+    hubs = large.select("id", F.col("g").alias("h")).unionAll(large.select("id", "f").distinct().join(by_first, "f").select("id", "h"))
+    stars = hubs.where("id <> h").select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
     edges = written(pairs.unionAll(stars).distinct().repartition(parts, "a"), "candidates")
     side = lambda end: texts.select(F.col("id").alias(end), F.array(*[f"s{k}" for k in range(SHINGLE_LONGS)]).alias(f"s_{end}"))
     differ = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
