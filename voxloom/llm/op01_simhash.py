@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.llm.components import components
-from voxloom.llm.shared import written
+from voxloom.llm.shared import input_parts, written
 
 #: Words in a shingle, and bits in which linked fingerprints may differ.
 SHINGLE, DISTANCE, SEED = 3, 2, 42
@@ -76,8 +76,12 @@ def _variants(fps: DataFrame) -> DataFrame:
     return fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("w")).select(F.expr(f"shiftleft(cast(w as bigint), 32) | (({segment}) & ~shiftleft(1L, w % 32))").alias("key"), "fp")
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Edges (a, b) between different fingerprints (column fp, each once) that connect all those within two bits."""
+def links(fps: DataFrame, parts: int = 1) -> DataFrame:
+    """Edges (a, b) between different fingerprints (column fp, each once) that connect all those within two bits.
+
+    Fingerprints are few bytes but have many variants, so they are dealt to `parts` tasks before these are made.
+    """
+    fps = fps.repartition(parts, "fp")
     near = f"a != b and bit_count(a ^ b) <= {DISTANCE}"
     groups = written(
         _variants(fps).groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.bit_xor("fp").alias("x")).where("n > 1").select("key", "n", "lo", "hi", F.expr("x ^ lo ^ hi").alias("mid")),
@@ -91,7 +95,7 @@ def links(fps: DataFrame) -> DataFrame:
     # members of larger groups, each once, then under all pairs of wildcards
     members = _variants(fps).join(groups.where("n > 3").select("key"), "key", "left_semi").select("fp").distinct()
     members = written(members, "members")
-    wild = members.select("fp", F.explode(F.expr("filter(sequence(0, 4095), w -> w div 64 < w % 64)")).alias("w"))
+    wild = members.repartition(parts, "fp").select("fp", F.explode(F.expr("filter(sequence(0, 4095), w -> w div 64 < w % 64)")).alias("w"))
     wild = wild.select("fp", "w", F.expr("fp & ~(shiftleft(1L, cast(w div 64 as int)) | shiftleft(1L, w % 64))").alias("rest"))
     # at most four different fingerprints agree outside two bits, so these sets are bounded
     sets = wild.groupBy("w", "rest").agg(F.collect_set("fp").alias("all")).where("size(all) > 1").select(F.array_min("all").alias("b"), F.explode("all").alias("a"))
@@ -102,7 +106,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id for every row."""
     prints = written(fingerprints(docs, shingle), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    edges = links(classes.select("fp"))
+    edges = links(classes.select("fp"), input_parts(docs))
     label = written(components(edges), "labels")
     named = classes.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     names = named.groupBy("label").agg(F.min("first").alias("component_id"))
