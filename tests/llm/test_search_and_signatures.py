@@ -124,3 +124,25 @@ def test_sliced_scores_sum_up():
     slices = block.scores(query)
     total = sum(np.unpackbits(s.view(np.uint8), count=500, bitorder="little").astype(np.int64) << p for p, s in enumerate(slices))
     assert len({*(total - values @ query).tolist()}) == 1
+
+
+def shares(a, b):
+    """Part of the different five-word shingles of two texts that both have."""
+    x, y = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_candidates_of_appended_and_replaced_passages():
+    """The bands as the pipeline uses them: they are the same for any number of texts."""
+    rnd = random.Random(5)
+    words = [f"w{k}" for k in range(3000)]
+    pairs = []
+    while len(pairs) < 600:
+        a, n = prose(rnd, rnd.randint(60, 900), words).split(), len(pairs)
+        other = prose(rnd, int(len(a) * rnd.uniform(0.05, 0.24)), words).split()
+        at = rnd.randrange(len(a) - len(other))
+        b = a + other if n % 2 else a[:at] + other[: len(other) // 2] + a[at + len(other) // 2 :]
+        if shares(" ".join(a), " ".join(b)) >= 0.8:
+            pairs.append((" ".join(a), " ".join(b)))
+    found = sum(bool((op01_simhash.band_keys(op01_simhash.shingles(a)) == op01_simhash.band_keys(op01_simhash.shingles(b))).any()) for a, b in pairs)
+    assert found == len(pairs)

@@ -113,12 +113,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return prints.join(named.join(names, "label").select("fp", "component_id"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Similarity search: longs of the signature of words, longs of that of shingles, and the share of equal bits of the latter that links.
-WORD_LONGS, SHINGLE_LONGS, SIMILAR = 4, 8, 0.8
-#: Segments of the signature of words, and how many bits a segment has beyond the logarithm of the number of texts.
-SEGMENTS, SPARE_BITS = 8, 7
-#: Variants' groups up to this size are compared in pairs, so by at most half of it for each member; larger ones with two hubs.
+#: Similarity search: the share of equal bits of two texts' SimHash of shingles from which on they are linked.
+SIMILAR = 0.8
+#: Longs of the SimHash of shingles that decides.
+SHINGLE_LONGS = 8
+#: Bands of a text's least hashes and hashes in a band. Two texts that share the part J of their shingles miss all bands with
+#: probability (1 - J ** BAND) ** BANDS: 0.000006 at 0.8, less above, and the same for any number of texts.
+BANDS, BAND = 40, 6
+#: Groups of a band up to this size are compared in pairs at once; larger ones with two hubs.
 PAIRS_TO = 8
+#: Members of a group that are compared with one copy of a hub's shingles.
+_SALT = 512
+_MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_JOIN = np.random.default_rng(SEED + 1).integers(0, 1 << 63, (BANDS, BAND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _majority(hashes: np.ndarray, longs: int) -> list[int]:
@@ -134,59 +141,88 @@ def _majority(hashes: np.ndarray, longs: int) -> list[int]:
     return out
 
 
-def signature(text: str | None, shingle: int = 5) -> list[int]:
-    """SimHash of the text's different words, then of its shingles; zeros without words."""
+def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Hashes of the text's different shingles, ascending; a text of fewer words has one of all its words, one without words none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return [0] * (WORD_LONGS + SHINGLE_LONGS)
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
-    single = np.array([digest(w, SEED) for w in dict.fromkeys(words)], "<u8")
     n = max(1, len(words) - shingle + 1)
-    several = np.array([digest(b" ".join(words[k : k + shingle]), SEED) for k in range(n)], "<u8")
-    return _majority(single, WORD_LONGS) + _majority(several, SHINGLE_LONGS)
+    return np.unique(np.fromiter((digest(b" ".join(words[k : k + shingle]), SEED) for k in range(n)), np.uint64, n))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band: two texts have it in common if their least hashes of that band are the same. None without shingles."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        np.minimum(least, (hashes[None, at : at + 4096] * _MIX[0][:, None] + _MIX[1][:, None]).min(axis=1), out=least)
+    return ((least.reshape(BANDS, BAND) * _JOIN).sum(axis=1) + _JOIN[:, 0]).view(np.int64)
+
+
+def _named(hashes: np.ndarray) -> int:
+    """The name of a set of shingles: copies have the same."""
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63)
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The pairs (a, b) whose shingles' SimHash agrees in `similar` of its bits.
+
+    A hub is in as many pairs as its group has members, n, so copies of its set are dealt to n / 512 tasks.
+    """
+    pairs = pairs.groupBy("a", "b").agg(F.max("n").alias("n")).select("a", "b", F.expr(f"pmod(xxhash64(b), n div {_SALT} + 1)").alias("sa"), F.expr(f"pmod(xxhash64(a), n div {_SALT} + 1)").alias("sb"))
+    pairs = written(pairs, "candidates")
+    side = lambda end: pairs.select(end, f"s{end}").distinct().join(sets.select(F.col("id").alias(end), F.col("hashes").alias(f"h{end}")), end)
+    differ = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    found = pairs.join(side("a"), ["a", "sa"]).join(side("b"), ["b", "sb"])
+    return written(found.where(differ <= (1 - similar) * 64 * SHINGLE_LONGS).select("a", "b"), "linked")
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, component_id for every row: documents whose shingles' signatures agree in `similar` of their bits or more.
-
-    Edits change few of a text's different words, so candidates come from the signature of words:
-    of its `SEGMENTS` segments one mostly differs in at most one bit, which the one-wildcard variants find
-    (measured on near copies that share 0.8 of their five-word shingles: over 0.99 found). A
-    segment has as many bits as keep chance meetings rare for the number of texts. Candidates are
-    compared on the signature of shingles. Groups of a variant beyond `PAIRS_TO` members are
-    compared with two hubs, the member with the smallest doc_id and one by hash, which differs from variant to
-    variant; a text is in many variants' groups and so meets many hubs, the first of its copies among them.
+    """doc_id, component_id for every row: documents whose shingles' SimHash agrees in `similar` of its bits, and chains of such.
+
+    Candidates have the least hashes of a band in common, and are compared on the SimHash of their shingles. Groups
+    of a band beyond `PAIRS_TO` members are compared with two hubs: the member with the smallest doc_id and the one that
+    is in the most and largest groups.
     """
-    names = [f"w{k}" for k in range(WORD_LONGS)] + [f"s{k}" for k in range(SHINGLE_LONGS)]
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(x.as_py(), shingle) for x in batch.column(1)]
+            columns = [pa.array([_named(h) for h in found], pa.int64()), pa.array([len(h) for h in found], pa.int32()), pa.array([band_keys(h) for h in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "id", "m", "bands"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [signature(x.as_py(), shingle) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([f[k] for f in found], pa.int64()) for k in range(len(names))]], names=["doc_id", *names])
+            for at in range(0, batch.num_rows, 256):
+                found = [shingles(x.as_py(), shingle) for x in batch.column(0).slice(at, 256)]
+                yield pa.RecordBatch.from_arrays([pa.array([_named(h) for h in found], pa.int64()), pa.array([_majority(h, SHINGLE_LONGS) if len(h) else [0] * SHINGLE_LONGS for h in found], pa.list_(pa.int64()))], names=["id", "hashes"])
 
-    prints = written(docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, " + ", ".join(f"{x} long" for x in names)).withColumn("id", F.xxhash64(*names)), "signatures")
-    texts = written(prints.groupBy("id").agg(F.min("doc_id").alias("first"), *[F.first(x).alias(x) for x in names]), "texts")
+    prints = written(docs.select("doc_id", "text").mapInArrow(marks, "doc_id long, id long, m int, bands array<long>"), "signatures")
+    texts = written(prints.groupBy("id").agg(F.min("doc_id").alias("first"), F.first("m").alias("m"), F.first("bands").alias("bands")), "texts")
     n = texts.count()
-    bits = min(32, max(16, n.bit_length() + SPARE_BITS))
-    parts = max(12, n * SEGMENTS * bits // 2_000_000)
-
-    words = "array(" + ", ".join(f"shiftrightunsigned(w{k // 2}, {32 * (k % 2)}) & {(1 << bits) - 1}" for k in range(SEGMENTS)) + ")"
-    wild = texts.select("id", "first", F.expr(words).alias("segments")).repartition(max(12, n // 20_000), "id").select("id", "first", "segments", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * bits - 1))).alias("v"))
-    wild = wild.select("id", "first", F.expr(f"shiftleft(cast(v as bigint), 32) | (segments[cast(v div {bits} as int)] & ~shiftleft(1L, v % {bits}))").alias("key"))
-    groups = wild.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("g"), F.min("first").alias("f")).where("n > 1")
-    members = written(wild.select("key", "id").join(groups, "key"), "members")
+    rows = texts.repartition(max(12, n // 20_000), "id").select("id", "first", "m", F.explode("bands").alias("key"))
+    groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.expr("min_by(id, struct(first is null, first, id))").alias("f")).where("n > 1")
+    members = written(rows.select("key", "id", "m").join(groups, "key"), "members")
+
+    # whole sets of those texts that are in a group: of one document for each
+    need = members.select("id").distinct().join(texts.select("id", "first"), "id").select("first").distinct()
+    sets = docs.select("doc_id", "text").join(need, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").select("text")
+    sets = written(sets.mapInArrow(whole, "id long, hashes array<long>").dropDuplicates(["id"]), "sets")
+
+    near = F.least("a.m", "b.m") >= similar * F.greatest("a.m", "b.m") - 0.5
+    pair = [F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), F.col("a.n").alias("n")]
     small = members.where(f"n <= {PAIRS_TO}")
-    pairs = small.select("key", F.col("id").alias("a")).join(small.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
+    pairs = small.alias("a").join(small.alias("b"), "key").where(near & F.expr("a.id < b.id")).select(*pair)
     large = members.where(f"n > {PAIRS_TO}")
-    # each text and its hubs once; the hub with the smallest doc_id is found again by it
-    by_first = texts.select(F.col("id").alias("h"), F.col("first").alias("f"))
-    hubs = large.select("id", F.col("g").alias("h")).unionAll(large.select("id", "f").distinct().join(by_first, "f").select("id", "h"))
-    stars = hubs.where("id <> h").select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
-    edges = written(pairs.unionAll(stars).distinct().repartition(parts, "a"), "candidates")
-    side = lambda end: texts.select(F.col("id").alias(end), F.array(*[f"s{k}" for k in range(SHINGLE_LONGS)]).alias(f"s_{end}"))
-    differ = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    linked = edges.join(side("a"), "a").join(side("b"), "b").where(differ <= (1 - similar) * 64 * SHINGLE_LONGS).select("a", "b")
+    weights = large.groupBy("id").agg(F.sum("n").alias("w"))
+    centres = large.join(weights, "id").groupBy("key").agg(F.expr("max_by(id, struct(w, id))").alias("c"))
+    hubs = large.select("id", F.col("f").alias("h"), "n").unionAll(large.join(centres, "key").select("id", F.col("c").alias("h"), "n"))
+    stars = hubs.where("id <> h").select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"), "n")
+    linked = _linked(pairs.unionAll(stars), sets, similar)
     label = written(components(linked), "labels")
+
     named = texts.select("id", "first").join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "first", F.coalesce("label", "id").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     return prints.select("doc_id", "id").join(named.join(least, "label").select("id", "component_id"), "id").select("doc_id", "component_id")
