@@ -146,3 +146,18 @@ def test_candidates_of_appended_and_replaced_passages():
             pairs.append((" ".join(a), " ".join(b)))
     found = sum(bool((op01_simhash.band_keys(op01_simhash.shingles(a)) == op01_simhash.band_keys(op01_simhash.shingles(b))).any()) for a, b in pairs)
     assert found == len(pairs)
+
+
+def test_near_copies_in_a_group_whose_hubs_resemble_neither(spark, monkeypatch):
+    rnd = random.Random(6)
+    words = [f"w{k}" for k in range(3000)]
+    same = [prose(rnd, 11, words) for _ in range(24)]
+    texts = {k: " ".join(rnd.sample(same, 24)) for k in range(24)}
+    changed = texts[17].split()
+    changed[100] = "changed"
+    texts[50] = " ".join(changed)
+    # one key for all, so that all are in one large group
+    monkeypatch.setattr(op01_simhash, "band_keys", lambda hashes: np.zeros(1, np.int64), raising=False)
+    got = {r.doc_id: r.component_id for r in op01_simhash.similar_documents(docs_frame(spark, list(texts.items()))).collect()}
+    assert got == brute_components(texts, lambda a, b: shares(a, b) >= 0.8)
+    assert got[50] == 17 and len(set(got.values())) == 24

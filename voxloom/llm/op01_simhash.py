@@ -120,8 +120,10 @@ SHINGLE_LONGS = 8
 #: Bands of a text's least hashes and hashes in a band. Two texts that share the part J of their shingles miss all bands with
 #: probability (1 - J ** BAND) ** BANDS: 0.000006 at 0.8, less above, and the same for any number of texts.
 BANDS, BAND = 40, 6
-#: Groups of a band up to this size are compared in pairs at once; larger ones with two hubs.
+#: Groups of a band up to this size are compared in pairs at once; larger ones with two hubs first.
 PAIRS_TO = 8
+#: Longs of a set's parity bits, of which two sets differ in at most as many as they have shingles apart.
+PARITY_LONGS = 8
 #: Members of a group that are compared with one copy of a hub's shingles.
 _SALT = 512
 _MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -166,6 +168,12 @@ def _named(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63)
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Bits that say of which places the set has an odd number of hashes. A shingle that one of two sets has turns one bit at most."""
+    odd = np.bincount((hashes & np.uint64(64 * PARITY_LONGS - 1)).astype(np.int64), minlength=64 * PARITY_LONGS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     """The pairs (a, b) whose shingles' SimHash agrees in `similar` of its bits.
 
@@ -183,8 +191,9 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similar: float = SIMILA
     """doc_id, component_id for every row: documents whose shingles' SimHash agrees in `similar` of its bits, and chains of such.
 
     Candidates have the least hashes of a band in common, and are compared on the SimHash of their shingles. Groups
-    of a band beyond `PAIRS_TO` members are compared with two hubs: the member with the smallest doc_id and the one that
-    is in the most and largest groups.
+    of a band beyond `PAIRS_TO` members are first compared with two hubs: the member with the smallest doc_id and the one that
+    is in the most and largest groups. What that leaves in different components is compared in pairs, so no pair of a group
+    is left out unless both are in one component already, or their sizes or parity bits show that they share too little.
     """
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +206,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similar: float = SIMILA
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 found = [shingles(x.as_py(), shingle) for x in batch.column(0).slice(at, 256)]
-                yield pa.RecordBatch.from_arrays([pa.array([_named(h) for h in found], pa.int64()), pa.array([_majority(h, SHINGLE_LONGS) if len(h) else [0] * SHINGLE_LONGS for h in found], pa.list_(pa.int64()))], names=["id", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array([_named(h) for h in found], pa.int64()), pa.array([_majority(h, SHINGLE_LONGS) if len(h) else [0] * SHINGLE_LONGS for h in found], pa.list_(pa.int64())), pa.array([parity(h) for h in found], pa.list_(pa.int64()))], names=["id", "hashes", "odd"])
 
     prints = written(docs.select("doc_id", "text").mapInArrow(marks, "doc_id long, id long, m int, bands array<long>"), "signatures")
     texts = written(prints.groupBy("id").agg(F.min("doc_id").alias("first"), F.first("m").alias("m"), F.first("bands").alias("bands")), "texts")
@@ -209,7 +218,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similar: float = SIMILA
     # whole sets of those texts that are in a group: of one document for each
     need = members.select("id").distinct().join(texts.select("id", "first"), "id").select("first").distinct()
     sets = docs.select("doc_id", "text").join(need, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").select("text")
-    sets = written(sets.mapInArrow(whole, "id long, hashes array<long>").dropDuplicates(["id"]), "sets")
+    sets = written(sets.mapInArrow(whole, "id long, hashes array<long>, odd array<long>").dropDuplicates(["id"]), "sets")
 
     near = F.least("a.m", "b.m") >= similar * F.greatest("a.m", "b.m") - 0.5
     pair = [F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), F.col("a.n").alias("n")]
@@ -223,6 +232,16 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similar: float = SIMILA
     linked = _linked(pairs.unionAll(stars), sets, similar)
     label = written(components(linked), "labels")
 
+    # groups that hold several components: members outside the largest with those of other components
+    ours = large.join(label.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "m", "n", F.coalesce("label", "id").alias("label"))
+    main = ours.groupBy("key", "label").agg(F.count("*").alias("k")).groupBy("key").agg(F.count("*").alias("labels"), F.expr("max_by(label, struct(k, label))").alias("main")).where("labels > 1").select("key", "main")
+    odd = sets.select("id", *[F.col("odd")[k].alias(f"o{k}") for k in range(PARITY_LONGS)])
+    ours = written(ours.join(main, "key").join(odd, "id"), "open")
+    if ours.head(1):
+        apart = " + ".join(f"bit_count(a.o{k} ^ b.o{k})" for k in range(PARITY_LONGS))
+        rest = ours.where("label <> main").alias("a").join(ours.alias("b"), "key").where(near & F.expr(f"a.label <> b.label and {apart} <= (a.m + b.m) * {(1 - similar) / (1 + similar)} + 0.5")).select(*pair)
+        label = written(components(linked.unionAll(_linked(rest, sets, similar))), "labels")
+
     named = texts.select("id", "first").join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "first", F.coalesce("label", "id").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     return prints.select("doc_id", "id").join(named.join(least, "label").select("id", "component_id"), "id").select("doc_id", "component_id")
