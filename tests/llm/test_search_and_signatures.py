@@ -161,3 +161,15 @@ def test_near_copies_in_a_group_whose_hubs_resemble_neither(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in op01_simhash.similar_documents(docs_frame(spark, list(texts.items()))).collect()}
     assert got == brute_components(texts, lambda a, b: shares(a, b) >= 0.8)
     assert got[50] == 17 and len(set(got.values())) == 24
+
+
+def test_links_are_decided_by_whole_sets_of_shingles(spark):
+    rnd = random.Random(7)
+    words = [f"w{k}" for k in range(3000)]
+    texts = {}
+    for k in range(40):
+        texts[10 * k] = prose(rnd, 120 + k, words)
+        for j, part in enumerate((0.42, 0.34, 0.27, 0.22, 0.2, 0.1)):
+            texts[10 * k + 1 + j] = texts[10 * k] + " " + prose(rnd, int((120 + k) * part), words)
+    got = {r.doc_id: r.component_id for r in op01_simhash.similar_documents(docs_frame(spark, list(texts.items()))).collect()}
+    assert got == brute_components(texts, lambda a, b: a[:20] == b[:20] and shares(a, b) >= 0.8)

@@ -113,10 +113,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return prints.join(named.join(names, "label").select("fp", "component_id"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Similarity search: the share of equal bits of two texts' SimHash of shingles from which on they are linked.
+#: Similarity search: the share of two texts' different shingles that both have, from which on they are linked.
 SIMILAR = 0.8
-#: Longs of the SimHash of shingles that decides.
-SHINGLE_LONGS = 8
 #: Bands of a text's least hashes and hashes in a band. Two texts that share the part J of their shingles miss all bands with
 #: probability (1 - J ** BAND) ** BANDS: 0.000006 at 0.8, less above, and the same for any number of texts.
 BANDS, BAND = 40, 6
@@ -130,19 +128,6 @@ _MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND), dtype
 _JOIN = np.random.default_rng(SEED + 1).integers(0, 1 << 63, (BANDS, BAND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _majority(hashes: np.ndarray, longs: int) -> list[int]:
-    """`longs` signed 64-bit words of SimHash, each from its own mix of the hashes."""
-    out = []
-    for g in range(longs):
-        x = hashes + np.uint64((g * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        raw = (x ^ (x >> np.uint64(31))).view(np.uint8).reshape(-1, 8)
-        counts = np.bincount((raw + _PLACES).ravel(), minlength=2048).reshape(8, 256) @ _BITS
-        out.append(int(np.packbits(counts.ravel() * 2 > len(x), bitorder="little").view("<i8")[0]))
-    return out
-
-
 def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
     """Hashes of the text's different shingles, ascending; a text of fewer words has one of all its words, one without words none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -175,22 +160,22 @@ def parity(hashes: np.ndarray) -> np.ndarray:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """The pairs (a, b) whose shingles' SimHash agrees in `similar` of its bits.
+    """The pairs (a, b) whose sets of shingles share `similar` of their union.
 
     A hub is in as many pairs as its group has members, n, so copies of its set are dealt to n / 512 tasks.
     """
     pairs = pairs.groupBy("a", "b").agg(F.max("n").alias("n")).select("a", "b", F.expr(f"pmod(xxhash64(b), n div {_SALT} + 1)").alias("sa"), F.expr(f"pmod(xxhash64(a), n div {_SALT} + 1)").alias("sb"))
     pairs = written(pairs, "candidates")
     side = lambda end: pairs.select(end, f"s{end}").distinct().join(sets.select(F.col("id").alias(end), F.col("hashes").alias(f"h{end}")), end)
-    differ = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    both = F.size(F.array_intersect("ha", "hb"))
     found = pairs.join(side("a"), ["a", "sa"]).join(side("b"), ["b", "sb"])
-    return written(found.where(differ <= (1 - similar) * 64 * SHINGLE_LONGS).select("a", "b"), "linked")
+    return written(found.where(both / (F.size("ha") + F.size("hb") - both) >= similar).select("a", "b"), "linked")
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, component_id for every row: documents whose shingles' SimHash agrees in `similar` of its bits, and chains of such.
+    """doc_id, component_id for every row: documents that share `similar` of their different shingles, and chains of such.
 
-    Candidates have the least hashes of a band in common, and are compared on the SimHash of their shingles. Groups
+    Candidates have the least hashes of a band in common, and are compared on their whole sets of shingles. Groups
     of a band beyond `PAIRS_TO` members are first compared with two hubs: the member with the smallest doc_id and the one that
     is in the most and largest groups. What that leaves in different components is compared in pairs, so no pair of a group
     is left out unless both are in one component already, or their sizes or parity bits show that they share too little.
@@ -206,7 +191,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similar: float = SIMILA
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 found = [shingles(x.as_py(), shingle) for x in batch.column(0).slice(at, 256)]
-                yield pa.RecordBatch.from_arrays([pa.array([_named(h) for h in found], pa.int64()), pa.array([_majority(h, SHINGLE_LONGS) if len(h) else [0] * SHINGLE_LONGS for h in found], pa.list_(pa.int64())), pa.array([parity(h) for h in found], pa.list_(pa.int64()))], names=["id", "hashes", "odd"])
+                yield pa.RecordBatch.from_arrays([pa.array([_named(h) for h in found], pa.int64()), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64())), pa.array([parity(h) for h in found], pa.list_(pa.int64()))], names=["id", "hashes", "odd"])
 
     prints = written(docs.select("doc_id", "text").mapInArrow(marks, "doc_id long, id long, m int, bands array<long>"), "signatures")
     texts = written(prints.groupBy("id").agg(F.min("doc_id").alias("first"), F.first("m").alias("m"), F.first("bands").alias("bands")), "texts")
