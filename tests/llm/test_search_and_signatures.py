@@ -47,23 +47,58 @@ def test_near_duplicates(spark, odd_rows):
     assert {r.component_id for r in got if r.doc_id is None} == {3, 20}
 
 
-def test_links_of_large_groups(spark):
+def signed(v):
+    return v - (1 << 64) if v >> 63 else v
+
+
+def within_two(values):
+    """Least member of each value's component, by looking up all values within two bits."""
+    label = {}
+    for v in sorted(values, key=signed):
+        if v in label:
+            continue
+        todo = [v]
+        label[v] = v
+        while todo:
+            x = todo.pop()
+            for y in (x ^ (1 << i) ^ (1 << j if j < i else 0) for i in range(64) for j in range(i + 1)):
+                if y in values and y not in label:
+                    label[y] = v
+                    todo.append(y)
+    return {signed(k): signed(v) for k, v in label.items()}
+
+
+@pytest.mark.parametrize("templates, members, flips", [(4, 120, 4), (1, 5000, 5), (1, 3000, 2)])
+def test_links_of_large_groups(spark, templates, members, flips):
     rnd = random.Random(1)
     values = set()
-    for _ in range(4):
+    for _ in range(templates):
         base = rnd.getrandbits(64)
-        for _ in range(120):
+        for _ in range(members):
             x = base
-            for _ in range(rnd.randint(0, 4)):
+            for _ in range(rnd.randint(0, flips)):
                 x ^= 1 << rnd.randrange(64)
             values.add(x)
-    signed = lambda v: v - (1 << 64) if v >> 63 else v
     df = spark.createDataFrame([(signed(v),) for v in sorted(values)], "fp long")
     got = {r.node: r.label for r in components.components(op01_simhash.links(df)).collect()}
-    want = brute_components({signed(v): v for v in values}, lambda a, b: bin(a ^ b).count("1") <= 2)
+    want = within_two(values)
     assert {k: got.get(k, k) for k in want} == want
 
 
+def test_forest_connects_those_within_two_bits():
+    rnd = random.Random(2)
+    for n, bits in ((3, 5), (60, 22), (300, 22), (2000, 12)):
+        base = rnd.getrandbits(64)
+        values = {base ^ (rnd.getrandbits(bits) << 40) & (2**64 - 1) for _ in range(n)}
+        want = within_two(values)
+        a, b = op01_simhash.forest(np.array([signed(v) for v in values], np.int64))
+        parent = dict(zip(a.tolist(), b.tolist(), strict=True))
+        groups = {}
+        for v in want:
+            groups.setdefault(want[v], set()).add(parent.get(v, v))
+        assert all(len(roots) == 1 for roots in groups.values()) and len({r for g in groups.values() for r in g}) == len(groups)
+
+
 def test_empty_table(spark):
     none = docs_frame(spark, [])
     assert op01_simhash.near_duplicates(none).count() == 0

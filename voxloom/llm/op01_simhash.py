@@ -8,9 +8,11 @@ a variant are compared in full.
 
 A variant's group is summed up before the shuffle by its count, least, greatest and the
 XOR of its members, which spells out groups of up to three members. The members of
-larger groups, found by an equality join, are indexed a second time under all pairs of wildcards
-(i, j): fingerprints that agree outside two bits differ in at most two, so each such group is linked to
-its least member. The groups are never expanded into pairs, however large.
+larger groups, found by an equality join, get 70 narrower keys. Either one segment is equal and of the
+three thirds of the other one is, too (6 keys of 53 or 54 bits); or both segments differ in one
+bit, so with the first one's bit as a wildcard a half of the second is equal (64 keys of 47 bits). Such a group has 22
+free bits at most, so a task that gathers one holds at most 2 ** 22 longs, however hot the template
+is; it hands out a spanning forest of its links, never its pairs.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any
 other; rows that repeat a doc_id get a row each; a null doc_id keeps its row and never
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.llm.components import components
-from voxloom.llm.shared import input_parts, written
+from voxloom.llm.shared import drop_written, input_parts, written
 
 #: Words in a shingle, and bits in which linked fingerprints may differ.
 SHINGLE, DISTANCE, SEED = 3, 2, 42
@@ -76,30 +78,86 @@ def _variants(fps: DataFrame) -> DataFrame:
     return fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("w")).select(F.expr(f"shiftleft(cast(w as bigint), 32) | (({segment}) & ~shiftleft(1L, w % 32))").alias("key"), "fp")
 
 
+def _narrow_masks() -> list[int]:
+    """The bits that each of the narrower keys keeps."""
+    low, thirds, halves = (1 << 32) - 1, [(0, 11), (11, 22), (22, 32)], [(0, 16), (16, 32)]
+    run = lambda a, b: (1 << b) - (1 << a)
+    exact = [m for a, b in thirds for m in (low | run(a, b) << 32, low << 32 | run(a, b))]
+    return exact + [low & ~(1 << w) | run(a, b) << 32 for w in range(32) for a, b in halves]
+
+
+def _sum_up(rows: DataFrame, *key: str) -> DataFrame:
+    """The groups of two and more by key: n, lo, hi and mid (the third of three), combined before the shuffle."""
+    sums = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.bit_xor("fp").alias("x"))
+    return sums.where("n > 1").select(*key, "n", "lo", "hi", F.expr("x ^ lo ^ hi").alias("mid"))
+
+
+def _spelled_out(groups: DataFrame) -> DataFrame:
+    """Links (a < b) within groups of two and three."""
+    pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    found = groups.where("n <= 3").select(F.explode(F.when(F.col("n") == 2, F.array(pair("lo", "hi"))).otherwise(F.array(pair("lo", "mid"), pair("mid", "hi"), pair("lo", "hi")))).alias("e")).select("e.a", "e.b")
+    return found.where(f"a != b and bit_count(a ^ b) <= {DISTANCE}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def forest(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each of the different `values` but the roots, with its root: trees of those connected by steps of up to two bits.
+
+    Up to 64 values are compared at once; more are grouped, for each two of the bits in which they differ at all, by
+    all their other bits, so the work is linear in the values.
+    """
+    values = np.unique(values)
+    n, label = len(values), np.arange(len(values))
+
+    def join(u: np.ndarray, v: np.ndarray) -> None:
+        nonlocal label
+        while True:
+            a, b = label[u], label[v]
+            apart = a != b
+            if not apart.any():
+                return
+            u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+            while (label != (up := label[label])).any():
+                label = up
+
+    if n <= 64:
+        join(*np.nonzero(np.bitwise_count((values[:, None] ^ values[None, :]).view(np.uint64)) <= DISTANCE))
+    else:
+        vary = int(np.bitwise_or.reduce(values ^ values[0])) & (2**64 - 1)
+        bits = [k for k in range(64) if vary >> k & 1]
+        for i, k in enumerate(bits):
+            for m in bits[i + 1 :] or [k] * (len(bits) == 1):
+                rest = values.view(np.uint64) & np.uint64(~(1 << k | 1 << m) & (2**64 - 1))
+                order = np.argsort(rest, kind="stable")
+                same = np.flatnonzero(rest[order][1:] == rest[order][:-1])
+                join(order[same + 1], order[same])
+    other = np.flatnonzero(label != np.arange(n))
+    return values[other], values[label[other]]
+
+
 def links(fps: DataFrame, parts: int = 1) -> DataFrame:
     """Edges (a, b) between different fingerprints (column fp, each once) that connect all those within two bits.
 
     Fingerprints are few bytes but have many variants, so they are dealt to `parts` tasks before these are made.
     """
     fps = fps.repartition(parts, "fp")
-    near = f"a != b and bit_count(a ^ b) <= {DISTANCE}"
-    groups = written(
-        _variants(fps).groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.bit_xor("fp").alias("x")).where("n > 1").select("key", "n", "lo", "hi", F.expr("x ^ lo ^ hi").alias("mid")),
-        "groups",
-    )
-    pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
-    small = groups.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    three = groups.where("n = 3").select(F.explode(F.array(pair("lo", "mid"), pair("mid", "hi"), pair("lo", "hi"))).alias("e")).select("e.a", "e.b")
-    found = small.unionAll(three).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    # members of larger groups, each once, then under all pairs of wildcards
-    members = _variants(fps).join(groups.where("n > 3").select("key"), "key", "left_semi").select("fp").distinct()
-    members = written(members, "members")
-    wild = members.repartition(parts, "fp").select("fp", F.explode(F.expr("filter(sequence(0, 4095), w -> w div 64 < w % 64)")).alias("w"))
-    wild = wild.select("fp", "w", F.expr("fp & ~(shiftleft(1L, cast(w div 64 as int)) | shiftleft(1L, w % 64))").alias("rest"))
-    # at most four different fingerprints agree outside two bits, so these sets are bounded
-    sets = wild.groupBy("w", "rest").agg(F.collect_set("fp").alias("all")).where("size(all) > 1").select(F.array_min("all").alias("b"), F.explode("all").alias("a"))
-    return found.unionAll(sets.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    groups = written(_sum_up(_variants(fps), "key"), "groups")
+    members = written(_variants(fps).join(groups.where("n > 3").select("key"), "key", "left_semi").select("fp").distinct(), "members")
+
+    masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in _narrow_masks()])
+    narrow = members.repartition(parts, "fp").select("fp", F.posexplode(masks).alias("kind", "mask")).select("kind", F.col("fp").bitwiseAND(F.col("mask")).alias("rest"), "fp")
+    inner = written(_sum_up(narrow, "kind", "rest"), "narrow")
+
+    def trees(found: pa.Table) -> pa.Table:
+        a, b = forest(found["fp"].to_numpy())
+        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+    large = narrow.join(inner.where("n > 3").select("kind", "rest"), ["kind", "rest"], "left_semi")
+    trees_ = large.groupBy("kind", "rest").applyInArrow(trees, "a long, b long")
+    found = written(_spelled_out(groups).unionAll(_spelled_out(inner)).unionAll(trees_).distinct(), "links")
+    for done in (groups, members, inner):
+        drop_written(done)
+    return found
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

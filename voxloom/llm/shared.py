@@ -1,7 +1,7 @@
 """The folder that driver and executors share, and tables and files kept there.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset
-(local tests) a temporary folder is made and set as the checkpoint folder.
+The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and the
+master is local (tests) a temporary folder is made and set as the checkpoint folder; a cluster without it is refused.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ def shared_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="voxloom-shared-")
         sc.setCheckpointDir(root)
         root = sc.getCheckpointDir()
@@ -68,7 +70,12 @@ def put_file(uri: str, name: str, data: bytes) -> None:
     part = f"{path}/.{name}.{uuid.uuid4().hex}"
     with store.open_output_stream(part) as out:
         out.write(data)
-    store.move(part, f"{path}/{name}")
+    try:
+        store.move(part, f"{path}/{name}")
+    except OSError:  # some stores don't move onto a file that is there already
+        if store.get_file_info(f"{path}/{name}").size != len(data):
+            raise
+        store.delete_file(part)
 
 
 def input_parts(df: DataFrame) -> int:
