@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.llm.components import components
-from voxloom.llm.shared import drop_written, input_parts, written
+from voxloom.llm.shared import drop_written, free_name, input_parts, quoted, written
 
 #: Words in a shingle, and bits in which linked fingerprints may differ.
 SHINGLE, DISTANCE, SEED = 3, 2, 42
@@ -230,8 +230,11 @@ def _linked(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return written(found.where(both / (F.size("ha") + F.size("hb") - both) >= similar).select("a", "b"), "linked")
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, component_id for every row: documents that share `similar` of their different shingles, and chains of such.
+def _similar_texts(docs: DataFrame, shingle: int, similar: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, hash, id) and different sets of shingles (id, first, label): sets with one label are linked by chains.
+
+    hash is that of the row's text, id names its set of shingles; first is the least (doc_id, hash) with
+    that set, rows without a doc_id last.
 
     Candidates have the least hashes of a band in common, and are compared on their whole sets of shingles. Groups
     of a band beyond `PAIRS_TO` members are first compared with two hubs: the member with the smallest doc_id and the one that
@@ -243,7 +246,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similar: float = SIMILA
         for batch in batches:
             found = [shingles(x.as_py(), shingle) for x in batch.column(1)]
             columns = [pa.array([_named(h) for h in found], pa.int64()), pa.array([len(h) for h in found], pa.int32()), pa.array([band_keys(h) for h in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "id", "m", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["doc_id", "hash", "id", "m", "bands"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,16 +254,18 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similar: float = SIMILA
                 found = [shingles(x.as_py(), shingle) for x in batch.column(0).slice(at, 256)]
                 yield pa.RecordBatch.from_arrays([pa.array([_named(h) for h in found], pa.int64()), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64())), pa.array([parity(h) for h in found], pa.list_(pa.int64()))], names=["id", "hashes", "odd"])
 
-    prints = written(docs.select("doc_id", "text").mapInArrow(marks, "doc_id long, id long, m int, bands array<long>"), "signatures")
-    texts = written(prints.groupBy("id").agg(F.min("doc_id").alias("first"), F.first("m").alias("m"), F.first("bands").alias("bands")), "texts")
+    named_rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    prints = written(named_rows.mapInArrow(marks, "doc_id long, hash long, id long, m int, bands array<long>"), "signatures")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first")
+    texts = written(prints.groupBy("id").agg(first, F.first("m").alias("m"), F.first("bands").alias("bands")), "texts")
     n = texts.count()
     rows = texts.repartition(max(12, n // 20_000), "id").select("id", "first", "m", F.explode("bands").alias("key"))
-    groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.expr("min_by(id, struct(first is null, first, id))").alias("f")).where("n > 1")
+    groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.expr("min_by(id, struct(first, id))").alias("f")).where("n > 1")
     members = written(rows.select("key", "id", "m").join(groups, "key"), "members")
 
     # whole sets of those texts that are in a group: of one document for each
-    need = members.select("id").distinct().join(texts.select("id", "first"), "id").select("first").distinct()
-    sets = docs.select("doc_id", "text").join(need, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").select("text")
+    need = members.select("id").distinct().join(texts.select("id", "first"), "id").select(F.col("first.doc_id").alias("d"), F.col("first.hash").alias("h"))
+    sets = named_rows.join(need, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")), "left_semi").select("text")
     sets = written(sets.mapInArrow(whole, "id long, hashes array<long>, odd array<long>").dropDuplicates(["id"]), "sets")
 
     near = F.least("a.m", "b.m") >= similar * F.greatest("a.m", "b.m") - 0.5
@@ -286,19 +291,31 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similar: float = SIMILA
         label = written(components(linked.unionAll(_linked(rest, sets, similar))), "labels")
 
     named = texts.select("id", "first").join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "first", F.coalesce("label", "id").alias("label"))
-    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    return prints.select("doc_id", "id").join(named.join(least, "label").select("id", "component_id"), "id").select("doc_id", "component_id")
+    return prints.select("doc_id", "hash", "id"), named
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similar: float = SIMILAR) -> DataFrame:
+    """doc_id, component_id for every row: documents that share `similar` of their different shingles, and chains of such.
+
+    A component is named by its smallest doc_id; null and empty texts have no shingles and are one component.
+    """
+    rows, named = _similar_texts(docs, shingle, similar)
+    least = named.groupBy("label").agg(F.min("first").alias("least"))
+    return rows.join(named.join(least, "label").select("id", F.col("least.doc_id").alias("component_id")), "id").select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, similar: float = SIMILAR) -> DataFrame:
-    """One row of `docs` for each group of similar documents: that with the smallest doc_id.
+    """One row of `docs` for each group of similar documents: that with the smallest doc_id, of several that whose text's hash is least.
 
-    Rows without a doc_id stay. Rows that repeat the smallest doc_id of a group are one document, so
-    one of them stays: that whose text's hash, then text, comes first.
+    Rows without a doc_id stay. Rows that repeat a doc_id are documents of their own unless their texts are similar.
+    Null and empty texts are copies of one another. Columns of any name stay as they are; an empty table stays empty.
     """
-    found = similar_documents(docs, shingle, similar)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    names = docs.columns
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    kept = docs.join(keep, "doc_id", "left_semi").select(*names, F.row_number().over(order).alias("_nr")).where("_nr = 1").drop("_nr")
-    return kept.unionByName(docs.where("doc_id is null"))
+    named = _similar_texts(docs, shingle, similar)[1]
+    kept = named.groupBy("label").agg(F.min("first").alias("least")).where("least.doc_id is not null")
+    tag = free_name(docs, "_keep")
+    kept = kept.select(F.col("least.doc_id").alias(f"{tag}_d"), F.col("least.hash").alias(f"{tag}_h"))
+    found = docs.withColumn(f"{tag}_t", F.xxhash64("text")).join(kept, (F.col("doc_id") == F.col(f"{tag}_d")) & (F.col(f"{tag}_t") == F.col(f"{tag}_h")), "left_semi")
+    # rows that are the same document, to the text
+    again = F.row_number().over(Window.partitionBy("doc_id", f"{tag}_t").orderBy(F.lit(0)))
+    once = found.withColumn(f"{tag}_nr", again).where(F.col(f"{tag}_nr") == 1)
+    return once.unionByName(docs.where("doc_id is null"), allowMissingColumns=True).select(*[quoted(c) for c in docs.columns])

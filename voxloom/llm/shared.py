@@ -78,6 +78,18 @@ def put_file(uri: str, name: str, data: bytes) -> None:
         store.delete_file(part)
 
 
+def quoted(column: str) -> str:
+    """A column's name, whatever its signs, as a reference to it."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column's name begins with it, so that names made from it clash with none."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name += "_"
+    return name
+
+
 def input_parts(df: DataFrame) -> int:
     """Partitions that the scan below `df` has: a measure of its size that needs no job."""
     return max(1, df.rdd.getNumPartitions())
