@@ -1,7 +1,9 @@
 """SimHash, bit-sliced search and connected components against brute force."""
 
+import math
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -121,6 +123,18 @@ def test_keep_first_drops_near_copies_and_keeps_others(spark):
     assert kept.where("doc_id is null").count() == 1
 
 
+def test_keep_first_goes_by_rows(spark):
+    """Unlike texts with one doc_id both stay; the same row twice stays once."""
+    rnd = random.Random(3)
+    words = [f"w{k}" for k in range(500)]
+    a, b = prose(rnd, 50, words), prose(rnd, 60, words)
+    rows = [(1, a), (1, b), (2, a), (3, b + " x"), (4, None), (4, ""), (4, None), (5, " "), (None, a)]
+    kept = op01_simhash.keep_first(docs_frame(spark, rows, True))
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert len(got) == 4 and {(1, a), (1, b), (None, a)} <= set(got)
+    assert [d for d, t in got if not (t or "").strip()] == [4]
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 50)] + [(7, 7)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -132,15 +146,16 @@ def test_components_of_a_path_and_a_star(spark):
 def test_top_k(spark, blocks):
     rnd = np.random.default_rng(2)
     rows = [(k, [float(np.float32(x)) for x in rnd.normal(0, 0.2, 12)]) for k in range(160)]
-    rows += [(200, rows[3][1]), (201, rows[3][1]), (250, rows[5][1]), (300, None), (301, [None] * 12), (302, [float("nan")] * 12), (303, [float("inf")] * 12), (350, []), (None, rows[1][1]), (7, rows[7][1])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows += [(200, rows[3][1]), (201, rows[3][1]), (250, rows[5][1]), (300, None), (301, [None] * 12), (302, [float("nan")] * 12), (303, [float("inf")] * 12), (350, []), (None, rows[1][1])]
+    rows += [(7, rows[7][1]), (7, rows[8][1]), (50, rows[9][1]), (400, [2e6] + [0.5] * 11), (401, [-1e9] * 12), (402, [1e300] * 12), (450, [1e300] * 12), (403, [1e308] * 3), (500, [1e9, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = op09_bit_sliced.top_k(df, block_rows=blocks[0], block_queries=blocks[1]).orderBy("query_id", "rank").collect()
-    ok = {k: [int(np.floor(256 * x)) for x in v] for k, v in rows if k is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    whole = lambda x: math.floor(Fraction(x) * 256)
+    ok = [(k, [whole(x) for x in v]) for k, v in rows if k is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q in sorted(ok):
-        if q % 50 == 0:
-            best = sorted(((-sum(a * b for a, b in zip(ok[q], ok[c], strict=True)), c) for c in ok if c != q))[:5]
-            want += [(q, n + 1, c, -s) for n, (s, c) in enumerate(best)]
+    for q in sorted({k for k, _ in ok if k % 50 == 0}):
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), c) for k, v in ok if k == q for c, w in ok if c != q)[:5]
+        want += [(q, n + 1, c, min(max(-s, -(2**63)), 2**63 - 1)) for n, (s, c) in enumerate(best)]
     assert [tuple(r) for r in got] == want
 
 
