@@ -1,7 +1,7 @@
 """WARC archives in which equal payloads are stored once.
 
-Headers (id, payload digest) are shuffled by digest; the record with the largest id of each
-digest is the response, the others become revisit records that refer to it. Records are
+Headers (file, payload digest, largest id) are shuffled by digest, payloads never; the record with the largest id of
+each digest is the response, the others become revisit records that refer to it. Records are
 written with fresh headers, each as its own gzip member, into files that roll over at `file_bytes`.
 Reading parses the files record by record and resolves revisits by an equality join of
 their WARC-Refers-To header with the responses' record ids.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm.shared import put_file
+from voxloom.llm.shared import drop_folder, drop_written, put_file, work_folder, written
 
 #: A file is closed at this many compressed bytes.
 FILE_BYTES = 16_000_000
@@ -69,57 +69,99 @@ def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, stream.read(int(headers["content-length"]))
 
 
-def resolve(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, html, digest, response_id, is_response: who is a response and whom the others revisit."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    heads = rows.select("digest", "page_id").groupBy("digest").agg(F.max("page_id").alias("response_id"))
-    found = rows.join(heads, "digest")
-    same = F.col("page_id").eqNullSafe(F.col("response_id")) | (F.octet_length("html") < min_bytes)
-    return found.withColumn("is_response", same)
+def _member(heads: list[tuple[str, str]], url: str | None, digest: bytes, more: list[tuple[str, str]], block: bytes) -> bytes:
+    target = [] if url is None else [("WARC-Target-URI", " ".join(url.split()))]
+    return record([*heads, *target, ("WARC-Payload-Digest", "sha1:" + base64.b32encode(digest).decode()), *more], block)
 
 
-def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES, date: str = "1970-01-01T00:00:00Z") -> int:
-    """Write `pages` (page_id, url, html) as gzipped archives below `folder`; returns the number of records.
+def _ident(page_id: int | None) -> str:
+    return RECORD_ID % ("" if page_id is None else page_id)
+
+
+_STAGED = "file string, records array<struct<page_id:bigint,url:string,digest:binary,at:bigint,size:int>>, tops array<struct<digest:binary,top:bigint,n:bigint>>"
 
-    A task writes its files under names made from its partition, so a task that runs
-    again replaces them.
+
+def _stage(pages: DataFrame, folder: str, min_bytes: int, file_bytes: int, date: str) -> DataFrame:
+    """Write each page as a response member into files below `folder`; a row of headers for each file.
+
+    tops: the file's different payload digests with their largest page_id and number of records, so a payload that is
+    everywhere is one header a file.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, held, size, nr, n = TaskContext.get().partitionId(), [], 0, 0, 0
+        part, nr, held, records, tops, size = TaskContext.get().partitionId(), 0, [], [], {}, 0
 
-        def flush():
-            nonlocal held, size, nr
-            info = record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.UUID(int=part << 32 | nr)}>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
-            put_file(folder, f"part-{part:06d}-{nr:05d}.warc.gz", b"".join([info, *held]))
-            held, size, nr = [], 0, nr + 1
+        def close() -> pa.RecordBatch:
+            nonlocal nr, size
+            name = f"part-{part:06d}-{nr:05d}"
+            put_file(folder, name, b"".join(held))
+            rows = [{"file": name, "records": records, "tops": [{"digest": d, "top": top, "n": n} for d, (top, n) in tops.items()]}]
+            out = pa.RecordBatch.from_pylist(rows, schema)
+            nr, size = nr + 1, 0
+            held.clear(), records.clear(), tops.clear()
+            return out
 
         for batch in batches:
-            for k in range(batch.num_rows):
-                page_id, url, html, is_response, response_id = (batch.column(c)[k].as_py() for c in range(5))
-                payload = html.encode("utf-8", "surrogatepass")
-                heads = [("WARC-Type", "response" if is_response else "revisit"), ("WARC-Record-ID", RECORD_ID % ("" if page_id is None else page_id)), ("WARC-Date", date)]
-                if url is not None:
-                    heads.append(("WARC-Target-URI", " ".join(url.split())))
-                heads.append(("WARC-Payload-Digest", "sha1:" + sha1_base32(payload)))
-                if is_response:
-                    heads.append(("Content-Type", "text/html; charset=utf-8"))
-                else:
-                    heads += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", RECORD_ID % ("" if response_id is None else response_id))]
-                held.append(record(heads, payload if is_response else b""))
+            for page_id, url, html in zip(*batch.columns, strict=True):
+                page_id, url, payload = page_id.as_py(), url.as_py(), (html.as_py() or "").encode("utf-8", "surrogatepass")
+                digest = hashlib.sha1(payload).digest()
+                heads = [("WARC-Type", "response"), ("WARC-Record-ID", _ident(page_id)), ("WARC-Date", date)]
+                held.append(_member(heads, url, digest, [("Content-Type", "text/html; charset=utf-8")], payload))
+                records.append({"page_id": page_id, "url": url, "digest": digest, "at": size, "size": len(held[-1])})
+                if len(payload) >= min_bytes:
+                    top, n = tops.get(digest, (None, 0))
+                    tops[digest] = (page_id if top is None else top if page_id is None else max(top, page_id), n + 1)
                 size += len(held[-1])
-                n += 1
                 if size >= file_bytes:
-                    flush()
+                    yield close()
         if held:
-            flush()
-        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+            yield close()
+
+    schema = pa.schema([("file", pa.string()), ("records", pa.list_(pa.struct([("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.binary()), ("at", pa.int64()), ("size", pa.int32())]))), ("tops", pa.list_(pa.struct([("digest", pa.binary()), ("top", pa.int64()), ("n", pa.int64())])))])
+    return written(pages.select("page_id", "url", "html").mapInArrow(write, _STAGED), "staged")
+
 
-    rows = resolve(pages, min_bytes).select("page_id", "url", "html", "is_response", "response_id")
-    return rows.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES, date: str = "1970-01-01T00:00:00Z") -> int:
+    """Write `pages` (page_id, url, html) as gzipped archives below `folder`; returns the number of records.
+
+    Pages are compressed once, into staged files whose headers alone are shuffled: by digest, to find each payload's
+    response, and back by file. Then a task copies a staged file's responses as they are and puts
+    revisits in the place of the others. Files are named by the partition, so a task that runs again replaces its own.
+    """
+    spark = pages.sparkSession
+    place = work_folder(spark, "warc")
+    staged = _stage(pages, place, min_bytes, file_bytes, date)
+    heads = staged.select("file", F.explode("tops").alias("t")).select("file", "t.*")
+    first = heads.groupBy("digest").agg(F.max("top").alias("response_id"), F.sum("n").alias("n")).where("n > 1").select("digest", "response_id")
+    answers = heads.select("file", "digest").join(first, "digest").groupBy("file").agg(F.collect_list(F.struct("digest", "response_id")).alias("answers"))
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(place)
+        for batch in batches:
+            for file, records, said in zip(*batch.columns, strict=True):
+                name, records = file.as_py(), records.as_py()
+                response = {x["digest"]: x["response_id"] for x in said.as_py() or ()}
+                with store.open_input_file(f"{path}/{name}") as f:
+                    data = memoryview(f.read())
+                ident = uuid.uuid5(uuid.NAMESPACE_URL, name)
+                out = [record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{ident}>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")]
+                for x in records:
+                    if x["digest"] not in response or response[x["digest"]] == x["page_id"]:
+                        out.append(data[x["at"] : x["at"] + x["size"]])
+                    else:
+                        heads = [("WARC-Type", "revisit"), ("WARC-Record-ID", _ident(x["page_id"])), ("WARC-Date", date)]
+                        out.append(_member(heads, x["url"], x["digest"], [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", _ident(response[x["digest"]]))], b""))
+                put_file(folder, f"{name}.warc.gz", b"".join(out))
+                yield pa.RecordBatch.from_pydict({"n": pa.array([len(records)], pa.int64())})
+
+    n = staged.select("file", "records").join(answers, "file", "left").mapInArrow(copy, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    drop_folder(spark, place)
+    drop_written(staged)
+    return n
 
 
 def read_archives(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:
