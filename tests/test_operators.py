@@ -1,11 +1,17 @@
 """Operators on hand-made rows: ties, nulls, folds, exports, sound files and streams."""
 
+import json
+import random
+import re
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from voxloom.functions import text as ft
+from voxloom.functions import words as fw
 from voxloom.operators import intervals, library, names, sequences, store
-from voxloom.sources import audio, export
+from voxloom.sources import audio, export, files
 from voxloom.streaming import live
 
 SEG = "recording_id long, seq long, start_s double, end_s double, speaker int, text string"
@@ -82,12 +88,119 @@ def test_scalars(spark):
 
 
 def test_replies(spark):
-    from voxloom import plans
-
-    got = {r.reply: (r.category, r.choices) for r in plans.QUERIES["replies_parsed"](spark, "").collect()}
-    assert got['{"category": "Meeting"}'][0] == "meeting"
-    assert got['{"choices": [5, -1, 1, 0]}'][1] == [1, 0, 1]
-    assert got['{"choices": []}'][1] is None and got["junk"] == (None, None)
+    replies = [('{"category": "Meeting"}', 2), ('{"category": "other", "choices": [1]}', 3), ("junk", 2), ('{"choices": [5, -1, 1, 0]}', 3), ('{"choices": []}', 1)]
+    rows = spark.createDataFrame(replies, "reply string, n int")
+    got = [tuple(r) for r in rows.select(ft.parse_category(F.col("reply")), ft.parse_choices(F.col("reply"), F.col("n"))).collect()]
+    assert got == [("meeting", None), (None, [1, 0, 0]), (None, None), (None, [1, 0, 1]), (None, None)]
+    pairs = spark.range(1).select(ft.parse_merges(F.lit('{"merge": [[3, 2], [1, 1], [9, 1]]}'), F.array(*map(F.lit, range(4))))).first()[0]
+    assert pairs == [[3, 2]]
+
+
+def test_runaway_texts(spark):
+    plain = " ".join(f"word{k}" for k in range(60))
+    texts = [plain, plain + " Speaker 1:" * 9, plain + " Speaker 1: a Speaker 2: b Speaker 1: c", "abcdefgh" * 40, "short", plain + " Speaker 1: no Speaker 2: no Speaker 1: no", ""]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "t string").select(ft.is_runaway(F.col("t"))).collect()]
+    assert got == [fw.is_runaway(x) for x in texts] == [False, True, False, True, False, True, False]
+
+
+def test_nearest_marks(spark):
+    """Against looking at every mark; marks that end or start together, and recordings without any."""
+    rnd = random.Random(3)
+    points = [(rnd.randint(1, 4), k, rnd.randint(0, 60) / 2) for k in range(200)]
+    marks = [(rnd.randint(1, 3), n, a, a + rnd.randint(0, 3), f"v{n}") for n in range(40) for a in [float(rnd.randint(0, 30))]]
+    clear = [(r, k, at) for r, k, at in points if not any(m[0] == r and m[2] < at < m[3] for m in marks)]
+    got = intervals.nearest(spark.createDataFrame(clear, "recording_id int, k int, at double"), ["k"], spark.createDataFrame(marks, "recording_id int, seq int, lo double, hi double, value string"), ["seq"])
+    want = {}
+    for r, k, at in clear:
+        near = [(max(lo - at, at - hi, 0), n, v) for q, n, lo, hi, v in marks if q == r]
+        if near:
+            want[r, k] = min(near)[2]
+    assert {(x.recording_id, x.k): x.value for x in got.collect()} == want and len(want) > 50
+
+
+def test_overlaps_meet_once_for_any_bucket(spark):
+    rnd = random.Random(4)
+    span = lambda: (a := rnd.uniform(0, 100), a + rnd.choice((0, 1, 7, 45)))
+    rows = [(rnd.randint(1, 2), k, *span()) for k in range(60)]
+    turns = [(rnd.randint(1, 2), k, *span(), k % 3) for k in range(60)]
+    want = sorted((k, n) for r, k, a, b in rows for q, n, c, d, _ in turns if r == q and d > a and c < b)
+    for size in (1.0, 30.0, 1000.0):
+        got = intervals.meeting(spark.createDataFrame(rows, "recording_id int, seq int, start_s double, end_s double"), spark.createDataFrame(turns, "recording_id int, turn_seq int, turn_start double, turn_end double, turn_speaker int"), size)
+        assert sorted((r.seq, r.turn_seq) for r in got.collect()) == want
+
+
+def test_agreement_counts_repeats(spark):
+    rnd = random.Random(5)
+    texts = [(k, *(" ".join(rnd.choice("ab cd ef G g".split()) for _ in range(rnd.randint(0, 9))) for _ in range(2))) for k in range(80)]
+    rows = spark.createDataFrame(texts, "k int, a string, b string")
+    whole = {r.k: r.dice for r in names.agreement(rows, "k", F.col("a"), F.col("b")).collect()}
+    short = {r.k: r.d for r in rows.select("k", ft.dice(ft.word_tokens(F.lower("a")), ft.word_tokens(F.lower("b"))).alias("d")).collect()}
+    for k, a, b in texts:
+        x, y = Counter(a.lower().split()), Counter(b.lower().split())
+        want = 2 * sum((x & y).values()) / (sum(x.values()) + sum(y.values())) if x and y else 0
+        assert abs(whole[k] - want) < 1e-9 and abs(short[k] - want) < 1e-9
+
+
+def test_harvest_against_a_plain_count(spark):
+    rnd = random.Random(6)
+    vocabulary = "Kaiko Mara Falcon falcon went told We Then Blits Insurance the project NASA meeting Meeting".split()
+    texts = [(k, " ".join(rnd.choice(vocabulary) + rnd.choice(["", "", "", "."]) for _ in range(60))) for k in range(12)]
+    got = [tuple(r) for r in names.harvest(spark.createDataFrame(texts, "recording_id int, text string"), spark.createDataFrame([("mara",)], "term string")).collect()]
+    low = Counter(fw.word_key(w) for _, t in texts for w in re.findall(r"[^\W_]+", t) if w[0].islower())
+    found: dict[str, list] = {}
+    for k, t in texts:
+        for cand, first in fw.name_candidates(t):
+            if fw.is_name(cand) and fw.word_key(cand) != "mara":
+                found.setdefault(fw.word_key(cand), []).append((k, cand, first))
+    want = []
+    for key, hits in found.items():
+        where, n, mid = {k for k, _, _ in hits}, len(hits), sum(not f for _, _, f in hits)
+        counts = Counter(c for _, c, _ in hits)
+        spelling = min(counts, key=lambda c: (-counts[c], c))
+        parts = [fw.word_key(p) for p in spelling.split()]
+        if len(where) >= 2 and mid >= max(1, n // 5) and low[key] < n and not (len(parts) > 1 and min(low[p] for p in parts) > 3):
+            want.append((key, spelling, len(where), n))
+    assert sorted(got) == sorted(want) and len(want) > 3
+
+
+def test_restore_refuses_what_it_cannot_read(spark):
+    live = spark.createDataFrame([(1, 0, 0.0, 1.0, "now", 0), (2, 0, 0.0, 1.0, "now", 0), (3, 0, 0.0, 1.0, "now", 0)], "recording_id long, seq long, start_s double, end_s double, text string, speaker int")
+    none = spark.createDataFrame([], "recording_id long, segments_json string, created_at long, version_id long")
+    old = '[{"start_s":0.0,"end_s":2.0,"text":"then","speaker":1}]'
+    chosen = spark.createDataFrame([(1, old, 1), (2, "{broken", 1), (3, "[]", 0)], "recording_id long, segments_json string, n long")
+    segments, versions = store.restore(live, none, chosen, "engine")
+    assert sorted((r.recording_id, r.text) for r in segments.collect()) == [(1, "then"), (2, "now")]
+    assert sorted((r.recording_id, r.label, r.n) for r in versions.collect()) == [(1, "engine", 1), (3, "engine", 1)]
+
+
+def test_backup_skips_unchanged_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "transcript", "x"), ("b", "audio", "yy"), ("c", "audio", "zz")], "name string, kind string, body string")
+    folder = "file://" + str(tmp_path / "out")
+    assert {tuple(r) for r in files.backup(spark, rows, folder).collect()} == {("written", 1), ("copied", 2)}
+    assert {tuple(r) for r in files.backup(spark, rows.withColumn("body", F.when(F.col("name") == "c", "longer").otherwise(F.col("body"))), folder).collect()} == {("written", 1), ("skipped", 1), ("copied", 1)}
+    assert (tmp_path / "out" / "c").read_text() == "longer"
+
+
+def test_utterances_end_by_silence_length_and_stops():
+    end = lambda events: live.fold_utterances(events, None)[0]
+    assert end([(0, "a"), (1.3, "b"), (2.8, "c")]) == [(0, 1.3, 2, "a b")]
+    assert end([(0, ""), (2.0, "a"), (2.5, ""), (3.5, "b")]) == [(0, 2.0, 1, "a")]  # silence after words is short
+    assert end([(0, ""), (2.4, "a"), (2.5, None)]) == [(2.4, 2.4, 1, "a")]  # without words it is longer, and gives nothing
+    assert end([(k, "x") for k in range(25)])[0][:3] == (0, 19, 20)
+    assert end([(0, "a"), (0.5, None), (0.6, "b"), (0.7, None), (0.8, None)]) == [(0, 0, 1, "a"), (0.6, 0.6, 1, "b")]
+
+
+def test_queue_goes_on_where_it_was(spark, tmp_path):
+    """A second run of a checkpointed queue works off new tasks only; parked ones stay parked."""
+    task = lambda k, wait: (k, float(k), wait)
+    schema, place = "recording_id int, queued_at double, wait_for_charger boolean", str(tmp_path / "in")
+    run = lambda: live.drained(spark.readStream.schema(schema).parquet(place), False, str(tmp_path / "state"), str(tmp_path / "out"))
+    spark.createDataFrame([task(3, False), task(1, False), task(2, True)], schema).coalesce(1).write.mode("append").parquet(place)
+    assert sorted(r.recording_id for r in run()[0].collect()) == [1, 3]
+    spark.createDataFrame([task(0, False)], schema).coalesce(1).write.mode("append").parquet(place)
+    done, parked = run()
+    assert sorted((r.batch, r.recording_id) for r in done.collect()) == [(0, 1), (0, 3), (1, 0)] and [r.recording_id for r in parked.collect()] == [2]
+    assert [(r.batch, r.place, r.recording_id) for r in live.in_order(done).orderBy("batch", "place").collect()] == [(0, 1, 1), (0, 2, 3), (1, 1, 0)]
 
 
 def test_harvest(spark):
@@ -111,7 +224,11 @@ def test_exports(spark):
     assert txt[1] == "# T\nDuration: 1:01\n\n\n[Speaker 0]\na\nb\nc\n\n[Ana]\nd\n"
     assert txt[2] == "# Empty\nLanguage: en\nDuration: 0:00\n\n"
     assert export.to_srt(seg).first().body.startswith("1\n00:00:00,000 --> 00:00:01,000\nSpeaker 0: a\n\n2\n")
-    assert '"language":null' in export.to_json(rec, seg).where("recording_id = 1").first().body
+    body = {r.recording_id: r.body for r in export.to_json(rec, seg).collect()}
+    told = json.loads(body[1])
+    assert list(told) == ["audioPath", "title", "language", "translated", "durationSeconds", "backend", "model", "segments"] and told["language"] is None and told["durationSeconds"] == 61.0
+    assert told["segments"][3] == {"start": 4.0, "end": 5.0, "speaker": "SPEAKER_1", "speakerName": "Ana", "language": None, "text": "d"}
+    assert body[1] == json.dumps(told, indent=4) and body[2] == json.dumps(json.loads(body[2]), indent=4)
     assert export.speakers_sidecar(seg).first().names == '{"SPEAKER_1":"Ana"}'
 
 

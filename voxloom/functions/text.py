@@ -155,9 +155,15 @@ def pick_sane(a: Column, b: Column, seconds: Column) -> Column:
     return F.when(low_a & ~low_b, b).when(low_b & ~low_a, a)
 
 
+def numbered(words: Column) -> Column:
+    """Each word with how often it has stood before, in order of the words: equal multisets become equal sets."""
+    order = F.array_sort(words)
+    return F.transform(order, lambda w, i: F.concat_ws("\u0000", w, (i - F.array_position(order, w)).cast("string")))
+
+
 def dice(a: Column, b: Column) -> Column:
-    """Twice the words in common over all words, counting repeats; 0 if either has none."""
-    common = F.aggregate(F.array_distinct(a), F.lit(0), lambda n, w: n + F.least(F.size(F.filter(a, lambda x: x == w)), F.size(F.filter(b, lambda x: x == w))))
+    """Twice the words in common over all words, counting repeats; 0 if either has none. For short texts; see `names.agreement` for long ones."""
+    common = F.size(F.array_intersect(numbered(a), numbered(b)))
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(2.0 * common / (F.size(a) + F.size(b)))
 
 
@@ -179,7 +185,14 @@ def top_gram_share(text: Column, n: int = 8, tail: int = 200) -> Column:
     """How often the most frequent run of `n` characters stands in the last `tail`; blank ones don't count."""
     end = F.right(text, F.lit(tail))
     grams = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(end) - n + 1, F.lit(1))), lambda k: F.substring(end, k, F.lit(n))), lambda g: (F.length(F.trim(g)) >= 4) & (F.length(g) == n))
-    return F.coalesce(F.array_max(F.transform(F.array_distinct(grams), lambda g: F.size(F.filter(grams, lambda x: x == g)))), F.lit(0))
+    # one pass over the sorted runs, as a lambda that reads the array would work it out again for each of them
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("n"), F.lit(0).alias("best"))
+
+    def count(state: Column, g: Column) -> Column:
+        n = F.when(g == state["last"], state["n"] + 1).otherwise(1)
+        return F.struct(g.alias("last"), n.alias("n"), F.greatest(state["best"], n).alias("best"))
+
+    return F.aggregate(F.array_sort(grams), start, count, lambda state: state["best"])
 
 
 def parse_category(reply: Column) -> Column:
@@ -199,3 +212,21 @@ def parse_merges(reply: Column, ids: Column) -> Column:
     """Pairs of different known ids in a JSON reply; none if malformed."""
     got = F.coalesce(F.from_json(reply, "merge array<array<int>>", {"mode": "PERMISSIVE"})["merge"], F.array().cast("array<array<int>>"))
     return F.filter(got, lambda p: (F.size(p) == 2) & (F.get(p, F.lit(0)) != F.get(p, F.lit(1))) & F.array_contains(ids, F.get(p, F.lit(0))) & F.array_contains(ids, F.get(p, F.lit(1))))
+
+
+#: A marker that opens a speaker's line.
+MARKER = r"(?i)\bSpeaker\s+\d+\s*:"
+
+
+def is_runaway(text: Column, short: int = 80, long: int = 200, markers: int = 3, gram: int = 8) -> Column:
+    """Whether a text ends in a loop: speaker markers with empty or equal bodies, or one run of characters over and over."""
+    end = F.right(text, F.lit(short))
+    bodies = F.transform(F.slice(F.split(end, MARKER), 2, short), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    same = F.filter(bodies, lambda x, i: (x == "") | ((i > 0) & (x == F.get(bodies, i - 1))))
+    marked = (F.length(text) >= short) & (F.size(bodies) >= markers) & (F.size(same) >= F.size(bodies) - 1)
+    return marked | ((F.length(text) >= long) & (top_gram_share(text, gram, long) * gram > long / 2))
+
+
+def is_same_day(at: Column, now: Column) -> Column:
+    """Whether two moments are on one day in the session's time zone."""
+    return F.to_date(at) == F.to_date(now)

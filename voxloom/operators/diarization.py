@@ -71,10 +71,7 @@ def decide(pairs: DataFrame, merged: Column, prior_a: float = 1.0, prior_b: floa
 
 def arbitrated(rows: DataFrame, replies: DataFrame) -> DataFrame:
     """Rows (key, words_a, words_b, text) with the text that an arbiter's choices (key, choices) make; without choices it stays."""
-    @F.udf("string", useArrow=True)
-    def apply(a, b, c):
-        return None if c is None else fw.settle([(w, 1.0) for w in a], [(w, 1.0) for w in b], list(c))
-
+    apply = fw.arrow(lambda a, b, c: fw.settle([(w, 1.0) for w in a], [(w, 1.0) for w in b], list(c)), "string")
     return rows.join(replies, "key", "left").withColumn("text", F.coalesce(apply("words_a", "words_b", "choices"), "text")).drop("choices")
 
 
@@ -95,6 +92,14 @@ def first_available(options: DataFrame, key: str) -> DataFrame:
     return options.where("available").groupBy(key).agg(F.min_by("option", F.struct("priority", "option")).alias("option"))
 
 
+def pick_model(models: DataFrame, key: str, size: str, name: str, languages: list[str]) -> DataFrame:
+    """Of the models of each key (columns pinned and languages: null for a general one) the pinned one, else one for a language of the run, else a general one, else any; the largest of equals, then that of the least name."""
+    wanted = F.arrays_overlap("languages", F.array(*map(F.lit, languages)))
+    rank = F.when(F.col("pinned"), 0).when(wanted, 1).when(F.col("languages").isNull(), 2).otherwise(3)
+    best = F.min_by(F.struct(*models.columns), F.struct(rank, -F.col(size), F.col(name))).alias("m")
+    return models.groupBy(key).agg(best).select("m.*")
+
+
 def promote(vocabulary: DataFrame, learned: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vocabulary (term) with the chosen learned terms (key, spelling) whose key it lacks, and the learned terms left."""
     have = vocabulary.select(ft.key(F.col("term")).alias("key"))

@@ -9,10 +9,15 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def ascii_fold(text: Column) -> Column:
-    """Lower-case A-Z only: how a LIKE of the reference's database compares."""
+    """Lower-case A-Z only, as LIKE and NOCASE of the original store compare."""
     return F.translate(text, _UPPER, _LOWER)
 
 
+def fold(text: str) -> str:
+    """The same for a parameter."""
+    return text.translate(str.maketrans(_UPPER, _LOWER))
+
+
 def search(recordings: DataFrame, segments: DataFrame, tags: DataFrame, folder: str | None = None, tag: str | None = None, text: str | None = None) -> DataFrame:
     """Recordings in `folder`, with `tag`, whose title or a segment holds `text`; unset or blank parameters don't filter.
 
@@ -26,7 +31,7 @@ def search(recordings: DataFrame, segments: DataFrame, tags: DataFrame, folder:
         found = found.join(tags.where(F.col("tag") == tag).select(F.col("recording_id").alias("id")), "id", "left_semi")
     wanted = (text or "").strip()
     if wanted:
-        folded = wanted.translate(str.maketrans(_UPPER, _LOWER))
+        folded = fold(wanted)
         hits = segments.where(F.contains(ascii_fold(F.col("text")), F.lit(folded))).select(F.col("recording_id").alias("id")).distinct().withColumn("_hit", F.lit(True))
         found = found.join(hits, "id", "left").where(F.contains(ascii_fold(F.col("title")), F.lit(folded)) | F.col("_hit")).drop("_hit")
     return found
@@ -84,3 +89,40 @@ def queue_head(tasks: DataFrame, recordings: DataFrame, charging: bool) -> DataF
 def with_defaults(defaults: DataFrame, saved: DataFrame, key: str, value: str) -> DataFrame:
     """Defaults, saved values over them."""
     return defaults.join(saved.select(key, F.col(value).alias("_saved")), key, "left").withColumn(value, F.coalesce("_saved", value)).drop("_saved")
+
+
+def combined(rows: DataFrame, key: str, *others: DataFrame) -> DataFrame:
+    """`rows` with the columns of the others by `key`; numbers that a row lacks are 0."""
+    for other in others:
+        names = [c for c in other.columns if c != key]
+        rows = rows.join(other, key, "left").fillna(0, names)
+    return rows
+
+
+def json_store(text: Column) -> Column:
+    """A map of a stored JSON object; what is missing or cannot be read is an empty map."""
+    return F.coalesce(F.from_json(text, "map<string,string>", {"mode": "PERMISSIVE"}), F.create_map().cast("map<string,string>"))
+
+
+def without_pack(stored: Column, pack: Column) -> Column:
+    """The terms of a stored vocabulary (by lines and commas), each once and in order, that are not in `pack`."""
+    terms = F.filter(F.transform(F.split(stored, "[\n,]"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.array_except(terms, pack)
+
+
+def prompt_transcript(segments: DataFrame, speaker: str) -> DataFrame:
+    """recording_id, prompt: a line `[mm:ss] speaker: text` for each segment in order; minutes go on past an hour."""
+    s = F.floor("start_s")
+    who = F.when(F.trim(F.coalesce(speaker, F.lit(""))) != "", F.concat(speaker, F.lit(": "))).otherwise("")
+    line = F.concat(F.format_string("[%02d:%02d] ", (s / 60).cast("long"), s % 60), who, F.trim("text"))
+    return joined_text(segments.withColumn("_line", line), "recording_id", "seq", "_line").withColumnRenamed("joined", "prompt")
+
+
+#: Fixed value: speakers above which their number is asked for.
+MANY_SPEAKERS = 6
+
+
+def speaker_hint(segments: DataFrame, auto: Column, many: int = MANY_SPEAKERS) -> DataFrame:
+    """recording_id, n, hint: different speakers (null is none), and whether there are too many though `auto` (of the recording) holds."""
+    counts = segments.groupBy("recording_id").agg(F.count_distinct("speaker").alias("n"))
+    return counts.withColumn("hint", (F.col("n") > many) & auto)

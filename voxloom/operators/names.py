@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions import text as ft
 from voxloom.functions import words as fw
+from voxloom.sources.files import written
 
 _CANDIDATES = "array<struct<cand:string,initial:boolean>>"
 
@@ -18,10 +19,21 @@ def candidates(texts: DataFrame) -> DataFrame:
     return rows.select("recording_id", F.posexplode("_c").alias("pos", "c")).select("recording_id", "pos", "c.cand", "c.initial").withColumn("key", ft.key(F.col("cand")))
 
 
-def lowercase_counts(texts: DataFrame) -> DataFrame:
-    """key, low: how often a word stands with a small first letter."""
-    words = texts.select(F.explode(ft.word_tokens(F.col("text"))).alias("w")).where(F.col("w").rlike(r"^\p{Ll}"))
-    return words.groupBy(ft.key(F.col("w")).alias("key")).agg(F.count("*").alias("low"))
+def lowercase_counts(texts: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """key, low: how often a word stands with a small first letter; with `keys` (key) only of those."""
+    words = texts.select(F.explode(ft.word_tokens(F.col("text"))).alias("w")).where(F.col("w").rlike(r"^\p{Ll}")).select(ft.key(F.col("w")).alias("key"))
+    if keys is not None:
+        words = words.join(keys, "key", "left_semi")
+    return words.groupBy("key").agg(F.count("*").alias("low"))
+
+
+def agreement(rows: DataFrame, key: str, a: Column, b: Column) -> DataFrame:
+    """key, dice: twice the words in common over all words of two texts, counting repeats; 0 if either has none. Words are counted as rows, so texts may be long."""
+    words = lambda text, side: rows.select(key, F.explode_outer(ft.word_tokens(F.lower(text))).alias("w"), F.lit(side).alias("side"))
+    counts = words(a, 1).unionAll(words(b, -1)).groupBy(key, "w").agg(F.count_if(F.expr("side = 1")).alias("x"), F.count_if(F.expr("side = -1")).alias("y"))
+    known = F.col("w").isNotNull()
+    total = counts.groupBy(key).agg(F.sum(F.when(known, F.col("x")).otherwise(0)).alias("x"), F.sum(F.when(known, F.col("y")).otherwise(0)).alias("y"), F.sum(F.when(known, F.least("x", "y")).otherwise(0)).alias("c"))
+    return total.select(key, F.when((F.col("x") == 0) | (F.col("y") == 0), 0.0).otherwise(2.0 * F.col("c") / (F.col("x") + F.col("y"))).alias("dice"))
 
 
 def harvest(texts: DataFrame, known: DataFrame, min_recordings: int = 2, limit: int = 200) -> DataFrame:
@@ -29,17 +41,18 @@ def harvest(texts: DataFrame, known: DataFrame, min_recordings: int = 2, limit:
 
     Left out: known keys, terms mostly at the start of sentences, those as often written small, and
     runs of which every word is common. The most frequent spelling stands for a key; of
-    equally frequent ones the smaller.
+    equally frequent ones the smaller. Texts are read twice: for the candidates, which are counted and written once,
+    and for the small words among the keys and parts of those that are left.
     """
     found = candidates(texts).join(known.select(ft.key(F.col("term")).alias("key")).distinct(), "key", "left_anti")
-    terms = found.groupBy("key").agg(F.count_distinct("recording_id").alias("recordings"), F.count("*").alias("occurrences"), F.count_if(~F.col("initial")).alias("mid"))
+    spelled = written(found.groupBy("key", "cand", "recording_id").agg(F.count("*").alias("n"), F.count_if(~F.col("initial")).alias("mid")), "names")
+    terms = spelled.groupBy("key").agg(F.count_distinct("recording_id").alias("recordings"), F.sum("n").alias("occurrences"), F.sum("mid").alias("mid"))
     terms = terms.where((F.col("recordings") >= min_recordings) & (F.col("mid") >= F.greatest(F.lit(1), F.expr("occurrences div 5"))))
-    low = lowercase_counts(texts)
-    terms = terms.join(low, "key", "left").where(F.coalesce("low", F.lit(0)) < F.col("occurrences")).drop("low", "mid")
-    w = Window.partitionBy("key").orderBy(F.desc("n"), "cand")
-    best = found.groupBy("key", "cand").agg(F.count("*").alias("n")).withColumn("_nr", F.row_number().over(w)).where("_nr = 1").select("key", F.col("cand").alias("spelling"))
-    terms = terms.join(best, "key")
+    best = spelled.groupBy("key", "cand").agg(F.sum("n").alias("n")).groupBy("key").agg(F.min(F.struct(-F.col("n"), "cand"))["cand"].alias("spelling"))
+    terms = written(terms.join(best, "key"), "terms")
     parts = terms.select("key", F.explode(F.split("spelling", " ")).alias("p")).select("key", ft.key(F.col("p")).alias("part"))
+    low = written(lowercase_counts(texts, terms.select("key").unionAll(parts.select("part")).distinct()), "low")
+    terms = terms.join(low, "key", "left").where(F.coalesce("low", F.lit(0)) < F.col("occurrences")).drop("low", "mid")
     common = parts.join(low.select(F.col("key").alias("part"), "low"), "part", "left").groupBy("key").agg(F.count("*").alias("n"), F.min(F.coalesce("low", F.lit(0))).alias("least"))
     ordinary = common.where("n > 1 and least > 3").select("key")
     return terms.join(ordinary, "key", "left_anti").select("key", "spelling", "recordings", "occurrences").orderBy(F.desc("recordings"), F.desc("occurrences"), F.desc("spelling")).limit(limit)
@@ -48,12 +61,12 @@ def harvest(texts: DataFrame, known: DataFrame, min_recordings: int = 2, limit:
 def suggest(texts: DataFrame, known: DataFrame, dismissed: DataFrame, limit: int = 6) -> DataFrame:
     """For each recording the names it mentions inside sentences most often, at most `limit`, in order of first mention if equal."""
     gone = known.select(ft.key(F.col("term")).alias("key")).union(dismissed.select("key")).distinct()
-    found = candidates(texts).where("not initial").join(gone, "key", "left_anti")
+    found = written(candidates(texts).where("not initial").join(gone, "key", "left_anti"), "mentions")
     counts = found.groupBy("recording_id", "key").agg(F.count("*").alias("occurrences"), F.min("pos").alias("first"))
     spell = found.groupBy("recording_id", "key", "cand").agg(F.count("*").alias("n"), F.min("pos").alias("p"))
     best = spell.groupBy("recording_id", "key").agg(F.max_by("cand", F.struct(F.col("n"), -F.col("p"))).alias("spelling"))
-    words = texts.select("recording_id", F.explode(ft.word_tokens(F.col("text"))).alias("w")).where(F.col("w").rlike(r"^\p{Ll}"))
-    low = words.groupBy("recording_id", ft.key(F.col("w")).alias("key")).agg(F.count("*").alias("low"))
+    words = texts.select("recording_id", F.explode(ft.word_tokens(F.col("text"))).alias("w")).where(F.col("w").rlike(r"^\p{Ll}")).select("recording_id", ft.key(F.col("w")).alias("key"))
+    low = words.join(counts.select("recording_id", "key"), ["recording_id", "key"], "left_semi").groupBy("recording_id", "key").agg(F.count("*").alias("low"))
     rows = counts.join(low, ["recording_id", "key"], "left").where(F.coalesce("low", F.lit(0)) < F.col("occurrences"))
     nr = F.row_number().over(Window.partitionBy("recording_id").orderBy(F.desc("occurrences"), "first"))
     return rows.withColumn("nr", nr).where(F.col("nr") <= limit).join(best, ["recording_id", "key"]).select("recording_id", "nr", "key", "spelling", "occurrences")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sounds that alone carry no content.
-FILLERS = ["uh", "um", "erm", "mm", "mhm", "hmm", "mmm", "mmhmm", "hm"]
+from voxloom.functions import text as ft
+from voxloom.functions.words import FILLERS
+
 #: Short replies that belong to the turn around them.
 BACKCHANNELS = [
     "yeah", "yep", "yup", "yes", "mhm", "mm", "mmm", "hm", "uh-huh", "uhuh", "okay", "ok", "right", "sure", "totally", "exactly", "got it", "true",
@@ -71,7 +73,7 @@ def split_by_runs(words: DataFrame) -> DataFrame:
     w = Window.partitionBy("recording_id", "seq").orderBy("word_nr")
     new = (F.row_number().over(w) > 1) & ~F.col("assigned").eqNullSafe(F.lag("assigned").over(w))
     rows = words.withColumn("_run", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_nr", "text"))), lambda x: x["text"]), " ")
+    text = ft.join_surfaces(F.transform(F.array_sort(F.collect_list(F.struct("word_nr", "text"))), lambda x: x["text"]))
     parts = rows.groupBy("recording_id", "seq", "_run").agg(F.min("assigned").alias("speaker"), F.min_by("start_s", "word_nr").alias("_a"), F.max_by("end_s", "word_nr").alias("_b"), F.min("seg_start").alias("_s0"), F.max("seg_end").alias("_s1"), text.alias("text"))
     last = F.max("_run").over(Window.partitionBy("recording_id", "seq"))
     return parts.withColumn("_last", last).select("recording_id", "seq", F.col("_run").cast("int").alias("piece"), "speaker", F.when(F.col("_run") == 0, F.col("_s0")).otherwise(F.col("_a")).alias("start_s"), F.when(F.col("_run") == F.col("_last"), F.col("_s1")).otherwise(F.col("_b")).alias("end_s"), "text")
@@ -86,16 +88,24 @@ def drop_fillers(rows: DataFrame, text: str = "text") -> DataFrame:
 def absorb_backchannels(rows: DataFrame, speaker: str = "speaker") -> DataFrame:
     """Column absorbed: a short reply between two rows of one other speaker takes that speaker.
 
-    The row before counts as already changed, so this is a fold over a recording's rows in order.
+    The row before counts as already changed, so this is a pass over a recording's rows in order.
     """
     clean = F.trim(F.regexp_replace(F.lower(F.trim("text")), r"[.!?,;:·]+$", ""))
     reply = ((F.col("end_s") - F.col("start_s")) < BACKCHANNEL_S) & clean.isin(BACKCHANNELS)
     rows = rows.withColumn("_reply", F.coalesce(reply, F.lit(False)))
-    packed = rows.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("start_s", "seq", F.col(speaker).alias("sp"), F.col("_reply").alias("re")))).alias("a"))
-    fold = """aggregate(sequence(0, size(a) - 1), struct(cast(null as int) as prev, cast(array() as array<struct<seq:bigint,sp:int>>) as done), (s, k) ->
-        struct(case when k > 0 and k < size(a) - 1 and a[k].re and s.prev is not null and s.prev = a[k + 1].sp then s.prev else a[k].sp end as prev,
-               concat(s.done, array(struct(a[k].seq as seq, case when k > 0 and k < size(a) - 1 and a[k].re and s.prev is not null and s.prev = a[k + 1].sp then s.prev else a[k].sp end as sp))) as done), s -> s.done)"""
-    done = packed.select("recording_id", F.explode(F.expr(fold)).alias("d")).select("recording_id", F.col("d.seq").alias("seq"), F.col("d.sp").alias("absorbed"))
+
+    def fold(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("start_s", "ascending"), ("seq", "ascending")])
+        said, reply, out, before = group["sp"].to_pylist(), group["_reply"].to_pylist(), [], None
+        for k, now in enumerate(said):
+            if 0 < k < len(said) - 1 and reply[k] and before is not None and before == said[k + 1]:
+                now = before
+            out.append(now)
+            before = now
+        return pa.table({"recording_id": group["recording_id"], "seq": group["seq"], "absorbed": pa.array(out, group.schema.field("sp").type)})
+
+    kind = rows.schema[speaker].dataType.simpleString()
+    done = rows.select("recording_id", "seq", "start_s", F.col(speaker).alias("sp"), "_reply").groupBy("recording_id").applyInArrow(fold, f"recording_id long, seq long, absorbed {kind}")
     return rows.drop("_reply").join(done, ["recording_id", "seq"])
 
 

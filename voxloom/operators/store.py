@@ -42,9 +42,10 @@ def nullify(rows: DataFrame, column: str, value) -> DataFrame:
     return rows.withColumn(column, F.when(F.col(column) == value, None).otherwise(F.col(column)))
 
 
-def replace_set(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """All old rows of the keys in `new` give way to the new ones."""
-    return upsert(old, new, key)
+def replace_set(old: DataFrame, new: DataFrame, key: list[str], keys: DataFrame | None = None) -> DataFrame:
+    """All old rows of `keys` (else of the keys in `new`) give way to the new ones; a key without new rows is left empty."""
+    gone = (new if keys is None else keys).select(*key).distinct()
+    return old.join(gone, key, "left_anti").unionByName(new)
 
 
 def prune_orphans(parents: DataFrame, key: str, links: DataFrame, link_key: str) -> DataFrame:
@@ -78,8 +79,26 @@ def restored(version: DataFrame) -> DataFrame:
     return rows.where("not (size(_s) = 0 and n > 0)").select("recording_id", F.posexplode("_s").alias("seq", "s")).select("recording_id", F.col("seq").cast("long"), "s.*")
 
 
-def backup_outcomes(wanted: DataFrame, present: DataFrame) -> DataFrame:
-    """Files by outcome: skipped if one with the name and size is there, else copied; transcripts are always written."""
+def restore(live: DataFrame, versions: DataFrame, chosen: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """Segments and versions after each recording in `chosen` (recording_id, segments_json, n) went back to that version.
+
+    A version that reads as empty though it had segments is refused: its recording stays as it is. Of the others, what was live
+    becomes a version named `label` first, unless it is empty or equal to the latest version.
+    """
+    back = restored(chosen)
+    empty = chosen.where("n = 0").select("recording_id")
+    done = back.select("recording_id").distinct().unionByName(empty)
+    kept = snapshots(live.join(done, "recording_id", "left_semi"), versions).withColumn("label", F.lit(label))
+    return replace_set(live.select(*back.columns), back, ["recording_id"], done), versions.unionByName(kept, allowMissingColumns=True)
+
+
+def backup_plan(wanted: DataFrame, present: DataFrame) -> DataFrame:
+    """Column outcome: skipped if a file with the name and size is there, else copied; transcripts are always written."""
     here = present.select("name", "bytes").distinct().withColumn("_here", F.lit(True))
     rows = wanted.join(here, ["name", "bytes"], "left")
-    return rows.groupBy(F.when(F.col("kind") == "transcript", "written").when(F.col("_here"), "skipped").otherwise("copied").alias("outcome")).agg(F.count("*").alias("n"))
+    return rows.withColumn("outcome", F.when(F.col("kind") == "transcript", "written").when(F.col("_here"), "skipped").otherwise("copied")).drop("_here")
+
+
+def backup_outcomes(wanted: DataFrame, present: DataFrame) -> DataFrame:
+    """Number of files by outcome."""
+    return backup_plan(wanted, present).groupBy("outcome").agg(F.count("*").alias("n"))

@@ -40,19 +40,20 @@ def samples_by_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ensemble_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = t.table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(300)).alias("text_a"))
-    b = F.when(F.col("doc_id") % 4 == 0, F.col("text_a")).when(F.col("doc_id") % 4 == 1, "").when(F.col("doc_id") % 4 == 2, F.regexp_replace("text_a", r"\bthe\b", "a")).otherwise(F.repeat(F.lit("la la "), F.lit(20)))
+    """Whole turns as heard by two engines; the second one heard the same, nothing, other words, or got stuck."""
+    d = t.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("text_a"))
+    b = F.when(F.col("turn") % 4 == 0, F.col("text_a")).when(F.col("turn") % 4 == 1, "").when(F.col("turn") % 4 == 2, F.regexp_replace("text_a", r"\b(the|de|la|der)\b", "a")).otherwise(F.repeat(F.lit("la la "), F.lit(20)))
     merged = fw.arrow(lambda x, y: fw.vote([(w, 0.8) for w in x.split()], [(w, 0.9) for w in y.split()]), "string")("text_a", "text_b")
     pairs = d.withColumn("text_b", b).withColumn("seconds", F.lit(20.0)).withColumn("_m", merged)
-    return diarization.decide(pairs, F.col("_m")).select("doc_id", "text", "ask", F.round("agreement", 6).alias("agreement"))
+    return diarization.decide(pairs, F.col("_m")).select("conv_id", "turn", "text", "ask", F.round("agreement", 6).alias("agreement"))
 
 
 @query()
 def arbitrated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.split(F.left("text", F.lit(120)), " ").alias("words_a"))
+    d = t.table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), F.split("text", " ").alias("words_a"))
     rows = d.withColumn("words_b", F.transform("words_a", lambda w: F.when(F.length(w) > 6, F.upper(F.reverse(w))).otherwise(w))).withColumn("text", F.array_join("words_a", " "))
-    replies = d.where("key % 2 = 0").select("key", F.array(F.lit(1), F.lit(0), F.lit(1)).alias("choices"))
-    return diarization.arbitrated(rows, replies).select("key", "text")
+    replies = d.where("key.turn % 2 = 0").select("key", F.array(F.lit(1), F.lit(0), F.lit(1)).alias("choices"))
+    return diarization.arbitrated(rows, replies).select("key.conv_id", "key.turn", "text")
 
 
 @query("SELECT doc_id, CASE WHEN lower(lang) = 'ar' THEN 'omnilingual' ELSE 'parakeet' END AS engine, CASE WHEN lang = 'en' THEN 0.5 ELSE 0.7 END::DOUBLE AS threshold FROM documents")
@@ -66,16 +67,20 @@ def engine_pairs_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diarization.ready_pairs(pairs).select("a", "b")
 
 
-@query("SELECT p_brand, arg_min(p_partkey, (p_size, p_partkey)) AS option FROM part WHERE p_retailprice > 1000 GROUP BY p_brand")
+@query("SELECT p_brand, arg_min(p_partkey, (p_size, p_partkey)) AS option FROM part WHERE p_retailprice > 910 GROUP BY p_brand")
 def first_available_option(spark: SparkSession, sf_dir: str) -> DataFrame:
-    options = t.table(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("option"), F.col("p_size").alias("priority"), (F.col("p_retailprice") > 1000).alias("available"))
+    options = t.table(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("option"), F.col("p_size").alias("priority"), (F.col("p_retailprice") > 910).alias("available"))
     return diarization.first_available(options, "p_brand")
 
 
-@query("SELECT p_brand, p_partkey, p_size FROM part WHERE p_type LIKE '%STEEL%' QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) = 1")
+@query("""SELECT p_brand, p_partkey, p_size FROM part WHERE p_type IN ('LARGE', 'SMALL', 'PROMO', 'ECONOMY')
+    QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_partkey % 97 = 5 THEN 0 WHEN p_type = 'LARGE' THEN 1 WHEN p_type IN ('PROMO', 'ECONOMY') THEN 2 ELSE 3 END, p_size DESC, p_partkey) = 1""")
 def largest_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = t.table(spark, sf_dir, "part").where(F.contains("p_type", F.lit("STEEL")))
-    return rows.groupBy("p_brand").agg(F.max_by(F.struct("p_partkey", "p_size"), F.struct("p_size", -F.col("p_partkey"))).alias("m")).select("p_brand", "m.p_partkey", "m.p_size")
+    """The model that a run in Ukrainian or Dutch uses: the pinned one, one made for the language, the largest general one, any."""
+    rows = t.table(spark, sf_dir, "part").where("p_type in ('LARGE', 'SMALL', 'PROMO', 'ECONOMY')")
+    languages = F.expr("case p_type when 'LARGE' then array('uk', 'pl') when 'SMALL' then array('ar') end")
+    models = rows.withColumn("languages", languages).withColumn("pinned", F.col("p_partkey") % 97 == 5)
+    return diarization.pick_model(models, "p_brand", "p_size", "p_partkey", ["uk", "nl"]).select("p_brand", "p_partkey", "p_size")
 
 
 @query("SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents WHERE text IS NOT NULL GROUP BY source")
@@ -96,9 +101,9 @@ def terms_not_dismissed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation.join(nation.where("n_nationkey % 4 = 1").select("key"), "key", "left_anti").select("n_nationkey", "n_name")
 
 
-@query("SELECT conv_id, turn, 'Speak ' || role || ': ' || left(text, 20) || ' {snippet:none} ' || role AS prompt FROM conversations")
+@query("SELECT conv_id, turn, 'Speak ' || role || ': ' || text || ' {snippet:none} ' || role AS prompt FROM conversations")
 def prompts_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = ft.fill_template(F.lit("Speak {language_hint}: {transcript} {snippet:none} {snippet:who}"), {"language_hint": F.col("role"), "transcript": F.left("text", F.lit(20)), "snippet:who": F.col("role")})
+    text = ft.fill_template(F.lit("Speak {language_hint}: {transcript} {snippet:none} {snippet:who}"), {"language_hint": F.col("role"), "transcript": F.col("text"), "snippet:who": F.col("role")})
     return t.table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("prompt"))
 
 

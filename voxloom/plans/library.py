@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxloom.functions import text as ft
 from voxloom.operators import library, store
 from voxloom.plans.registry import query
 from voxloom.sources import tables as t
@@ -14,9 +15,9 @@ _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz
 
 @query(f"""WITH {t.RECORDINGS_SQL}, {t.SEGMENTS_SQL}, {t.TAGS_SQL}
     SELECT id, title, language, folder FROM rec WHERE folder IN ('src0') AND id IN (SELECT recording_id FROM tags WHERE tag = 'good')
-    AND (contains({_FOLD.format('title')}, 'the on') OR id IN (SELECT recording_id FROM seg WHERE contains({_FOLD.format('text')}, 'the on')))""")
+    AND (contains({_FOLD.format('title')}, 'ti') OR id IN (SELECT recording_id FROM seg WHERE contains({_FOLD.format('text')}, 'ti')))""")
 def library_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = library.search(t.recordings(spark, sf_dir), t.segments(spark, sf_dir), t.tags(spark, sf_dir), folder="src0", tag="good", text="  The ON ")
+    found = library.search(t.recordings(spark, sf_dir), t.segments(spark, sf_dir), t.tags(spark, sf_dir), folder="src0", tag="good", text="  TI ")
     return found.select("id", "title", "language", "folder").orderBy(F.desc("id"))
 
 
@@ -101,9 +102,9 @@ def latest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.latest(t.table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE lower(n_name) = 'france' ORDER BY n_nationkey LIMIT 1")
+@query("SELECT n_nationkey, n_name FROM nation WHERE lower(n_name) = 'nation_7' ORDER BY n_nationkey LIMIT 1")
 def folder_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.table(spark, sf_dir, "nation").where(library.ascii_fold(F.col("n_name")) == "france").select("n_nationkey", "n_name").orderBy("n_nationkey").limit(1)
+    return t.table(spark, sf_dir, "nation").where(library.ascii_fold(F.col("n_name")) == library.fold("Nation_7")).select("n_nationkey", "n_name").orderBy("n_nationkey").limit(1)
 
 
 @query(f"""WITH {t.SEGMENTS_SQL}, own AS (SELECT *, CASE WHEN seq % 5 = 0 THEN ' Ana ' WHEN seq % 5 = 1 THEN ' ' END AS own_name FROM seg),
@@ -206,13 +207,14 @@ def tag_set_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove.select(F.lit("remove").alias("act"), "doc_id", "tag").unionByName(add.select(F.lit("add").alias("act"), "doc_id", "tag"))
 
 
-@query(f"WITH {t.SEGMENTS_SQL} SELECT recording_id, count(*) AS n FROM seg WHERE recording_id % 3 <> 0 GROUP BY ALL")
+@query(f"""WITH {t.SEGMENTS_SQL} SELECT recording_id, '[' || string_agg(CAST(to_json({{start_s: start_s, end_s: end_s, text: text, speaker: speaker}}) AS VARCHAR), ',' ORDER BY seq) || ']' AS segments_json, count(*) AS n
+    FROM seg WHERE recording_id % 3 <> 0 GROUP BY recording_id""")
 def version_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = t.segments(spark, sf_dir)
     none = spark.createDataFrame([], "recording_id long, segments_json string, created_at long, version_id long")
     first = store.snapshots(seg.where("recording_id % 3 = 0"), none)
     kept = first.select("recording_id", "segments_json", F.lit(1).cast("long").alias("created_at"), F.lit(1).cast("long").alias("version_id"))
-    return store.snapshots(seg, kept).select("recording_id", "n")
+    return store.snapshots(seg, kept).select("recording_id", "segments_json", "n")
 
 
 @query(f"WITH {t.SEGMENTS_SQL} SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY seq) - 1 AS seq, text, speaker FROM seg WHERE recording_id % 10 <> 0")
@@ -223,6 +225,54 @@ def version_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.restored(broken).select("recording_id", "seq", "text", "speaker")
 
 
+@query(f"""WITH {t.SEGMENTS_SQL}, live AS (SELECT recording_id, seq, upper(text) AS text FROM seg WHERE seq > 0), n AS (SELECT recording_id, count(*) AS n FROM live GROUP BY ALL)
+    SELECT 'segment' AS kind, recording_id, seq, text FROM (SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY seq) - 1 AS seq, text FROM seg) WHERE recording_id % 10 <> 0
+    UNION ALL SELECT 'segment', recording_id, seq, text FROM live WHERE recording_id % 10 = 0
+    UNION ALL SELECT 'version', recording_id, 1, 'engine ' || n FROM n WHERE recording_id % 10 <> 0""")
+def versions_restored_over_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every recording goes back to its first version; an unreadable one is refused, what was live becomes a version."""
+    none = spark.createDataFrame([], "recording_id long, segments_json string, created_at long, version_id long")
+    seg = t.segments(spark, sf_dir)
+    saved = store.snapshots(seg, none).select("recording_id", F.when(F.col("recording_id") % 10 == 0, "{broken").otherwise(F.col("segments_json")).alias("segments_json"), "n")
+    live = seg.where("seq > 0").withColumn("text", F.upper("text")).select("recording_id", "seq", "start_s", "end_s", "text", "speaker")
+    segments, versions = store.restore(live, none, saved, "engine")
+    rows = segments.select(F.lit("segment").alias("kind"), "recording_id", "seq", "text")
+    return rows.unionByName(versions.select(F.lit("version").alias("kind"), "recording_id", F.lit(1).cast("long").alias("seq"), F.concat_ws(" ", "label", "n").alias("text")))
+
+
+@query("""SELECT conv_id, turn, role FROM conversations WHERE conv_id % 4 <> 0 UNION ALL SELECT conv_id, turn, upper(role) FROM conversations WHERE conv_id % 8 = 0""")
+def live_rows_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a live session give way to those of a batch run, also where the run found none."""
+    live = t.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    done = live.where("conv_id % 4 = 0").select("conv_id").distinct()
+    batch = live.where("conv_id % 8 = 0").withColumn("role", F.upper("role"))
+    return store.replace_set(live, batch, ["conv_id"], done)
+
+
+@query(f"""WITH {t.TAGS_SQL}, s AS (SELECT conv_id AS id, count(*) AS n_segments, count(DISTINCT role) AS n_speakers FROM conversations GROUP BY ALL), g AS (SELECT recording_id AS id, count(*) AS n_tags FROM tags GROUP BY ALL)
+    SELECT doc_id AS id, lang AS language, coalesce(n_segments, 0) AS n_segments, coalesce(n_speakers, 0) AS n_speakers, coalesce(n_tags, 0) AS n_tags FROM documents LEFT JOIN s ON s.id = doc_id LEFT JOIN g ON g.id = doc_id""")
+def recording_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest of several sources as one row for each recording."""
+    segments = t.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.count("*").alias("n_segments"), F.count_distinct("role").alias("n_speakers"))
+    tags = t.tags(spark, sf_dir).groupBy(F.col("recording_id").alias("id")).agg(F.count("*").alias("n_tags"))
+    return library.combined(t.recordings(spark, sf_dir).select("id", "language"), "id", segments, tags)
+
+
+@query(r"SELECT p_partkey, replace(replace(replace(p_name || '\' || p_size || '%_', '\', '\\'), '%', '\%'), '_', '\_') AS pattern FROM part")
+def like_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat("p_name", F.lit("\\"), F.col("p_size").cast("string"), F.lit("%_"))
+    return t.table(spark, sf_dir, "part").select("p_partkey", ft.escape_like(raw).alias("pattern"))
+
+
+@query("""WITH d AS (SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'saved ' || n_name WHEN n_nationkey % 3 = 1 THEN n_name END AS saved, n_name FROM nation)
+    SELECT n_nationkey, coalesce(CASE WHEN n_nationkey % 5 <> 0 THEN saved END, n_name) AS preset FROM d""")
+def presets_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Presets kept as JSON objects over the defaults; an object that cannot be read is an empty one."""
+    rows = t.table(spark, sf_dir, "nation")
+    saved = rows.select("n_nationkey", F.expr("case when n_nationkey % 5 = 0 then '{\"preset\": ' when n_nationkey % 3 = 0 then to_json(map('preset', concat('saved ', n_name))) when n_nationkey % 3 = 1 then to_json(map('preset', n_name, 'x', 'y')) end").alias("stored"))
+    return rows.join(saved, "n_nationkey").select("n_nationkey", F.coalesce(F.try_element_at(library.json_store(F.col("stored")), F.lit("preset")), "n_name").alias("preset"))
+
+
 @query("""WITH w AS (SELECT doc_id, n_chars, CASE WHEN doc_id % 2 = 0 THEN 'transcript' ELSE 'audio' END AS kind FROM documents)
     SELECT CASE WHEN kind = 'transcript' THEN 'written' WHEN doc_id % 3 = 0 AND doc_id % 5 <> 0 THEN 'skipped' ELSE 'copied' END AS outcome, count(*) AS n FROM w GROUP BY 1""")
 def backup_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,14 +281,14 @@ def backup_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.backup_outcomes(files, present)
 
 
-@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
+@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC")
 def newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(50)
+    return t.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
 
 
-@query("SELECT p_partkey, lower(p_name) AS name FROM part ORDER BY name, p_partkey LIMIT 40")
+@query("SELECT p_partkey, lower(p_name) AS name FROM part ORDER BY name, p_partkey")
 def names_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("name")).orderBy("name", "p_partkey").limit(40)
+    return t.table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("name")).orderBy("name", "p_partkey")
 
 
 @query("SELECT DISTINCT lang AS language, source AS folder FROM documents")
@@ -246,7 +296,7 @@ def distinct_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.recordings(spark, sf_dir).select("language", "folder").distinct()
 
 
-@query("SELECT conv_id, turn, text FROM conversations WHERE turn < 2 UNION ALL SELECT conv_id, -1, 'flushed' FROM conversations WHERE turn = 0")
+@query("SELECT conv_id, turn, text FROM conversations UNION ALL SELECT conv_id, -1, 'flushed' FROM conversations WHERE turn = 0")
 def lines_with_flushed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return rows.where("turn < 2").unionByName(rows.where("turn = 0").select("conv_id", F.lit(-1).cast("long").alias("turn"), F.lit("flushed").alias("text")))
+    return rows.unionByName(rows.where("turn = 0").select("conv_id", F.lit(-1).cast("long").alias("turn"), F.lit("flushed").alias("text")))

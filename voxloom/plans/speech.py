@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.operators import intervals, sequences
+from voxloom.operators import intervals, library, sequences
 from voxloom.plans.registry import query
 from voxloom.sources import tables as t
 
@@ -19,13 +19,13 @@ def segment_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.speaker_by_overlap(t.segments(spark, sf_dir), t.turns(spark, sf_dir), ["seq"]).select("recording_id", "seq", "assigned")
 
 
-#: Words of the first eight turns of each recording, evenly spread over their segments.
-_WORDS_SQL = """w0 AS (SELECT recording_id, seq, start_s AS s0, end_s AS s1, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '') AS ws FROM seg WHERE seq < 8),
+#: Words, evenly spread over their segments.
+_WORDS_SQL = """w0 AS (SELECT recording_id, seq, start_s AS s0, end_s AS s1, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '') AS ws FROM seg),
 words AS (SELECT recording_id, seq, CAST(i AS INTEGER) AS word_nr, s0 AS seg_start, s1 AS seg_end, s0 + (s1 - s0) * i / len(ws) AS start_s, s0 + (s1 - s0) * (i + 1) / len(ws) AS end_s, ws[i + 1] AS text FROM (SELECT *, unnest(range(len(ws))) AS i FROM w0))"""
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seg = t.segments(spark, sf_dir).where("seq < 8")
+    seg = t.segments(spark, sf_dir)
     rows = seg.withColumn("ws", F.filter(F.split(F.translate("text", "\n", " "), " "), lambda x: x != "")).withColumn("n", F.size("ws"))
     rows = rows.select("recording_id", "seq", F.col("start_s").alias("s0"), F.col("end_s").alias("s1"), "n", F.posexplode("ws").alias("i", "text"))
     return rows.selectExpr("recording_id", "seq", "i as word_nr", "s0 as seg_start", "s1 as seg_end", "s0 + (s1 - s0) * i / n as start_s", "s0 + (s1 - s0) * (i + 1) / n as end_s", "text")
@@ -47,7 +47,7 @@ def word_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_NEAR}, flagged AS (SELECT *, CASE WHEN word_nr > 0 AND assigned IS DISTINCT FROM lag(assigned) OVER w THEN 1 ELSE 0 END AS new FROM assigned WINDOW w AS (PARTITION BY recording_id, seq ORDER BY word_nr)),
     r AS (SELECT *, sum(new) OVER (PARTITION BY recording_id, seq ORDER BY word_nr ROWS UNBOUNDED PRECEDING) AS piece FROM flagged),
-    p AS (SELECT recording_id, seq, piece, min(assigned) AS speaker, arg_min(start_s, word_nr) AS a, arg_max(end_s, word_nr) AS b, min(seg_start) AS s0, max(seg_end) AS s1, string_agg(text, ' ' ORDER BY word_nr) AS text FROM r GROUP BY ALL)
+    p AS (SELECT recording_id, seq, piece, min(assigned) AS speaker, arg_min(start_s, word_nr) AS a, arg_max(end_s, word_nr) AS b, min(seg_start) AS s0, max(seg_end) AS s1, regexp_replace(string_agg(text, ' ' ORDER BY word_nr), '(\\p{{L}}) ([''’ʼ‘]\\S)', '\\1\\2', 'g') AS text FROM r GROUP BY ALL)
     SELECT recording_id, seq, CAST(piece AS INTEGER) AS piece, speaker, round(CASE WHEN piece = 0 THEN s0 ELSE a END, 6) AS start_s, round(CASE WHEN piece = max(piece) OVER (PARTITION BY recording_id, seq) THEN s1 ELSE b END, 6) AS end_s, text FROM p""")
 def segments_split_by_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = intervals.speaker_by_overlap_or_nearest(_words(spark, sf_dir), t.turns(spark, sf_dir), ["seq", "word_nr"])
@@ -123,9 +123,11 @@ def talk_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.segments(spark, sf_dir).groupBy("recording_id", "speaker").agg(F.round(F.sum(F.col("end_s") - F.col("start_s")), 6).alias("talk_s"), F.round(F.avg(1.0 / (1 + F.col("seq"))), 6).alias("confidence"))
 
 
-@query(f"WITH {t.SEGMENTS_SQL}, {_FOUR_SQL} SELECT recording_id, count(DISTINCT speaker) AS n, count(DISTINCT speaker) > 3 AS hint FROM four GROUP BY ALL")
+@query("SELECT recording_id, n, n > 6 AND recording_id % 2 = 0 AS hint FROM (SELECT conv_id AS recording_id, count(DISTINCT CASE WHEN turn <> 3 THEN turn % 8 END) AS n FROM conversations GROUP BY ALL)")
 def speaker_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _four(spark, sf_dir).groupBy("recording_id").agg(F.count_distinct("speaker").alias("n")).withColumn("hint", F.col("n") > 3)
+    """Different speakers, and whether to ask for their number: many were found, and it was left to the engine."""
+    rows = t.segments(spark, sf_dir).withColumn("speaker", F.expr("case when seq <> 3 then seq % 8 end"))
+    return library.speaker_hint(rows, F.col("recording_id") % 2 == 0)
 
 
 _RUNS_SQL = """rs AS (SELECT *, sum(new) OVER (PARTITION BY recording_id ORDER BY start_s, seq ROWS UNBOUNDED PRECEDING) AS run FROM
@@ -172,7 +174,10 @@ def fillers_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.drop_fillers(rows, "said").select("recording_id", "seq")
 
 
-@query()
+@query(f"""WITH RECURSIVE {t.SEGMENTS_SQL}, x AS (SELECT recording_id, seq, CAST(seq % 2 AS INTEGER) AS sp, seq % 2 = 1 AS reply, row_number() OVER w AS k, lead(CAST(seq % 2 AS INTEGER)) OVER w AS next FROM seg WINDOW w AS (PARTITION BY recording_id ORDER BY start_s, seq)),
+    f AS (SELECT recording_id, seq, k, sp, sp AS absorbed FROM x WHERE k = 1
+        UNION ALL SELECT x.recording_id, x.seq, x.k, x.sp, CASE WHEN x.reply AND x.next IS NOT NULL AND f.absorbed = x.next THEN f.absorbed ELSE x.sp END FROM f JOIN x ON x.recording_id = f.recording_id AND x.k = f.k + 1)
+    SELECT recording_id, seq, sp AS speaker, absorbed FROM f""")
 def backchannels_absorbed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t.segments(spark, sf_dir).withColumn("speaker", F.expr("cast(seq % 2 as int)")).withColumn("text", F.expr("case when seq % 2 = 1 then 'Yeah.' else text end")).withColumn("end_s", F.expr("case when seq % 2 = 1 then start_s + 1 else end_s end"))
     return sequences.absorb_backchannels(rows).select("recording_id", "seq", "speaker", "absorbed")
@@ -204,11 +209,15 @@ def silences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.silence_runs(_frames(spark, sf_dir), least_s=0.05).selectExpr("recording_id", "round(start_s, 6) as start_s", "round(end_s, 6) as end_s")
 
 
-@query()
+@query(f"""WITH RECURSIVE {t.SEGMENTS_SQL}, r AS (SELECT recording_id, max(end_s) AS d, list((end_s - 0.2 + (end_s + 0.2)) / 2) AS mids FROM (SELECT recording_id, CAST(end_s AS DOUBLE) AS end_s FROM seg) GROUP BY ALL),
+    c AS (SELECT recording_id, CAST(-1 AS INTEGER) AS nr, CAST(0 AS DOUBLE) AS cut_s, false AS at_silence FROM r
+        UNION ALL SELECT recording_id, nr + 1, coalesce(m, cut_s + 28), m IS NOT NULL
+        FROM (SELECT c.*, r.d, list_max(list_filter(mids, lambda m: m >= cut_s + 28 - 2 AND m <= cut_s + 28 AND m > cut_s + 1)) AS m FROM c JOIN r USING (recording_id)) WHERE d - cut_s > 30)
+    SELECT recording_id, nr, round(cut_s, 6) AS cut_s, at_silence FROM c WHERE nr >= 0""")
 def audio_cut_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = t.segments(spark, sf_dir)
     quiet = seg.selectExpr("recording_id", "end_s - 0.2 as start_s", "end_s + 0.2 as end_s")
-    return sequences.cut_points(quiet, seg.groupBy("recording_id").agg(F.max("end_s").alias("duration_s")))
+    return sequences.cut_points(quiet, seg.groupBy("recording_id").agg(F.max("end_s").alias("duration_s"))).withColumn("cut_s", F.round("cut_s", 6))
 
 
 @query(f"WITH {_FRAMES_SQL} SELECT recording_id, frame // 10 AS win, round(sqrt(avg(rms * rms)), 9) AS level FROM frames GROUP BY ALL HAVING sqrt(avg(rms * rms)) >= 0.002")
@@ -231,11 +240,11 @@ def waveform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.selectExpr("recording_id", "bucket", "round(case when hi > lo then aggregate(slice(p, lo + 1, hi - lo), 0D, (a, x) -> a + x) / (hi - lo) when lo < size(p) then p[lo] else 0D end, 9) as level")
 
 
-@query("""WITH w AS (SELECT user_id, ts, event_type FROM events WHERE user_id < 40), x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS nr FROM w),
+@query("""WITH w AS (SELECT user_id, ts, event_id, event_type FROM events), x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nr FROM w),
     y AS (SELECT *, sum(CASE WHEN nr = 1 OR event_type < 'm' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY nr ROWS UNBOUNDED PRECEDING) AS g FROM x)
     SELECT user_id AS recording_id, CAST(g AS INTEGER) AS word_nr, string_agg(event_type, '' ORDER BY nr) AS text FROM y GROUP BY user_id, g""")
 def words_of_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = t.table(spark, sf_dir, "events").where("user_id < 40").selectExpr("user_id as recording_id", "row_number() over (partition by user_id order by ts) as nr", "concat(case when event_type < 'm' then '▁' else '' end, event_type) as token", "1.0D as at_s", "cast(null as double) as len_s")
+    tokens = t.table(spark, sf_dir, "events").selectExpr("user_id as recording_id", "row_number() over (partition by user_id order by ts, event_id) as nr", "concat(case when event_type < 'm' then '▁' else '' end, event_type) as token", "1.0D as at_s", "cast(null as double) as len_s")
     return sequences.subword_words(tokens).select("recording_id", "word_nr", "text")
 
 

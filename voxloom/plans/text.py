@@ -17,10 +17,10 @@ from voxloom.streaming import live
 _KEY = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{Nd}}]', '', 'g')"
 
 
-@query(f"SELECT doc_id, {_KEY.format('left(text, 60)')} AS key, len(list_filter(string_split_regex(text, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS n_words, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n_tokens FROM documents")
+@query(f"SELECT doc_id, {_KEY.format('text')} AS key, len(list_filter(string_split_regex(text, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS n_words, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n_tokens FROM documents")
 def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = t.table(spark, sf_dir, "documents")
-    return d.select("doc_id", ft.key(F.left("text", F.lit(60))).alias("key"), F.size(ft.word_tokens(F.col("text"))).cast("long").alias("n_words"), F.size(ft.whitespace_tokens(F.col("text"))).cast("long").alias("n_tokens"))
+    return d.select("doc_id", ft.key(F.col("text")).alias("key"), F.size(ft.word_tokens(F.col("text"))).cast("long").alias("n_words"), F.size(ft.whitespace_tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
 @query("SELECT conv_id, turn, role || ':' || regexp_replace(trim(text), '\\s{2,}', ' ', 'g') AS line, left(text, 5) AS head, right(text, 5) AS tail FROM conversations")
@@ -37,10 +37,12 @@ def time_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", ft.duration(F.col("x")).alias("duration"), ft.srt_time(F.col("x")).alias("srt"))
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%H:%M') AS clock, upper(strftime(o_orderdate, '%-d %b')) AS day FROM orders")
+@query("SELECT o_orderkey, strftime(o_orderdate, '%H:%M') AS clock, upper(strftime(o_orderdate, '%-d %b')) AS day, CAST(o_orderdate AS DATE) = (SELECT CAST(max(o_orderdate) AS DATE) FROM orders) AS is_today FROM orders")
 def clock_and_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = F.timestamp_millis(F.unix_millis(F.col("o_orderdate").cast("timestamp")))
-    return t.table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(ts, "HH:mm").alias("clock"), F.upper(F.date_format(ts, "d MMM")).alias("day"))
+    orders = t.table(spark, sf_dir, "orders")
+    now = orders.agg(F.max("o_orderdate").cast("timestamp").alias("now")).first().now
+    return orders.select("o_orderkey", F.date_format(ts, "HH:mm").alias("clock"), F.upper(F.date_format(ts, "d MMM")).alias("day"), ft.is_same_day(ts, F.lit(now)).alias("is_today"))
 
 
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round(1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id""")
@@ -50,55 +52,78 @@ def cosine_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("ea")).join(b, "a").select("a", "b", F.round(ft.cosine_distance(F.col("ea"), F.col("eb")), 6).alias("distance"))
 
 
-_PAIR = "p AS (SELECT a.doc_id, list_filter(string_split_regex(lower(left(a.text, 400)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS wa, list_filter(string_split_regex(lower(left(b.text, 400)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS wb FROM documents a JOIN documents b ON a.doc_id + 1 = b.doc_id)"
+_PAIR = "p AS (SELECT a.doc_id, list_filter(string_split_regex(lower(a.text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS wa, list_filter(string_split_regex(lower(b.text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS wb FROM documents a JOIN documents b ON a.doc_id + 1 = b.doc_id)"
 
 
 @query(f"""WITH {_PAIR}, ca AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(wa) AS w FROM p) GROUP BY ALL), cb AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(wb) AS w FROM p) GROUP BY ALL),
     c AS (SELECT ca.doc_id, sum(least(ca.n, cb.n)) AS c FROM ca JOIN cb USING (doc_id, w) GROUP BY ALL)
     SELECT p.doc_id, round(CASE WHEN len(wa) = 0 OR len(wb) = 0 THEN 0 ELSE 2.0 * coalesce(c, 0) / (len(wa) + len(wb)) END, 6) AS dice FROM p LEFT JOIN c USING (doc_id)""")
 def reading_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _readings(spark, sf_dir)
-    return rows.select("doc_id", F.round(ft.dice(ft.word_tokens(F.lower("a")), ft.word_tokens(F.lower("b"))), 6).alias("dice"))
+    d = t.table(spark, sf_dir, "documents")
+    pairs = d.select("doc_id", F.col("text").alias("a")).join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("b")), "doc_id")
+    return names.agreement(pairs, "doc_id", F.col("a"), F.col("b")).withColumn("dice", F.round("dice", 6))
 
 
-def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two texts of a chunk: the beginning of a document, and of the next one."""
-    d = t.table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.left("text", F.lit(400)).alias("a")).join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.left("text", F.lit(400)).alias("b")), "doc_id")
+#: Text that a failed chunk ends with, by document.
+_FAILED = ["go to the go to the go to the go to the end", "I cannot transcribe this.", ""]
+_SUFFIX = "CASE doc_id % 5 WHEN 0 THEN ' " + _FAILED[0] + "' WHEN 1 THEN ' " + _FAILED[1] + "' ELSE '' END"
 
 
-@query()
+@query(f"""WITH x AS (SELECT doc_id AS id, regexp_replace(regexp_replace(text || {_SUFFIX}, '^\\s+', ''), '\\s+$', '') AS body FROM documents UNION ALL SELECT -1 - conv_id * 100 - turn, role FROM conversations),
+    l AS (SELECT *, length(body) AS n, string_split(regexp_replace(body, '\\s+', ' ', 'g'), ' ') AS ws FROM x),
+    w AS (SELECT id, k, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM l, (SELECT unnest(range(2, 6)) AS k)),
+    e AS (SELECT id, k, i, coalesce(w = lead(w, k) OVER (PARTITION BY id, k ORDER BY i), false) AS same FROM w),
+    g AS (SELECT id, k, same, sum(CAST(NOT same AS INTEGER)) OVER (PARTITION BY id, k ORDER BY i ROWS UNBOUNDED PRECEDING) AS island FROM e),
+    loops AS (SELECT DISTINCT id FROM (SELECT id, k, island FROM g WHERE same GROUP BY ALL HAVING count(*) >= 3 * k))
+    SELECT id, round(least(CASE WHEN n < 12 THEN 0.6 WHEN n < 60 THEN 0.3 ELSE 0.0 END + CASE WHEN id IN (SELECT id FROM loops) THEN 0.7 ELSE 0.0 END
+        + CASE WHEN regexp_matches(lower(body), '{"|".join(x.replace("'", "''") for x in ft.REFUSALS)}') THEN 0.8 ELSE 0.0 END + CASE WHEN n > 30 AND regexp_matches(body, '\\p{{L}}$') THEN 0.15 ELSE 0.0 END, 1.0)::DOUBLE, 6) AS score FROM l""")
 def chunk_suspicion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = t.table(spark, sf_dir, "documents").where("doc_id % 3 <> 0")
-    return d.select("doc_id", F.round(ft.suspicion(F.expr("left(text, 1 + cast(doc_id % 90 as int))"), F.lit(20.0)), 6).alias("score"))
+    """Whole documents, some with the end of a failed chunk, and texts that are far too short for their sound."""
+    end = F.when(F.col("doc_id") % 5 == 0, " " + _FAILED[0]).when(F.col("doc_id") % 5 == 1, " " + _FAILED[1]).otherwise("")
+    long = t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat("text", end).alias("text"))
+    short = t.table(spark, sf_dir, "conversations").select((-1 - F.col("conv_id") * 100 - F.col("turn")).alias("id"), F.col("role").alias("text"))
+    return long.unionByName(short).select("id", F.round(ft.suspicion(F.col("text"), F.lit(20.0)), 6).alias("score"))
+
+
+def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two readings of each turn, whole: as it is, and with words changed, left out and put in."""
+    heard = F.transform(F.split("text", " "), lambda w, i: F.when(i % 7 == 3, F.lit(None)).when(i % 5 == 2, F.reverse(w)).when(i % 11 == 4, F.concat(w, F.lit(" uh"))).otherwise(w))
+    return t.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("a"), F.array_join(heard, " ").alias("b"))
 
 
 @query()
 def readings_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     def merge(a: str, b: str) -> str:
-        x, y = ([(w, 0.5 + (k * 7 % 5) / 10) for k, w in enumerate(s.split())] for s in (a, b))
-        return fw.vote(x, y)
+        # every third word of the second reading has no confidence of its own
+        x, y = ([(w, None if side and k % 3 == 0 else 0.5 + (k * 7 % 5) / 10) for k, w in enumerate(s.split())] for side, s in enumerate((a, b)))
+        return fw.vote(fw.scored(x, y), fw.scored(y, x))
 
-    return _readings(spark, sf_dir).select("doc_id", fw.arrow(merge, "string")("a", "b").alias("merged"))
+    return _readings(spark, sf_dir).select("conv_id", "turn", fw.arrow(merge, "string")("a", "b").alias("merged"))
 
 
 @query()
 def reading_disputes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first disputes of each turn, as many as an arbiter is asked about."""
+
     def find(a: str, b: str) -> list[dict]:
         x, y = ([(w, 1.0) for w in s.split()] for s in (a, b))
-        return [{"place": k, "a": p, "b": q} for k, p, q in fw.disputes(x, y)[:8]]
+        return [{"place": k, "a": p, "b": q} for k, p, q in fw.disputes(x, y)[: fw.MOST_DISPUTES]]
 
     rows = _readings(spark, sf_dir).withColumn("d", fw.arrow(find, "array<struct<place:int,a:string,b:string>>")("a", "b"))
-    return rows.select("doc_id", F.explode("d").alias("d")).select("doc_id", "d.place", "d.a", "d.b")
+    return rows.select("conv_id", "turn", F.explode("d").alias("d")).select("conv_id", "turn", "d.place", "d.a", "d.b")
 
 
 @query()
 def version_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents against a version in which words are changed, left out and moved to the end."""
+
     def count(a: str, b: str) -> list[int]:
         kinds = [k for _, k in fw.word_diff(a, b)]
         return [kinds.count(k) for k in (fw.ADDED, fw.REMOVED, fw.SAME)]
 
-    rows = _readings(spark, sf_dir).withColumn("d", fw.arrow(count, "array<int>")("a", "b"))
+    words = F.split("text", r"\s+")
+    new = F.concat(F.transform(F.filter(words, lambda w, i: (i % 53 != 7) & (i >= 5)), lambda w, i: F.when(i % 31 == 30, F.reverse(w)).otherwise(w)), F.slice(words, 1, 5))
+    rows = t.table(spark, sf_dir, "documents").select("doc_id", "text", F.array_join(new, " ").alias("new")).withColumn("d", fw.arrow(count, "array<int>")("text", "new"))
     return rows.select("doc_id", *[F.col("d")[k].alias(n) for k, n in enumerate(("added", "removed", "same"))])
 
 
@@ -109,8 +134,8 @@ def texts_destuttered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def runaway_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = t.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.left("text", F.lit(300)), F.when(F.col("doc_id") % 5 == 0, F.repeat(F.lit(" Speaker 1:"), F.lit(9))).otherwise("")).alias("text"))
-    return d.select("doc_id", fw.arrow(fw.is_runaway, "boolean")("text").alias("runaway"), fw.arrow(fw.trim_runaway, "string")("text").alias("trimmed"))
+    d = t.table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.when(F.col("doc_id") % 5 == 0, F.repeat(F.lit(" Speaker 1:"), F.lit(9))).otherwise("")).alias("text"))
+    return d.select("doc_id", ft.is_runaway(F.col("text")).alias("runaway"), fw.arrow(fw.trim_runaway, "string")("text").alias("trimmed"))
 
 
 @query()
@@ -131,7 +156,10 @@ def lowercase_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.lowercase_counts(t.recordings(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {t.SEGMENTS_SQL}, two AS (SELECT recording_id, min(speaker) AS a, max(speaker) AS b FROM seg GROUP BY recording_id HAVING count(DISTINCT speaker) = 2),
+    own AS (SELECT DISTINCT recording_id, speaker FROM seg WHERE seq = 0), met AS (SELECT DISTINCT s.recording_id, CASE WHEN s.speaker = a THEN b ELSE a END AS speaker FROM seg s JOIN two USING (recording_id) WHERE s.seq = 2)
+    SELECT seg.recording_id, seg.seq, CASE WHEN own.speaker IS NOT NULL THEN 'Ahmed' WHEN met.speaker IS NOT NULL THEN 'Lana' END AS inferred FROM seg
+    LEFT JOIN own ON own.recording_id = seg.recording_id AND own.speaker = seg.speaker LEFT JOIN met ON met.recording_id = seg.recording_id AND met.speaker = seg.speaker""")
 def inferred_speaker_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = t.segments(spark, sf_dir).withColumn("text", F.expr("case when seq = 0 then concat('Hi, I''m Ahmed. ', text) when seq = 2 then concat('hello Lana, ', text) else text end"))
     return names.speaker_names(seg.withColumn("speaker_name", F.lit(None).cast("string"))).select("recording_id", "seq", "inferred")
@@ -158,24 +186,30 @@ def speaker_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("recording_id").applyInPandas(label, "recording_id long, vec_id long, cluster int")
 
 
-@query()
+@query("""SELECT DISTINCT conv_id, CAST(id AS INTEGER) AS id, CAST(CASE WHEN id < 2 OR conv_id % 5 = 4 THEN id ELSE conv_id % 2 END AS INTEGER) AS "to" FROM conversations, (SELECT unnest(range(4)) AS id)""")
 def speakers_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reply = spark.createDataFrame([('{"merge": [[3, 2], [2, 1], [1, 1], [9, 1]]}',), ("not json",)], "reply string")
-    pairs = reply.select("reply", ft.parse_merges(F.col("reply"), F.array(*map(F.lit, [0, 1, 2, 3]))).alias("pairs"))
+    """Speakers joined as a reply says; pairs with unknown speakers and replies that cannot be read change nothing."""
+    reply = F.when(F.col("conv_id") % 5 == 4, "not json").otherwise(F.format_string('{"merge": [[3, 2], [2, %d], [1, 1], [9, 1]]}', F.col("conv_id") % 2))
+    rows = t.table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    pairs = rows.select("conv_id", ft.parse_merges(reply, F.array(*map(F.lit, [0, 1, 2, 3]))).alias("pairs"))
     merged = fw.arrow(lambda p: [{"id": a, "to": b} for a, b in sorted(fw.merged_ids([0, 1, 2, 3], [tuple(x) for x in p]).items())], "array<struct<id:int,to:int>>")
-    return pairs.select("reply", F.explode(merged("pairs")).alias("m")).select("reply", "m.id", "m.to")
+    return pairs.select("conv_id", F.explode(merged("pairs")).alias("m")).select("conv_id", "m.id", "m.to")
 
 
-@query()
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'meeting' WHEN 4 THEN 'idea' END AS category,
+    CASE WHEN event_id % 5 = 1 THEN array_to_string(list_resize([CAST(least(greatest(user_id % 3 - 1, 0), 1) AS INTEGER), 1], event_id % 4, 0), ',') WHEN event_id % 5 = 4 THEN array_to_string(list_resize([1, 0], event_id % 4, 0), ',')
+        WHEN event_id % 5 = 3 AND event_id % 4 = 0 THEN '' END AS choices FROM events""")
 def replies_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([('{"category": "Meeting"}', 2), ('{"category": "other", "choices": [1]}', 3), ("junk", 2), ('{"choices": [5, -1, 1, 0]}', 3), ('{"choices": []}', 1)], "reply string, n int")
-    return rows.select("reply", ft.parse_category(F.col("reply")).alias("category"), ft.parse_choices(F.col("reply"), F.col("n")).alias("choices"))
+    replies = F.expr("""case event_id % 5 when 0 then '{"category": "Meeting"}' when 1 then concat('{"choices": [', user_id % 3 - 1, ', 1]}') when 2 then 'junk'
+        when 3 then '{"category": "other", "choices": []}' else '{"choices": [5, 0], "category": "idea"}' end""")
+    rows = t.table(spark, sf_dir, "events").select("event_id", replies.alias("reply"), (F.col("event_id") % 4).cast("int").alias("n"))
+    return rows.select("event_id", ft.parse_category(F.col("reply")).alias("category"), F.array_join(ft.parse_choices(F.col("reply"), F.col("n")).cast("array<string>"), ",").alias("choices"))
 
 
 @query()
 def replies_scrubbed(spark: SparkSession, sf_dir: str) -> DataFrame:
     lead = F.expr("case doc_id % 4 when 0 then 'Sure, here is the text: ' when 1 then '=== CONTEXT (DO NOT REPEAT) === x === END CONTEXT === ' when 2 then 'The previous chunk ended with: foo bar. ' else '' end")
-    d = t.table(spark, sf_dir, "documents").select("doc_id", F.concat(lead, F.left("text", F.lit(200))).alias("text"))
+    d = t.table(spark, sf_dir, "documents").select("doc_id", F.concat(lead, "text").alias("text"))
     return d.select("doc_id", ft.scrub_vocabulary_echo(fw.arrow(fw.trim_runaway, "string")(ft.strip_leaks(ft.strip_preamble(F.col("text")))), ["Yuri", "Len", "ABCI"]).alias("text"))
 
 
@@ -187,22 +221,48 @@ def _heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.segments(spark, sf_dir).groupBy("recording_id").agg(F.max("end_s").alias("duration_s")).selectExpr("recording_id", "concat('Talk ', recording_id) as title", "case when recording_id % 2 = 0 then 'en' end as language", "duration_s")
 
 
-@query()
+#: Twins of the two functions above: named speakers and heads of recordings.
+_SPOKEN = f"""WITH {t.SEGMENTS_SQL}, spk AS (SELECT *, coalesce(nm, replace(sp, 'SPEAKER_', 'Speaker ')) AS shown FROM (SELECT *, CASE WHEN seq % 5 = 3 THEN NULL ELSE 'SPEAKER_' || speaker END AS sp, CASE WHEN seq % 7 = 0 THEN 'Ana' END AS nm FROM seg)),
+    heads AS (SELECT recording_id, max(end_s) AS d, CASE WHEN recording_id % 2 = 0 THEN 'en' END AS language FROM seg GROUP BY recording_id)"""
+_LONG = "CASE WHEN CAST(floor(d) AS BIGINT) >= 3600 THEN CAST(floor(d) AS BIGINT) // 3600 || ':' || lpad(CAST(CAST(floor(d) AS BIGINT) % 3600 // 60 AS VARCHAR), 2, '0') ELSE CAST(CAST(floor(d) AS BIGINT) // 60 AS VARCHAR) END || ':' || lpad(CAST(CAST(floor(d) AS BIGINT) % 60 AS VARCHAR), 2, '0')"
+
+
+def _stamp(x: str) -> str:
+    ms = f"CAST(floor({x} * 1000) AS BIGINT)"
+    two = lambda v: f"lpad(CAST({v} AS VARCHAR), 2, '0')"
+    return f"{two(f'{ms} // 3600000')} || ':' || {two(f'{ms} // 60000 % 60')} || ':' || {two(f'{ms} // 1000 % 60')} || ',' || lpad(CAST({ms} % 1000 AS VARCHAR), 3, '0')"
+
+
+@query(f"""{_SPOKEN}, p AS (SELECT *, last(shown IGNORE NULLS) OVER (PARTITION BY recording_id ORDER BY start_s, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM spk),
+    b AS (SELECT recording_id, string_agg(CASE WHEN shown IS NOT NULL AND (before IS NULL OR before <> shown) THEN chr(10) || '[' || shown || ']' || chr(10) ELSE '' END || trim(text, ' ') || chr(10), '' ORDER BY start_s, seq) AS body FROM p GROUP BY recording_id)
+    SELECT recording_id, '# Talk ' || recording_id || chr(10) || coalesce('Language: ' || language || chr(10), '') || 'Duration: ' || {_LONG} || chr(10) || chr(10) || body AS body FROM heads JOIN b USING (recording_id)""")
 def export_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.to_txt(_heads(spark, sf_dir), _speaking(spark, sf_dir))
 
 
-@query()
+@query(f"""{_SPOKEN}, n AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY start_s, seq) AS nr FROM spk)
+    SELECT recording_id, string_agg(nr || chr(10) || {_stamp('start_s')} || ' --> ' || {_stamp('end_s')} || chr(10) || coalesce(shown || ': ', '') || trim(text, ' ') || chr(10) || chr(10), '' ORDER BY nr) AS body FROM n GROUP BY recording_id""")
 def export_srt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.to_srt(_speaking(spark, sf_dir))
 
 
-@query()
+def _json_sql(fields: dict[str, str], depth: int) -> str:
+    pad = " " * (4 * depth)
+    return " || ',' || chr(10) || ".join(f"""'{pad}"{key}": ' || {value}""" for key, value in fields.items())
+
+
+_JSON_OF = lambda x: f"coalesce(CAST(to_json({x}) AS VARCHAR), 'null')"
+
+
+@query(f"""{_SPOKEN}, b AS (SELECT recording_id, string_agg('        {{' || chr(10) || {_json_sql({'start': _JSON_OF('start_s'), 'end': _JSON_OF('end_s'), 'speaker': _JSON_OF('sp'), 'speakerName': _JSON_OF('nm'), 'language': "'null'", 'text': _JSON_OF('text')}, 3)} || chr(10) || '        }}', ',' || chr(10) ORDER BY start_s, seq) AS segments FROM spk GROUP BY recording_id)
+    SELECT recording_id, '{{' || chr(10) || {_json_sql({'audioPath': "'null'", 'title': _JSON_OF("'Talk ' || recording_id"), 'language': _JSON_OF('language'), 'translated': "'null'", 'durationSeconds': _JSON_OF('d'), 'backend': "'null'", 'model': "'null'"}, 1)} || ',' || chr(10) || '    "segments": [' || chr(10) || segments || chr(10) || '    ]' || chr(10) || '}}' AS body
+    FROM heads JOIN b USING (recording_id)""")
 def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.to_json(_heads(spark, sf_dir), _speaking(spark, sf_dir))
 
 
-@query()
+@query(f"""{_SPOKEN}, l AS (SELECT recording_id, sp, arg_max(nm, (start_s, seq)) AS nm FROM spk WHERE sp IS NOT NULL AND nm IS NOT NULL GROUP BY ALL)
+    SELECT recording_id, '{{' || string_agg(to_json(sp) || ':' || to_json(nm), ',' ORDER BY sp) || '}}' AS names FROM l GROUP BY recording_id""")
 def export_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.speakers_sidecar(_speaking(spark, sf_dir))
 
@@ -215,21 +275,38 @@ def assembled_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("recording_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]), "\n").alias("prompt"))
 
 
-@query("""SELECT doc_id, list_distinct_ordered AS vocabulary, n_pending FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN ['a', 'b', 'c', 'd'] ELSE ['c', 'a', 'b', 'd'] END AS list_distinct_ordered, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 2 END AS n_pending FROM documents WHERE doc_id < 20)""")
+@query("""SELECT doc_id, list_distinct_ordered AS vocabulary, n_pending FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN ['a', 'b', 'c', 'd'] ELSE ['c', 'a', 'b', 'd'] END AS list_distinct_ordered, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 2 END AS n_pending FROM documents)""")
 def vocabulary_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = t.table(spark, sf_dir, "documents").where("doc_id < 20")
+    d = t.table(spark, sf_dir, "documents")
     own = F.expr("case when doc_id % 2 = 0 then array('a', 'b', 'a', 'c') else array('c', 'a', 'c') end")
     pack = F.array(F.lit("b"), F.lit("d"), F.lit("a"))
     has = F.expr("case when doc_id % 2 = 0 then array('a', 'x') else array('d', 'x') end")
     return d.select("doc_id", F.array_union(own, pack).alias("vocabulary"), F.size(F.array_except(pack, has)).alias("n_pending"))
 
 
-@query()
+#: Events as live words: those of a type without words are silence, errors are stops; a month is squeezed into a minute and a half.
+_LIVE = "(epoch_us(ts) - 1704067200000000) / 3e10 AS sec, CASE event_type WHEN 'view' THEN '' WHEN 'error' THEN NULL ELSE event_type END AS text"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sec, text IS NULL, text) AS nr FROM (SELECT user_id, {_LIVE} FROM events)),
+    f AS (SELECT user_id, nr, CASE WHEN text IS NOT NULL THEN sec END AS s, CASE WHEN text IS NOT NULL THEN sec END AS l, CASE WHEN text <> '' THEN 1 ELSE 0 END AS n, text AS words, CAST(NULL AS DOUBLE) AS ds, CAST(NULL AS DOUBLE) AS dl, 0 AS dn, CAST(NULL AS VARCHAR) AS done FROM e WHERE nr = 1
+        UNION ALL SELECT user_id, nr, CASE WHEN text IS NULL THEN NULL WHEN fresh THEN sec ELSE s END, CASE WHEN text IS NULL THEN NULL WHEN fresh OR text <> '' THEN sec ELSE l END,
+            CASE WHEN text IS NULL THEN 0 WHEN fresh THEN CAST(text <> '' AS INTEGER) ELSE n + CAST(text <> '' AS INTEGER) END, CASE WHEN text IS NULL THEN NULL WHEN fresh THEN text WHEN text <> '' THEN trim(words || ' ' || text) ELSE words END,
+            CASE WHEN ended THEN s END, CASE WHEN ended THEN l END, CASE WHEN ended THEN n ELSE 0 END, CASE WHEN ended THEN words END
+        FROM (SELECT e.user_id, e.nr, e.sec, e.text, f.s, f.l, f.n, f.words, f.s IS NOT NULL AND (e.text IS NULL OR e.sec - f.l >= CASE WHEN f.words <> '' THEN 1.4 ELSE 2.4 END OR e.sec - f.s >= 20) AS ended,
+            f.s IS NULL OR e.text IS NULL OR e.sec - f.l >= CASE WHEN f.words <> '' THEN 1.4 ELSE 2.4 END OR e.sec - f.s >= 20 AS fresh FROM f JOIN e ON e.user_id = f.user_id AND e.nr = f.nr + 1))
+    SELECT user_id, ds AS start_s, dl AS end_s, CAST(dn AS BIGINT) AS n, done AS text FROM f WHERE done <> ''
+    UNION ALL SELECT user_id, s, l, CAST(n AS BIGINT), words FROM f WHERE words <> '' AND (user_id, nr) IN (SELECT (user_id, max(nr)) FROM e GROUP BY user_id)""")
 def live_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = t.table(spark, sf_dir, "events").selectExpr("user_id", "ts", "event_type as text")
+    rows = t.table(spark, sf_dir, "events").selectExpr("user_id", "(unix_micros(cast(ts as timestamp)) - 1704067200000000) / 3e10D as at", "case event_type when 'view' then '' when 'error' then null else event_type end as text")
     return live.batch_utterances(rows)
 
 
+@query("""SELECT user_id, w AS "window", count(*) AS n, round(avg(value), 6) AS level FROM (SELECT user_id, value, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 10 AS w FROM events) GROUP BY ALL HAVING count(*) = 10""")
+def whole_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live.count_windows(t.table(spark, sf_dir, "events"), 10, "user_id", "ts", "event_id").withColumn("level", F.round("level", 6))
+
+
 @query("""SELECT user_id, w AS start, count(*) AS n, round(avg(value), 6) AS level FROM (SELECT user_id, value, unnest([make_timestamp(CAST(k * 43200000000 AS BIGINT)), make_timestamp(CAST((k - 1) * 43200000000 AS BIGINT))]) AS w
     FROM (SELECT *, epoch_us(ts) // 43200000000 AS k FROM events)) GROUP BY ALL""")
 def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from voxloom.functions.words import resample
 
@@ -33,10 +34,10 @@ def parse_wav(data: bytes) -> tuple[np.ndarray, int]:
     return samples.astype(np.float32), rate
 
 
-def wav_bytes(samples: np.ndarray, rate: int = RATE) -> bytes:
-    """A mono 16-bit PCM file with the 44-byte header."""
+def wav_bytes(samples: np.ndarray, rate: int = RATE, channels: int = 1) -> bytes:
+    """A 16-bit PCM file with the 44-byte header; samples of several channels alternate."""
     data = (np.clip(samples, -1, 1) * 32767).astype("<i2").tobytes()
-    return b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, 2 * rate, 2, 16) + b"data" + struct.pack("<I", len(data)) + data
+    return b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, channels, rate, 2 * channels * rate, 2 * channels, 16) + b"data" + struct.pack("<I", len(data)) + data
 
 
 def read_chunks(spark: SparkSession, path: str, chunk_s: float = 30.0, overlap_s: float = 0.0) -> DataFrame:
@@ -56,12 +57,52 @@ def read_chunks(spark: SparkSession, path: str, chunk_s: float = 30.0, overlap_s
     return files.mapInPandas(cut, "path string, chunk int, start_s double, rms double, n long")
 
 
+def wav_seconds(data: bytes) -> float:
+    """Duration that the headers of a 16-bit PCM file state, cut to the bytes that are there; 0 if unreadable."""
+    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+        return 0.0
+    at, frame, rate = 12, 0, 0
+    while at + 8 <= len(data):
+        name, size = data[at : at + 4], struct.unpack("<I", data[at + 4 : at + 8])[0]
+        if name == b"fmt ":
+            _, channels, rate, _, _, bits = struct.unpack("<HHIIHH", data[at + 8 : at + 24])
+            frame = 2 * channels if bits == 16 else 0
+        elif name == b"data":
+            return min(size, len(data) - at - 8) // frame / rate if frame and rate else 0.0
+        at += 8 + size + size % 2
+    return 0.0
+
+
 def durations(spark: SparkSession, path: str) -> DataFrame:
-    """path, duration_s; 0 for an unreadable file."""
+    """path, duration_s; 0 for an unreadable file. Samples are not decoded."""
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [parse_wav(bytes(x)) for x in batch.content]
-            yield pd.DataFrame({"path": batch.path, "duration_s": [len(s) / r if r else 0.0 for s, r in found]})
+            yield pd.DataFrame({"path": batch.path, "duration_s": [wav_seconds(x) for x in batch.content]})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(probe, "path string, duration_s double")
+
+
+def read_samples(spark: SparkSession, path: str, rate: int | None = None) -> DataFrame:
+    """path, nr, x: mono samples of each file, brought to `rate` if one is given."""
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, data in zip(batch.path, batch.content, strict=True):
+                samples, own = parse_wav(bytes(data))
+                samples = resample(samples, own, rate) if rate and own else samples
+                yield pd.DataFrame({"path": name, "nr": np.arange(len(samples)), "x": samples.astype(float)})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "path string, nr long, x double")
+
+
+def sounds(frames: DataFrame, name, channels: int = 1) -> DataFrame:
+    """name, body: a WAV file of each recording's frames (recording_id, frame, and x, or with two channels x and y)."""
+    columns = ["x", "y"][:channels]
+    rows = frames.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("frame", *columns))).alias("s"))
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"name": batch["name"], "body": [wav_bytes(np.array([[f[c] for c in columns] for f in s], np.float32).ravel(), RATE, channels) for s in batch["s"]]})
+
+    return rows.select(name.alias("name"), "s").mapInPandas(encode, "name string, body binary")

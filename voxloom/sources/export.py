@@ -31,13 +31,33 @@ def to_srt(segments: DataFrame) -> DataFrame:
     return _lines(segments, line)
 
 
+#: Fields of an exported transcript and of its segments, in their order; null fields are written.
+DOCUMENT = {"audioPath": "audio_path", "title": "title", "language": "language", "translated": "translated", "durationSeconds": "duration_s", "backend": "backend", "model": "model"}
+SEGMENT = {"start": "start_s", "end": "end_s", "speaker": "speaker", "speakerName": "speaker_name", "language": "language", "text": "text"}
+INDENT = 4
+
+
+def _fields(rows: DataFrame, fields: dict[str, str], depth: int) -> list:
+    """A line for each field; a column that `rows` lacks is null."""
+    pad = " " * (INDENT * depth)
+
+    def value(name: str):
+        if name not in rows.columns:
+            return F.lit("null")
+        text = F.to_json(F.struct(F.col(name).alias("x")), {"ignoreNullFields": "false"})
+        return F.substring(text, F.lit(6), F.length(text) - 6)  # what is between {"x": and }
+
+    return [F.concat(F.lit(f'{pad}"{key}": '), value(name)) for key, name in fields.items()]
+
+
 def to_json(recordings: DataFrame, segments: DataFrame) -> DataFrame:
-    """recording_id, body: JSON with null fields kept."""
-    parts = F.array_sort(F.collect_list(F.struct("start_s", "seq", F.struct(F.col("start_s").alias("start"), F.col("end_s").alias("end"), "speaker", F.col("speaker_name").alias("speakerName"), "text").alias("s"))))
-    packed = segments.groupBy("recording_id").agg(F.transform(parts, lambda x: x["s"]).alias("segments"))
+    """recording_id, body: pretty-printed JSON with null fields kept."""
+    outer, inner = " " * INDENT, " " * (2 * INDENT)
+    one = F.concat(F.lit(inner + "{\n"), F.concat_ws(",\n", *_fields(segments, SEGMENT, 3)), F.lit("\n" + inner + "}"))
+    packed = _lines(segments, one, ",\n").withColumnRenamed("body", "_segments")
     rows = recordings.join(packed, "recording_id", "left")
-    doc = F.struct("title", "language", F.col("duration_s").alias("durationSeconds"), F.coalesce("segments", F.array().cast("array<struct<start:double,end:double,speaker:string,speakerName:string,text:string>>")).alias("segments"))
-    return rows.select("recording_id", F.to_json(doc, {"ignoreNullFields": "false"}).alias("body"))
+    listed = F.coalesce(F.concat(F.lit(f'{outer}"segments": [\n'), "_segments", F.lit(f"\n{outer}]")), F.lit(f'{outer}"segments": []'))
+    return rows.select("recording_id", F.concat(F.lit("{\n"), F.concat_ws(",\n", *_fields(recordings, DOCUMENT, 1), listed), F.lit("\n}")).alias("body"))
 
 
 def speakers_sidecar(segments: DataFrame) -> DataFrame:

@@ -6,17 +6,18 @@ Spark drop state.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: An utterance ends after this silence, or when it is this long.
-SILENCE_S, LONGEST_S = 1.4, 20.0
+#: An utterance ends after this silence if it has words, after that if it has none, or when it is this long.
+SILENCE_S, WORDLESS_S, LONGEST_S = 1.4, 2.4, 20.0
 UTTERANCE = "user_id long, start_s double, end_s double, n long, text string"
 _STATE = "start_s double, end_s double, n long, text string"
+_NAMES = [x.split()[0] for x in UTTERANCE.split(", ")]
 
 
 def windows(frames: DataFrame, size: str = "5 seconds", slide: str | None = None) -> DataFrame:
@@ -25,29 +26,56 @@ def windows(frames: DataFrame, size: str = "5 seconds", slide: str | None = None
     return frames.groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n"), F.avg("value").alias("level")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "level")
 
 
-def fold_utterances(events: list[tuple[float, str]], open_: tuple | None, silence_s: float = SILENCE_S, longest_s: float = LONGEST_S) -> tuple[list[tuple], tuple | None]:
-    """Utterances (start, end, n, text) that these events (second, text), in order, end; and the one still open."""
+def count_windows(frames: DataFrame, size: int, key: str, *order: str) -> DataFrame:
+    """key, window, n, level: every `size` frames of a key in order; an incomplete last window is not given out."""
+    nr = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
+    rows = frames.withColumn("_w", F.floor(nr / size).cast("long"))
+    return rows.groupBy(key, F.col("_w").alias("window")).agg(F.count("*").alias("n"), F.avg("value").alias("level")).where(F.col("n") == size)
+
+
+def fold_utterances(events: list[tuple[float, str | None]], open_: tuple | None, silence_s: float = SILENCE_S, longest_s: float = LONGEST_S, wordless_s: float = WORDLESS_S) -> tuple[list[tuple], tuple | None]:
+    """Utterances (start, end, n, text) that these events (second, text), in order, end; and the one still open.
+
+    An empty text is a frame without words: it opens an utterance but is no part of its end. A null text is a
+    stop: it ends what is open at once. An utterance without words is never given out.
+    """
     done = []
-    for at, text in events:
-        if open_ and (at - open_[1] >= silence_s or at - open_[0] >= longest_s):
+
+    def close() -> None:
+        if open_ and open_[3]:
             done.append(open_)
+
+    for at, text in events:
+        if open_ and (text is None or at - open_[1] >= (silence_s if open_[3] else wordless_s) or at - open_[0] >= longest_s):
+            close()
             open_ = None
-        open_ = (open_[0], at, open_[2] + 1, f"{open_[3]} {text}") if open_ else (at, at, 1, text)
+        if text is None:
+            continue
+        if open_ is None:
+            open_ = (at, at, int(text != ""), text)
+        elif text:
+            open_ = (open_[0], at, open_[2] + 1, f"{open_[3]} {text}".strip())
     return done, open_
 
 
+def _ordered(rows: pd.DataFrame) -> list[tuple[float, str | None]]:
+    """Events in order of time, at one time words before a stop."""
+    return sorted(zip(rows["at"], [None if x is None or x != x else x for x in rows["text"]], strict=True), key=lambda e: (e[0], e[1] is None, e[1] or ""))
+
+
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     open_ = tuple(state.get) if state.exists else None
     if state.hasTimedOut:
         state.remove()
-        yield pd.DataFrame([(key[0], *open_)], columns=[x.split()[0] for x in UTTERANCE.split(", ")])
+        yield pd.DataFrame([(key[0], *open_)] if open_[3] else [], columns=_NAMES)
         return
-    rows = pd.concat(list(batches))
-    events = sorted(zip(rows["at"], rows["text"], strict=True))
-    done, open_ = fold_utterances(events, open_)
-    state.update(open_)
-    state.setTimeoutTimestamp(max(int((open_[1] + SILENCE_S) * 1000), state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame([(key[0], *u) for u in done], columns=[x.split()[0] for x in UTTERANCE.split(", ")])
+    done, open_ = fold_utterances(_ordered(pd.concat(list(batches))), open_)
+    if open_:
+        state.update(open_)
+        state.setTimeoutTimestamp(max(int((open_[1] + (SILENCE_S if open_[3] else WORDLESS_S)) * 1000), state.getCurrentWatermarkMs() + 1))
+    elif state.exists:
+        state.remove()
+    yield pd.DataFrame([(key[0], *u) for u in done], columns=_NAMES)
 
 
 def utterances(stream: DataFrame, late: str = "1 minute") -> DataFrame:
@@ -57,13 +85,21 @@ def utterances(stream: DataFrame, late: str = "1 minute") -> DataFrame:
 
 
 def batch_utterances(rows: DataFrame) -> DataFrame:
-    """The same utterances of a whole table, the last one of each user included."""
+    """The same utterances of a whole table (user_id, text, and at in seconds or ts), the last one of each user included."""
 
     def all_(pdf: pd.DataFrame) -> pd.DataFrame:
-        done, open_ = fold_utterances(sorted(zip(pdf["at"], pdf["text"], strict=True)), None)
-        return pd.DataFrame([(pdf["user_id"].iloc[0], *u) for u in [*done, open_]], columns=[x.split()[0] for x in UTTERANCE.split(", ")])
+        done, open_ = fold_utterances(_ordered(pdf), None)
+        done += [open_] if open_ and open_[3] else []
+        return pd.DataFrame([(pdf["user_id"].iloc[0], *u) for u in done], columns=_NAMES)
+
+    if "at" not in rows.columns:
+        rows = rows.withColumn("at", F.col("ts").cast("timestamp").cast("double"))
+    return rows.select("user_id", "at", "text").groupBy("user_id").applyInPandas(all_, UTTERANCE)
+
 
-    return rows.withColumn("at", F.col("ts").cast("timestamp").cast("double")).groupBy("user_id").applyInPandas(all_, UTTERANCE)
+def partials(stream: DataFrame) -> DataFrame:
+    """user_id, n, last_ts, latest: the newest text of each user; in update mode a row is given out when it changes."""
+    return stream.groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"), F.max_by("text", F.struct("ts", "event_id")).alias("latest"))
 
 
 def replay(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
@@ -74,3 +110,53 @@ def replay(spark: SparkSession, stream: DataFrame, name: str, mode: str = "appen
     q = writer.start()
     q.awaitTermination()
     return spark.table(name)
+
+
+def each_batch(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    """Run `step` (rows, batch number) on every batch that is there now. A batch that failed is run again with its number, so steps put their output in the place of an earlier one."""
+    stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(step).start().awaitTermination()
+
+
+def observed(stream: DataFrame, checkpoint: str, query: Callable[[], DataFrame], folder: str) -> DataFrame:
+    """Run the whole `query` again whenever `stream` brings changes of its table, and return what it said last."""
+    last: dict[str, str] = {}
+
+    def again(_: DataFrame, batch: int) -> None:
+        place = f"{folder}/answer-{batch}"
+        query().write.mode("overwrite").parquet(place)
+        last["place"] = place
+
+    each_batch(stream, checkpoint, again)
+    return stream.sparkSession.read.parquet(last["place"])
+
+
+def latest_of(stream: DataFrame, key: str, order: str, checkpoint: str, folder: str) -> DataFrame:
+    """Rows of an update-mode stream, for each key the last: batches are kept as tables by their number, later ones supersede."""
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    each_batch(stream, checkpoint, keep, "update")
+    rows = stream.sparkSession.read.parquet(folder)
+    return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (key, "batch")]), F.struct(order, "batch")).alias("r")).select(key, "r.*")
+
+
+def drained(tasks: DataFrame, charging: bool, checkpoint: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Done (with batch) and parked tasks of a stream (recording_id, queued_at, wait_for_charger).
+
+    The checkpoint remembers which tasks came; what each batch did is a table by its number, so a queue that stops goes on
+    where it was and no task is lost or done twice. Tasks that wait for a charger are parked unless it is there.
+    """
+
+    def work(rows: DataFrame, batch: int) -> None:
+        parked = F.lit(False) if charging else F.col("wait_for_charger")
+        rows.withColumn("parked", parked).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    each_batch(tasks, checkpoint, work)
+    all_ = tasks.sparkSession.read.parquet(folder)
+    return all_.where("not parked").drop("parked"), all_.where("parked").drop("parked", "batch")
+
+
+def in_order(done: DataFrame) -> DataFrame:
+    """Column place: the order in which the tasks of a batch were worked off, the oldest first."""
+    return done.withColumn("place", F.row_number().over(Window.partitionBy("batch").orderBy("queued_at", "recording_id")).cast("long"))
