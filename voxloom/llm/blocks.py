@@ -37,23 +37,29 @@ def plain(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def make_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A table block, heads, data: the documents (doc_id, text) in blocks, in the order in which a scan meets them.
+def pack_texts(ids: list[int], texts: list[bytes]) -> tuple[bytes, ...]:
+    """A block's columns heads and data: doc_ids with sizes, and the texts one after the other."""
+    return press(np.array([ids, [len(x) for x in texts]], "<i8").tobytes()), press(b"".join(texts))
 
-    It lies in the shared folder, bucketed by block, so that joins of answers to blocks move the answers only.
+
+def make_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, pack=pack_texts, columns: str = "heads binary, data binary") -> DataFrame:
+    """A table block, heads, data: the documents (doc_id, text) in blocks, in the order in which a scan meets them; or with the columns that another `pack` makes.
+
+    It lies in the shared folder, bucketed by block, so that joins of answers to blocks move the answers only. Buckets need
+    an entry in the catalogue while the table is written; it is taken out again, the files stay.
     """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block, ids, sizes, held, size = TaskContext.get().partitionId() << 32, [], [], [], 0
+        block, ids, held, size = TaskContext.get().partitionId() << 32, [], [], 0
 
         def close() -> pa.RecordBatch:
             nonlocal block, size
-            heads = press(np.array([ids, sizes], "<i8").tobytes())
-            out = pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([heads], pa.binary()), pa.array([press(b"".join(held))], pa.binary())], names=["block", "heads", "data"])
+            packed = pack(ids, held)
+            out = pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *[pa.array([x], pa.binary()) for x in packed]], names=["block", *[x.split()[0] for x in columns.split(", ")]])
             block, size = block + 1, 0
-            ids.clear(), sizes.clear(), held.clear()
+            ids.clear(), held.clear()
             return out
 
         for batch in batches:
@@ -63,7 +69,6 @@ def make_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 if held and size + len(data) > block_bytes:
                     yield close()
                 ids.append(NULL_ID if doc_id is None else doc_id)
-                sizes.append(len(data))
                 held.append(data)
                 size += len(data)
         if held:
@@ -72,9 +77,11 @@ def make_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     spark, name = docs.sparkSession, f"voxloom_blocks_{uuid.uuid4().hex}"
     # as many buckets as a join has partitions, else Spark would deal the blocks anew
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_parts(docs))
-    rows = docs.select("doc_id", "text").mapInArrow(gather, "block long, heads binary, data binary")
+    rows = docs.select("doc_id", "text").mapInArrow(gather, f"block long, {columns}")
     rows.write.option("path", work_folder(spark, "blocks")).option("compression", "zstd").bucketBy(buckets, "block").sortBy("block").saveAsTable(name)
-    return spark.table(name)
+    blocks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return blocks
 
 
 def open_block(heads: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
@@ -88,6 +95,6 @@ def doc_id_array(ids: np.ndarray) -> pa.Array:
 
 
 def with_answers(blocks: DataFrame, answers: DataFrame) -> DataFrame:
-    """`blocks` with column answers: array of (bucket, data), in order of bucket. A block has at most one answer a bucket."""
+    """`blocks` with a last column answers: array of (bucket, data), in order of bucket. A block has at most one answer a bucket."""
     mine = answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", F.col("data").alias("said")))).alias("answers"))
-    return blocks.join(mine, "block", "left").select("block", "heads", "data", "answers")
+    return blocks.join(mine, "block", "left").select(*blocks.columns, "answers")

@@ -1,20 +1,22 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts and benchmark items are sequences of lower-cased words. Seeds are runs of `SHORTEST` words that
-a document shares with an item: an equality join of hashed word runs, whose build side is an
-index of the benchmark. For each (document, item) with seeds, the parts of the document that seeds cover are
-tiled: running Karp-Rabin finds the longest matches of unmarked words, marks them in both
+Texts and benchmark items are sequences of lower-cased words, each word a 63-bit hash. Seeds are runs of `SHORTEST` words
+that a document shares with an item: an equality join of hashed runs, both sides being tables. As most runs of the documents
+are in no item, they are first looked up in a bitmap of the items' runs (sixteen bits a run, at most 2 ** `FILTER_BITS`
+bits, which bounds what tasks hold; a fuller bitmap lets more needless runs through, never fewer). For each (document, item) with seeds, the parts of
+the document that seeds cover are tiled: running Karp-Rabin finds the longest matches of unmarked words, marks them in both
 sequences, and goes on with shorter ones down to `SHORTEST`. An item is leaked into the
 document if tiles cover at least `COVERAGE` of the item's words; as tiles may lie in any order,
 reordered passages count.
 
-The index holds at most `INDEX_WORDS` words of the benchmark. A larger benchmark is
-dealt into that many more slices, and the documents are scanned once for each slice; the result is the same.
+Tiles that cover so much hold a certain number of the item's runs, so the item can be found by any set of its runs that
+leaves out fewer than that: the runs that most items have are left out, and a phrase that is in very many items and
+documents doesn't join them all.
 
 Defined cases: null and empty texts match nothing; an item of fewer than `SHORTEST`
 words has no seed and never matches; items that repeat an id each match on their own and
 are reported once; items without an id are left out; rows that repeat a doc_id are each
-compared; an empty benchmark leaves every document clean; other columns are ignored.
+compared; an empty benchmark leaves every document clean; other columns, of whatever names, are ignored or kept.
 """
 
 from __future__ import annotations
@@ -24,12 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxloom.llm.shared import free_name, quoted, written
+
 #: Words in the shortest tile, and the share of an item's words that tiles must cover.
 SHORTEST, COVERAGE = 5, 0.8
-INDEX_WORDS = 500_000
+#: The bitmap of the items' runs has two to this power of bits at most, and words whose hashes a task keeps.
+FILTER_BITS, MEMO_WORDS = 30, 500_000
 _WORD = re.compile(r"\w+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _PRIME = (1 << 61) - 1
@@ -93,81 +99,125 @@ def greedy_tiles(item: list[int], doc: list[int], shortest: int = SHORTEST) -> l
     return tiles
 
 
-class Index:
-    """Word runs of benchmark items."""
-
-    def __init__(self, items: list[tuple[int, str]], shortest: int = SHORTEST):
-        self.shortest = shortest
-        self.words: dict[str, int] = {}
-        self.items: list[tuple[int, list[int]]] = []
-        for item_id, text in items:
-            seq = [self.words.setdefault(w, len(self.words)) for w in words_of(text)]
-            if len(seq) >= shortest:
-                self.items.append((item_id, seq))
-        self.seeds: dict[int, list[int]] = {}
-        for k, (_, seq) in enumerate(self.items):
-            for h in {int(x) for x in self.hashes(np.array(seq, np.int64))[0]}:
-                self.seeds.setdefault(h, []).append(k)
-        self.known = np.array(sorted(self.seeds), np.uint64)
-
-    def hashes(self, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the runs of `shortest` known words, and where they start."""
-        n = len(seq) - self.shortest + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        known = np.concatenate([[0], np.cumsum(seq >= 0)])
-        at = np.flatnonzero(known[self.shortest :] - known[: -self.shortest] == self.shortest)
-        h = np.zeros(len(at), np.uint64)
-        for k in range(self.shortest):
-            h = (h ^ (seq[at + k].astype(np.uint64) + np.uint64(1))) * _BASE
-            h ^= h >> np.uint64(29)
-        return h, at
-
-    def matches(self, texts: list[str | None], coverage: float = COVERAGE) -> Iterator[tuple[int, int, float, list[tuple[int, int, int]]]]:
-        """(number of the text, item_id, coverage, tiles in words of the item and of the seeded parts)."""
-        if not self.items:
-            return
-        get, seqs = self.words.get, []
-        for text in texts:
-            seqs += [[get(w, -1) for w in words_of(text)], [-1]]
-        whole = np.array([x for s in seqs for x in s], np.int64)
-        ends = np.cumsum([len(s) for s in seqs])[1::2]
-        h, at = self.hashes(whole)
-        place = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-        hit = np.flatnonzero(self.known[place] == h)
-        if not len(hit):
-            return
-        docs = np.searchsorted(ends, at[hit], side="right")
-        seeded: dict[tuple[int, int], list[int]] = {}
-        for d, a, x in zip(docs.tolist(), at[hit].tolist(), h[hit].tolist(), strict=True):
-            for k in self.seeds[x]:
-                seeded.setdefault((d, k), []).append(a)
-        for (d, k), starts in seeded.items():
-            item_id, item = self.items[k]
-            seen = {x for a in starts for x in whole[a : a + self.shortest].tolist()}
-            if sum(w in seen for w in item) < coverage * len(item):
-                continue  # tiles lie inside the seeded words, which are too few of the item's
-            parts: list[int] = []
-            last = -1
-            for a in starts:  # in ascending order
-                if a > last and parts:
-                    parts.append(-1)
-                parts += whole[max(a, last) : a + self.shortest].tolist()
-                last = a + self.shortest
-            tiles = greedy_tiles(item, parts, self.shortest)
-            share = sum(n for n, _, _ in tiles) / len(item)
-            if share >= coverage:
-                yield d, item_id, share, tiles
-
-
-def _indexes(benchmark: DataFrame, shortest: int, index_words: int) -> Iterator[Index]:
-    """Indexes that together hold the benchmark, each of about `index_words` words at most."""
-    items = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
-    n = items.agg(F.sum(F.size(F.split("text", r"\W+")))).first()[0] or 0
-    slices = max(1, -(-n // index_words))
-    for k in range(slices):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k) if slices > 1 else items
-        yield Index([tuple(x) for x in mine.orderBy("item_id", "text").collect()], shortest)
+class Words:
+    """Texts as arrays of word hashes. A task keeps the hashes of words it has met."""
+
+    def __init__(self):
+        self.memo: dict[str, int] = {}
+
+    def __call__(self, text: str | None) -> list[int]:
+        words = words_of(text)
+        found = list(map(self.memo.get, words))
+        if None in found:
+            if len(self.memo) > MEMO_WORDS:
+                self.memo.clear()
+            for w in words:
+                if w not in self.memo:
+                    self.memo[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) >> 1
+            found = [self.memo[w] for w in words]
+        return found
+
+
+def run_hashes(seq: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (as signed integers) of the runs of `size` words, and where they start; a negative number is no word."""
+    if len(seq) < size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    word = np.concatenate([[0], np.cumsum(seq >= 0)])
+    at = np.flatnonzero(word[size:] - word[:-size] == size)
+    h = np.zeros(len(at), np.uint64)
+    for k in range(size):
+        h = (h ^ (seq[at + k].astype(np.uint64) + np.uint64(1))) * _BASE
+        h ^= h >> np.uint64(29)
+    return h.view(np.int64), at
+
+
+def _items(benchmark: DataFrame, shortest: int) -> DataFrame:
+    """A written table of key, item_id, words, runs: every item that has a run."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        words, key = Words(), TaskContext.get().partitionId() << 32
+        for batch in batches:
+            rows = []
+            for item_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                seq = words(text.as_py())
+                if len(seq) >= shortest:
+                    rows.append((key, item_id.as_py(), seq, run_hashes(np.array(seq, np.int64), shortest)[0]))
+                    key += 1
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], names=["key", "item_id", "words", "runs"])
+
+    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text")
+    return written(rows.mapInArrow(cut, "key long, item_id long, words array<long>, runs array<long>"), "items")
+
+
+def _bitmap(items: DataFrame) -> tuple[np.ndarray, int]:
+    """Bits of all the items' runs, by the run's highest bits, and how many these are."""
+    n = items.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0]
+    bits = min(FILTER_BITS, max(16, (16 * n).bit_length()))
+    places = items.select(F.explode("runs").alias("r")).select(F.shiftrightunsigned("r", 64 - bits).alias("p")).distinct()
+
+    def chunk(key: tuple, found: pa.Table) -> pa.Table:
+        flags = np.zeros(1 << 15, np.uint8)
+        flags[found["p"].to_numpy() & 0x7FFF] = 1
+        return pa.table({"c": pa.array([key[0].as_py()], pa.int64()), "flags": pa.array([np.packbits(flags).tobytes()], pa.binary())})
+
+    out = np.zeros(1 << bits - 3, np.uint8)
+    for r in places.withColumn("c", F.shiftright("p", 15)).groupBy("c").applyInArrow(chunk, "c long, flags binary").collect():
+        out[r.c << 12 : (r.c + 1) << 12] = np.frombuffer(r.flags, np.uint8)
+    return out, bits
+
+
+def _probes(items: DataFrame, shortest: int, coverage: float) -> DataFrame:
+    """key, run: runs of each item of which a document must have one, the commonest of the benchmark left out.
+
+    Tiles of `coverage` of n words, each of `shortest` or more, hold at least coverage * n / shortest runs; so one of any set is
+    held that leaves out fewer.
+    """
+    rows = items.select("key", F.size("words").alias("n"), F.posexplode("runs").alias("nr", "run"))
+    common = rows.groupBy("run").agg(F.count("*").alias("times"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("times", "run", "nr"))
+    probe = rows.join(common, "run").withColumn("rank", rank)
+    return probe.where(F.col("rank") <= F.col("n") - shortest + 2 - F.greatest(F.ceil(F.col("n") * coverage / shortest - 1e-9), F.lit(1))).select("key", "run").distinct()
+
+
+def _seeded(docs: DataFrame, bitmap: np.ndarray, bits: int, shortest: int) -> DataFrame:
+    """A written table of row, doc_id, hash, runs, parts: documents with runs in the bitmap, and the words that such runs cover, with -1 between stretches."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        words, row = Words(), TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for first, texts in _batches(batch, 1):
+                seqs = []
+                for text in texts:
+                    seqs += [words(text), [-1]]
+                whole = np.array([x for s in seqs for x in s], np.int64)
+                ends = np.cumsum([len(s) for s in seqs])[1::2]
+                h, at = run_hashes(whole, shortest)
+                place = h.view(np.uint64) >> np.uint64(64 - bits)
+                hit = np.flatnonzero(bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (place & np.uint64(7)).astype(np.uint8)) & 1)
+                doc = np.searchsorted(ends, at[hit], side="right")
+                edges = np.flatnonzero(np.diff(doc, prepend=-1))
+                rows = []
+                for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(hit)][: len(edges)], strict=True):
+                    parts: list[int] = []
+                    last = -1
+                    for x in at[hit[a:b]].tolist():
+                        if x > last and parts:
+                            parts.append(-1)
+                        parts += whole[max(x, last) : x + shortest].tolist()
+                        last = x + shortest
+                    d = first + int(doc[a])
+                    rows.append((row, batch.column(0)[d].as_py(), batch.column(2)[d].as_py(), np.unique(h[hit[a:b]]), parts))
+                    row += 1
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], names=["row", "doc_id", "hash", "runs", "parts"])
+
+    rows = docs.select("doc_id", "text", F.xxhash64("text"))
+    return written(rows.mapInArrow(search, "row long, doc_id long, hash long, runs array<long>, parts array<long>"), "seeded")
 
 
 def _batches(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str | None]]]:
@@ -183,38 +233,44 @@ def _batches(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str
         yield at, held
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST, coverage: float = COVERAGE, index_words: int = INDEX_WORDS) -> DataFrame:
-    """doc_id, item_id, coverage, tiles: a row for each document and item that is leaked into it."""
-    names = "doc_id long, item_id long, coverage double, n_tiles long"
-    found = None
-    for index in _indexes(benchmark, shortest, index_words):
-
-        def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = batch.column(0)
-                for at, texts in _batches(batch, 1):
-                    rows: dict[tuple[int, int], tuple[float, int]] = {}
-                    for d, item_id, share, tiles in index.matches(texts, coverage):
-                        rows[d, item_id] = max(rows.get((d, item_id), (0.0, 0)), (share, len(tiles)))
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array([at + d for d, _ in rows], pa.int64())), pa.array([i for _, i in rows], pa.int64()), pa.array([x for x, _ in rows.values()], pa.float64()), pa.array([n for _, n in rows.values()], pa.int64())], names=[x.split()[0] for x in names.split(", ")])
-
-        part = docs.select("doc_id", "text").mapInArrow(search, names)
-        found = part if found is None else found.unionAll(part)
-    return found
-
-
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST, coverage: float = COVERAGE, index_words: int = INDEX_WORDS) -> DataFrame:
-    """The rows of `docs` into which no item is leaked, with all their columns."""
-    for index in _indexes(benchmark, shortest, index_words):
-
-        def clean(text, index=index):
-            import pandas as pd
-
-            ok = np.ones(len(text), bool)
-            for at, texts in _batches(pa.record_batch([pa.array(text, pa.string(), from_pandas=True)], ["text"]), 0):
-                for d, *_ in index.matches(texts, coverage):
-                    ok[at + d] = False
-            return pd.Series(ok)
-
-        docs = docs.where(F.pandas_udf(clean, "boolean")("text"))
-    return docs
+def _leaked(docs: DataFrame, benchmark: DataFrame, shortest: int, coverage: float) -> DataFrame:
+    """row, doc_id, hash, item_id, coverage, n_tiles: a row for each document's row and item that is leaked into it; items that repeat an id each have their own."""
+    names = "row long, doc_id long, hash long, item_id long, coverage double, n_tiles long"
+    items = _items(benchmark, shortest)
+    if not items.head(1):
+        return docs.sparkSession.createDataFrame([], names)
+    seeded = _seeded(docs, *_bitmap(items), shortest)
+    pairs = seeded.select("row", F.explode("runs").alias("run")).join(_probes(items, shortest, coverage), "run").select("row", "key").distinct()
+    rows = pairs.join(seeded.select("row", "doc_id", "hash", "parts"), "row").join(items.select("key", "item_id", "words"), "key")
+
+    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row, doc_id, hash_, item_id, parts, item in zip(*batch.columns, strict=True):
+                parts, item = parts.values.to_pylist(), item.values.to_pylist()
+                have = set(parts)
+                if sum(w in have for w in item) < coverage * len(item):
+                    continue  # tiles lie inside the seeded words, which are too few of the item's
+                tiles = greedy_tiles(item, parts, shortest)
+                share = sum(n for n, _, _ in tiles) / len(item)
+                if share >= coverage:
+                    out.append((row.as_py(), doc_id.as_py(), hash_.as_py(), item_id.as_py(), share, len(tiles)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=[x.split()[0] for x in names.split(", ")])
+
+    return rows.select("row", "doc_id", "hash", "item_id", "parts", "words").mapInArrow(tile, names)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST, coverage: float = COVERAGE) -> DataFrame:
+    """doc_id, item_id, coverage, n_tiles: a row for each document and item that is leaked into it."""
+    found = _leaked(docs, benchmark, shortest, coverage)
+    best = found.groupBy("row", "doc_id", "item_id").agg(F.max(F.struct("coverage", "n_tiles")).alias("b"))
+    return best.select("doc_id", "item_id", "b.coverage", "b.n_tiles")
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST, coverage: float = COVERAGE) -> DataFrame:
+    """The rows of `docs` into which no item is leaked, with all their columns. Rows are known by their texts' hashes, as copies of a leaked text are leaked too."""
+    gone = written(_leaked(docs, benchmark, shortest, coverage).select("hash").distinct(), "leaked")
+    tag = free_name(docs, "_leak")
+    rows = docs.withColumn(f"{tag}_h", F.xxhash64("text"))
+    return rows.join(gone.withColumnRenamed("hash", f"{tag}_h"), f"{tag}_h", "left_anti").select(*[quoted(c) for c in docs.columns])

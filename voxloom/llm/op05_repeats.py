@@ -8,8 +8,9 @@ always meet in the hash bucket of their anchor. The work goes in three passes ov
    collision only means a needless candidate).
 2. Around those anchors, blocks send each different stretch of text once: all windows with one anchor in a
    row, from the first byte of the first to the last byte of the last, with the smallest
-   doc_id that holds it. A stretch of an anchor that is in over `HOT` blocks is sent window by window, dealt
-   by the window's own hash, so a common line with many surroundings is spread as well.
+   doc_id that holds it. A stretch of an anchor with over `HOT` different stretches is sent window by window, dealt
+   by the window's own hash, so a common line with many surroundings is spread as well. A line that is
+   everywhere with the same surroundings is one text for each block.
    A bucket sorts the suffixes of its different stretches, takes the longest common prefixes of neighbours, and scans
    them with a stack: each interval of prefix length `LENGTH` or more is a repeat with
    all its occurrences. It is maximal to the left if different bytes, or a document's start, stand
@@ -18,8 +19,8 @@ always meet in the hash bucket of their anchor. The work goes in three passes ov
    document has a smaller doc_id.
 
 Stretches have fewer than 2 * LENGTH bytes, so a longer repeat shows up as a chain of
-groups, each a few bytes further; `maximal_repeats` lists groups with their text, `repeat_spans` the
-covered spans of documents, in which chains are joined.
+groups, each a few bytes further. `maximal_repeats` joins the chains and extends them, `repeat_spans` lists the
+covered spans of documents.
 
 Defined cases: a null text is an empty one; texts shorter than `LENGTH` bytes lose nothing; documents
 with equal doc_id do not cover one another; a null doc_id counts as smaller than any
@@ -31,18 +32,22 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.llm.blocks import BLOCK_BYTES, doc_id_array, make_blocks, open_block, plain, press, with_answers
 from voxloom.llm.shared import written
 
 LENGTH, GRAM = 50, 24
-#: Blocks in which an anchor may be before its windows are dealt one by one.
-HOT = 64
+#: Different stretches that an anchor may have, summed over the blocks (up to 255 in each), before its windows are dealt one by one.
+HOT = 16_384
+#: A bucket is worked through in `SUB` parts one after the other, so that a block's rows to the buckets stay few and large
+#: while a suffix array stays small: for each bucket there are `BLOCKS_OF_BUCKET` blocks, `LEAST_BUCKETS` at least for parallelism.
+SUB, BLOCKS_OF_BUCKET, LEAST_BUCKETS = 32, 8, 32
 #: Bytes whose windows are hashed at once; below 2**24.
 _PART = 1 << 20
 _U = np.uint64
@@ -71,8 +76,8 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return _mixed(sixteen[:n] * power[8] + eight[16 : 16 + n])
 
 
-def stretches(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and anchor hash of each row of windows with one anchor.
+def stretches(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows and anchor hash of each row of windows with one anchor, and a hash of its text.
 
     `data` are the bytes of documents one after the other, `begin` where they begin (and the end).
     """
@@ -97,9 +102,14 @@ def stretches(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarr
         count = np.diff(np.append(first, n))
         keep = ok[first]
         first, count = first[keep], count[keep]
-        out.append((first + x, count, _mixed(hashes[where[first]] + _BASE)))
+        # runs of GRAM bytes that together hold the whole text, which has fewer than 4 * GRAM
+        last = first + count + LENGTH - 1 - GRAM
+        name = hashes[first]
+        for at in (np.minimum(first + GRAM, last), np.minimum(first + 2 * GRAM, last), last):
+            name = _mixed(name + _BASE) + hashes[at]
+        out.append((first + x, count, _mixed(hashes[where[first]] + _BASE), name + count.astype(_U)))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, _U)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -119,12 +129,20 @@ class _Block:
     def __init__(self, heads: bytes, data: bytes, buckets: int):
         self.ids, self.begin, self.raw = open_block(heads, data)
         self.data = np.frombuffer(self.raw, np.uint8)
-        self.first, self.count, self.anchor = stretches(self.data, self.begin)
+        self.first, self.count, self.anchor, self.name = stretches(self.data, self.begin)
         self.doc = np.searchsorted(self.begin, self.first, side="right") - 1
         key = (self.anchor & _U(0xFFFFFFFF)) % _U(buckets) << _U(32) | self.anchor >> _U(32)
         self.keys, self.which = np.unique(key, return_inverse=True)
         self.edges = np.searchsorted(self.keys >> _U(32), np.arange(buckets + 1, dtype=_U))
 
+    def variety(self) -> np.ndarray:
+        """For each key, how many different stretches it has (255 stands for more)."""
+        order = np.lexsort((self.name, self.which))
+        which, name = self.which[order], self.name[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (which[1:] != which[:-1]) | (name[1:] != name[:-1])
+        return np.minimum(np.bincount(which[new], minlength=len(self.keys)), 255).astype(np.uint8)
+
     def several(self) -> np.ndarray:
         """For each key, whether documents of different ids have it."""
         ids = self.ids[self.doc]
@@ -135,20 +153,20 @@ class _Block:
 
 
 def shared_anchors(blocks: DataFrame, buckets: int, hot: int = HOT) -> DataFrame:
-    """A written table of answers (block, bucket, data): for each anchor of the block 0, or 1 if it is in several documents, or 2 if it is in more than `hot` blocks."""
+    """A written table of answers (block, bucket, data): for each anchor of the block 0, or 1 if it is in several documents, or 2 if it has more than `hot` different stretches besides."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, heads, data in zip(*batch.columns, strict=True):
                 mine = _Block(heads.as_py(), data.as_py(), buckets)
-                several, rows = mine.several(), []
+                several, variety, rows = mine.several(), mine.variety(), []
                 for k in range(buckets):
                     a, b = mine.edges[k], mine.edges[k + 1]
                     if a < b:
                         values = (mine.keys[a:b] & _U(0xFFFFFFFF)).astype("<u4")
-                        rows.append((k, _planes(np.diff(values, prepend=np.uint32(0)).astype("<u4")), press(np.packbits(several[a:b]).tobytes())))
+                        rows.append((k, _planes(np.diff(values, prepend=np.uint32(0)).astype("<u4")), press(np.packbits(several[a:b]).tobytes()), press(variety[a:b].tobytes())))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * len(rows), pa.int64()), *[pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)]], names=["block", "bucket", "values", "several"])
+                    yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * len(rows), pa.int64()), *[pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)]], names=["block", "bucket", "values", "several", "variety"])
 
     def answer(key: tuple, found: pa.Table) -> pa.Table:
         values = [np.cumsum(_unplanes(x.as_py(), "<u4"), dtype=np.uint32) for x in found["values"]]
@@ -156,18 +174,20 @@ def shared_anchors(blocks: DataFrame, buckets: int, hot: int = HOT) -> DataFrame
         different, which, n = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
         state = (n > 1).astype(np.uint8)
         state[which[np.concatenate(several) > 0]] = 1
-        state[n > hot] = 2
+        variety = np.concatenate([np.frombuffer(plain(x.as_py()), np.uint8) for x in found["variety"]])
+        state[(np.bincount(which, variety, len(different)) > hot) & (state == 1)] = 2
         parts = np.split(state[which], np.cumsum([len(x) for x in values])[:-1])
         return pa.table({"block": found["block"], "bucket": pa.array([key[0].as_py()] * len(parts), pa.int32()), "data": pa.array([press(x.tobytes()) for x in parts], pa.binary())})
 
-    rows = blocks.select("block", "heads", "data").mapInArrow(ask, "block long, bucket int, values binary, several binary")
+    rows = blocks.select("block", "heads", "data").mapInArrow(ask, "block long, bucket int, values binary, several binary, variety binary")
     return written(rows.groupBy("bucket").applyInArrow(answer, "block long, bucket int, data binary"), "anchors")
 
 
 class _Candidates:
-    """A block's stretches with shared anchors, and their different texts dealt to buckets."""
+    """A block's stretches with shared anchors, and their different texts dealt to the parts of buckets."""
 
-    def __init__(self, mine: _Block, said: dict[int, bytes], buckets: int, text_buckets: int):
+    def __init__(self, mine: _Block, said: dict[int, bytes], buckets: int):
+        fine = buckets * SUB
         state = np.zeros(len(mine.keys), np.uint8)
         for k in range(buckets):
             if mine.edges[k] < mine.edges[k + 1]:
@@ -179,33 +199,41 @@ class _Candidates:
         self.first = np.concatenate([mine.first[one], np.repeat(mine.first[many], times) + inner])
         end = np.concatenate([mine.first[one] + mine.count[one] + LENGTH - 1, self.first[len(one) :] + LENGTH])
         self.doc = np.concatenate([mine.doc[one], np.repeat(mine.doc[many], times)])
-        deal = ((mine.anchor[one] >> _U(11)) % _U(text_buckets)).astype(np.int64).tolist()
+        deal = ((mine.anchor[one] >> _U(11)) % _U(fine)).astype(np.int64).tolist()
         raw, index = mine.raw, {}
         number, homes = [], []
         for k, (a, b) in enumerate(zip(self.first.tolist(), end.tolist(), strict=True)):
             text = raw[a:b]
             nr = index.setdefault(text, len(index))
             if nr == len(homes):
-                homes.append(deal[k] if k < len(deal) else zlib.crc32(text) % text_buckets)
+                homes.append(deal[k] if k < len(deal) else zlib.crc32(text) % fine)
             number.append(nr)
         self.number, self.homes, self.texts = np.array(number, np.int64), np.array(homes, np.int64), list(index)
-        #: Texts in the order in which they go to the buckets.
+        #: Texts in the order in which they go to the buckets and their parts.
         self.order = np.argsort(self.homes, kind="stable")
 
+    def rows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each bucket its number, the texts that go there in order, and how many go to each part."""
+        bucket = self.homes[self.order] // SUB
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)][: len(cuts)], strict=True):
+            part = self.order[a:b]
+            yield int(bucket[a]), part, np.bincount(self.homes[part] % SUB, minlength=SUB)
+
 
 def _first_answers(answers) -> dict[int, bytes]:
     return {x["bucket"]: x["said"] for x in answers or ()}
 
 
-def candidate_stretches(blocks: DataFrame, anchors: DataFrame, buckets: int, text_buckets: int) -> DataFrame:
-    """block, bucket, data: the block's different texts for a bucket, in order, their smallest
+def candidate_stretches(blocks: DataFrame, anchors: DataFrame, buckets: int) -> DataFrame:
+    """block, bucket, data: the block's different texts for a bucket, part after part, their smallest
     doc_ids and the bytes before them (256: different ones, 257: a document's start)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, heads, data, answers in zip(*batch.columns, strict=True):
                 mine = _Block(heads.as_py(), data.as_py(), buckets)
-                c = _Candidates(mine, _first_answers(answers.as_py()), buckets, text_buckets)
+                c = _Candidates(mine, _first_answers(answers.as_py()), buckets)
                 before = np.where(c.first == mine.begin[c.doc], 257, mine.data[c.first - 1])
                 low, high = np.full(len(c.texts), 999), np.full(len(c.texts), -1)
                 smallest = np.full(len(c.texts), np.iinfo(np.int64).max)
@@ -213,12 +241,10 @@ def candidate_stretches(blocks: DataFrame, anchors: DataFrame, buckets: int, tex
                 np.maximum.at(high, c.number, before)
                 np.minimum.at(smallest, c.number, mine.ids[c.doc])
                 left = np.where(low == high, low, 256)
-                cuts = np.flatnonzero(np.diff(c.homes[c.order], prepend=-1))
                 rows = []
-                for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(c.order)][: len(cuts)], strict=True):
-                    part = c.order[a:b]
+                for bucket, part, parts in c.rows():
                     chosen = [c.texts[k] for k in part.tolist()]
-                    rows.append((int(c.homes[part[0]]), _pack(np.array([len(x) for x in chosen], "u1"), np.frombuffer(b"".join(chosen), np.uint8), smallest[part].astype("<i8"), left[part].astype("<i2"))))
+                    rows.append((bucket, _pack(np.array([len(x) for x in chosen], "u1"), np.frombuffer(b"".join(chosen), np.uint8), smallest[part].astype("<i8"), left[part].astype("<i2"), parts.astype("<u4"))))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * len(rows), pa.int64()), pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["block", "bucket", "data"])
 
@@ -302,52 +328,68 @@ def intervals(common: list[int], least: int) -> Iterator[tuple[int, int, int, bo
             stack.append((here, first))
 
 
-def _gather(found: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Different texts of a bucket, their smallest doc_ids, the bytes before them, and each block's texts by number."""
-    index: dict[bytes, int] = {}
-    asks, smallest, left = [], [], []
-    for block, data in zip(found["block"], found["data"], strict=True):
-        sizes, raw, ids, before = _unpack(data.as_py(), ["u1", "u1", "<i8", "<i2"])
-        raw, ends = raw.tobytes(), np.cumsum(sizes, dtype=np.int64)
-        mine = [index.setdefault(raw[a:b], len(index)) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
-        asks.append((block.as_py(), np.array(mine, np.int64)))
-        smallest.append(ids)
-        left.append(before.astype(np.int64))
-    number = np.concatenate([x for _, x in asks])
-    first, low, high = np.full(len(index), np.iinfo(np.int64).max), np.full(len(index), 999), np.full(len(index), -1)
-    np.minimum.at(first, number, np.concatenate(smallest))
-    np.minimum.at(low, number, np.concatenate(left))
-    np.maximum.at(high, number, np.concatenate(left))
-    return list(index), first, np.where(low == high, low, 256), asks
+def _parts(found: pa.Table) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]]:
+    """For each part of a bucket its different texts, their smallest doc_ids, the bytes before them, and each block's texts by number."""
+    sent = []
+    for data in found["data"]:
+        sizes, raw, ids, before, parts = _unpack(data.as_py(), ["u1", "u1", "<i8", "<i2", "<u4"])
+        sent.append((raw.tobytes(), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), ids, before.astype(np.int64), np.concatenate([[0], np.cumsum(parts, dtype=np.int64)])))
+    for part in range(SUB):
+        index: dict[bytes, int] = {}
+        asks, smallest, left = [], [], []
+        for k, (raw, ends, ids, before, parts) in enumerate(sent):
+            a, b = int(parts[part]), int(parts[part + 1])
+            if a < b:
+                cuts = ends[a : b + 1].tolist()
+                asks.append((k, np.array([index.setdefault(raw[x:y], len(index)) for x, y in pairwise(cuts)], np.int64)))
+                smallest.append(ids[a:b])
+                left.append(before[a:b])
+        if not asks:
+            continue
+        number, before = np.concatenate([x for _, x in asks]), np.concatenate(left)
+        first, low, high = np.full(len(index), np.iinfo(np.int64).max), np.full(len(index), 999), np.full(len(index), -1)
+        np.minimum.at(first, number, np.concatenate(smallest))
+        np.minimum.at(low, number, before)
+        np.maximum.at(high, number, before)
+        yield list(index), first, np.where(low == high, low, 256), asks
+
+
+def _answers(key: tuple, found: pa.Table, answers: list[list[tuple[np.ndarray, ...]]]) -> pa.Table:
+    """A row for each block that asked: its answers, part after part."""
+    packed = [_pack(*(np.concatenate(x) for x in zip(*mine, strict=True))) for mine in answers]
+    return pa.table({"block": found["block"], "bucket": pa.array([key[0].as_py()] * len(packed), pa.int32()), "data": pa.array(packed, pa.binary())})
 
 
 def _first_documents(key: tuple, found: pa.Table) -> pa.Table:
     """For each asking block and text, the smallest doc_id that holds each window, in runs of equal ones."""
-    texts, first, _, asks = _gather(found)
-    array = SuffixArray(texts)
-    window = first[array.text]
-    rank = np.flatnonzero(_touched(array.common))
-    common = array.common[rank].tolist()
-    for _, a, b, outermost in intervals(common, LENGTH):
-        if outermost:
-            rows = array.order[rank[a : b + 1]]
-            window[rows] = window[rows].min()
-    edge = np.ones(len(window), bool)
-    edge[1:] = (window[1:] != window[:-1]) | (array.text[1:] != array.text[:-1])
-    run = np.flatnonzero(edge)
-    size, value, owner = np.diff(np.append(run, len(window))), window[run], array.text[run]
-    runs = np.bincount(owner, minlength=len(texts))
-    start = np.cumsum(runs) - runs
-    rows = []
-    for block, mine in asks:
-        n = runs[mine]
-        at = np.repeat(start[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        rows.append((block, _pack(n.astype("u1"), size[at].astype("u1"), value[at].astype("<i8"))))
-    return pa.table({"block": pa.array([x for x, _ in rows], pa.int64()), "bucket": pa.array([key[0].as_py()] * len(rows), pa.int32()), "data": pa.array([x for _, x in rows], pa.binary())})
+    out: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(found.num_rows)]
+    for texts, first, _, asks in _parts(found):
+        array = SuffixArray(texts)
+        window = first[array.text]
+        rank = np.flatnonzero(_touched(array.common))
+        common = array.common[rank].tolist()
+        for _, a, b, outermost in intervals(common, LENGTH):
+            if outermost:
+                rows = array.order[rank[a : b + 1]]
+                window[rows] = window[rows].min()
+        edge = np.ones(len(window), bool)
+        edge[1:] = (window[1:] != window[:-1]) | (array.text[1:] != array.text[:-1])
+        run = np.flatnonzero(edge)
+        size, value, owner = np.diff(np.append(run, len(window))), window[run], array.text[run]
+        runs = np.bincount(owner, minlength=len(texts))
+        start = np.cumsum(runs) - runs
+        for k, mine in asks:
+            n = runs[mine]
+            at = np.repeat(start[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out[k].append((n.astype("u1"), size[at].astype("u1"), value[at].astype("<i8")))
+    return _answers(key, found, out)
 
 
 def _groups(texts: list[bytes], left: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """(length, [(text, offset)]) of each repeat that different bytes stand before; `left` has the byte before each text."""
+    """(length, [(text, offset)]) of each repeat that different bytes stand before, or that begins where a text does; `left` has the byte before each text.
+
+    What stands before all members inside their texts is found with it as part of a longer repeat.
+    """
     array = SuffixArray(texts)
     rank = np.flatnonzero(_touched(array.common))
     rows = array.order[rank]
@@ -357,11 +399,11 @@ def _groups(texts: list[bytes], left: np.ndarray) -> Iterator[tuple[int, list[tu
     for length, a, b, _ in intervals(array.common[rank].tolist(), LENGTH):
         members = range(a, b + 1)
         seen = {sides[k] for k in members}
-        if len(seen) > 1 or seen & {256, 257}:
+        if len(seen) > 1 or any(offset[k] == 0 for k in members):
             yield length, [(text[k], offset[k]) for k in members]
         whole.update(text[k] for k in members if offset[k] == 0 and len(texts[text[k]]) == length)
-    for t, side in enumerate(left.tolist()):
-        if side == 256 and t not in whole:  # the same whole text in several places
+    for t in range(len(texts)):
+        if t not in whole:  # the same whole text, perhaps in several places
             yield len(texts[t]), [(t, 0)]
 
 
@@ -369,19 +411,19 @@ def _repeats_of_texts(key: tuple, found: pa.Table) -> pa.Table:
     """For each asking block and text, its repeats: offset, length and a number made from the repeated bytes."""
     import xxhash
 
-    texts, _, left, asks = _gather(found)
-    mine: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for length, members in _groups(texts, left):
-        t, o = members[0]
-        number = xxhash.xxh64_intdigest(texts[t][o : o + length]) - 2**63
-        for t, o in members:
-            mine[t].append((o, length, number))
-    rows = []
-    for block, numbers in asks:
-        all_ = [x for t in numbers.tolist() for x in mine[t]]
-        n = np.array([len(mine[t]) for t in numbers.tolist()], "<i4")
-        rows.append((block, _pack(n, np.array([x[0] for x in all_], "u1"), np.array([x[1] for x in all_], "u1"), np.array([x[2] for x in all_], "<i8"))))
-    return pa.table({"block": pa.array([x for x, _ in rows], pa.int64()), "bucket": pa.array([key[0].as_py()] * len(rows), pa.int32()), "data": pa.array([x for _, x in rows], pa.binary())})
+    out: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(found.num_rows)]
+    for texts, _, left, asks in _parts(found):
+        mine: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        for length, members in _groups(texts, left):
+            t, o = members[0]
+            number = xxhash.xxh64_intdigest(texts[t][o : o + length]) - 2**63
+            for t, o in members:
+                mine[t].append((o, length, number))
+        for k, numbers in asks:
+            all_ = [x for t in numbers.tolist() for x in mine[t]]
+            n = np.array([len(mine[t]) for t in numbers.tolist()], "<i4")
+            out[k].append((n, np.array([x[0] for x in all_], "u1"), np.array([x[1] for x in all_], "u1"), np.array([x[2] for x in all_], "<i8")))
+    return _answers(key, found, out)
 
 
 def _touched(common: np.ndarray) -> np.ndarray:
@@ -392,22 +434,20 @@ def _touched(common: np.ndarray) -> np.ndarray:
     return out
 
 
-def _covered(heads: bytes, data: bytes, answers: list[dict], buckets: int, text_buckets: int) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray]:
+def _covered(heads: bytes, data: bytes, answers: list[dict], buckets: int) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray]:
     """doc_ids, begin, bytes of a block, and which bytes are covered."""
     said = _first_answers(answers)
     mine = _Block(heads, data, buckets)
-    c = _Candidates(mine, said, buckets, text_buckets)
-    ids, begin, raw, first, number, homes, order = mine.ids, mine.begin, mine.raw, c.first, c.number, c.homes, c.order
-    runs, size, value = np.zeros(len(homes), np.int64), [], []
-    for k in np.unique(homes).tolist():
-        n, s, v = _unpack(said[-1 - k], ["u1", "u1", "<i8"])
-        runs[homes == k] = n
-        size.append(s)
-        value.append(v)
+    c = _Candidates(mine, said, buckets)
+    ids, begin, raw, first, number, order = mine.ids, mine.begin, mine.raw, c.first, c.number, c.order
+    found = [_unpack(said[-1 - k], ["u1", "u1", "<i8"]) for k, _, _ in c.rows()]
+    runs, size, value = np.zeros(len(order), np.int64), [x for _, x, _ in found], [x for _, _, x in found]
+    if found:
+        runs[order] = np.concatenate([x for x, _, _ in found])
     change = np.zeros(len(raw) + 1, np.int32)
     if len(first):
         size, value = np.concatenate(size).astype(np.int64), np.concatenate(value)
-        start = np.zeros(len(homes), np.int64)
+        start = np.zeros(len(order), np.int64)
         start[order] = np.cumsum(runs[order]) - runs[order]
         n = runs[number]
         at = np.repeat(start[number] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -422,52 +462,144 @@ def _covered(heads: bytes, data: bytes, answers: list[dict], buckets: int, text_
     return ids, begin, raw, np.cumsum(change[:-1]) > 0
 
 
-def answered_blocks(docs: DataFrame, block_bytes: int, hot: int, answer) -> tuple[DataFrame, int, int]:
-    """Blocks with the anchors' and the texts' answers, and the two numbers of buckets."""
+def answered_blocks(docs: DataFrame, block_bytes: int, hot: int, answer) -> tuple[DataFrame, int, DataFrame]:
+    """Blocks with the anchors' and the texts' answers, the number of buckets, and the blocks."""
     blocks = make_blocks(docs, block_bytes)
-    n = max(1, blocks.count())
-    buckets, text_buckets = max(1, n // 2), 2 * n
+    buckets = max(LEAST_BUCKETS, -(-blocks.count() // BLOCKS_OF_BUCKET))
     anchors = shared_anchors(blocks, buckets, hot)
-    sent = candidate_stretches(blocks, anchors, buckets, text_buckets)
+    sent = candidate_stretches(blocks, anchors, buckets)
     found = written(sent.groupBy("bucket").applyInArrow(answer, "block long, bucket int, data binary"), "answers")
-    return with_answers(blocks, anchors.unionAll(found.selectExpr("block", "-1 - bucket as bucket", "data"))), buckets, text_buckets
+    return with_answers(blocks, anchors.unionAll(found.selectExpr("block", "-1 - bucket as bucket", "data"))), buckets, blocks
 
 
-def maximal_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
-    """repeat_id, doc_id, start, length, text: every occurrence (in bytes) of each repeat that can be extended neither to the left nor, within its stretch, to the right."""
-    names = "repeat_id long, doc_id long, start long, length long, text binary"
-    rows, buckets, text_buckets = answered_blocks(docs, block_bytes, hot, _repeats_of_texts)
+#: Modulus and salts of the fingerprints of sets of places; all products fit a long.
+_PRIME = (1 << 31) - 1
+_SALTS = (1, 2)
+
+
+def _occurrences(docs: DataFrame, block_bytes: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """A written table of repeat, block, doc (its number in the block), doc_id, start, length, lo, hi, and the blocks: places of the repeats inside stretches.
 
-    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    From lo to hi the document is covered by repeats without a gap.
+    """
+    names = "repeat long, block long, doc int, doc_id long, start long, length int, lo long, hi long"
+    rows, buckets, blocks = answered_blocks(docs, block_bytes, hot, _repeats_of_texts)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, heads, data, answers in zip(*batch.columns, strict=True):
+            for block, heads, data, answers in zip(*batch.columns, strict=True):
                 said = _first_answers(answers.as_py())
                 mine = _Block(heads.as_py(), data.as_py(), buckets)
-                c = _Candidates(mine, said, buckets, text_buckets)
+                c = _Candidates(mine, said, buckets)
                 repeats: dict[int, list[tuple[int, int, int]]] = {}
-                for k in np.unique(c.homes).tolist():
+                for k, part, _ in c.rows():
                     n, offset, length, number = _unpack(said[-1 - k], ["<i4", "u1", "u1", "<i8"])
                     ends = np.cumsum(n)
-                    for t, a, b in zip(np.flatnonzero(c.homes == k).tolist(), (ends - n).tolist(), ends.tolist(), strict=True):
+                    for t, a, b in zip(part.tolist(), (ends - n).tolist(), ends.tolist(), strict=True):
                         repeats[t] = list(zip(number[a:b].tolist(), offset[a:b].tolist(), length[a:b].tolist(), strict=True))
                 out = [(number, d, first + o, n) for first, d, t in zip(c.first.tolist(), c.doc.tolist(), c.number.tolist(), strict=True) for number, o, n in repeats[t]]
-                doc = np.array([x[1] for x in out], np.int64)
-                at = np.array([x[2] for x in out], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), doc_id_array(mine.ids[doc]), pa.array(at - mine.begin[doc]), pa.array([x[3] for x in out], pa.int64()), pa.array([mine.raw[a : a + n] for _, _, a, n in out], pa.binary())], names=[x.split()[0] for x in names.split(", ")])
+                if not out:
+                    continue
+                number, doc, at, n = (np.array(x, np.int64) for x in zip(*out, strict=True))
+                change = np.zeros(len(mine.raw) + 1, np.int64)
+                np.add.at(change, at, 1)
+                np.add.at(change, at + n, -1)
+                gone = np.cumsum(change[:-1]) > 0
+                edge = np.flatnonzero(~gone[1:] & gone[:-1]) + 1
+                edge = np.unique(np.concatenate([edge, mine.begin, np.flatnonzero(gone[1:] & ~gone[:-1]) + 1]))  # where covered runs begin or end, and documents
+                k = np.searchsorted(edge, at, side="right")
+                lo, hi = edge[k - 1], edge[np.minimum(k, len(edge) - 1)]
+                base = mine.begin[doc]
+                columns = [pa.array(number), pa.array([block.as_py()] * len(out), pa.int64()), pa.array(doc.astype(np.int32)), doc_id_array(mine.ids[doc]), pa.array(at - base), pa.array(n.astype(np.int32)), pa.array(lo - base), pa.array(hi - base)]
+                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in names.split(", ")])
+
+    return written(rows.mapInArrow(unpack, names), "occurrences"), blocks
+
+
+def _seeds(occurrences: DataFrame) -> DataFrame:
+    """A written table of seed (the repeat that its places go by), block, doc, start, end, lo, hi: one place of each chain of repeats.
+
+    Repeats with the same places, but for a shift that is the same for all, are pieces of one longer repeat: they are known by sums over
+    their places that don't change with the shift. Pieces that overlap or touch are one seed.
+    """
+    rows = occurrences
+    for salt in _SALTS:
+        rows = rows.withColumn(f"r{salt}", F.pmod(F.xxhash64("block", "doc", F.lit(salt)), F.lit(_PRIME)))
+    place = F.min(F.struct("block", "doc", "start", "lo", "hi")).alias("p")
+    sums = [F.sum(x).alias(n) for salt in _SALTS for x, n in ((F.col(f"r{salt}"), f"a{salt}"), (F.pmod(F.col(f"r{salt}") * F.col("start"), F.lit(_PRIME)), f"b{salt}"))]
+    each = rows.groupBy("repeat", "length").agg(F.count("*").alias("n"), place, *sums).where("n > 1")
+    fixed = [F.pmod(F.col(f"b{s}") - F.pmod(F.pmod(F.col(f"a{s}"), F.lit(_PRIME)) * F.col("p.start"), F.lit(_PRIME)), F.lit(_PRIME)).alias(f"f{s}") for s in _SALTS]
+    each = each.select("repeat", "n", "p.block", "p.doc", "p.start", (F.col("p.start") + F.col("length")).alias("end"), "p.lo", "p.hi", *fixed)
+    w = Window.partitionBy("n", "block", "doc", *[f"f{s}" for s in _SALTS]).orderBy("start", F.desc("end"), "repeat")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    each = each.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    seeds = each.groupBy("n", "block", "doc", *[f"f{s}" for s in _SALTS], "run").agg(F.min(F.struct("start", "repeat")).alias("s"), F.max("end").alias("end"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return written(seeds.select(F.col("s.repeat").alias("seed"), "block", "doc", F.col("s.start").alias("start"), "end", "lo", "hi"), "seeds")
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Elements that two arrays begin with in common."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
+
 
-    return rows.mapInArrow(occurrences, names)
+def maximal_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
+    """repeat_id, doc_id, start, length, text: every occurrence (in bytes) of each repeat of `LENGTH` bytes or more that can be extended neither to the left nor to the right.
+
+    Groups from the suffix arrays are joined into chains that go on from stretch to stretch, and every chain is
+    extended as far as all its occurrences agree: one of them lends the covered text around it, all are compared with that, and the least
+    agreement counts. A repeat is found if some part of it inside one stretch has no other occurrences than the whole has.
+    """
+    occurrences, blocks = _occurrences(docs, block_bytes, hot)
+    seeds = _seeds(occurrences)
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for heads, data, asked in zip(*batch.columns, strict=True):
+                _, begin, raw = open_block(heads.as_py(), data.as_py())
+                rows = asked.as_py()
+                texts = [raw[begin[r["doc"]] + r["lo"] : begin[r["doc"]] + r["hi"]] for r in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([r["seed"] for r in rows], pa.int64()), pa.array([r["start"] - r["lo"] for r in rows], pa.int64()), pa.array([r["end"] - r["lo"] for r in rows], pa.int64()), pa.array(texts, pa.binary())], names=["seed", "a", "b", "text"])
+
+    asked = seeds.groupBy("block").agg(F.collect_list(F.struct("seed", "doc", "start", "end", "lo", "hi")).alias("asked"))
+    lent = written(blocks.join(asked, "block").select("heads", "data", "asked").mapInArrow(around, "seed long, a long, b long, text binary"), "lent")
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for heads, data, asked in zip(*batch.columns, strict=True):
+                _, begin, raw = open_block(heads.as_py(), data.as_py())
+                data, out = np.frombuffer(raw, np.uint8), []
+                for r in asked.as_py():
+                    text, a, left, right = np.frombuffer(r["text"], np.uint8), r["a"], r["a"], len(r["text"])
+                    for doc, start in ((x["doc"], x["start"]) for x in r["places"]):
+                        at, end = int(begin[doc]) + start, int(begin[doc + 1])
+                        left = min(left, _common(text[:a][::-1], data[begin[doc] : at][::-1]))
+                        right = min(right, a + _common(text[a:], data[at:end]))
+                    out.append((r["seed"], left, right))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["seed", "left", "right"])
+
+    places = occurrences.select(F.col("repeat").alias("seed"), "block", "doc", "start").join(seeds.select("seed").distinct(), "seed", "left_semi")
+    places = places.groupBy("seed", "block").agg(F.collect_list(F.struct("doc", "start")).alias("places")).join(lent, "seed")
+    asked = places.groupBy("block").agg(F.collect_list(F.struct("seed", "a", "text", "places")).alias("asked"))
+    agreed = blocks.join(asked, "block").select("heads", "data", "asked").mapInArrow(agree, "seed long, left long, right long").groupBy("seed").agg(F.min("left").alias("left"), F.min("right").alias("right"))
+    whole = lent.join(agreed, "seed").select("seed", "left", F.expr("substring(text, cast(a - left + 1 as int), cast(right - a + left as int))").alias("text"))
+    # chains of one repeat have become the same
+    whole = whole.withColumn("repeat_id", F.xxhash64("text")).groupBy("repeat_id").agg(F.min_by(F.struct("seed", "left", "text"), "seed").alias("w")).select("repeat_id", "w.*")
+    found = occurrences.select(F.col("repeat").alias("seed"), "doc_id", "start").join(whole, "seed")
+    return found.select("repeat_id", "doc_id", (F.col("start") - F.col("left")).alias("start"), F.octet_length("text").cast("long").alias("length"), "text")
 
 
 def drop_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary: the bytes that stay) of every row."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
-    rows, buckets, text_buckets = answered_blocks(docs, block_bytes, hot, _first_documents)
+    rows, buckets, _ = answered_blocks(docs, block_bytes, hot, _first_documents)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, heads, data, answers in zip(*batch.columns, strict=True):
-                ids, begin, raw, gone = _covered(heads.as_py(), data.as_py(), answers.as_py(), buckets, text_buckets)
+                ids, begin, raw, gone = _covered(heads.as_py(), data.as_py(), answers.as_py(), buckets)
                 bytes_, out = np.frombuffer(raw, np.uint8), []
                 for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
                     mask = gone[a:b]
@@ -483,12 +615,12 @@ def drop_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT
 def repeat_spans(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """doc_id, start, end (bytes) of each maximal covered span."""
 
-    rows, buckets, text_buckets = answered_blocks(docs, block_bytes, hot, _first_documents)
+    rows, buckets, _ = answered_blocks(docs, block_bytes, hot, _first_documents)
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, heads, data, answers in zip(*batch.columns, strict=True):
-                ids, begin, _, gone = _covered(heads.as_py(), data.as_py(), answers.as_py(), buckets, text_buckets)
+                ids, begin, _, gone = _covered(heads.as_py(), data.as_py(), answers.as_py(), buckets)
                 first = np.zeros(len(gone) + 1, bool)
                 first[begin] = True
                 starts = np.flatnonzero(gone & (first[:-1] | ~np.concatenate([[False], gone[:-1]])))
