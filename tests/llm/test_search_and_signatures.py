@@ -223,3 +223,34 @@ def test_links_are_decided_by_whole_sets_of_shingles(spark):
             texts[10 * k + 1 + j] = texts[10 * k] + " " + prose(rnd, int((120 + k) * part), words)
     got = {r.doc_id: r.component_id for r in op01_simhash.similar_documents(docs_frame(spark, list(texts.items()))).collect()}
     assert got == brute_components(texts, lambda a, b: a[:20] == b[:20] and shares(a, b) >= 0.8)
+
+
+def test_large_group_of_near_copies(spark):
+    """Two thousand copies of one text with up to a fifth of it changed, and others of a page frame that share less: every link, by brute force."""
+    rnd = random.Random(9)
+    words = [f"w{k}" for k in range(5000)]
+    template, frame = prose(rnd, 160, words).split(), prose(rnd, 60, words)
+    texts = {}
+    for k in range(2000):
+        copy = list(template)
+        for _ in range(rnd.choice((0, 1, 2, 3, 4, 5, 6))):
+            copy[rnd.randrange(160)] = f"x{rnd.randrange(300)}"
+        texts[k] = " ".join(copy)
+    texts |= {5000 + k: f"{frame} {prose(rnd, rnd.randint(40, 60), words)}" for k in range(150)}
+    texts |= {6000 + k: texts[5000 + k] + " end" for k in range(0, 150, 5)}
+    sets = {d: frozenset(op01_simhash.shingles(t).tolist()) for d, t in texts.items()}
+    number = {h: k for k, h in enumerate(sorted(set().union(*sets.values())))}
+    ids, flags = sorted(texts), np.zeros((len(texts), len(number)), np.float32)
+    for row, d in enumerate(ids):
+        flags[row, [number[h] for h in sets[d]]] = 1
+    both, size = flags @ flags.T, flags.sum(1)
+    near = both / (size[:, None] + size[None, :] - both) >= 0.8
+    label = np.arange(len(ids))
+    while True:
+        least = np.array([label[near[k]].min() for k in range(len(ids))])
+        if (least == label).all():
+            break
+        label = least
+    want = {d: ids[label[k]] for k, d in enumerate(ids)}
+    got = {r.doc_id: r.component_id for r in op01_simhash.similar_documents(docs_frame(spark, list(texts.items()))).collect()}
+    assert got == want and 100 < len(set(want.values())) < 2000

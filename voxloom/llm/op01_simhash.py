@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.llm.components import components
@@ -230,6 +230,44 @@ def _linked(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return written(found.where(both / (F.size("ha") + F.size("hb") - both) >= similar).select("a", "b"), "linked")
 
 
+#: Bits of a shingle's hash by which shingles are counted to tell rare from common: the driver gets two to this power of counts at most.
+_COUNTED_BITS = 20
+
+
+def _rare_shingles(sets: DataFrame, similar: float) -> DataFrame:
+    """key, id, m, label and parity of the rarest shingles of each set (id, m, label, hashes, odd).
+
+    If two sets share the part `similar` of their union, they share one of the first m - similar * m + 1 shingles of each in any order
+    that is the same for both. The order here is by how common a shingle is (as far as a bounded table of counts tells), then by its hash.
+    """
+    bits = 64 - _COUNTED_BITS
+    counts = sets.select(F.explode("hashes").alias("h")).groupBy(F.shiftrightunsigned("h", bits).alias("k")).agg(F.count("*").alias("n")).toArrow()
+    common = np.zeros(1 << _COUNTED_BITS, np.int64)
+    common[counts["k"].to_numpy()] = counts["n"].to_numpy()
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chosen = []
+            for x in batch.column(3):
+                h = x.values.to_numpy()
+                n = len(h) - int(np.ceil(similar * len(h) - 1e-9)) + 1
+                chosen.append(h[np.lexsort((h, common[(h.view(np.uint64) >> np.uint64(bits)).astype(np.int64)]))[:n]])
+            which = pa.array(np.repeat(np.arange(len(chosen)), [len(x) for x in chosen]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *chosen])), *[batch.column(k).take(which) for k in (0, 1, 2, 4)]], names=["key", "id", "m", "label", "odd"])
+
+    rows = sets.select("id", "m", "label", "hashes", "odd").mapInArrow(first, "key long, id long, m int, label long, odd array<long>")
+    return rows.select("key", "id", "m", "label", *[F.col("odd")[k].alias(f"o{k}") for k in range(PARITY_LONGS)])
+
+
+def _apart(rows: DataFrame, near: Column, similar: float) -> DataFrame:
+    """Pairs a, b of rows with one key and different labels, unless sizes or parity bits rule them out: those outside the key's largest label with all others."""
+    sizes = rows.groupBy("key", "label").agg(F.count("*").alias("k")).groupBy("key").agg(F.count("*").alias("labels"), F.sum("k").alias("n"), F.expr("max_by(label, struct(k, label))").alias("main"))
+    rows = rows.join(sizes.where("labels > 1").select("key", "n", "main"), "key")
+    differ = " + ".join(f"bit_count(a.o{k} ^ b.o{k})" for k in range(PARITY_LONGS))
+    few = F.expr(f"a.label <> b.label and {differ} <= (a.m + b.m) * {(1 - similar) / (1 + similar)} + 0.5")
+    return rows.where("label <> main").alias("a").join(rows.alias("b"), "key").where(near & few)
+
+
 def _similar_texts(docs: DataFrame, shingle: int, similar: float) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, hash, id) and different sets of shingles (id, first, label): sets with one label are linked by chains.
 
@@ -238,8 +276,9 @@ def _similar_texts(docs: DataFrame, shingle: int, similar: float) -> tuple[DataF
 
     Candidates have the least hashes of a band in common, and are compared on their whole sets of shingles. Groups
     of a band beyond `PAIRS_TO` members are first compared with two hubs: the member with the smallest doc_id and the one that
-    is in the most and largest groups. What that leaves in different components is compared in pairs, so no pair of a group
-    is left out unless both are in one component already, or their sizes or parity bits show that they share too little.
+    is in the most and largest groups. Members of a group that this leaves in different components are joined by their
+    rarest shingles (:func:`_rare_shingles`), which no pair that is similar enough can miss; so pairs are compared only if they share a
+    rare shingle, and none is left out unless both are in one component already, or their sizes or parity bits show that they share too little.
     """
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,14 +319,12 @@ def _similar_texts(docs: DataFrame, shingle: int, similar: float) -> tuple[DataF
     linked = _linked(pairs.unionAll(stars), sets, similar)
     label = written(components(linked), "labels")
 
-    # groups that hold several components: members outside the largest with those of other components
-    ours = large.join(label.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "m", "n", F.coalesce("label", "id").alias("label"))
-    main = ours.groupBy("key", "label").agg(F.count("*").alias("k")).groupBy("key").agg(F.count("*").alias("labels"), F.expr("max_by(label, struct(k, label))").alias("main")).where("labels > 1").select("key", "main")
-    odd = sets.select("id", *[F.col("odd")[k].alias(f"o{k}") for k in range(PARITY_LONGS)])
-    ours = written(ours.join(main, "key").join(odd, "id"), "open")
+    # members of groups that hold several components
+    ours = large.join(label.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "m", F.coalesce("label", "id").alias("label"))
+    open_ = ours.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
+    ours = written(sets.join(ours.join(open_, "key").select("id", "m", "label").distinct(), "id"), "open")
     if ours.head(1):
-        apart = " + ".join(f"bit_count(a.o{k} ^ b.o{k})" for k in range(PARITY_LONGS))
-        rest = ours.where("label <> main").alias("a").join(ours.alias("b"), "key").where(near & F.expr(f"a.label <> b.label and {apart} <= (a.m + b.m) * {(1 - similar) / (1 + similar)} + 0.5")).select(*pair)
+        rest = _apart(written(_rare_shingles(ours, similar), "prefixes"), near, similar).select(*pair)
         label = written(components(linked.unionAll(_linked(rest, sets, similar))), "labels")
 
     named = texts.select("id", "first").join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "first", F.coalesce("label", "id").alias("label"))
