@@ -89,3 +89,33 @@ def test_pipeline(spark, corpus):
     assert "[EMAIL]" in kept["personal_data"][1003] and "foo@bar.com" not in json.dumps(kept["personal_data"])
     pieces = pipeline.run(spark, path)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == kept["personal_data"].keys()
+
+
+def test_stages_keep_odd_rows(spark, corpus, tmp_path):
+    """Nulls, empty and repeated rows, rows without a doc_id, empty tables and columns with the names that operators use inside."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from samples import EXTRA
+
+    path = corpus[0]
+    rnd = random.Random(13)
+    texts = [prose(rnd, 60, [f"w{k}" for k in range(400)]) for _ in range(4)]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[2]), (2, texts[2]), (3, None), (4, ""), (None, texts[3]), (None, None), (5, "x" * 300_000 + " mail a@b.co")]
+    plain = spark.createDataFrame([(d, t, "en", "src", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = plain.withColumns({k: F.lit(v) for k, v in EXTRA.items()})
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, path)
+        none = stage(spark, docs.where("false"), path)
+        assert none.count() == 0
+        if name == "packing":
+            assert out.groupBy("doc_id").count().count() == 6
+            continue
+        assert out.columns == docs.columns == none.columns
+        got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+        if name == "near_duplicates":  # null and empty texts are one group, the same row twice one document
+            assert got == sorted([rows[0], rows[1], rows[2], rows[4], *rows[6:]], key=str)
+        elif name == "decontaminate":
+            assert got == sorted(rows, key=str)
+        elif name == "personal_data":
+            assert len(got) == len(rows) and (5, "x" * 300_000 + " mail [EMAIL]") in got and sum(t is None for _, t in got) == 2
+        else:
+            assert set(got) <= set(rows)

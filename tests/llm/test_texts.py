@@ -103,6 +103,50 @@ def test_packing_fetches_the_closest_document():
     assert [k for k, _, _ in op03_packing.pack(docs, index, 120)[0]] == [0, 2]
 
 
+def test_packing_against_plain_bm25():
+    """Scores by the formula, and windows filled greedily from the best unused neighbour of the seed."""
+    rnd = np.random.default_rng(6)
+    for _ in range(20):
+        docs = [rnd.integers(2, 30, rnd.integers(1, 90)).astype("<u4") for _ in range(25)]
+        df = np.zeros(30)
+        for d in docs:
+            df[np.unique(d)] += 1
+        idf = np.log(1 + (len(docs) - df + 0.5) / (df + 0.5))
+        mean = float(np.mean([len(d) for d in docs]))
+        index = op03_packing.ShardIndex(docs, idf, mean)
+
+        def bm25(seed, k, docs=docs, idf=idf, mean=mean):
+            total = 0.0
+            for t in set(docs[seed].tolist()):
+                f = docs[k].tolist().count(t)
+                total += idf[t] * f * (op03_packing.K1 + 1) / (f + op03_packing.K1 * (1 - op03_packing.B + op03_packing.B * len(docs[k]) / mean))
+            return total
+
+        scores = np.array([[bm25(s, k) for k in range(len(docs))] for s in range(len(docs))])
+        assert all(np.allclose(index.scores(s), scores[s], rtol=1e-4, atol=1e-4) for s in range(len(docs)))
+        unused, rest, want, at = set(range(len(docs))), None, [], 0
+        while rest or unused:
+            if rest is None:
+                rest = (min(unused), 0)
+                unused.discard(rest[0])
+            seed, start = rest
+            size = min(128, len(docs[seed]) - start)
+            pieces, room = [(seed, start, size)], 128 - size
+            rest = (seed, start + size) if start + size < len(docs[seed]) else None
+            for k in sorted(unused, key=lambda k: (-float(index.scores(seed)[k]), k)) if room else ():
+                if not room:
+                    break
+                size = min(room, len(docs[k]))
+                pieces.append((k, 0, size))
+                unused.discard(k)
+                room -= size
+                rest = (k, size) if size < len(docs[k]) else rest
+            want.append(pieces)
+        got = op03_packing.pack(docs, index, 128)
+        full = [p for p in got if sum(n for *_, n in p) == 128]
+        assert full[: len(want) - 1] == want[: len(full)][: len(want) - 1]
+
+
 def brute_tiles(item, doc, shortest):
     free_i, free_d, total = [True] * len(item), [True] * len(doc), 0
     while True:
@@ -263,6 +307,33 @@ def test_personal_data(spark):
     assert op07_pii.redact(docs_frame(spark, rows, True)).columns == docs_frame(spark, rows, True).columns
 
 
+def test_further_kinds_of_personal_data(spark):
+    """IBANs by mod 97, and numbers like 123-45-6789 near a word that says what they are, against plain Python."""
+    rnd = random.Random(14)
+    rows = []
+    for k in range(400):
+        bban = "".join(rnd.choice("0123456789ABCXYZ") for _ in range(rnd.randint(11, 30)))
+        country = rnd.choice(["DE", "GB", "ZZ"])
+        check = 98 - int("".join(str(int(c, 36)) for c in bban + country + "00")) % 97
+        iban = f"{country}{check if rnd.random() < 0.6 else rnd.randint(2, 98):02d}{bban}"
+        ssn = f"{rnd.choice(['000', '666', '123', '900'])}-{rnd.choice(['00', '45'])}-{rnd.choice(['0000', '6789'])}"
+        rows.append((k, f"{'.' * rnd.randint(0, 3)} {iban} {rnd.choice(['ssn', 'no', 'National ID:', 'assn', 'SSN' + ' .' * 30])} {ssn}"))
+    got = {r.doc_id: {tuple(x.split(":")) for x in r.spans.split(",") if x.split(":")[0] in ("iban", "national_id")} for r in op07_pii.digest(docs_frame(spark, rows)).collect()}
+    total = Counter()
+    for d, t in rows:
+        want = set()
+        for m in re.finditer(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])", t):
+            if int("".join(str(int(c, 36)) for c in m[0][4:] + m[0][:4])) % 97 == 1:
+                want.add(("iban", str(m.start()), str(m.end())))
+        for m in re.finditer(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", t):
+            near = (t[max(0, m.start() - 40) : m.start()] + " " + t[m.end() : m.end() + 40]).lower()
+            if m[0][:3] not in ("000", "666") and m[0][4:6] != "00" and m[0][7:] != "0000" and re.search(r"(?<![a-z])(ssn|social security|national id)(?![a-z])", near):
+                want.add(("national_id", str(m.start()), str(m.end())))
+        assert got[d] == want, t
+        total.update(k for k, *_ in want)
+    assert min(total["iban"], total["national_id"]) >= 20
+
+
 def test_personal_data_of_a_long_text(spark):
     """Work grows with the text: five megabytes with fifty thousand addresses take seconds, not hours."""
     text = " ".join(f"some words here and there then w{k} user{k}@mail.example.org and more words, call 10.1.2.{k % 256} now done" for k in range(50_000))
@@ -315,6 +386,39 @@ def test_quality(spark):
     assert op08_quality.score(docs_frame(spark, []), model).count() == 0 and op08_quality.keep_good(docs, None).count() == len(rows)
 
 
+def test_ranker_finds_the_minimum_of_the_pair_loss():
+    """Against plain gradient descent on the same pairs: the loss of preferences, logistic in feature differences, with its penalty."""
+    rnd = np.random.default_rng(3)
+    x = np.column_stack([rnd.normal(0, 1, (60, 3)), np.full(60, 200.0)])
+    better = x[:, 0] + 0.8 * rnd.normal(0, 1, 60) > 0
+    model = op08_quality.fit(x, better)
+    z = op08_quality.expand(x, model.mean, model.scale)
+    draw, n = np.random.default_rng(7), op08_quality.PAIRS_PER_ROW * len(x)
+    diff = z[draw.choice(np.flatnonzero(better), n)] - z[draw.choice(np.flatnonzero(~better), n)]
+    w = np.zeros(z.shape[1])
+    for _ in range(20_000):
+        w -= 0.3 * (diff.T @ (1 / (1 + np.exp(-diff @ w)) - 1) / n + op08_quality.L2 * w)
+    assert np.allclose(model.weights, w, atol=1e-3)
+    assert np.isclose(model.cut, np.quantile(z @ w, 1 - better.mean()), atol=1e-3)
+
+
+def test_ranks_on_held_out_documents():
+    """Where labels follow a hidden quality, better documents get higher scores: area under the curve against counting pairs."""
+    rnd = random.Random(4)
+    texts, good = [], []
+    for k in range(500):
+        share = (k % 10) / 10
+        words = prose(rnd, 80).split()
+        texts.append(" ".join(w.upper() + "!!" if rnd.random() < share else w for w in words))
+        good.append(rnd.random() > share)
+    x = np.array([op08_quality.features(t) for t in texts])
+    y = np.array(good)
+    model = op08_quality.fit(x[:300], y[:300])
+    s = model.score(x[300:])
+    wins = [a > b for a in s[y[300:]] for b in s[~y[300:]]]
+    assert np.mean(wins) > 0.8
+
+
 def test_labels_do_not_reach_scores_but_through_the_fit(spark):
     rnd = random.Random(2)
     docs = docs_frame(spark, [(k, prose(rnd, 20)) for k in range(50)])
@@ -353,7 +457,7 @@ def test_word_probabilities_sum_to_one():
     codes = np.arange(op10_bilinear.END + 1 + len(corpus.group))
     # every outcome after the same two words: as the third token of a document each
     whole = np.column_stack([np.full(len(codes), 7), np.full(len(codes), 300), codes]).ravel()
-    said = op10_bilinear.token_scores(corpus, model, whole, np.arange(0, len(whole) + 1, 3))[2::3]
+    said = op10_bilinear.token_scores(corpus, model, op10_bilinear.choices_of(corpus, (model.groups, model.places)), whole, np.arange(0, len(whole) + 1, 3))[2::3]
     assert abs((10**said).sum() - 1) < 1e-4
 
 
@@ -362,15 +466,18 @@ def test_choices_learn_what_follows():
     rnd = np.random.default_rng(5)
     n = 6000
     side = rnd.integers(0, 2, n) * 2 - 1
-    h = np.zeros((n, op10_bilinear.DIM), np.float32)
-    h[:, 0] = side
+    h = np.zeros((n, op10_bilinear.DIM + 1), np.float32)
+    h[:, 0], h[:, -1] = side, 1
     outcome = np.where(rnd.random(n) < 0.9, (side > 0).astype(int), rnd.integers(0, 2, n))
     order = np.argsort(outcome, kind="stable")
     h, outcome = h[order], outcome[order]
     choices = op10_bilinear.Choices(np.array([0, 2, 3]), np.array([*np.bincount(outcome, minlength=2), 10.0]))
     before = choices.log_probability(h, outcome).sum()
     for _ in range(20):
-        choices.theta = choices.learn(h, outcome, np.ones(n, np.float32))[0]
+        sums, tokens = np.zeros_like(choices.theta), np.zeros(2)
+        choices.learn(h, outcome, np.ones(n, np.float32), sums, tokens)
+        assert tokens.tolist() == [n, 0]
+        choices.theta = np.concatenate([sums[:2] / n, sums[2:]])
     after = choices.log_probability(h, outcome).sum()
     # the best possible: 0.95 and 0.05
     best = n * (0.95 * np.log10(0.95) + 0.05 * np.log10(0.05))

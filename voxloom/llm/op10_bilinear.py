@@ -387,33 +387,33 @@ class Choices:
             c = int(choice[at])
             yield c, at, end, int(self.begin[c]), int(self.begin[c + 1])
 
-    def learn(self, h: np.ndarray, outcome: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Parameters after some steps on tokens with contexts `h` and (ascending) outcomes, and each choice's tokens."""
-        out, tokens = self.theta.copy(), np.zeros(len(self.begin) - 1)
+    def learn(self, h: np.ndarray, outcome: np.ndarray, weight: np.ndarray, sums: np.ndarray, tokens: np.ndarray) -> None:
+        """Take some steps on tokens with contexts `h` (the last column one) and ascending outcomes; add each choice's parameters, times its tokens, to `sums`, and these to `tokens`."""
         log_k = np.float32(np.log(NOISE_OF_CHOICE))
+        share = NOISE_OF_CHOICE * np.exp(self.log_noise)
         for c, at, end, lo, hi in self._parts(outcome):
-            tokens[c] = weight[at:end].sum()
-            if hi - lo == 1:
-                continue
-            x, w, mine = h[at:end], weight[at:end, None], out[lo:hi]
-            expected = w * (NOISE_OF_CHOICE * np.exp(self.log_noise[lo:hi]))[None, :]
-            row, y = np.arange(end - at), outcome[at:end] - lo
-            square = np.ones_like(mine)
-            for _ in range(STEPS):
-                p = _sigmoid(x @ mine[:, :DIM].T + mine[:, DIM] - log_k)  # that an outcome is no noise
-                g = expected * p
-                g[row, y] += (p[row, y] - 1) * w[:, 0]
-                grad = np.column_stack([g.T @ x, g.sum(0)])
-                square += grad * grad
-                mine -= STEP_RATE * grad / np.sqrt(square)
-        return out, tokens
+            x, w, mine = h[at:end], weight[at:end], self.theta[lo:hi].copy()
+            n = w.sum()
+            tokens[c] += n
+            if hi - lo > 1:
+                expected = w[:, None] * share[lo:hi]
+                row, y = np.arange(end - at), outcome[at:end] - lo
+                square = np.ones_like(mine)
+                for _ in range(STEPS):
+                    p = 1 / (1 + np.exp(log_k - x @ mine.T))  # that an outcome is no noise
+                    g = expected * p
+                    g[row, y] += (p[row, y] - 1) * w
+                    grad = g.T @ x
+                    square += grad * grad
+                    mine -= STEP_RATE * grad / np.sqrt(square)
+            sums[lo:hi] += mine * n
 
     def log_probability(self, h: np.ndarray, outcome: np.ndarray) -> np.ndarray:
-        """log10 of each token's outcome within its choice; outcomes in ascending order."""
+        """log10 of each token's outcome within its choice; `h` and outcomes as in :meth:`learn`."""
         out = np.zeros(len(outcome))
         for _, at, end, lo, hi in self._parts(outcome):
             if hi - lo > 1:
-                scores = h[at:end] @ self.theta[lo:hi, :DIM].T + (self.theta[lo:hi, DIM] + self.log_noise[lo:hi])
+                scores = h[at:end] @ self.theta[lo:hi].T + self.log_noise[lo:hi]
                 top = scores.max(1)
                 out[at:end] = scores[np.arange(end - at), outcome[at:end] - lo] - top - np.log(np.exp(scores - top[:, None]).sum(1))
         return out / LOG10
@@ -503,11 +503,12 @@ def train(coded: DataFrame, corpus: Corpus, rounds: int = ROUNDS) -> Model:
                     sums[-1] += model.theta * n
                     tokens[-1] += n
                     if last:
-                        h, place, weight, _ = _late(context, codes, one, two, keep)
+                        keep &= codes > END
+                        code, weight = np.unique(_trigrams(codes[keep], one[keep], two[keep]), return_counts=True)
+                        h, place = _late(context, code // CLASSES**2, code // CLASSES % CLASSES, code % CLASSES)
+                        weight = weight.astype(np.float32)
                         for k, outcome in enumerate((corpus.group[place], place)):
-                            theta_k, n = choices[k].learn(h, outcome, weight)
-                            sums[k] += theta_k * _by_choice(corpus, k, n).astype(np.float32)
-                            tokens[k] += n
+                            choices[k].learn(h, outcome, weight, sums[k], tokens[k])
             if tokens[-1][0]:
                 for kind, n, total in zip((OF_GROUPS, OF_PLACES, OF_CLASSES) if last else (OF_CLASSES,), tokens, sums, strict=True):
                     yield row(g, kind, n, total)
@@ -519,23 +520,28 @@ def train(coded: DataFrame, corpus: Corpus, rounds: int = ROUNDS) -> Model:
     return Model(theta, seen, found.get(OF_GROUPS, empty[0]), found.get(OF_PLACES, empty[1]))
 
 
-def _late(context: Bilinear, codes: np.ndarray, one: np.ndarray, two: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """h, place (ascending) and weight of the different kept tokens beyond the top words and the end, and which of them each such token is."""
-    at = np.flatnonzero(keep & (codes > END))
-    different, which, weight = np.unique(((codes[at] - END - 1) * CLASSES + one[at]) * CLASSES + two[at], return_inverse=True, return_counts=True)
-    h = context.context(different // CLASSES % CLASSES, different % CLASSES).astype(np.float32)
-    return h, different // CLASSES**2, weight.astype(np.float32), which
+def _late(context: Bilinear, code: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """h (with a column of ones) and place of tokens beyond the top words and the end, by their codes and the classes before them."""
+    h = np.ones((len(code), DIM + 1), np.float32)
+    h[:, :DIM] = context.context(one, two)
+    return h, code - END - 1
+
+
+def _trigrams(codes: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """A number for each token's code and the classes before it, in the order of codes."""
+    return (codes * CLASSES + one) * CLASSES + two
 
 
-def token_scores(corpus: Corpus, model: Model, codes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+def token_scores(corpus: Corpus, model: Model, choices: tuple[Choices, Choices], codes: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """log10 probability of each token's class and place; a rare word's part of its place comes on top."""
-    classes = corpus.classes(codes)
-    one, two = contexts(classes, begin)
-    out = Bilinear(model.classes).log_probability(one, two, classes)
-    groups, places = choices_of(corpus, (model.groups, model.places))
-    h, place, _, which = _late(Bilinear(model.seen), codes, one, two, np.ones(len(codes), bool))
-    out[codes > END] += (groups.log_probability(h, corpus.group[place]) + places.log_probability(h, place))[which]
-    return out
+    one, two = contexts(corpus.classes(codes), begin)
+    different, which = np.unique(_trigrams(codes, one, two), return_inverse=True)
+    code, one, two = different // CLASSES**2, different // CLASSES % CLASSES, different % CLASSES
+    out = Bilinear(model.classes).log_probability(one, two, corpus.classes(code))
+    late = np.searchsorted(code, END, side="right")
+    h, place = _late(Bilinear(model.seen), code[late:], one[late:], two[late:])
+    out[late:] += choices[0].log_probability(h, corpus.group[place]) + choices[1].log_probability(h, place)
+    return out[which]
 
 
 def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -551,11 +557,12 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     tokens = corpus.tokens
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        choices = model and choices_of(corpus, (model.groups, model.places))
         for batch in batches:
             for _, *parts in zip(*batch.columns, strict=True):
                 ids, held, figures, codes, begin = _opened(*parts)
                 base = figures[:, 2]
-                said = base if model is None else np.add.reduceat(token_scores(corpus, model, codes, begin), begin[:-1]) + figures[:, 3]
+                said = base if model is None else np.add.reduceat(token_scores(corpus, model, choices, codes, begin), begin[:-1]) + figures[:, 3]
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays([doc_id_array(ids), pa.array(held), pa.array(figures[:, 0].astype(np.int64)), pa.array(figures[:, 1].astype(np.int64)), pa.array([tokens] * n, pa.int64()), pa.array(base), pa.array(said)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
