@@ -9,9 +9,8 @@ sequences, and goes on with shorter ones down to `SHORTEST`. An item is leaked i
 document if tiles cover at least `COVERAGE` of the item's words; as tiles may lie in any order,
 reordered passages count.
 
-Tiles that cover so much hold a certain number of the item's runs, so the item can be found by any set of its runs that
-leaves out fewer than that: the runs that most items have are left out, and a phrase that is in very many items and
-documents doesn't join them all.
+Tiles that cover so much hold a certain number of the item's runs. So some runs can be left out, those that most items have, and of
+the others a certain number is still needed: a phrase that is in very many items and documents doesn't join them all.
 
 Defined cases: null and empty texts match nothing; an item of fewer than `SHORTEST`
 words has no seed and never matches; items that repeat an id each match on their own and
@@ -40,6 +39,7 @@ _WORD = re.compile(r"\w+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _PRIME = (1 << 61) - 1
 _RADIX = 1_000_003
+_STOP = np.array([-1])
 #: Documents that are compared with the index at once, and their code points.
 _DOCS, _CHARS = 512, 4_000_000
 
@@ -105,17 +105,17 @@ class Words:
     def __init__(self):
         self.memo: dict[str, int] = {}
 
-    def __call__(self, text: str | None) -> list[int]:
-        words = words_of(text)
-        found = list(map(self.memo.get, words))
-        if None in found:
-            if len(self.memo) > MEMO_WORDS:
-                self.memo.clear()
+    def __call__(self, text: str | None) -> np.ndarray:
+        words, memo = words_of(text), self.memo
+        try:
+            return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+        except KeyError:
+            if len(memo) > MEMO_WORDS:
+                memo.clear()
             for w in words:
-                if w not in self.memo:
-                    self.memo[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) >> 1
-            found = [self.memo[w] for w in words]
-        return found
+                if w not in memo:
+                    memo[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) >> 1
+            return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
 
 
 def run_hashes(seq: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +143,7 @@ def _items(benchmark: DataFrame, shortest: int) -> DataFrame:
             for item_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 seq = words(text.as_py())
                 if len(seq) >= shortest:
-                    rows.append((key, item_id.as_py(), seq, run_hashes(np.array(seq, np.int64), shortest)[0]))
+                    rows.append((key, item_id.as_py(), seq, run_hashes(seq, shortest)[0]))
                     key += 1
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], names=["key", "item_id", "words", "runs"])
@@ -170,16 +170,18 @@ def _bitmap(items: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _probes(items: DataFrame, shortest: int, coverage: float) -> DataFrame:
-    """key, run: runs of each item of which a document must have one, the commonest of the benchmark left out.
+    """key, run, times, need: runs of each item with the number of their places, of which a document must have `need`.
 
-    Tiles of `coverage` of n words, each of `shortest` or more, hold at least coverage * n / shortest runs; so one of any set is
-    held that leaves out fewer.
+    Tiles of `coverage` of n words, each of `shortest` or more, hold at least coverage * n / shortest places of runs. Of these
+    half at most are among as many places that are left out, those whose runs are the commonest of the benchmark.
     """
     rows = items.select("key", F.size("words").alias("n"), F.posexplode("runs").alias("nr", "run"))
-    common = rows.groupBy("run").agg(F.count("*").alias("times"))
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("times", "run", "nr"))
-    probe = rows.join(common, "run").withColumn("rank", rank)
-    return probe.where(F.col("rank") <= F.col("n") - shortest + 2 - F.greatest(F.ceil(F.col("n") * coverage / shortest - 1e-9), F.lit(1))).select("key", "run").distinct()
+    common = rows.groupBy("run").agg(F.count("*").alias("common"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("common", "run", "nr"))
+    held = F.greatest(F.ceil(F.col("n") * coverage / shortest - 1e-9), F.lit(1)).cast("long")
+    rows = rows.join(common, "run").withColumn("rank", rank).withColumn("held", held).withColumn("left_out", F.expr("held div 2 - if(held % 2 = 0, 1, 0)"))
+    probe = rows.where(F.col("rank") <= F.col("n") - shortest + 1 - F.col("left_out"))
+    return probe.groupBy("key", "run").agg(F.count("*").alias("times"), F.max(F.col("held") - F.col("left_out")).alias("need"))
 
 
 def _seeded(docs: DataFrame, bitmap: np.ndarray, bits: int, shortest: int) -> DataFrame:
@@ -193,8 +195,8 @@ def _seeded(docs: DataFrame, bitmap: np.ndarray, bits: int, shortest: int) -> Da
             for first, texts in _batches(batch, 1):
                 seqs = []
                 for text in texts:
-                    seqs += [words(text), [-1]]
-                whole = np.array([x for s in seqs for x in s], np.int64)
+                    seqs += [words(text), _STOP]
+                whole = np.concatenate(seqs)
                 ends = np.cumsum([len(s) for s in seqs])[1::2]
                 h, at = run_hashes(whole, shortest)
                 place = h.view(np.uint64) >> np.uint64(64 - bits)
@@ -240,7 +242,7 @@ def _leaked(docs: DataFrame, benchmark: DataFrame, shortest: int, coverage: floa
     if not items.head(1):
         return docs.sparkSession.createDataFrame([], names)
     seeded = _seeded(docs, *_bitmap(items), shortest)
-    pairs = seeded.select("row", F.explode("runs").alias("run")).join(_probes(items, shortest, coverage), "run").select("row", "key").distinct()
+    pairs = seeded.select("row", F.explode("runs").alias("run")).join(_probes(items, shortest, coverage), "run").groupBy("row", "key").agg(F.sum("times").alias("times"), F.max("need").alias("need")).where("times >= need").select("row", "key")
     rows = pairs.join(seeded.select("row", "doc_id", "hash", "parts"), "row").join(items.select("key", "item_id", "words"), "key")
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
