@@ -243,6 +243,23 @@ def test_sound_files(spark, tmp_path):
     assert [(r.chunk, r.start_s, r.n) for r in audio.read_chunks(spark, str(tmp_path / "a.wav"), 2.0, 0.5).orderBy("chunk").collect()] == [(0, 0.0, 32000), (1, 1.5, 32000), (2, 3.0, 32000)]
 
 
+def test_chunks_of_other_rates_are_those_of_the_whole_file(spark, tmp_path):
+    """Each chunk reads its own part of the file; resampled they equal cuts of the resampled whole."""
+    from voxloom.functions.words import resample
+
+    rnd = np.random.default_rng(1)
+    for rate in (8000, 16000, 22050, 44100):
+        samples = rnd.normal(0, 0.2, rate * 3 + 17).astype(np.float32)
+        path = tmp_path / f"{rate}.wav"
+        path.write_bytes(audio.wav_bytes(np.repeat(samples, 2), rate, 2))
+        whole, own = audio.parse_wav(path.read_bytes())
+        whole = resample(whole, own, audio.RATE) if own != audio.RATE else whole
+        got = audio.read_chunks(spark, str(path), 1.0, 0.25).orderBy("chunk").collect()
+        cuts = [whole[a : a + 16000] for a in range(0, len(whole) - 4000, 12000)]
+        assert [r.n for r in got] == [len(c) for c in cuts]
+        assert np.allclose([r.rms for r in got], [np.sqrt(np.mean(c.astype(float) ** 2)) for c in cuts], atol=1e-6)
+
+
 def test_stream_gives_the_batch_utterances_that_have_ended(spark, tmp_path):
     from pyspark.sql import Row
 

@@ -40,47 +40,92 @@ def wav_bytes(samples: np.ndarray, rate: int = RATE, channels: int = 1) -> bytes
     return b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, channels, rate, 2 * channels * rate, 2 * channels, 16) + b"data" + struct.pack("<I", len(data)) + data
 
 
-def read_chunks(spark: SparkSession, path: str, chunk_s: float = 30.0, overlap_s: float = 0.0) -> DataFrame:
-    """path, chunk, start_s, rms, n of each file: chunks of `chunk_s` that overlap by `overlap_s`, at 16 kHz; the last may be short."""
+def _opened(path: str):
+    """A file that Spark names, to be read at any place."""
+    from pyarrow import fs
+
+    uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
+    store, name = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+    return store.open_input_file(name)
+
+
+def wav_layout(source) -> tuple[int, int, int, int] | None:
+    """Where the samples of an open 16-bit PCM file begin, frames, channels and rate; None if unreadable. Only headers are read."""
+    size = source.size()
+    head = source.read_at(min(size, 12), 0)
+    if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
+        return None
+    at, channels, rate = 12, 0, 0
+    while at + 8 <= size:
+        name, length = struct.unpack("<4sI", source.read_at(8, at))
+        if name == b"fmt " and at + 24 <= size:
+            _, channels, rate, _, _, bits = struct.unpack("<HHIIHH", source.read_at(16, at + 8))
+            if bits != 16:
+                return None
+        elif name == b"data":
+            return (at + 8, min(length, size - at - 8) // (2 * channels), channels, rate) if channels and rate else None
+        at += 8 + length + length % 2
+    return None
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size, step = int(chunk_s * RATE), int((chunk_s - overlap_s) * RATE)
-        for batch in batches:
-            for name, data in zip(batch.path, batch.content, strict=True):
-                samples, rate = parse_wav(bytes(data))
-                samples = resample(samples, rate, RATE) if rate else samples
-                starts = range(0, max(len(samples) - int(overlap_s * RATE), min(len(samples), 1)), step)
-                rows = [(name, k, a / RATE, float(np.sqrt(np.mean(np.square(samples[a : a + size].astype(float))))), len(samples[a : a + size])) for k, a in enumerate(starts)]
-                yield pd.DataFrame(rows, columns=["path", "chunk", "start_s", "rms", "n"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(cut, "path string, chunk int, start_s double, rms double, n long")
+def _window(source, layout: tuple[int, int, int, int], first: int, after: int, rate: int) -> np.ndarray:
+    """Samples `first` to `after` at `rate` of a file, of which only the frames that they need are read: the same as of the whole file."""
+    begin, frames, channels, own = layout
+    step = own / rate
+    lo, hi = int(first * step), min(int((after - 1) * step) + 2, frames)
+    raw = np.frombuffer(source.read_at((hi - lo) * 2 * channels, begin + lo * 2 * channels), "<i2").astype(np.float32) / 32768
+    samples = raw.reshape(-1, channels).mean(1).astype(np.float32)
+    return samples[: after - first] if own == rate else np.interp(np.arange(first, after) * step, np.arange(lo, hi), samples).astype(np.float32)
 
 
-def wav_seconds(data: bytes) -> float:
-    """Duration that the headers of a 16-bit PCM file state, cut to the bytes that are there; 0 if unreadable."""
-    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
-        return 0.0
-    at, frame, rate = 12, 0, 0
-    while at + 8 <= len(data):
-        name, size = data[at : at + 4], struct.unpack("<I", data[at + 4 : at + 8])[0]
-        if name == b"fmt ":
-            _, channels, rate, _, _, bits = struct.unpack("<HHIIHH", data[at + 8 : at + 24])
-            frame = 2 * channels if bits == 16 else 0
-        elif name == b"data":
-            return min(size, len(data) - at - 8) // frame / rate if frame and rate else 0.0
-        at += 8 + size + size % 2
-    return 0.0
+def read_chunks(spark: SparkSession, path: str, chunk_s: float = 30.0, overlap_s: float = 0.0) -> DataFrame:
+    """path, chunk, start_s, rms, n of each file: chunks of `chunk_s` that overlap by `overlap_s`, at 16 kHz; the last may be short.
+
+    Files are planned by their headers; then each chunk reads its own part of its file, so a task holds one chunk, however
+    long the sound is, and the chunks of one file are spread over many tasks.
+    """
+    size, step, overlap = int(chunk_s * RATE), int((chunk_s - overlap_s) * RATE), int(overlap_s * RATE)
+
+    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name in batch.path:
+                with _opened(name) as source:
+                    layout = wav_layout(source)
+                if layout:
+                    n = int(layout[1] * RATE / layout[3])
+                    starts = range(0, max(n - overlap, min(n, 1)), step)
+                    rows.append((name, *layout, n, len(starts)))
+            yield pd.DataFrame(rows, columns=["path", "begin", "frames", "channels", "rate", "n", "chunks"])
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples():
+                with _opened(r.path) as source:
+                    x = _window(source, (r.begin, r.frames, r.channels, r.rate), r.chunk * step, min(r.chunk * step + size, r.n), RATE)
+                rows.append((r.path, r.chunk, r.chunk * step / RATE, float(np.sqrt(np.mean(np.square(x.astype(float))))), len(x)))
+            yield pd.DataFrame(rows, columns=["path", "chunk", "start_s", "rms", "n"])
+
+    files = spark.read.format("binaryFile").load(path).select("path")
+    planned = files.mapInPandas(plan, "path string, begin long, frames long, channels int, rate int, n long, chunks int").where("chunks > 0")
+    each = planned.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return each.repartition("path", "chunk").mapInPandas(read, "path string, chunk int, start_s double, rms double, n long")
 
 
 def durations(spark: SparkSession, path: str) -> DataFrame:
-    """path, duration_s; 0 for an unreadable file. Samples are not decoded."""
+    """path, duration_s as the headers state it, cut to the bytes that are there; 0 for an unreadable file. Samples are not read."""
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"path": batch.path, "duration_s": [wav_seconds(x) for x in batch.content]})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(probe, "path string, duration_s double")
+            found = []
+            for name in batch.path:
+                with _opened(name) as source:
+                    layout = wav_layout(source)
+                found.append(layout[1] / layout[3] if layout else 0.0)
+            yield pd.DataFrame({"path": batch.path, "duration_s": found})
+
+    return spark.read.format("binaryFile").load(path).select("path").mapInPandas(probe, "path string, duration_s double")
 
 
 def read_samples(spark: SparkSession, path: str, rate: int | None = None) -> DataFrame:
