@@ -246,14 +246,14 @@ def _rare_shingles(sets: DataFrame, similar: float) -> DataFrame:
     common[counts["k"].to_numpy()] = counts["n"].to_numpy()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             chosen = []
             for x in batch.column(3):
                 h = x.values.to_numpy()
                 n = len(h) - int(np.ceil(similar * len(h) - 1e-9)) + 1
                 chosen.append(h[np.lexsort((h, common[(h.view(np.uint64) >> np.uint64(bits)).astype(np.int64)]))[:n]])
             which = pa.array(np.repeat(np.arange(len(chosen)), [len(x) for x in chosen]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *chosen])), *[batch.column(k).take(which) for k in (0, 1, 2, 4)]], names=["key", "id", "m", "label", "odd"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(chosen)), *[batch.column(k).take(which) for k in (0, 1, 2, 4)]], names=["key", "id", "m", "label", "odd"])
 
     rows = sets.select("id", "m", "label", "hashes", "odd").mapInArrow(first, "key long, id long, m int, label long, odd array<long>")
     return rows.select("key", "id", "m", "label", *[F.col("odd")[k].alias(f"o{k}") for k in range(PARITY_LONGS)])

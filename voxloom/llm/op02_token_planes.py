@@ -15,7 +15,7 @@ highest byte or bit in use are left out.
 
 Defined cases: a null text is an empty one and has the end id only; an empty table
 writes no file and gives no rows; rows that repeat a doc_id are all kept, in order of
-their text's hash and then text; null doc_ids come first; other columns are ignored.
+their text's hash and then text; null doc_ids come first, the least long as one of them; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -34,7 +34,7 @@ from voxloom.llm.shared import free_name, quoted, written
 #: Words in the shortest tile, and the share of an item's words that tiles must cover.
 SHORTEST, COVERAGE = 5, 0.8
 #: The bitmap of the items' runs has two to this power of bits at most, and words whose hashes a task keeps.
-FILTER_BITS, MEMO_WORDS = 30, 500_000
+FILTER_BITS, MEMO_WORDS = 30, 100_000
 _WORD = re.compile(r"\w+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _PRIME = (1 << 61) - 1
@@ -100,22 +100,21 @@ def greedy_tiles(item: list[int], doc: list[int], shortest: int = SHORTEST) -> l
 
 
 class Words:
-    """Texts as arrays of word hashes. A task keeps the hashes of words it has met."""
+    """Texts as arrays of word hashes. A task keeps the hashes of the first words that it meets, the frequent ones among them."""
 
     def __init__(self):
         self.memo: dict[str, int] = {}
 
     def __call__(self, text: str | None) -> np.ndarray:
         words, memo = words_of(text), self.memo
-        try:
-            return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-            for w in words:
-                if w not in memo:
-                    memo[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) >> 1
-            return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+        found = list(map(memo.get, words))
+        for k, x in enumerate(found) if None in found else ():
+            if x is None:
+                w = words[k]
+                found[k] = x = memo.get(w) or xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) >> 1
+                if len(memo) < MEMO_WORDS:
+                    memo[w] = x
+        return np.array(found, np.int64)
 
 
 def run_hashes(seq: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

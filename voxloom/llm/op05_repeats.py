@@ -24,7 +24,7 @@ covered spans of documents.
 
 Defined cases: a null text is an empty one; texts shorter than `LENGTH` bytes lose nothing; documents
 with equal doc_id do not cover one another; a null doc_id counts as smaller than any
-other; an empty table gives no rows; other columns are ignored.
+other, the least long as a null one; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

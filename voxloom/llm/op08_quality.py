@@ -121,16 +121,16 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     """Fit on labelled documents that are not held out, at most `max_labelled` of them: of rows that repeat a doc_id, the text whose hash is least."""
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = rows.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.xxhash64("text"), "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                found = [features(x.as_py()).tolist() for x in batch.column(2)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(found, pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
+                found = [features(x.as_py()).tolist() for x in batch.column(3)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), batch.column(2), pa.array(found, pa.list_(pa.float64()))], names=["doc_id", "quality", "hash", "x"])
 
-    found = rows.mapInArrow(extract, "doc_id long, quality int, x array<double>").toArrow()
+    found = rows.mapInArrow(extract, "doc_id long, quality int, hash long, x array<double>")
+    found = found.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min_by("x", "hash").alias("x")).toArrow()
     if not found.num_rows:
         return None
     order = np.lexsort([*np.array(found["x"].to_pylist()).T[:3], found["doc_id"].to_numpy()])  # the same model however rows arrive

@@ -21,7 +21,7 @@ all stand for the noise with their expected number (no draw is needed), and aver
 
 Defined cases: a null or empty text is one end token; without training documents the base
 score is zero a token and the model's score equals it; rows that repeat a doc_id are each
-counted and scored; a null doc_id is a training document; an empty table gives no rows; other columns are ignored.
+counted and scored; a null doc_id (or the least long) is a training document without an id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
