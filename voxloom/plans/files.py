@@ -43,18 +43,18 @@ def sound_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(_user("path"), "chunk", "start_s", "n", F.round("rms", 6).alias("rms"))
 
 
-@query(f"""WITH {_SAMPLES_SQL} SELECT user_id, nr, round(({_PCM.format('x')} + {_PCM.format('y')}) / 2, 6) AS x FROM s""")
+@query(f"""WITH {_SAMPLES_SQL} SELECT user_id, nr, round(({_PCM.format('x')} + {_PCM.format('y')}) / 2, 6) + 0.0::DOUBLE AS x FROM s""")
 def sound_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of stereo files, mixed down."""
-    return audio.read_samples(spark, _sounds(spark, sf_dir, 2)).select(_user("path"), "nr", F.round("x", 6).alias("x"))
+    return audio.read_samples(spark, _sounds(spark, sf_dir, 2)).select(_user("path"), "nr", (F.round("x", 6) + F.lit(0.0)).alias("x"))
 
 
 @query(f"""WITH {_SAMPLES_SQL}, p AS (SELECT user_id, nr, {_PCM.format('x')} AS v FROM s), n AS (SELECT user_id, count(*) AS n FROM p GROUP BY ALL),
     o AS (SELECT user_id, n, unnest(range(CAST(floor(n * 10000 / 16000) AS BIGINT))) AS nr FROM n), q AS (SELECT *, nr * CAST(1.6 AS DOUBLE) AS pos FROM o)
-    SELECT q.user_id, q.nr, round(a.v + (pos - floor(pos)) * (coalesce(b.v, a.v) - a.v), 5) AS x FROM q JOIN p a ON a.user_id = q.user_id AND a.nr = CAST(floor(pos) AS BIGINT) LEFT JOIN p b ON b.user_id = q.user_id AND b.nr = CAST(floor(pos) AS BIGINT) + 1""")
+    SELECT q.user_id, q.nr, round(a.v + (pos - floor(pos)) * (coalesce(b.v, a.v) - a.v), 5) + 0.0::DOUBLE AS x FROM q JOIN p a ON a.user_id = q.user_id AND a.nr = CAST(floor(pos) AS BIGINT) LEFT JOIN p b ON b.user_id = q.user_id AND b.nr = CAST(floor(pos) AS BIGINT) + 1""")
 def sound_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples brought from 16 to 10 kHz by linear interpolation."""
-    return audio.read_samples(spark, _sounds(spark, sf_dir), 10_000).select(_user("path"), "nr", F.round("x", 5).alias("x"))
+    return audio.read_samples(spark, _sounds(spark, sf_dir), 10_000).select(_user("path"), "nr", (F.round("x", 5) + F.lit(0.0)).alias("x"))
 
 
 @query("SELECT user_id, round(CASE WHEN user_id % 7 = 3 THEN 0 ELSE count(*) / 16000 END, 9) AS seconds FROM events GROUP BY user_id")
