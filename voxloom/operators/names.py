@@ -21,10 +21,12 @@ def candidates(texts: DataFrame) -> DataFrame:
 
 def lowercase_counts(texts: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """key, low: how often a word stands with a small first letter; with `keys` (key) only of those."""
-    words = texts.select(F.explode(ft.word_tokens(F.col("text"))).alias("w")).where(F.col("w").rlike(r"^\p{Ll}")).select(ft.key(F.col("w")).alias("key"))
+    # words are counted as they stand, so that patterns are tried on different words only
+    words = texts.select(F.explode(ft.word_tokens(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    words = words.where(F.col("w").rlike(r"^\p{Ll}")).select(ft.key(F.col("w")).alias("key"), "n")
     if keys is not None:
         words = words.join(keys, "key", "left_semi")
-    return words.groupBy("key").agg(F.count("*").alias("low"))
+    return words.groupBy("key").agg(F.sum("n").alias("low"))
 
 
 def agreement(rows: DataFrame, key: str, a: Column, b: Column) -> DataFrame:

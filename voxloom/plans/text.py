@@ -59,7 +59,7 @@ _PAIR = "p AS (SELECT a.doc_id, list_filter(string_split_regex(lower(a.text), '[
     c AS (SELECT ca.doc_id, sum(least(ca.n, cb.n)) AS c FROM ca JOIN cb USING (doc_id, w) GROUP BY ALL)
     SELECT p.doc_id, round(CASE WHEN len(wa) = 0 OR len(wb) = 0 THEN 0 ELSE 2.0 * coalesce(c, 0) / (len(wa) + len(wb)) END, 6) AS dice FROM p LEFT JOIN c USING (doc_id)""")
 def reading_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = t.table(spark, sf_dir, "documents")
+    d = t.spread(t.table(spark, sf_dir, "documents").select("doc_id", "text"))
     pairs = d.select("doc_id", F.col("text").alias("a")).join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("b")), "doc_id")
     return names.agreement(pairs, "doc_id", F.col("a"), F.col("b")).withColumn("dice", F.round("dice", 6))
 
@@ -88,7 +88,7 @@ def chunk_suspicion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two readings of each turn, whole: as it is, and with words changed, left out and put in."""
     heard = F.transform(F.split("text", " "), lambda w, i: F.when(i % 7 == 3, F.lit(None)).when(i % 5 == 2, F.reverse(w)).when(i % 11 == 4, F.concat(w, F.lit(" uh"))).otherwise(w))
-    return t.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("a"), F.array_join(heard, " ").alias("b"))
+    return t.spread(t.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", F.col("text").alias("a"), F.array_join(heard, " ").alias("b"))
 
 
 @query()
@@ -123,7 +123,7 @@ def version_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     words = F.split("text", r"\s+")
     new = F.concat(F.transform(F.filter(words, lambda w, i: (i % 53 != 7) & (i >= 5)), lambda w, i: F.when(i % 31 == 30, F.reverse(w)).otherwise(w)), F.slice(words, 1, 5))
-    rows = t.table(spark, sf_dir, "documents").select("doc_id", "text", F.array_join(new, " ").alias("new")).withColumn("d", fw.arrow(count, "array<int>")("text", "new"))
+    rows = t.spread(t.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", F.array_join(new, " ").alias("new")).withColumn("d", fw.arrow(count, "array<int>")("text", "new"))
     return rows.select("doc_id", *[F.col("d")[k].alias(n) for k, n in enumerate(("added", "removed", "same"))])
 
 
@@ -140,14 +140,14 @@ def runaway_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def harvested_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = t.recordings(spark, sf_dir).select(F.col("id").alias("recording_id"), "text")
+    texts = t.spread(t.recordings(spark, sf_dir).select(F.col("id").alias("recording_id"), "text"))
     known = spark.createDataFrame([("Kaiko",), ("Blits Insurance",)], "term string")
     return names.harvest(texts, known)
 
 
 @query()
 def suggested_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = t.recordings(spark, sf_dir).select(F.col("id").alias("recording_id"), "text")
+    texts = t.spread(t.recordings(spark, sf_dir).select(F.col("id").alias("recording_id"), "text"))
     return names.suggest(texts, spark.createDataFrame([("Kaiko",)], "term string"), spark.createDataFrame([("mara",)], "key string"))
 
 

@@ -27,6 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows` dealt to all cores if they come in few parts (a small file may be one), before costly work on each row; a large table's many parts stay where they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= 4 * cores else rows.repartition(cores)
+
+
 def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, title, text, language, folder."""
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("title"), "text", F.col("lang").alias("language"), F.col("source").alias("folder"))
