@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from samples import docs_frame, prose
 
-from voxloom.llm import components, op01_simhash, op09_bit_sliced
+from voxloom.llm import components, jaccard, op01_simhash, op09_bit_sliced, op13_jaccard
 
 
 def brute_fingerprint(text):
@@ -182,23 +182,7 @@ def shares(a, b):
     return len(x & y) / len(x | y)
 
 
-def test_candidates_of_appended_and_replaced_passages():
-    """The bands as the pipeline uses them: they are the same for any number of texts."""
-    rnd = random.Random(5)
-    words = [f"w{k}" for k in range(3000)]
-    pairs = []
-    while len(pairs) < 600:
-        a, n = prose(rnd, rnd.randint(60, 900), words).split(), len(pairs)
-        other = prose(rnd, int(len(a) * rnd.uniform(0.05, 0.24)), words).split()
-        at = rnd.randrange(len(a) - len(other))
-        b = a + other if n % 2 else a[:at] + other[: len(other) // 2] + a[at + len(other) // 2 :]
-        if shares(" ".join(a), " ".join(b)) >= 0.8:
-            pairs.append((" ".join(a), " ".join(b)))
-    found = sum(bool((op01_simhash.band_keys(op01_simhash.shingles(a)) == op01_simhash.band_keys(op01_simhash.shingles(b))).any()) for a, b in pairs)
-    assert found == len(pairs)
-
-
-def test_near_copies_in_a_group_whose_hubs_resemble_neither(spark, monkeypatch):
+def test_near_copies_of_shuffled_passages(spark):
     rnd = random.Random(6)
     words = [f"w{k}" for k in range(3000)]
     same = [prose(rnd, 11, words) for _ in range(24)]
@@ -206,13 +190,75 @@ def test_near_copies_in_a_group_whose_hubs_resemble_neither(spark, monkeypatch):
     changed = texts[17].split()
     changed[100] = "changed"
     texts[50] = " ".join(changed)
-    # one key for all, so that all are in one large group
-    monkeypatch.setattr(op01_simhash, "band_keys", lambda hashes: np.zeros(1, np.int64), raising=False)
     got = {r.doc_id: r.component_id for r in op01_simhash.similar_documents(docs_frame(spark, list(texts.items()))).collect()}
     assert got == brute_components(texts, lambda a, b: shares(a, b) >= 0.8)
     assert got[50] == 17 and len(set(got.values())) == 24
 
 
+def test_pages_of_one_template_meet_nobody(spark, monkeypatch):
+    """Pages that share 0.77 of their shingles: what is compared grows with the pages, not with their pairs."""
+    rnd = random.Random(12)
+    template = prose(rnd, 1000, [f"w{k}" for k in range(5000)])
+    texts = {k: f"{template} {prose(rnd, 150, [f'own{k}x{j}' for j in range(150)])}" for k in range(120)}
+    tiles = []
+    monkeypatch.setattr(jaccard, "_members", lambda *a, f=jaccard._members: tiles.append(f(*a)) or tiles[-1])
+    monkeypatch.setattr(jaccard, "drop_written", lambda df: None)
+    got = op01_simhash.similar_documents(docs_frame(spark, list(texts.items()))).collect()
+    assert {r.component_id for r in got} == set(texts) and tiles[0].count() == 0
+
+
+def brute_sets(text, n=3):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def test_jaccard_components(spark, odd_rows):
+    """Whole result against brute force: odd rows, extensions about the threshold, passages in many texts, near copies."""
+    rnd = random.Random(8)
+    words = [f"w{k}" for k in range(900)]
+    rows = list(odd_rows)
+    common = prose(rnd, 40, words)
+    for k in range(60):
+        base = prose(rnd, rnd.randint(3, 150), words) + (f" {common}" if k % 2 else "")
+        rows.append((1000 + 10 * k, base))
+        rows += [(1001 + 10 * k + j, f"{base} {prose(rnd, max(1, round(len(base.split()) * part)), words)}") for j, part in enumerate((0.02, 0.05, 0.1, 0.111, 0.12, 0.2))]
+    copy = prose(rnd, 100, words).split()
+    for k in range(150):
+        other = list(copy)
+        for _ in range(k % 4):
+            other[rnd.randrange(100)] = f"x{rnd.randrange(40)}"
+        rows.append((3000 + k, " ".join(other)))
+    rows += [(4000, "A b"), (4001, "a B"), (4002, "a"), (4003, "a b c"), (4004, "x y z " * 9), (4005, "x y z x y z"), (None, None)]
+    rnd.shuffle(rows)
+    for extra in (False, True):
+        got = op13_jaccard.jaccard_components(docs_frame(spark, rows, extra)).collect()
+        assert len(got) == len(rows)
+    sets = {(d, t): brute_sets(t) for d, t in rows}
+    texts = sorted(sets, key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))
+    number = {x: k for k, x in enumerate(texts)}
+    near = lambda a, b: sets[texts[a]] and sets[texts[b]] and 100 * len(sets[texts[a]] & sets[texts[b]]) >= 90 * len(sets[texts[a]] | sets[texts[b]])
+    label = brute_components({number[x]: number[x] for x in texts}, near)
+    want = sorted(str((d, len(sets[d, t]), texts[label[number[d, t]]][0])) for d, t in rows)
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == want
+    assert op13_jaccard.jaccard_components(docs_frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90, 100])
+def test_prefixes_of_linked_sets_meet(percent):
+    """Whatever the order of shingles, the smaller set's index prefix and the larger one's probing prefix share one."""
+    rnd = random.Random(percent)
+    for _ in range(3000):
+        small, both = rnd.randint(1, 40), 0
+        large = rnd.randint(small, small * 100 // percent)
+        both = -(-percent * (small + large) // (100 + percent))
+        if both > small:
+            continue
+        order = rnd.sample(range(small + large - both), small + large - both)
+        a, b = sorted(order[:small]), sorted(order[small - both :])
+        i, p = jaccard.prefix_sizes(len(a), percent)[0], jaccard.prefix_sizes(len(b), percent)[1]
+        assert set(a[:i]) & set(b[:p])
+
+
 def test_links_are_decided_by_whole_sets_of_shingles(spark):
     rnd = random.Random(7)
     words = [f"w{k}" for k in range(3000)]
@@ -238,7 +284,7 @@ def test_large_group_of_near_copies(spark):
         texts[k] = " ".join(copy)
     texts |= {5000 + k: f"{frame} {prose(rnd, rnd.randint(40, 60), words)}" for k in range(150)}
     texts |= {6000 + k: texts[5000 + k] + " end" for k in range(0, 150, 5)}
-    sets = {d: frozenset(op01_simhash.shingles(t).tolist()) for d, t in texts.items()}
+    sets = {d: frozenset(brute_sets(t, 5)) for d, t in texts.items()}
     number = {h: k for k, h in enumerate(sorted(set().union(*sets.values())))}
     ids, flags = sorted(texts), np.zeros((len(texts), len(number)), np.float32)
     for row, d in enumerate(ids):

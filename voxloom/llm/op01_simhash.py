@@ -9,7 +9,7 @@ a variant are compared in full.
 A variant's group is summed up before the shuffle by its count, least, greatest and the
 XOR of its members, which spells out groups of up to three members. The members of
 larger groups, found by an equality join, get 70 narrower keys. Either one segment is equal and of the
-three thirds of the other one is, too (6 keys of 53 or 54 bits); or both segments differ in one
+three thirds of the other one is, too (6 keys of 42 or 43 bits); or both segments differ in one
 bit, so with the first one's bit as a wildcard a half of the second is equal (64 keys of 47 bits). Such a group has 22
 free bits at most, so a task that gathers one holds at most 2 ** 22 longs, however hot the template
 is; it hands out a spanning forest of its links, never its pairs.
@@ -26,10 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.llm.components import components
+from voxloom.llm.jaccard import similar_sets
 from voxloom.llm.shared import drop_written, free_name, input_parts, quoted, written
 
 #: Words in a shingle, and bits in which linked fingerprints may differ.
@@ -171,187 +172,31 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return prints.join(named.join(names, "label").select("fp", "component_id"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Similarity search: the share of two texts' different shingles that both have, from which on they are linked.
-SIMILAR = 0.8
-#: Bands of a text's least hashes and hashes in a band. Two texts that share the part J of their shingles miss all bands with
-#: probability (1 - J ** BAND) ** BANDS: 0.000006 at 0.8, less above, and the same for any number of texts.
-BANDS, BAND = 40, 6
-#: Groups of a band up to this size are compared in pairs at once; larger ones with two hubs first.
-PAIRS_TO = 8
-#: Longs of a set's parity bits, of which two sets differ in at most as many as they have shingles apart.
-PARITY_LONGS = 8
-#: Members of a group that are compared with one copy of a hub's shingles.
-_SALT = 512
-_MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_JOIN = np.random.default_rng(SEED + 1).integers(0, 1 << 63, (BANDS, BAND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Similarity search: the share of two texts' different shingles, in per cent, that both have, from which on they are linked.
+PERCENT = 80
 
 
-def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
-    """Hashes of the text's different shingles, ascending; a text of fewer words has one of all its words, one without words none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    n = max(1, len(words) - shingle + 1)
-    return np.unique(np.fromiter((digest(b" ".join(words[k : k + shingle]), SEED) for k in range(n)), np.uint64, n))
-
-
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band: two texts have it in common if their least hashes of that band are the same. None without shingles."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        np.minimum(least, (hashes[None, at : at + 4096] * _MIX[0][:, None] + _MIX[1][:, None]).min(axis=1), out=least)
-    return ((least.reshape(BANDS, BAND) * _JOIN).sum(axis=1) + _JOIN[:, 0]).view(np.int64)
-
-
-def _named(hashes: np.ndarray) -> int:
-    """The name of a set of shingles: copies have the same."""
-    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63)
-
-
-def parity(hashes: np.ndarray) -> np.ndarray:
-    """Bits that say of which places the set has an odd number of hashes. A shingle that one of two sets has turns one bit at most."""
-    odd = np.bincount((hashes & np.uint64(64 * PARITY_LONGS - 1)).astype(np.int64), minlength=64 * PARITY_LONGS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles share `similar` of their union.
-
-    A hub is in as many pairs as its group has members, n, so copies of its set are dealt to n / 512 tasks.
-    """
-    pairs = pairs.groupBy("a", "b").agg(F.max("n").alias("n")).select("a", "b", F.expr(f"pmod(xxhash64(b), n div {_SALT} + 1)").alias("sa"), F.expr(f"pmod(xxhash64(a), n div {_SALT} + 1)").alias("sb"))
-    pairs = written(pairs, "candidates")
-    side = lambda end: pairs.select(end, f"s{end}").distinct().join(sets.select(F.col("id").alias(end), F.col("hashes").alias(f"h{end}")), end)
-    both = F.size(F.array_intersect("ha", "hb"))
-    found = pairs.join(side("a"), ["a", "sa"]).join(side("b"), ["b", "sb"])
-    return written(found.where(both / (F.size("ha") + F.size("hb") - both) >= similar).select("a", "b"), "linked")
-
-
-#: Bits of a shingle's hash by which shingles are counted to tell rare from common: the driver gets two to this power of counts at most.
-_COUNTED_BITS = 20
-
-
-def _rare_shingles(sets: DataFrame, similar: float) -> DataFrame:
-    """key, id, m, label and parity of the rarest shingles of each set (id, m, label, hashes, odd).
-
-    If two sets share the part `similar` of their union, they share one of the first m - similar * m + 1 shingles of each in any order
-    that is the same for both. The order here is by how common a shingle is (as far as a bounded table of counts tells), then by its hash.
-    """
-    bits = 64 - _COUNTED_BITS
-    counts = sets.select(F.explode("hashes").alias("h")).groupBy(F.shiftrightunsigned("h", bits).alias("k")).agg(F.count("*").alias("n")).toArrow()
-    common = np.zeros(1 << _COUNTED_BITS, np.int64)
-    common[counts["k"].to_numpy()] = counts["n"].to_numpy()
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
-            chosen = []
-            for x in batch.column(3):
-                h = x.values.to_numpy()
-                n = len(h) - int(np.ceil(similar * len(h) - 1e-9)) + 1
-                chosen.append(h[np.lexsort((h, common[(h.view(np.uint64) >> np.uint64(bits)).astype(np.int64)]))[:n]])
-            which = pa.array(np.repeat(np.arange(len(chosen)), [len(x) for x in chosen]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(chosen)), *[batch.column(k).take(which) for k in (0, 1, 2, 4)]], names=["key", "id", "m", "label", "odd"])
-
-    rows = sets.select("id", "m", "label", "hashes", "odd").mapInArrow(first, "key long, id long, m int, label long, odd array<long>")
-    return rows.select("key", "id", "m", "label", *[F.col("odd")[k].alias(f"o{k}") for k in range(PARITY_LONGS)])
-
-
-def _apart(rows: DataFrame, near: Column, similar: float) -> DataFrame:
-    """Pairs a, b of rows with one key and different labels, unless sizes or parity bits rule them out: those outside the key's largest label with all others."""
-    sizes = rows.groupBy("key", "label").agg(F.count("*").alias("k")).groupBy("key").agg(F.count("*").alias("labels"), F.sum("k").alias("n"), F.expr("max_by(label, struct(k, label))").alias("main"))
-    rows = rows.join(sizes.where("labels > 1").select("key", "n", "main"), "key")
-    differ = " + ".join(f"bit_count(a.o{k} ^ b.o{k})" for k in range(PARITY_LONGS))
-    few = F.expr(f"a.label <> b.label and {differ} <= (a.m + b.m) * {(1 - similar) / (1 + similar)} + 0.5")
-    return rows.where("label <> main").alias("a").join(rows.alias("b"), "key").where(near & few)
-
-
-def _similar_texts(docs: DataFrame, shingle: int, similar: float) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, hash, id) and different sets of shingles (id, first, label): sets with one label are linked by chains.
-
-    hash is that of the row's text, id names its set of shingles; first is the least (doc_id, hash) with
-    that set, rows without a doc_id last.
-
-    Candidates have the least hashes of a band in common, and are compared on their whole sets of shingles. Groups
-    of a band beyond `PAIRS_TO` members are first compared with two hubs: the member with the smallest doc_id and the one that
-    is in the most and largest groups. Members of a group that this leaves in different components are joined by their
-    rarest shingles (:func:`_rare_shingles`), which no pair that is similar enough can miss; so pairs are compared only if they share a
-    rare shingle, and none is left out unless both are in one component already, or their sizes or parity bits show that they share too little.
-    """
-
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(x.as_py(), shingle) for x in batch.column(1)]
-            columns = [pa.array([_named(h) for h in found], pa.int64()), pa.array([len(h) for h in found], pa.int32()), pa.array([band_keys(h) for h in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["doc_id", "hash", "id", "m", "bands"])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                found = [shingles(x.as_py(), shingle) for x in batch.column(0).slice(at, 256)]
-                yield pa.RecordBatch.from_arrays([pa.array([_named(h) for h in found], pa.int64()), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64())), pa.array([parity(h) for h in found], pa.list_(pa.int64()))], names=["id", "hashes", "odd"])
-
-    named_rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
-    prints = written(named_rows.mapInArrow(marks, "doc_id long, hash long, id long, m int, bands array<long>"), "signatures")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first")
-    texts = written(prints.groupBy("id").agg(first, F.first("m").alias("m"), F.first("bands").alias("bands")), "texts")
-    n = texts.count()
-    rows = texts.repartition(max(12, n // 20_000), "id").select("id", "first", "m", F.explode("bands").alias("key"))
-    groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.expr("min_by(id, struct(first, id))").alias("f")).where("n > 1")
-    members = written(rows.select("key", "id", "m").join(groups, "key"), "members")
-
-    # whole sets of those texts that are in a group: of one document for each
-    need = members.select("id").distinct().join(texts.select("id", "first"), "id").select(F.col("first.doc_id").alias("d"), F.col("first.hash").alias("h"))
-    sets = named_rows.join(need, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")), "left_semi").select("text")
-    sets = written(sets.mapInArrow(whole, "id long, hashes array<long>, odd array<long>").dropDuplicates(["id"]), "sets")
-
-    near = F.least("a.m", "b.m") >= similar * F.greatest("a.m", "b.m") - 0.5
-    pair = [F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), F.col("a.n").alias("n")]
-    small = members.where(f"n <= {PAIRS_TO}")
-    pairs = small.alias("a").join(small.alias("b"), "key").where(near & F.expr("a.id < b.id")).select(*pair)
-    large = members.where(f"n > {PAIRS_TO}")
-    weights = large.groupBy("id").agg(F.sum("n").alias("w"))
-    centres = large.join(weights, "id").groupBy("key").agg(F.expr("max_by(id, struct(w, id))").alias("c"))
-    hubs = large.select("id", F.col("f").alias("h"), "n").unionAll(large.join(centres, "key").select("id", F.col("c").alias("h"), "n"))
-    stars = hubs.where("id <> h").select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"), "n")
-    linked = _linked(pairs.unionAll(stars), sets, similar)
-    label = written(components(linked), "labels")
-
-    # members of groups that hold several components
-    ours = large.join(label.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "m", F.coalesce("label", "id").alias("label"))
-    open_ = ours.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
-    ours = written(sets.join(ours.join(open_, "key").select("id", "m", "label").distinct(), "id"), "open")
-    if ours.head(1):
-        rest = _apart(written(_rare_shingles(ours, similar), "prefixes"), near, similar).select(*pair)
-        label = written(components(linked.unionAll(_linked(rest, sets, similar))), "labels")
-
-    named = texts.select("id", "first").join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "first", F.coalesce("label", "id").alias("label"))
-    return prints.select("doc_id", "hash", "id"), named
-
-
-def similar_documents(docs: DataFrame, shingle: int = 5, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, component_id for every row: documents that share `similar` of their different shingles, and chains of such.
+def similar_documents(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
+    """doc_id, component_id for every row: documents that share `percent` of their different shingles, and chains of such.
 
     A component is named by its smallest doc_id; null and empty texts have no shingles and are one component.
     """
-    rows, named = _similar_texts(docs, shingle, similar)
+    rows, named = similar_sets(docs, shingle, percent)
     least = named.groupBy("label").agg(F.min("first").alias("least"))
     return rows.join(named.join(least, "label").select("id", F.col("least.doc_id").alias("component_id")), "id").select("doc_id", "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = 5, similar: float = SIMILAR) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
     """One row of `docs` for each group of similar documents: that with the smallest doc_id, of several that whose text's hash is least.
 
     Rows without a doc_id stay. Rows that repeat a doc_id are documents of their own unless their texts are similar.
     Null and empty texts are copies of one another. Columns of any name stay as they are; an empty table stays empty.
     """
-    named = _similar_texts(docs, shingle, similar)[1]
+    named = similar_sets(docs, shingle, percent)[1]
     kept = named.groupBy("label").agg(F.min("first").alias("least")).where("least.doc_id is not null")
     tag = free_name(docs, "_keep")
     kept = kept.select(F.col("least.doc_id").alias(f"{tag}_d"), F.col("least.hash").alias(f"{tag}_h"))
-    found = docs.withColumn(f"{tag}_t", F.xxhash64("text")).join(kept, (F.col("doc_id") == F.col(f"{tag}_d")) & (F.col(f"{tag}_t") == F.col(f"{tag}_h")), "left_semi")
+    found = docs.withColumn(f"{tag}_t", F.xxhash64(F.coalesce("text", F.lit("")))).join(kept, (F.col("doc_id") == F.col(f"{tag}_d")) & (F.col(f"{tag}_t") == F.col(f"{tag}_h")), "left_semi")
     # rows that are the same document, to the text
     again = F.row_number().over(Window.partitionBy("doc_id", f"{tag}_t").orderBy(F.lit(0)))
     once = found.withColumn(f"{tag}_nr", again).where(F.col(f"{tag}_nr") == 1)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from voxloom.llm import op01_simhash, op02_token_planes, op03_packing, op04_tiling, op05_repeats, op06_warc, op07_pii, op08_quality, op09_bit_sliced, op10_bilinear
+from voxloom.llm import op01_simhash, op02_token_planes, op03_packing, op04_tiling, op05_repeats, op06_warc, op07_pii, op08_quality, op09_bit_sliced, op10_bilinear, op11_filter_audit, op12_ball_tree, op13_jaccard
 from voxloom.llm.shared import work_folder
 from voxloom.llm.tokens import default_tokenizer
 
@@ -58,6 +59,20 @@ def op10_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_bilinear.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_ball_tree_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return op12_ball_tree.hard_negatives(vectors.withColumn("label", moved))
+
+
+def op13_jaccard_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_planes": op2_token_planes,
@@ -69,8 +84,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_bit_sliced": op9_bit_sliced,
     "op10_bilinear_lm": op10_bilinear_lm,
+    "op11_filter_audit": op11_filter_audit_,
+    "op12_ball_tree": op12_ball_tree_,
+    "op13_jaccard": op13_jaccard_,
 }
 ORACLES: dict[str, str] = {
+    "op11_filter_audit": op11_filter_audit.SQL,
+    "op12_ball_tree": op12_ball_tree.SQL,
     "op9_bit_sliced": """
         WITH v AS (
             SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
