@@ -190,17 +190,39 @@ def test_utterances_end_by_silence_length_and_stops():
     assert end([(0, "a"), (0.5, None), (0.6, "b"), (0.7, None), (0.8, None)]) == [(0, 0, 1, "a"), (0.6, 0.6, 1, "b")]
 
 
-def test_queue_goes_on_where_it_was(spark, tmp_path):
-    """A second run of a checkpointed queue works off new tasks only; parked ones stay parked."""
+def test_queue_takes_parked_tasks_up_again(spark, tmp_path):
+    """Runs go on where the one before was; a parked task runs once the charger is there, with new tasks or alone, and none runs twice."""
     task = lambda k, wait: (k, float(k), wait)
     schema, place = "recording_id int, queued_at double, wait_for_charger boolean", str(tmp_path / "in")
-    run = lambda: live.drained(spark.readStream.schema(schema).parquet(place), False, str(tmp_path / "state"), str(tmp_path / "out"))
-    spark.createDataFrame([task(3, False), task(1, False), task(2, True)], schema).coalesce(1).write.mode("append").parquet(place)
-    assert sorted(r.recording_id for r in run()[0].collect()) == [1, 3]
-    spark.createDataFrame([task(0, False)], schema).coalesce(1).write.mode("append").parquet(place)
-    done, parked = run()
-    assert sorted((r.batch, r.recording_id) for r in done.collect()) == [(0, 1), (0, 3), (1, 0)] and [r.recording_id for r in parked.collect()] == [2]
-    assert [(r.batch, r.place, r.recording_id) for r in live.in_order(done).orderBy("batch", "place").collect()] == [(0, 1, 1), (0, 2, 3), (1, 1, 0)]
+    run = lambda charging: live.drained(spark.readStream.schema(schema).parquet(place), charging, str(tmp_path / "state"), str(tmp_path / "out"))
+    add = lambda *rows: spark.createDataFrame(list(rows), schema).write.mode("append").parquet(place)
+    told = lambda done: sorted((r.step, r.place, r.recording_id) for r in done.collect())
+    add(task(3, False), task(1, False), task(2, True), task(9, True))
+    done, parked = run(False)
+    assert told(done) == [(0, 1, 1), (0, 2, 3)] and sorted(r.recording_id for r in parked.collect()) == [2, 9]
+    add(task(0, False), task(8, True))
+    done, parked = run(False)
+    assert told(done) == [(0, 1, 1), (0, 2, 3), (1, 1, 0)] and sorted(r.recording_id for r in parked.collect()) == [2, 8, 9]
+    done, parked = run(True)  # nothing new
+    assert told(done)[3:] == [(2, 1, 2), (2, 2, 8), (2, 3, 9)] and parked.count() == 0
+    assert told(run(True)[0]) == told(done)
+    add(task(20, True))
+    run(False)
+    add(*[task(30 + k, False) for k in range(40)])
+    done, parked = run(True)
+    assert told(done)[6:] == [(4, k + 1, x) for k, x in enumerate([20, *range(30, 70)])] and parked.count() == 0
+
+
+def test_queue_step_that_failed_is_done_again(spark, tmp_path):
+    """A step without its mark counts as not done: the backlog of the step before is taken again."""
+    schema, place, out = "recording_id int, queued_at double, wait_for_charger boolean", str(tmp_path / "in"), tmp_path / "out"
+    run = lambda charging: live.drained(spark.readStream.schema(schema).parquet(place), charging, str(tmp_path / "state"), str(out))
+    spark.createDataFrame([(1, 1.0, True), (2, 2.0, False)], schema).write.parquet(place)
+    run(False)
+    run(True)
+    (out / "step=1" / "_SUCCESS").unlink()
+    done, parked = run(True)
+    assert sorted((r.step, r.recording_id) for r in done.collect()) == [(0, 2), (1, 1)] and parked.count() == 0
 
 
 def test_harvest(spark):
@@ -261,18 +283,24 @@ def test_chunks_of_other_rates_are_those_of_the_whole_file(spark, tmp_path):
 
 
 def test_stream_gives_the_batch_utterances_that_have_ended(spark, tmp_path):
-    from pyspark.sql import Row
-
+    """Three runs from one checkpoint: timers end what is silent, context goes on over batches and runs, what may go on stays open."""
     times = [0, 1, 2, 5, 5.5, *range(100, 130), 500]
-    rows = [Row(user_id=u, ts=float(x) + u, text=f"w{k}") for u in (1, 2) for k, x in enumerate(times)]
-    df = spark.createDataFrame(rows).withColumn("ts", F.timestamp_seconds("ts"))
-    for k in range(3):
-        df.where(f"unix_timestamp(ts) % 3 >= 0 and user_id <= {k + 1}" if k == 0 else "false").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    got = {(r.user_id, r.start_s, r.n) for r in live.replay(spark, live.utterances(stream), "utt", checkpoint=str(tmp_path / "cp")).collect()}
-    want = {(r.user_id, r.start_s, r.n) for r in live.batch_utterances(df).collect()}
-    assert got and got <= want
-    assert {x for x in want if x[0] == 1 and x[1] < 400} <= got
+    rows = [(u, float(x) + u, None if k == 2 else "" if k == 7 else f"w{k}" + "x" * 90) for u in (1, 2) for k, x in enumerate(times)]
+    df = spark.createDataFrame(rows, "user_id long, at double, text string")
+    run = lambda: live.streamed_utterances(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), str(tmp_path / "cp"), str(tmp_path / "out"), "1 second").collect()
+    got = []
+    for part in ("at < 4.5", "at between 4.5 and 110", "at > 110"):
+        df.where(part).repartition(3).write.mode("append").parquet(str(tmp_path / "in"))
+        got.append({(r.user_id, r.start_s, r.end_s, r.n, r.text): r.context for r in run()})
+    want = {}
+    for u in (1, 2):
+        done, _ = live.fold_utterances(live._ordered(df.where(f"user_id = {u}").toPandas()), None)
+        for k, x in enumerate(done):
+            want[(u, *x)] = done[k - 1][3][-200:] if k else None
+    assert got[2] == want and set(got[0]) < set(got[1]) < set(got[2]) and len(got[2]) > 6
+    assert {(*x[1:],) for x in got[1] if x[0] == 1} >= {x for x in live.fold_utterances([(6.0, "w3" + "x" * 90), (6.5, "w4" + "x" * 90), (99, "")], None)[0]}  # ended by its timer
+    batch = {(r.user_id, r.start_s, r.end_s, r.n, r.text) for r in live.batch_utterances(df).collect()}
+    assert set(want) < batch and len(batch) == len(want) + 2
 
 
 def test_windows_stream(spark, small, tmp_path):

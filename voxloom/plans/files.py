@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import text as ft
 from voxloom.functions import words as fw
-from voxloom.plans.registry import query
+from voxloom.plans import text
+from voxloom.plans.registry import ORACLES, query
 from voxloom.sources import audio, files
 from voxloom.sources import tables as t
 from voxloom.streaming import live
@@ -165,7 +166,33 @@ def queue_drained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A checkpointed queue, worked off oldest first; tasks that wait for a charger are parked."""
     tasks = _stream(spark, sf_dir, "orders").selectExpr("o_orderkey as recording_id", "o_orderdate as queued_at", "o_orderpriority = '1-URGENT' as wait_for_charger")
     done, parked = live.drained(tasks, False, files.work_folder(spark, "queue-state"), files.work_folder(spark, "queue"))
-    return live.in_order(done).select("recording_id", "queued_at", "place", F.lit("done").alias("state")).unionByName(parked.select("recording_id", "queued_at", F.lit(None).cast("long").alias("place"), F.lit("parked").alias("state")))
+    return done.select("recording_id", "queued_at", "place", F.lit("done").alias("state")).unionByName(parked.select("recording_id", "queued_at", F.lit(None).cast("long").alias("place"), F.lit("parked").alias("state")))
+
+
+@query("""WITH a AS (SELECT o_orderkey AS k, o_orderdate AS d, o_orderpriority = '1-URGENT' AS waits, o_orderkey % 4 IN (0, 1) AS early FROM orders),
+    s AS (SELECT *, CASE WHEN early AND NOT waits THEN 0 ELSE 1 END AS step FROM a)
+    SELECT k AS recording_id, d AS queued_at, CAST(step AS INTEGER) AS step, row_number() OVER (PARTITION BY step ORDER BY d, k) AS place FROM s""")
+def queue_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A queue that runs twice: tasks parked while the charger is off are worked off when it is on, among those that came since."""
+    tasks = t.table(spark, sf_dir, "orders").selectExpr("o_orderkey as recording_id", "o_orderdate as queued_at", "o_orderpriority = '1-URGENT' as wait_for_charger")
+    arrivals, state, folder = (files.work_folder(spark, x) for x in ("tasks", "queue-state", "queue"))
+    for charging, came in ((False, "recording_id % 4 in (0, 1)"), (True, "recording_id % 4 not in (0, 1)")):
+        tasks.where(came).write.mode("append").parquet(arrivals)
+        done, _ = live.drained(spark.readStream.schema(tasks.schema).parquet(arrivals), charging, state, folder)
+    return done.select("recording_id", "queued_at", "step", "place")
+
+
+@query(f"""{ORACLES["live_utterances"].replace("SELECT user_id, ds AS start_s", ", u AS (SELECT user_id, ds AS start_s", 1)})
+    SELECT *, right(lag(text) OVER (PARTITION BY user_id ORDER BY start_s), 200) AS context FROM u""")
+def streamed_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Utterances of a stream that stops and goes on from its checkpoint after each third of its time, each with the end of the one before; a stop for each user ends what is open."""
+    events = text.live_words(spark, sf_dir)
+    stops = events.select("user_id").distinct().selectExpr("user_id", "1e6D as at", "cast(null as string) as text")
+    arrivals, state, folder = (files.work_folder(spark, x) for x in ("words", "utterances-state", "utterances"))
+    for part in (*[events.where(f"least(floor(at / 30), 2) = {k}") for k in range(3)], stops):
+        part.write.mode("append").parquet(arrivals)
+        found = live.streamed_utterances(spark.readStream.schema(events.schema).parquet(arrivals), state, folder, "5 seconds")
+    return found.select("user_id", "start_s", "end_s", "n", "text", "context")
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")

@@ -298,8 +298,12 @@ _LIVE = "(epoch_us(ts) - 1704067200000000) / 3e10 AS sec, CASE event_type WHEN '
     SELECT user_id, ds AS start_s, dl AS end_s, CAST(dn AS BIGINT) AS n, done AS text FROM f WHERE done <> ''
     UNION ALL SELECT user_id, s, l, CAST(n AS BIGINT), words FROM f WHERE words <> '' AND (user_id, nr) IN (SELECT (user_id, max(nr)) FROM e GROUP BY user_id)""")
 def live_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = t.table(spark, sf_dir, "events").selectExpr("user_id", "(unix_micros(cast(ts as timestamp)) - 1704067200000000) / 3e10D as at", "case event_type when 'view' then '' when 'error' then null else event_type end as text")
-    return live.batch_utterances(rows)
+    return live.batch_utterances(live_words(spark, sf_dir))
+
+
+def live_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_id, at, text of the events."""
+    return t.table(spark, sf_dir, "events").selectExpr("user_id", "(unix_micros(cast(ts as timestamp)) - 1704067200000000) / 3e10D as at", "case event_type when 'view' then '' when 'error' then null else event_type end as text")
 
 
 @query("""SELECT user_id, w AS "window", count(*) AS n, round(avg(value), 6) AS level FROM (SELECT user_id, value, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 10 AS w FROM events) GROUP BY ALL HAVING count(*) = 10""")

@@ -6,15 +6,20 @@ Spark drop state.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: An utterance ends after this silence if it has words, after that if it has none, or when it is this long.
 SILENCE_S, WORDLESS_S, LONGEST_S = 1.4, 2.4, 20.0
+#: Characters of an utterance that the next one gets as context.
+CONTEXT = 200
+_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 UTTERANCE = "user_id long, start_s double, end_s double, n long, text string"
 _STATE = "start_s double, end_s double, n long, text string"
 _NAMES = [x.split()[0] for x in UTTERANCE.split(", ")]
@@ -63,38 +68,99 @@ def _ordered(rows: pd.DataFrame) -> list[tuple[float, str | None]]:
     return sorted(zip(rows["at"], [None if x is None or x != x else x for x in rows["text"]], strict=True), key=lambda e: (e[0], e[1] is None, e[1] or ""))
 
 
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    open_ = tuple(state.get) if state.exists else None
-    if state.hasTimedOut:
-        state.remove()
-        yield pd.DataFrame([(key[0], *open_)] if open_[3] else [], columns=_NAMES)
-        return
-    done, open_ = fold_utterances(_ordered(pd.concat(list(batches))), open_)
-    if open_:
-        state.update(open_)
-        state.setTimeoutTimestamp(max(int((open_[1] + (SILENCE_S if open_[3] else WORDLESS_S)) * 1000), state.getCurrentWatermarkMs() + 1))
-    elif state.exists:
-        state.remove()
-    yield pd.DataFrame([(key[0], *u) for u in done], columns=_NAMES)
+class _Utterances(StatefulProcessor):
+    """One user's open utterance and the end of the one before it; a timer ends the open one when the watermark passes its silence."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open, self.context = handle.getValueState("open", _STATE), handle.getValueState("context", "text string")
+
+    def _out(self, user_id: int, done: list[tuple]) -> pd.DataFrame:
+        rows, before = [], self.context.get()[0] if self.context.exists() else None
+        for utterance in done:
+            rows.append((user_id, *utterance, before))
+            before = utterance[3][-CONTEXT:]
+        if done:
+            self.context.update((before,))
+        return pd.DataFrame(rows, columns=[*_NAMES, "context"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        open_ = tuple(self.open.get()) if self.open.exists() else None
+        done, open_ = fold_utterances(_ordered(pd.concat(list(rows))), open_)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if open_:
+            self.open.update(open_)
+            over = math.ceil((open_[1] + (SILENCE_S if open_[3] else WORDLESS_S)) * 1000)
+            self.handle.registerTimer(max(over, timerValues.getCurrentWatermarkInMs() + 1))
+        else:
+            self.open.clear()
+        yield self._out(key[0], done)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        done = [tuple(self.open.get())] if self.open.exists() else []
+        self.open.clear()
+        yield self._out(key[0], [x for x in done if x[3]])
 
 
 def utterances(stream: DataFrame, late: str = "1 minute") -> DataFrame:
-    """Utterances of a stream (user_id, ts, text): state is one open utterance a user; one still open ends when the watermark passes its silence."""
-    rows = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).withColumn("at", F.col("ts").cast("timestamp").cast("double"))
-    return rows.groupBy("user_id").applyInPandasWithState(_step, UTTERANCE, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    """Utterances, with the end of the one before as context, of a stream (user_id, at in seconds or ts, text).
+
+    A null text is a stop, which ends what is open at once. One that is still open ends when the watermark passes its silence. A user's
+    clock rises from batch to batch; within a batch rows may come in any order. The state is an utterance and a context for each user.
+    """
+    if "at" not in stream.columns:
+        stream = stream.withColumn("at", F.col("ts").cast("timestamp").cast("double"))
+    rows = stream.select("user_id", "at", "text", F.timestamp_micros(F.floor(F.col("at") * 1_000_000).cast("long")).alias("ts")).withWatermark("ts", late)
+    return rows.groupBy("user_id").transformWithStateInPandas(_Utterances(), f"{UTTERANCE}, context string", "Append", "EventTime")
+
+
+@contextmanager
+def stateful(spark: SparkSession, parts: int | None = None) -> Iterator[None]:
+    """Settings for streams with state and timers: the store that they need, and as many parts of state as there are cores. A query keeps those with which its checkpoint began."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": _STORE, "spark.sql.shuffle.partitions": str(parts or spark.sparkContext.defaultParallelism)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def streamed_utterances(stream: DataFrame, checkpoint: str, folder: str, late: str = "1 minute") -> DataFrame:
+    """Run the stream over what is there now, from its checkpoint on, and return all utterances that have ended so far, with their context.
+
+    Batches are tables by number below `folder`, so one that is run again after a failure takes the place of its first try.
+    """
+    with stateful(stream.sparkSession):
+        each_batch(utterances(stream, late), checkpoint, lambda rows, batch: rows.write.mode("overwrite").parquet(f"{folder}/batch={batch}"))
+    return stream.sparkSession.read.schema(f"{UTTERANCE}, context string").parquet(f"{folder}/batch=*")
 
 
 def batch_utterances(rows: DataFrame) -> DataFrame:
-    """The same utterances of a whole table (user_id, text, and at in seconds or ts), the last one of each user included."""
+    """The same utterances of a whole table (user_id, text, and at in seconds or ts), the last one of each user included.
+
+    Rows are sorted within partitions of users and folded as they stream by, so a task holds one open utterance, however long a user speaks.
+    """
 
-    def all_(pdf: pd.DataFrame) -> pd.DataFrame:
-        done, open_ = fold_utterances(_ordered(pdf), None)
-        done += [open_] if open_ and open_[3] else []
-        return pd.DataFrame([(pdf["user_id"].iloc[0], *u) for u in done], columns=_NAMES)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, open_ = None, None
+        for batch in batches:
+            out = []
+            for user_id, part in batch.groupby("user_id", sort=False, dropna=False):
+                if user_id != user:
+                    out += [(user, *open_)] if open_ and open_[3] else []
+                    user, open_ = user_id, None
+                done, open_ = fold_utterances(_ordered(part), open_)
+                out += [(user_id, *u) for u in done]
+            yield pd.DataFrame(out, columns=_NAMES)
+        yield pd.DataFrame([(user, *open_)] if open_ and open_[3] else [], columns=_NAMES)
 
     if "at" not in rows.columns:
         rows = rows.withColumn("at", F.col("ts").cast("timestamp").cast("double"))
-    return rows.select("user_id", "at", "text").groupBy("user_id").applyInPandas(all_, UTTERANCE)
+    return rows.select("user_id", "at", "text").repartition("user_id").sortWithinPartitions("user_id", "at", F.col("text").isNull(), "text").mapInPandas(fold, UTTERANCE)
 
 
 def partials(stream: DataFrame) -> DataFrame:
@@ -141,22 +207,53 @@ def latest_of(stream: DataFrame, key: str, order: str, checkpoint: str, folder:
     return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (key, "batch")]), F.struct(order, "batch")).alias("r")).select(key, "r.*")
 
 
+def _steps(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the steps below `folder` that were written to their end."""
+    jvm = spark.sparkContext._jvm
+    found = jvm.org.apache.hadoop.fs.Path(f"{folder}/step=*/_SUCCESS")
+    status = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(found)
+    return sorted(int(x.getPath().getParent().getName().removeprefix("step=")) for x in status or [])
+
+
 def drained(tasks: DataFrame, charging: bool, checkpoint: str, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Done (with batch) and parked tasks of a stream (recording_id, queued_at, wait_for_charger).
+    """Done (with the step and the place in it) and parked tasks of a stream (recording_id, queued_at, wait_for_charger).
 
-    The checkpoint remembers which tasks came; what each batch did is a table by its number, so a queue that stops goes on
-    where it was and no task is lost or done twice. Tasks that wait for a charger are parked unless it is there.
+    Each batch is a step that takes the backlog of the step before and what is new; tasks that wait for a charger are parked unless it is
+    there, and are the next step's backlog. When the charger comes and nothing new does, the backlog is a step of its own. Steps are
+    tables by number, and a batch that is run again finds its step by its own number, so no task is lost or done twice.
     """
+    spark = tasks.sparkSession
+
+    def take(rows: DataFrame | None, step: int, batch: int) -> None:
+        earlier = [k for k in _steps(spark, folder) if k < step]
+        backlog = spark.read.parquet(f"{folder}/step={earlier[-1]}").where("parked").select(*tasks.columns) if earlier else None
+        due = backlog if rows is None else rows.unionByName(backlog) if backlog is not None else rows
+        found = due.withColumn("parked", F.lit(False) if charging else F.col("wait_for_charger")).withColumn("from_batch", F.lit(batch))
+        # a range of the queue in each part, so that parts follow one another
+        found.repartitionByRange("parked", "queued_at", "recording_id").sortWithinPartitions("parked", "queued_at", "recording_id").withColumn("at", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{folder}/step={step}")
 
     def work(rows: DataFrame, batch: int) -> None:
-        parked = F.lit(False) if charging else F.col("wait_for_charger")
-        rows.withColumn("parked", parked).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+        steps = _steps(spark, folder)
+        again = steps and spark.read.parquet(f"{folder}/step={steps[-1]}").where(f"from_batch = {batch}").head(1)
+        take(rows, steps[-1] if again else (steps or [-1])[-1] + 1, batch)
 
     each_batch(tasks, checkpoint, work)
-    all_ = tasks.sparkSession.read.parquet(folder)
-    return all_.where("not parked").drop("parked"), all_.where("parked").drop("parked", "batch")
+    steps = _steps(spark, folder)
+    if charging and steps and spark.read.parquet(f"{folder}/step={steps[-1]}").where("parked").head(1):
+        take(None, steps[-1] + 1, -1)
+    steps = _steps(spark, folder)
+    all_ = spark.read.option("basePath", folder).parquet(*[f"{folder}/step={k}" for k in steps])
+    return in_order(all_.where("not parked")), all_.where(f"parked and step = {steps[-1]}").select(*tasks.columns)
 
 
 def in_order(done: DataFrame) -> DataFrame:
-    """Column place: the order in which the tasks of a batch were worked off, the oldest first."""
-    return done.withColumn("place", F.row_number().over(Window.partitionBy("batch").orderBy("queued_at", "recording_id")).cast("long"))
+    """Column place: the order in which the tasks of a step were worked off, the oldest first.
+
+    Tasks lie in parts by ranges, with `at`, their part and number in it; the parts' sizes give where each begins.
+    """
+    part = F.shiftright("at", 33)
+    first = Window.partitionBy("step").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = done.groupBy("step", part.alias("part")).agg(F.count("*").alias("n"), F.min("at").alias("least"))
+    parts = parts.select("step", "part", "least", F.coalesce(F.sum("n").over(first), F.lit(0)).alias("before"))
+    found = done.withColumn("part", part).join(parts, ["step", "part"])
+    return found.withColumn("place", F.col("before") + F.col("at") - F.col("least") + 1).drop("part", "least", "before", "at", "from_batch", "parked")
