@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+from voxloom.functions import mentions
 from voxloom.functions import text as ft
 from voxloom.functions import words as fw
 from voxloom.operators import intervals, library, names, sequences, store
@@ -88,19 +89,44 @@ def test_scalars(spark):
 
 
 def test_replies(spark):
-    replies = [('{"category": "Meeting"}', 2), ('{"category": "other", "choices": [1]}', 3), ("junk", 2), ('{"choices": [5, -1, 1, 0]}', 3), ('{"choices": []}', 1)]
+    replies = [('{"category": "Meeting"}', 2), ('{"category": "other", "choices": [1]}', 3), ("junk", 2), ('{"choices": [5, -1, 1, 0]}', 3), ('{"choices": []}', 1), ("{choices: [1, 0]}", 2)]
     rows = spark.createDataFrame(replies, "reply string, n int")
     got = [tuple(r) for r in rows.select(ft.parse_category(F.col("reply")), ft.parse_choices(F.col("reply"), F.col("n"))).collect()]
-    assert got == [("meeting", None), (None, [1, 0, 0]), (None, None), (None, [1, 0, 1]), (None, None)]
+    assert got == [("meeting", None), (None, [1, 0, 0]), (None, None), (None, [1, 0, 1]), (None, None), (None, [1, 0])]
+    assert spark.range(1).select(ft.parse_merges(F.lit("{merge: [[1,0]]}"), F.array(*map(F.lit, range(4))))).first()[0] == [[1, 0]]
     pairs = spark.range(1).select(ft.parse_merges(F.lit('{"merge": [[3, 2], [1, 1], [9, 1]]}'), F.array(*map(F.lit, range(4))))).first()[0]
     assert pairs == [[3, 2]]
 
 
+def _said(spark, f, texts):
+    return [r[0] for r in spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, t string").orderBy("k").select(f(F.col("t"))).collect()]
+
+
 def test_runaway_texts(spark):
     plain = " ".join(f"word{k}" for k in range(60))
-    texts = [plain, plain + " Speaker 1:" * 9, plain + " Speaker 1: a Speaker 2: b Speaker 1: c", "abcdefgh" * 40, "short", plain + " Speaker 1: no Speaker 2: no Speaker 1: no", ""]
-    got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "t string").select(ft.is_runaway(F.col("t"))).collect()]
-    assert got == [fw.is_runaway(x) for x in texts] == [False, True, False, True, False, True, False]
+    empty_twice = plain + " Speaker 1: a Speaker 2: b Speaker 1: Speaker 2: c Speaker 1:"  # five markers, two of them empty
+    texts = [plain, plain + " Speaker 1:" * 9, plain + " Speaker 1: a Speaker 2: b Speaker 1: c", "abcdefgh" * 40, "short", plain + " Speaker 1: no Speaker 2: no Speaker 1: no", "", empty_twice]
+    assert _said(spark, ft.is_runaway, texts) == [False, True, False, True, False, True, False, True]
+    loop, fine = "Hello there everyone, good to see you.", "Speaker 1: Good day. Speaker 2: Yeah, good day. Speaker 1: Thanks Paul. Bye. And now to something else altogether."
+    texts = [loop + " " + "Speaker 1: " * 9, fine, loop + " Speaker 1: a Speaker 2: b Speaker 1: b", loop + " Speaker 1: Speaker 2: a Speaker 1:", "Speaker 1: Speaker 2:", "Speaker 1: " * 5, "", None, loop + " Speaker 1:"]
+    assert _said(spark, mentions.trim_runaway, texts) == [loop, fine, loop + " Speaker 1: a", loop + " Speaker 1: Speaker 2: a", texts[4], "", "", None, texts[8]]
+    assert [[tuple(x) for x in r] for r in _said(spark, mentions.diarized, [fine, "no marker", "speaker 12 : x Speaker 3:"])] == [[(1, "Good day."), (2, "Yeah, good day."), (1, "Thanks Paul. Bye. And now to something else altogether.")], [], [(12, "x")]]
+
+
+def test_names_in_sentences(spark):
+    found = [[tuple(x) for x in r] for r in _said(spark, mentions.name_candidates, ["Then Kaiko met Blits Insurance at KLM. Anna said so", "OWASP is good. OWASP Zap! Ask OWASP\nNASA, ok", "", "(Kaiko) 'Mara Vos', 42 A4 x", "Then  Then Kaiko"])]
+    assert found == [[("Then", True), ("Kaiko", False), ("Blits Insurance", False), ("KLM", False), ("Anna", True)], [("OWASP", False), ("OWASP Zap", False), ("Ask", True), ("OWASP", False), ("NASA", False)], [], [("Kaiko Mara Vos", False), ("A4", False)], [("Then", True), ("Then Kaiko", False)]]
+    assert _said(spark, mentions.is_name, ["Monday", "That's", "Kim KimKim", "Kaiko", "Blits Insurance", "A B C D", "It Works", "Jo"]) == [False, False, False, True, True, False, False, False]
+    texts = spark.createDataFrame([(1, "OWASP is good."), (2, "OWASP was there. OWASP again.")], "recording_id long, text string")
+    assert [(r.spelling, r.recordings, r.occurrences) for r in names.harvest(texts, spark.createDataFrame([], "term string")).collect()] == [("OWASP", 2, 3)]
+    assert sorted((r.recording_id, r.spelling) for r in names.suggest(texts, spark.createDataFrame([], "term string"), spark.createDataFrame([], "key string")).collect()) == [(1, "OWASP"), (2, "OWASP")]
+
+
+def test_introduced_and_addressed_names(spark):
+    said = ["Hi, I'm Ahmed, nice to meet you", "This is Yuri speaking", "I'm just looking around", "Мене звати Олена, дуже приємно", "Ik ben Anke", "اسمي أحمد", "أنا متأكد", "I'm Sorry. my name is Bo-Anne", None]
+    assert _said(spark, mentions.introduced_name, said) == ["Ahmed", "Yuri", None, "Олена", "Anke", "أحمد", None, "Bo-Anne", None]
+    greeted = ["hello, my name is Sara", "Hey guys, welcome back", "hi Lana, how are you?", "Hi, I'm Ahmed", "Hi, I’ll start. Hello Lana", "hey Imre!"]
+    assert _said(spark, mentions.addressed_name, greeted) == [None, None, "Lana", None, "Lana", "Imre"]
 
 
 def test_nearest_marks(spark):
@@ -148,9 +174,11 @@ def test_harvest_against_a_plain_count(spark):
     got = [tuple(r) for r in names.harvest(spark.createDataFrame(texts, "recording_id int, text string"), spark.createDataFrame([("mara",)], "term string")).collect()]
     low = Counter(fw.word_key(w) for _, t in texts for w in re.findall(r"[^\W_]+", t) if w[0].islower())
     found: dict[str, list] = {}
+    df = spark.createDataFrame(texts, "recording_id int, text string")
+    candidates = {r.recording_id: [tuple(x) for x in r.c] for r in df.select("recording_id", F.filter(mentions.name_candidates(F.col("text")), lambda x: mentions.is_name(x["cand"])).alias("c")).collect()}
     for k, t in texts:
-        for cand, first in fw.name_candidates(t):
-            if fw.is_name(cand) and fw.word_key(cand) != "mara":
+        for cand, first in candidates[k]:
+            if fw.word_key(cand) != "mara":
                 found.setdefault(fw.word_key(cand), []).append((k, cand, first))
     want = []
     for key, hits in found.items():

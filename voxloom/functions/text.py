@@ -197,25 +197,27 @@ def top_gram_share(text: Column, n: int = 8, tail: int = 200) -> Column:
 
 #: Schemas of a model's replies, as it is asked for them and as they are read.
 CATEGORY_REPLY, CHOICES_REPLY, MERGE_REPLY = "category string", "choices array<int>", "merge array<array<int>>"
+#: Keys need no quotes and texts may have single ones; a text value without any is not read.
+LENIENT = {"mode": "PERMISSIVE", "allowUnquotedFieldNames": "true", "allowSingleQuotes": "true"}
 CATEGORY_IDS = ["meeting", "interview", "note", "idea"]
 
 
 def parse_category(reply: Column) -> Column:
     """meeting, interview, note or idea of a JSON reply, else null."""
-    found = F.lower(F.from_json(reply, CATEGORY_REPLY, {"mode": "PERMISSIVE", "allowUnquotedFieldNames": "true", "allowSingleQuotes": "true"})["category"])
+    found = F.lower(F.from_json(reply, CATEGORY_REPLY, LENIENT)["category"])
     return F.when(found.isin(CATEGORY_IDS), found)
 
 
 def parse_choices(reply: Column, n: Column) -> Column:
     """`n` choices of a JSON reply, 0 for missing ones, kept to 0 and 1; null if malformed or empty though some are asked."""
-    got = F.from_json(reply, CHOICES_REPLY, {"mode": "PERMISSIVE"})["choices"]
+    got = F.from_json(reply, CHOICES_REPLY, LENIENT)["choices"]
     filled = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.coalesce(F.least(F.greatest(F.get(got, k), F.lit(0)), F.lit(1)), F.lit(0)))
     return F.when(got.isNull() | ((F.size(got) == 0) & (n > 0)), None).when(n <= 0, F.array().cast("array<int>")).otherwise(filled)
 
 
 def parse_merges(reply: Column, ids: Column) -> Column:
     """Pairs of different known ids in a JSON reply; none if malformed."""
-    got = F.coalesce(F.from_json(reply, MERGE_REPLY, {"mode": "PERMISSIVE"})["merge"], F.array().cast("array<array<int>>"))
+    got = F.coalesce(F.from_json(reply, MERGE_REPLY, LENIENT)["merge"], F.array().cast("array<array<int>>"))
     return F.filter(got, lambda p: (F.size(p) == 2) & (F.get(p, F.lit(0)) != F.get(p, F.lit(1))) & F.array_contains(ids, F.get(p, F.lit(0))) & F.array_contains(ids, F.get(p, F.lit(1))))
 
 
@@ -228,7 +230,7 @@ def is_runaway(text: Column, short: int = 80, long: int = 200, markers: int = 3,
     end = F.right(text, F.lit(short))
     bodies = F.transform(F.slice(F.split(end, MARKER), 2, short), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     same = F.filter(bodies, lambda x, i: (x == "") | ((i > 0) & (x == F.get(bodies, i - 1))))
-    marked = (F.length(text) >= short) & (F.size(bodies) >= markers) & (F.size(same) >= F.size(bodies) - 1)
+    marked = (F.length(text) >= short) & (F.size(bodies) >= markers) & (F.size(same) >= markers - 1)
     return marked | ((F.length(text) >= long) & (top_gram_share(text, gram, long) * gram > long / 2))
 
 

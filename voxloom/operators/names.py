@@ -5,18 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxloom.functions import mentions
 from voxloom.functions import text as ft
 from voxloom.functions import words as fw
 from voxloom.sources.files import written
 
-_CANDIDATES = "array<struct<cand:string,initial:boolean>>"
-
 
 def candidates(texts: DataFrame) -> DataFrame:
-    """recording_id, pos, cand, initial: name candidates that are not ordinary in themselves."""
-    found = fw.arrow(lambda t: [{"cand": c, "initial": i} for c, i in fw.name_candidates(t) if fw.is_name(c)], _CANDIDATES)
-    rows = texts.withColumn("_c", found("text"))
-    return rows.select("recording_id", F.posexplode("_c").alias("pos", "c")).select("recording_id", "pos", "c.cand", "c.initial").withColumn("key", ft.key(F.col("cand")))
+    """recording_id, pos, cand, initial, key: name candidates that are not ordinary in themselves."""
+    rows = texts.select("recording_id", F.posexplode(mentions.name_candidates(F.col("text"))).alias("pos", "c")).select("recording_id", "pos", "c.cand", "c.initial")
+    return rows.where(mentions.is_name(F.col("cand"))).withColumn("key", ft.key(F.col("cand")))
 
 
 def lowercase_counts(texts: DataFrame, keys: DataFrame | None = None) -> DataFrame:
@@ -76,8 +74,7 @@ def suggest(texts: DataFrame, known: DataFrame, dismissed: DataFrame, limit: int
 
 def speaker_names(rows: DataFrame) -> DataFrame:
     """Column inferred for (recording_id, seq, start_s, speaker, text, speaker_name): the name given, else the first self-introduction, else in a talk of two how the other greets."""
-    intro, greeted = fw.arrow(fw.introduced_name, "string"), fw.arrow(fw.addressed_name, "string")
-    said = rows.withColumn("_intro", intro("text")).withColumn("_greet", greeted("text"))
+    said = rows.withColumn("_intro", mentions.introduced_name(F.col("text"))).withColumn("_greet", mentions.addressed_name(F.col("text")))
     own = said.where("_intro is not null").groupBy("recording_id", "speaker").agg(F.min_by("_intro", F.struct("start_s", "seq")).alias("_own"))
     two = rows.groupBy("recording_id").agg(F.count_distinct("speaker").alias("n"), F.min("speaker").alias("a"), F.max("speaker").alias("b")).where("n = 2")
     other = said.where("_greet is not null").join(two, "recording_id").withColumn("_to", F.when(F.col("speaker") == F.col("a"), F.col("b")).otherwise(F.col("a")))

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxloom.functions import mentions
 from voxloom.functions import text as ft
 from voxloom.functions import words as fw
 from voxloom.plans import text
@@ -114,8 +115,7 @@ def diarized_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speakers and texts of transcripts that name the speaker in front of each line."""
     turns = t.table(spark, sf_dir, "conversations").withColumn("line", F.concat(F.lit("Speaker "), (F.col("turn") % 3 + 1).cast("string"), F.lit(": "), "text"))
     texts = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    parsed = fw.arrow(lambda s: [{"speaker": k, "text": b} for k, b in fw.diarized(s)], "array<struct<speaker:int,text:string>>")
-    return texts.select("conv_id", F.posexplode(parsed("text")).alias("nr", "l")).select("conv_id", "nr", "l.speaker", "l.text")
+    return texts.select("conv_id", F.posexplode(mentions.diarized(F.col("text"))).alias("nr", "l")).select("conv_id", "nr", "l.speaker", "l.text")
 
 
 @query(r"""WITH w AS (SELECT conv_id, turn, unnest(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS w, FROM conversations), d AS (SELECT DISTINCT conv_id, w FROM (SELECT conv_id, w FROM w UNION ALL SELECT conv_id, '--' FROM conversations))

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxloom.functions import mentions
 from voxloom.functions import text as ft
 from voxloom.functions import words as fw
 from voxloom.operators import names
@@ -132,23 +133,67 @@ def texts_destuttered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.table(spark, sf_dir, "conversations").select("conv_id", "turn", fw.arrow(fw.destutter, "string")("text").alias("text"))
 
 
-@query()
-def runaway_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = t.table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.when(F.col("doc_id") % 5 == 0, F.repeat(F.lit(" Speaker 1:"), F.lit(9))).otherwise("")).alias("text"))
-    return d.select("doc_id", ft.is_runaway(F.col("text")).alias("runaway"), fw.arrow(fw.trim_runaway, "string")("text").alias("trimmed"))
+_LOOPS_SQL = r"""d AS (SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN repeat(' Speaker 1:', 9) WHEN 1 THEN ' Speaker 1: a Speaker 2: b Speaker 1: Speaker 2: c Speaker 1:' WHEN 2 THEN ' Speaker 1: no Speaker 2: no speaker 1 : no' WHEN 3 THEN ' ' || repeat('abcdefgh', 14 + doc_id % 25) ELSE '' END AS text FROM documents),
+    m AS (SELECT *, string_split_regex(text, '(?i)\bSpeaker\s+\d+\s*:') AS pieces, regexp_extract_all(text, '(?i)\bSpeaker\s+\d+\s*:') AS marks, "right"(text, 80) AS short, "right"(text, 200) AS long FROM d),
+    b AS (SELECT *, [regexp_replace(x, '^\s+|\s+$', '', 'g') FOR x IN pieces[2:]] AS bodies, [regexp_replace(x, '^\s+|\s+$', '', 'g') FOR x IN string_split_regex(short, '(?i)\bSpeaker\s+\d+\s*:')[2:]] AS tail FROM m),
+    h AS (SELECT *, [i FOR i IN range(1, len(tail) + 1) IF tail[i] = '' OR (i > 1 AND tail[i] = tail[i - 1])] AS hits, [substr(long, i, 8) FOR i IN range(1, length(long) - 6)] AS grams,
+        list_max([i FOR i IN range(1, len(bodies)) IF bodies[i] <> '' AND bodies[i] <> bodies[i + 1]]) AS other FROM b)"""
 
 
-@query()
+@query(rf"""WITH {_LOOPS_SQL}
+    SELECT doc_id, (length(text) >= 80 AND len(tail) >= 3 AND len(hits) >= 2) OR (length(text) >= 200 AND 8 * coalesce(list_max(map_values(list_histogram([g FOR g IN grams IF length(trim(g)) >= 4]))), 0) > 100) AS runaway,
+        CASE WHEN length(text) >= 30 AND len(bodies) >= 2 AND (bodies[-1] = '' OR bodies[-1] = bodies[-2])
+            THEN regexp_replace(array_to_string(pieces[1:1] || [marks[i] || pieces[i + 1] FOR i IN range(1, coalesce(other, 0) + 1)], ''), '\s+$', '') ELSE text END AS trimmed FROM h""")
+def runaway_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which texts end in a loop, and texts without the markers at their end that loop."""
+    end = F.expr("""case doc_id % 5 when 0 then repeat(' Speaker 1:', 9) when 1 then ' Speaker 1: a Speaker 2: b Speaker 1: Speaker 2: c Speaker 1:' when 2 then ' Speaker 1: no Speaker 2: no speaker 1 : no'
+        when 3 then concat(' ', repeat('abcdefgh', cast(14 + doc_id % 25 as int))) else '' end""")
+    d = t.table(spark, sf_dir, "documents").select("doc_id", F.concat("text", end).alias("text"))
+    return d.select("doc_id", ft.is_runaway(F.col("text")).alias("runaway"), mentions.trim_runaway(F.col("text")).alias("trimmed"))
+
+
+#: What recordings say besides: acronyms and names inside sentences and at their start, openers, contractions, repeats.
+_SAID = ["OWASP is good.", "We saw OWASP there. OWASP again. Then Kaiko met Blits Insurance at KLM", "Ask KimKim or Mara Vos. Kim KimKim, That's it! Monday", "Project Falcon began\nwith Mara. the project, a falcon, falcon", "So NASA went. Falcon flew with Mara Vos Lee Long"]
+_IN_LIST = lambda words: "(" + ", ".join("'" + w + "'" for w in words) + ")"
+#: Words by sentence, and candidates (cand, initial) with their keys, as rows: runs are islands between words that are no names.
+_NAMES_SQL = rf"""rec AS (SELECT doc_id AS r, text || '. ' || ['{"', '".join(x.replace("'", "''") for x in _SAID)}'][CAST(doc_id % 5 AS INTEGER) + 1] AS text FROM documents),
+    sen AS (SELECT r, unnest(string_split_regex(text, '[.!?\n]')) AS sentence, unnest(range(len(string_split_regex(text, '[.!?\n]')))) AS sn FROM rec),
+    wl AS (SELECT r, sn, list_filter([regexp_replace(x, '^\p{{P}}+|\p{{P}}+$', '', 'g') FOR x IN string_split(sentence, ' ')], lambda x: x <> '') AS ws FROM sen),
+    wr AS (SELECT r, sn, unnest(ws) AS w, unnest(range(len(ws))) AS wn FROM wl),
+    wk AS (SELECT *, regexp_matches(w, '^[\p{{Lu}}\p{{Nd}}]{{3,6}}$') AND regexp_matches(w, '\p{{L}}') AS acronym, regexp_matches(w, '(?s)^\p{{Lu}}.*[\p{{Ll}}\p{{Nd}}]') AS name FROM wr),
+    wo AS (SELECT *, wn = 0 AND name AND NOT acronym AND lower(w) IN {_IN_LIST(mentions.OPENERS)} AS opens FROM wk),
+    wi AS (SELECT *, sum(CASE WHEN opens OR NOT (acronym OR name) THEN 1 ELSE 0 END) OVER (PARTITION BY r, sn ORDER BY wn) AS island FROM wo),
+    ca AS (SELECT r, sn, min(wn) AS wn, string_agg(w, ' ' ORDER BY wn) AS cand, min(wn) = 0 AND count(*) = 1 AND NOT bool_or(acronym) AS initial FROM wi WHERE (acronym OR name) AND NOT opens GROUP BY r, sn, island
+        UNION ALL SELECT r, sn, wn, w, true FROM wi WHERE opens),
+    ck AS (SELECT *, {_KEY.format("cand")} AS key, [{_KEY.format("x")} FOR x IN string_split(cand, ' ')] AS parts FROM ca),
+    cn AS (SELECT * FROM ck WHERE length(key) >= 3 AND key NOT IN {_IN_LIST(mentions.STOP)} AND NOT regexp_matches(cand, '[''’]') AND len(parts) <= 3 AND len([1 FOR x IN parts IF x IN {_IN_LIST(mentions.STOP)}]) = 0
+        AND len([1 FOR i IN range(1, len(parts)) IF starts_with(parts[i], parts[i + 1]) OR starts_with(parts[i + 1], parts[i])]) = 0),
+    lw AS (SELECT r, {_KEY.format("w")} AS key FROM (SELECT r, unnest(string_split_regex(text, '[^\p{{L}}\p{{N}}]+')) AS w FROM rec) WHERE regexp_matches(w, '^\p{{Ll}}'))"""
+
+
+def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.array(*map(F.lit, _SAID))
+    return t.recordings(spark, sf_dir).select(F.col("id").alias("recording_id"), F.concat("text", F.lit(". "), F.get(said, (F.col("id") % 5).cast("int"))).alias("text"))
+
+
+@query(f"""WITH {_NAMES_SQL}, low AS (SELECT key, count(*) AS low FROM lw GROUP BY key), h AS (SELECT * FROM cn WHERE key NOT IN ('kaiko', 'blitsinsurance')),
+    k AS (SELECT key, count(DISTINCT r) AS recordings, count(*) AS occurrences, count(*) FILTER (NOT initial) AS mid FROM h GROUP BY key),
+    sp AS (SELECT key, cand, parts FROM (SELECT key, cand, any_value(parts) AS parts, count(*) AS n FROM h GROUP BY key, cand) QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, cand) = 1),
+    pl AS (SELECT key, len(any_value(parts)) AS n, min(coalesce(low, 0)) AS least FROM (SELECT sp.key, parts, unnest(parts) AS part FROM sp) p LEFT JOIN (SELECT key AS part, low FROM low) USING (part) GROUP BY key)
+    SELECT key, cand AS spelling, recordings, occurrences FROM k JOIN sp USING (key) JOIN pl USING (key) LEFT JOIN low USING (key)
+    WHERE recordings >= 2 AND mid >= greatest(1, occurrences // 5) AND coalesce(low, 0) < occurrences AND NOT (n > 1 AND least > 3) ORDER BY recordings DESC, occurrences DESC, spelling DESC LIMIT 200""")
 def harvested_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = t.spread(t.recordings(spark, sf_dir).select(F.col("id").alias("recording_id"), "text"))
     known = spark.createDataFrame([("Kaiko",), ("Blits Insurance",)], "term string")
-    return names.harvest(texts, known)
+    return names.harvest(_recorded(spark, sf_dir), known)
 
 
-@query()
+@query(f"""WITH {_NAMES_SQL}, low AS (SELECT r, key, count(*) AS low FROM lw GROUP BY r, key), h AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY sn, wn) AS pos FROM cn WHERE NOT initial AND key NOT IN ('kaiko', 'mara')),
+    k AS (SELECT r, key, count(*) AS occurrences, min(pos) AS first FROM h GROUP BY r, key),
+    sp AS (SELECT r, key, cand FROM (SELECT r, key, cand, count(*) AS n, min(pos) AS p FROM h GROUP BY r, key, cand) QUALIFY row_number() OVER (PARTITION BY r, key ORDER BY n DESC, p) = 1)
+    SELECT r AS recording_id, CAST(row_number() OVER (PARTITION BY r ORDER BY occurrences DESC, first) AS INTEGER) AS nr, key, cand AS spelling, occurrences
+    FROM k JOIN sp USING (r, key) LEFT JOIN low USING (r, key) WHERE coalesce(low, 0) < occurrences QUALIFY row_number() OVER (PARTITION BY r ORDER BY occurrences DESC, first) <= 6""")
 def suggested_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = t.spread(t.recordings(spark, sf_dir).select(F.col("id").alias("recording_id"), "text"))
-    return names.suggest(texts, spark.createDataFrame([("Kaiko",)], "term string"), spark.createDataFrame([("mara",)], "key string"))
+    return names.suggest(_recorded(spark, sf_dir), spark.createDataFrame([("Kaiko",)], "term string"), spark.createDataFrame([("mara",)], "key string"))
 
 
 @query(r"""SELECT key, count(*) AS low FROM (SELECT regexp_replace(lower(w), '[^\p{L}\p{Nd}]', '', 'g') AS key FROM (SELECT unnest(string_split_regex(text, '[^\p{L}\p{N}]+')) AS w FROM documents) WHERE regexp_matches(w, '^\p{Ll}')) GROUP BY key""")
@@ -210,7 +255,7 @@ def replies_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replies_scrubbed(spark: SparkSession, sf_dir: str) -> DataFrame:
     lead = F.expr("case doc_id % 4 when 0 then 'Sure, here is the text: ' when 1 then '=== CONTEXT (DO NOT REPEAT) === x === END CONTEXT === ' when 2 then 'The previous chunk ended with: foo bar. ' else '' end")
     d = t.table(spark, sf_dir, "documents").select("doc_id", F.concat(lead, "text").alias("text"))
-    return d.select("doc_id", ft.scrub_vocabulary_echo(fw.arrow(fw.trim_runaway, "string")(ft.strip_leaks(ft.strip_preamble(F.col("text")))), ["Yuri", "Len", "ABCI"]).alias("text"))
+    return d.select("doc_id", ft.scrub_vocabulary_echo(mentions.trim_runaway(ft.strip_leaks(ft.strip_preamble(F.col("text")))), ["Yuri", "Len", "ABCI"]).alias("text"))
 
 
 def _speaking(spark: SparkSession, sf_dir: str) -> DataFrame:
