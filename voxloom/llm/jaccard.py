@@ -10,8 +10,8 @@ is left out by chance:
    m - ceil(p / 100 m) + 1 of the larger. A set is indexed by the first few and probes by the longer prefix; shingles that no
    other set holds are left out. A text with enough shingles of its own thus meets nobody, whatever template it shares.
 4. Tiles: members are dealt by (shingle, size band), a band being a factor of 100 / p, so a set probes its own band and the one below. Pairs
-   of small tiles are compared; in a larger one all members are first compared with two hubs, and only members that this
-   leaves in different components are paired.
+   of small tiles are compared; in a larger one all members are first compared with two hubs, then those in different components
+   with a few more, and only members that this leaves in different components are paired.
 5. A pair's overlap is bounded from above by the bit counts of hashed bitmaps, then counted exactly in the sorted arrays.
 
 Defined cases: null and empty texts and texts of white space have the empty set, which links with nothing; rows that
@@ -37,6 +37,8 @@ from voxloom.llm.shared import drop_written, written
 SEED = 42
 #: Tiles up to this size are compared in pairs at once; larger ones with two hubs first.
 PAIRS_TO = 8
+#: Members of a tile of several components that all its other members are compared with.
+HUBS = 16
 #: Longs of a set's bitmap.
 BITMAP_LONGS = 8
 #: Members of a tile that are compared with one copy of a hub's set.
@@ -259,14 +261,25 @@ def _first_pairs(members: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n").unionAll(stars.select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b"), "n"))
 
 
-def _open_pairs(members: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """a, b, n: pairs of members of larger tiles that the first comparisons left in different components, those outside the tile's largest component with all others, unless sizes or bit counts rule them out."""
+def _open(members: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """A written table of the members of larger tiles that hold several components, with labels, bits and the tile's largest component, `main`; none if there are no such tiles."""
     rows = members.where(f"n > {PAIRS_TO}").join(label.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", "m", "indexed", F.coalesce("label", "id").alias("label"))
     parts = rows.groupBy("key", "band", "label").agg(F.count("*").alias("k")).groupBy("key", "band").agg(F.count("*").alias("labels"), F.sum("k").alias("n"), F.expr("max_by(label, struct(k, label))").alias("main"))
     rows = written(rows.join(parts.where("labels > 1"), ["key", "band"]).join(sets.select("id", "bits"), "id"), "open")
-    if not rows.head(1):
-        return None
-    found = rows.where("label <> main").alias("a").join(rows.alias("b"), ["key", "band"]).where(f"a.label <> b.label and ({_probed('a', 'b', percent)} or {_probed('b', 'a', percent)}) and {_within('a.bits', 'b.bits', 'a.m + b.m', percent)}")
+    return rows if rows.head(1) else None
+
+
+def _sampled_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b, n: of each open tile all members with `HUBS` others of other components, one for each residue of a hash."""
+    hubs = rows.groupBy("key", "band", F.expr(f"pmod(xxhash64(id), {HUBS})").alias("residue")).agg(F.max_by(F.struct("id", "m", "label", "bits"), F.xxhash64("id", F.lit(1))).alias("h"))
+    near = f"label <> h.label and 100 * least(m, h.m) >= {percent} * greatest(m, h.m) and {_within('bits', 'h.bits', 'm + h.m', percent)}"
+    return rows.join(hubs, ["key", "band"]).where(near).select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b"), "n")
+
+
+def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b, n: pairs of members of open tiles in different components, those outside the largest component with all others, unless sizes or bit counts rule them out."""
+    either = f"({_probed('a', 'b', percent)} or {_probed('b', 'a', percent)})"
+    found = rows.where("label <> main").alias("a").join(rows.alias("b"), ["key", "band"]).where(f"a.label <> b.label and {either} and {_within('a.bits', 'b.bits', 'a.m + b.m', percent)}")
     return found.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), F.col("a.n").alias("n"))
 
 
@@ -291,9 +304,13 @@ def similar_sets(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame
 
     linked = _linked(_first_pairs(members, percent), sets, percent)
     label = written(components(linked), "labels")
-    rest = _open_pairs(members, label, sets, percent)
-    if rest is not None:
-        label = written(components(linked.unionAll(_linked(rest, sets, percent))), "labels")
+    for pairs in (_sampled_pairs, _open_pairs):
+        rows = _open(members, label, sets)
+        if rows is None:
+            break
+        linked = linked.unionAll(_linked(pairs(rows, percent), sets, percent))
+        label = written(components(linked), "labels")
+        drop_written(rows)
     for done in (counts, prefixes, members, sets):
         drop_written(done)
     names = named.join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "m", "first", F.coalesce("label", "id").alias("label"))
