@@ -244,6 +244,21 @@ def brute_repeats(rows):
     return sorted(out)
 
 
+def test_templated_benchmark_joins_nothing(spark, monkeypatch):
+    """Items that share a prompt of 40 words with each other and with the documents: only leaks are compared, in whatever order their passages stand."""
+    rnd = random.Random(31)
+    prompt = prose(rnd, 40, [f"p{k}" for k in range(30)])
+    own = [prose(rnd, 20, [f"i{k}x{j}" for j in range(60)]) for k in range(60)]
+    bench = spark.createDataFrame([(k, f"{prompt} {x}") for k, x in enumerate(own)], "item_id long, text string")
+    docs = [(k, f"{prose(rnd, 30)} {prompt} {prose(rnd, 30, [f'd{k}x{j}' for j in range(50)])}") for k in range(80)]
+    docs += [(100, f"{own[3]} and then {prompt}"), (101, f"{prompt} {' '.join(own[4].split()[:12])}"), (102, f"{prompt} {' '.join(own[5].split()[:5])}"), (103, own[6]), (104, f"{prose(rnd, 9)} {' '.join(own[7].split()[10:])} x {' '.join(own[7].split()[:10])} {prompt}")]
+    pairs, number = [], {}
+    monkeypatch.setattr(op04_tiling, "_candidates", lambda *a, f=op04_tiling._candidates: pairs.append(f(*a).count()) or f(*a))
+    got = {(r.doc_id, r.item_id) for r in op04_tiling.leaks(docs_frame(spark, docs), bench).collect()}
+    want = {(d, k) for d, text in docs for k, x in enumerate(own) if sum(n for n, _, _ in op04_tiling.greedy_tiles(*[[number.setdefault(w, len(number)) for w in t.split()] for t in (f"{prompt} {x}", text)])) >= 48}
+    assert got == want == {(100, 3), (101, 4), (104, 7)} and pairs[0] <= 5
+
+
 @pytest.mark.parametrize("block, hot", [(8_000_000, 64), (1500, 64), (1500, 1)])
 def test_repeats(spark, odd_rows, block, hot):
     rnd = random.Random(3)

@@ -9,8 +9,9 @@ sequences, and goes on with shorter ones down to `SHORTEST`. An item is leaked i
 document if tiles cover at least `COVERAGE` of the item's words; as tiles may lie in any order,
 reordered passages count.
 
-Tiles that cover so much hold a certain number of the item's runs. So some runs can be left out, those that most items have, and of
-the others a certain number is still needed: a phrase that is in very many items and documents doesn't join them all.
+Tiles that cover so much leave few of the item's words uncovered, so of more places than that one must be in a tile. Documents are asked only for runs over an
+item's rarest places: neither a phrase nor a whole prompt that is in very many items and documents joins them all, unless it is
+so much of the items that each document with it is a leak of each of them.
 
 Defined cases: null and empty texts match nothing; an item of fewer than `SHORTEST`
 words has no seed and never matches; items that repeat an id each match on their own and
@@ -33,6 +34,8 @@ from voxloom.llm.shared import free_name, quoted, written
 
 #: Words in the shortest tile, and the share of an item's words that tiles must cover.
 SHORTEST, COVERAGE = 5, 0.8
+#: Places count as rare if no run over them is in the benchmark more often.
+RARE = 4
 #: The bitmap of the items' runs has two to this power of bits at most, and words whose hashes a task keeps.
 FILTER_BITS, MEMO_WORDS = 30, 100_000
 _WORD = re.compile(r"\w+")
@@ -169,18 +172,27 @@ def _bitmap(items: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _probes(items: DataFrame, shortest: int, coverage: float) -> DataFrame:
-    """key, run, times, need: runs of each item with the number of their places, of which a document must have `need`.
+    """key, run, times, need: the runs of each item that documents are asked for, the chosen places that they cover, and how many a document must have.
 
-    Tiles of `coverage` of n words, each of `shortest` or more, hold at least coverage * n / shortest places of runs. Of these
-    half at most are among as many places that are left out, those whose runs are the commonest of the benchmark.
+    Tiles leave at most u = n - ceil(coverage * n) of an item's n words uncovered. So of any chosen places all but u are in a tile, and with
+    each of them a run that covers it. Chosen are the u + 1 places whose runs are the rarest of the benchmark, and all others
+    with rare runs; a place is as common as the commonest run over it.
     """
-    rows = items.select("key", F.size("words").alias("n"), F.posexplode("runs").alias("nr", "run"))
-    common = rows.groupBy("run").agg(F.count("*").alias("common"))
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("common", "run", "nr"))
-    held = F.greatest(F.ceil(F.col("n") * coverage / shortest - 1e-9), F.lit(1)).cast("long")
-    rows = rows.join(common, "run").withColumn("rank", rank).withColumn("held", held).withColumn("left_out", F.expr("held div 2 - if(held % 2 = 0, 1, 0)"))
-    probe = rows.where(F.col("rank") <= F.col("n") - shortest + 1 - F.col("left_out"))
-    return probe.groupBy("key", "run").agg(F.count("*").alias("times"), F.max(F.col("held") - F.col("left_out")).alias("need"))
+    runs = items.select("key", F.size("words").alias("n"), F.posexplode("runs").alias("start", "run"))
+    common = runs.groupBy("run").agg(F.count("*").alias("common"))
+    over = runs.join(common, "run").select("key", "n", "run", "common", F.explode(F.expr(f"sequence(start, start + {shortest - 1})")).alias("place"))
+    places = over.groupBy("key", "n", "place").agg(F.max("common").alias("level"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("level", "place"))
+    spare = F.col("n") - F.ceil(F.col("n") * coverage - 1e-9)
+    chosen = places.withColumn("rank", rank).withColumn("spare", spare).where(f"rank <= spare + 1 or level <= {RARE}")
+    need = chosen.groupBy("key").agg((F.count("*") - F.max("spare")).alias("need"))
+    return over.join(chosen.select("key", "place"), ["key", "place"], "left_semi").groupBy("key", "run").agg(F.count("*").alias("times")).join(need, "key")
+
+
+def _candidates(seeded: DataFrame, items: DataFrame, shortest: int, coverage: float) -> DataFrame:
+    """row, key: documents and items that are to be tiled."""
+    met = seeded.select("row", F.explode("runs").alias("run")).join(_probes(items, shortest, coverage), "run")
+    return met.groupBy("row", "key").agg(F.sum("times").alias("times"), F.max("need").alias("need")).where("times >= need").select("row", "key")
 
 
 def _seeded(docs: DataFrame, bitmap: np.ndarray, bits: int, shortest: int) -> DataFrame:
@@ -241,8 +253,7 @@ def _leaked(docs: DataFrame, benchmark: DataFrame, shortest: int, coverage: floa
     if not items.head(1):
         return docs.sparkSession.createDataFrame([], names)
     seeded = _seeded(docs, *_bitmap(items), shortest)
-    pairs = seeded.select("row", F.explode("runs").alias("run")).join(_probes(items, shortest, coverage), "run").groupBy("row", "key").agg(F.sum("times").alias("times"), F.max("need").alias("need")).where("times >= need").select("row", "key")
-    rows = pairs.join(seeded.select("row", "doc_id", "hash", "parts"), "row").join(items.select("key", "item_id", "words"), "key")
+    rows = _candidates(seeded, items, shortest, coverage).join(seeded.select("row", "doc_id", "hash", "parts"), "row").join(items.select("key", "item_id", "words"), "key")
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
