@@ -85,7 +85,8 @@ def duplicates(docs: DataFrame) -> DataFrame:
     signatures = written(rows.select(F.length(text).alias("length"), block_hashes(text).alias("blocks")), "signatures")
     classes = refined(signatures)
     named = rows.withColumn("class", class_of(F.length(text), block_hashes(text)))
-    left = written(named.join(classes, "class"), "left")
+    # the same plan at every size: classes grow with the documents, so they are never sent to all tasks
+    left = written(named.join(classes.hint("merge"), "class"), "left")
     drop_written(signatures)
     # whole texts: a class holds one text, but for chance
     first = left.groupBy("class", "text").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
