@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -123,10 +124,12 @@ def silence_runs(frames: DataFrame, window_s: float = 0.025, least_s: float = 0.
     return found.where(F.col("_n") * window_s >= least_s - 1e-9).select("recording_id", "start_s", "end_s")
 
 
-def cut_points(silences: DataFrame, durations: DataFrame, target_s: float = 28.0, flex_s: float = 2.0) -> DataFrame:
-    """recording_id, nr, cut_s, at_silence: from one cut to the next, the silence whose middle is nearest to the target and no more than `flex_s` before it, else the target."""
+def cut_points(silences: DataFrame, durations: DataFrame, target_s: float = 28.0, flex_s: float = 2.0, least_s: float = 1.0) -> DataFrame:
+    """recording_id, nr, cut_s, at_silence: from one cut to the next, the silence whose middle is nearest to the target and no more than `flex_s` before it, but more than `least_s` after the last cut; else the target."""
     packed = durations.join(silences.groupBy("recording_id").agg(F.array_sort(F.collect_list((F.col("start_s") + F.col("end_s")) / 2)).alias("mids")), "recording_id", "left")
 
+    kind = dict(durations.dtypes)["recording_id"]
+
     def walk(batches: Iterator) -> Iterator:
         import pandas as pd
 
@@ -137,13 +140,13 @@ def cut_points(silences: DataFrame, durations: DataFrame, target_s: float = 28.0
                 last, nr = 0.0, 0
                 while r.duration_s - last > target_s + flex_s:
                     target = last + target_s
-                    near = [m for m in mids if target - flex_s <= m <= target and m > last + 1]
-                    cut = max(near, default=None)
+                    k = bisect_right(mids, target) - 1
+                    cut = mids[k] if k >= 0 and mids[k] >= target - flex_s and mids[k] > last + least_s else None
                     out.append((r.recording_id, nr, target if cut is None else cut, cut is not None))
                     last, nr = out[-1][2], nr + 1
             yield pd.DataFrame(out, columns=["recording_id", "nr", "cut_s", "at_silence"])
 
-    return packed.select("recording_id", "duration_s", "mids").mapInPandas(walk, "recording_id long, nr int, cut_s double, at_silence boolean")
+    return packed.select("recording_id", "duration_s", "mids").mapInPandas(walk, f"recording_id {kind}, nr int, cut_s double, at_silence boolean")
 
 
 def context_tail(rows: DataFrame, n: int = 250) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxloom.functions import mentions
 from voxloom.functions import text as ft
 from voxloom.functions import words as fw
+from voxloom.operators import sequences
 from voxloom.plans import text
 from voxloom.plans.registry import ORACLES, query
 from voxloom.sources import audio, files
@@ -69,6 +70,40 @@ def sound_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.durations(spark, folder).select(_user("path"), F.round("duration_s", 9).alias("seconds"))
 
 
+#: Sounds of 32 samples an event, quiet for six events of seventeen; windows of a millisecond.
+_QUIET_SQL = f"""e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, value % 1.0 - 0.5 AS x FROM events),
+    s AS (SELECT user_id, k * 32 + j AS nr, CAST(CAST(CASE WHEN k % 17 < 6 THEN x / 1000 ELSE x END * CASE WHEN j % 2 = 0 THEN 1 ELSE -1 END AS FLOAT) AS DOUBLE) AS x FROM e, unnest(range(32)) u(j)),
+    p AS (SELECT user_id, nr, {_PCM.format('x')} AS v FROM s), n AS (SELECT user_id, count(*) AS n FROM p GROUP BY ALL),
+    fr AS (SELECT user_id, nr // 16 AS frame, round(sqrt(avg(v * v)), 9) AS rms FROM p GROUP BY ALL HAVING count(*) = 16),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rms, frame) AS k, count(*) OVER (PARTITION BY user_id) AS m FROM fr), th AS (SELECT user_id, least(greatest(2 * rms, 0.005), 0.02) AS th FROM rk WHERE k = m // 5 + 1),
+    q AS (SELECT fr.*, rms < th AS quiet FROM fr JOIN th USING (user_id)), i AS (SELECT *, sum(CASE WHEN quiet THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY frame) AS island FROM q),
+    si AS (SELECT user_id, (min(frame) * CAST(0.001 AS DOUBLE) + (max(frame) + 1) * CAST(0.001 AS DOUBLE)) / 2 AS mid FROM i WHERE quiet GROUP BY user_id, island HAVING count(*) >= 4),
+    mi AS (SELECT n.user_id, n.n, n.n / CAST(16000 AS DOUBLE) AS d, coalesce(list(mid) FILTER (mid IS NOT NULL), []) AS mids FROM n LEFT JOIN si USING (user_id) GROUP BY ALL),
+    c AS (SELECT user_id, CAST(-1 AS INTEGER) AS nr, CAST(0 AS DOUBLE) AS cut_s, NULL::BOOLEAN AS at_silence FROM mi
+        UNION ALL SELECT user_id, nr + 1, coalesce(m, cut_s + CAST(0.028 AS DOUBLE)), m IS NOT NULL FROM (SELECT c.*, d, list_max(list_filter(mids, lambda m: m >= cut_s + CAST(0.028 AS DOUBLE) - CAST(0.01 AS DOUBLE) AND m <= cut_s + CAST(0.028 AS DOUBLE) AND m > cut_s + CAST(0.002 AS DOUBLE))) AS m
+            FROM c JOIN mi USING (user_id)) WHERE d - cut_s > CAST(0.028 AS DOUBLE) + CAST(0.01 AS DOUBLE)),
+    en AS (SELECT user_id, nr, CAST(floor(cut_s * 16000) AS BIGINT) AS begins, at_silence FROM c),
+    be AS (SELECT e.user_id, e.nr + 1 AS chunk, begins, coalesce(lead(begins) OVER w, mi.n) AS after, coalesce(lag(begins) OVER w, 0) AS before, CASE WHEN at_silence THEN 16 WHEN NOT at_silence THEN 48 ELSE 0 END AS wish FROM en e JOIN mi USING (user_id) WINDOW w AS (PARTITION BY e.user_id ORDER BY e.nr)),
+    ch AS (SELECT user_id, chunk, begins, after, CASE WHEN begins - before >= wish THEN wish ELSE 0 END AS overlap FROM be WHERE after > begins)"""
+
+
+@query(f"""WITH RECURSIVE {_QUIET_SQL} SELECT ch.user_id, CAST(chunk AS INTEGER) AS chunk, round(CAST(min(nr) AS DOUBLE) / 16000, 6) AS start_s, CAST(any_value(overlap) AS BIGINT) AS overlap, count(*) AS n, round(sqrt(avg(v * v)), 6) AS rms
+    FROM ch JOIN p ON p.user_id = ch.user_id AND nr >= begins - overlap AND nr < after GROUP BY ch.user_id, chunk""")
+def sound_chunks_at_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sound files cut where they are quiet: levels from ranges of each file, silences, cuts, then each chunk from its own range; hard cuts overlap by three milliseconds, others by one."""
+    samples = t.table(spark, sf_dir, "events").selectExpr("user_id as recording_id", "row_number() over (partition by user_id order by ts, event_id) - 1 as k", "value % 1.0D - 0.5D as x")
+    samples = samples.select("recording_id", F.expr("case when k % 17 < 6 then x / 1000 else x end").alias("x"), "k", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("j"))
+    samples = samples.selectExpr("recording_id", "cast(k * 32 + j as long) as frame", "cast(cast(x * if(j % 2 = 0, 1, -1) as float) as double) as x")
+    folder = files.work_folder(spark, "sounds")
+    files.write_files(audio.sounds(samples, F.concat(F.col("recording_id").cast("string"), F.lit(".wav"))), folder)
+    heads = files.written(audio.headers(spark, folder), "headers")
+    levels = audio.levels(heads, 0.001).select(F.col("path").alias("recording_id"), "frame", F.round("rms", 9).alias("rms"))
+    quiet = sequences.silence_runs(levels, 0.001, 0.004)
+    cuts = sequences.cut_points(quiet, heads.select(F.col("path").alias("recording_id"), (F.col("n") / audio.RATE).alias("duration_s")), 0.028, 0.01, 0.002)
+    found = audio.chunks_at_cuts(heads, files.written(cuts.withColumnRenamed("recording_id", "path"), "cuts"), 0.003, 0.001)
+    return found.select(_user("path"), "chunk", F.round("start_s", 6).alias("start_s"), "overlap", "n", F.round("rms", 6).alias("rms"))
+
+
 @query()
 def quiet_cut_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges of a sound in memory, cut where it is quiet; an event is a sample of a tenth of a second, loud or not."""

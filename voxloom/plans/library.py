@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voxloom.functions import text as ft
 from voxloom.operators import library, store
 from voxloom.plans.registry import query
+from voxloom.sources import files, stored
 from voxloom.sources import tables as t
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -194,6 +195,29 @@ def prune_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.prune_orphans(t.table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", t.table(spark, sf_dir, "lineitem").where("l_quantity > 49"), "l_partkey")
 
 
+@query("""WITH c1 AS (SELECT c_custkey AS id, c_name AS name, c_nationkey AS folder FROM customer), n AS (SELECT id + 100 AS id, 'new ' || name AS name, folder FROM c1 WHERE id % 7 = 0),
+    c2 AS (SELECT * FROM c1 WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT * FROM n), c3 AS (SELECT id, CASE WHEN id % 11 = 0 THEN 'named ' || id ELSE name END AS name, nullif(folder, 5) AS folder FROM c2),
+    gone AS (SELECT id FROM c3 WHERE id % 5 = 0), o1 AS (SELECT o_orderkey AS id, o_custkey AS parent, o_orderstatus AS name FROM orders WHERE o_custkey NOT IN (SELECT id FROM gone)),
+    o2 AS (SELECT * FROM o1 WHERE parent % 6 <> 1 UNION ALL SELECT -parent, parent, 'again' FROM (SELECT DISTINCT o_custkey AS parent FROM orders) WHERE parent % 12 = 1)
+    SELECT 'folder' AS kind, id, CAST(folder AS BIGINT) AS parent, name FROM c3 WHERE id % 5 <> 0 UNION ALL SELECT 'item', id, parent, name FROM o2""")
+def stored_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables that are written, changed by five commits and read back: upsert, update, unfile, delete with children, replace sets."""
+    folder = files.work_folder(spark, "tables")
+    orders = t.table(spark, sf_dir, "orders").selectExpr("o_orderkey as id", "o_custkey as parent", "o_orderstatus as name")
+    old, new = _old_new(spark, sf_dir)
+    tables = stored.Tables(spark, folder, 8)
+    tables.create(folders=(old, ["id"]), items=(orders, ["parent"]))
+    tables.upsert("folders", new, ["id"])
+    tables.update("folders", tables.read("folders").where("id % 11 = 0").select("id", F.concat_ws(" ", F.lit("named"), "id").alias("name")), ["id"], ["name"])
+    tables.change(folders=(None, lambda rows: store.nullify(rows, "folder", 5)))
+    tables.delete_with("folders", tables.read("folders").where("id % 5 = 0"), "id", items="parent")
+    keys = orders.where("parent % 6 = 1").select("parent").distinct()
+    tables.replace("items", keys.where("parent % 12 = 1").selectExpr("-parent as id", "parent", "'again' as name"), ["parent"], keys)
+    tables.drop_unused()
+    rows = tables.read("folders").select(F.lit("folder").alias("kind"), "id", F.col("folder").cast("long").alias("parent"), "name")
+    return rows.unionByName(tables.read("items").select(F.lit("item").alias("kind"), "id", "parent", "name"))
+
+
 _TAGS = """cur AS (SELECT doc_id, 'Good' AS tag FROM labels WHERE quality = 1), want AS (SELECT doc_id, 'good ' AS tag FROM labels WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'Toxic' FROM labels WHERE toxic = 1)"""
 
 

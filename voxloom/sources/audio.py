@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.words import resample
@@ -78,13 +78,11 @@ def _window(source, layout: tuple[int, int, int, int], first: int, after: int, r
     return samples[: after - first] if own == rate else np.interp(np.arange(first, after) * step, np.arange(lo, hi), samples).astype(np.float32)
 
 
-def read_chunks(spark: SparkSession, path: str, chunk_s: float = 30.0, overlap_s: float = 0.0) -> DataFrame:
-    """path, chunk, start_s, rms, n of each file: chunks of `chunk_s` that overlap by `overlap_s`, at 16 kHz; the last may be short.
+_HEADERS = "path string, begin long, frames long, channels int, rate int, n long"
 
-    Files are planned by their headers; then each chunk reads its own part of its file, so a task holds one chunk, however
-    long the sound is, and the chunks of one file are spread over many tasks.
-    """
-    size, step, overlap = int(chunk_s * RATE), int((chunk_s - overlap_s) * RATE), int(overlap_s * RATE)
+
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """path, begin, frames, channels, rate of the readable files, and n, their samples at 16 kHz. Only headers are read."""
 
     def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -93,24 +91,60 @@ def read_chunks(spark: SparkSession, path: str, chunk_s: float = 30.0, overlap_s
                 with _opened(name) as source:
                     layout = wav_layout(source)
                 if layout:
-                    n = int(layout[1] * RATE / layout[3])
-                    starts = range(0, max(n - overlap, min(n, 1)), step)
-                    rows.append((name, *layout, n, len(starts)))
-            yield pd.DataFrame(rows, columns=["path", "begin", "frames", "channels", "rate", "n", "chunks"])
+                    rows.append((name, *layout, int(layout[1] * RATE / layout[3])))
+            yield pd.DataFrame(rows, columns=["path", "begin", "frames", "channels", "rate", "n"])
+
+    return spark.read.format("binaryFile").load(path).select("path").mapInPandas(plan, _HEADERS)
+
+
+def read_ranges(ranges: DataFrame, window: int | None = None) -> DataFrame:
+    """path, nr, at, n, rms of ranges (columns of :func:`headers`, nr, first, after) of samples at 16 kHz, or of each whole window of so many samples in them; `at` is its first sample.
+
+    Each range reads its own part of its file, so a task holds one range, however long the sound is, and the ranges of one file are spread over many tasks.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
             for r in batch.itertuples():
                 with _opened(r.path) as source:
-                    x = _window(source, (r.begin, r.frames, r.channels, r.rate), r.chunk * step, min(r.chunk * step + size, r.n), RATE)
-                rows.append((r.path, r.chunk, r.chunk * step / RATE, float(np.sqrt(np.mean(np.square(x.astype(float))))), len(x)))
-            yield pd.DataFrame(rows, columns=["path", "chunk", "start_s", "rms", "n"])
-
-    files = spark.read.format("binaryFile").load(path).select("path")
-    planned = files.mapInPandas(plan, "path string, begin long, frames long, channels int, rate int, n long, chunks int").where("chunks > 0")
-    each = planned.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return each.repartition("path", "chunk").mapInPandas(read, "path string, chunk int, start_s double, rms double, n long")
+                    x = _window(source, (r.begin, r.frames, r.channels, r.rate), r.first, r.after, RATE).astype(float)
+                size = window or len(x)
+                parts = x[: len(x) // size * size].reshape(-1, size)
+                yield pd.DataFrame({"path": r.path, "nr": r.nr, "at": r.first + size * np.arange(len(parts)), "n": size, "rms": np.sqrt((parts * parts).mean(1))})
+
+    rows = ranges.where("after > first").select("path", "begin", "frames", "channels", "rate", "nr", "first", "after")
+    return rows.repartition("path", "nr").mapInPandas(read, "path string, nr int, at long, n long, rms double")
+
+
+def read_chunks(spark: SparkSession, path: str, chunk_s: float = 30.0, overlap_s: float = 0.0) -> DataFrame:
+    """path, chunk, start_s, rms, n of each file: chunks of `chunk_s` that overlap by `overlap_s`, at 16 kHz; the last may be short."""
+    size, step, overlap = int(chunk_s * RATE), int((chunk_s - overlap_s) * RATE), int(overlap_s * RATE)
+    chunks = F.expr(f"cast(ceil(greatest(n - {overlap}, least(n, 1)) / {step}) as int)")
+    each = headers(spark, path).where("n > 0").withColumn("nr", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    found = read_ranges(each.withColumn("first", F.col("nr") * F.lit(step)).withColumn("after", F.least(F.col("first") + size, F.col("n"))))
+    return found.select("path", F.col("nr").alias("chunk"), (F.col("at") / RATE).alias("start_s"), "rms", "n")
+
+
+def levels(files: DataFrame, window_s: float = 0.025, windows: int = 2400) -> DataFrame:
+    """path, frame, rms: the level of each whole window of files (:func:`headers`), `windows` of them read at once."""
+    size = int(RATE * window_s)
+    each = files.where("n > 0").withColumn("nr", F.explode(F.expr(f"sequence(0, cast((n - 1) div {size * windows} as int))")))
+    found = read_ranges(each.withColumn("first", F.col("nr").cast("long") * size * windows).withColumn("after", F.least(F.col("first") + size * windows, F.col("n"))), size)
+    return found.select("path", F.expr(f"at div {size}").alias("frame"), "rms")
+
+
+def chunks_at_cuts(files: DataFrame, cuts: DataFrame, hard_overlap_s: float = 0.0, silence_overlap_s: float = 0.0) -> DataFrame:
+    """path, chunk, start_s, overlap (samples), n, rms: the chunks of files (:func:`headers`) from cut to cut (path, nr, cut_s, at_silence) and to the file's end.
+
+    A chunk begins early, by the one overlap after a cut at a silence and by the other after a hard cut, unless the chunk before is shorter.
+    """
+    ends = cuts.select("path", "nr", F.floor(F.col("cut_s") * RATE).alias("after"), "at_silence").unionByName(files.select("path", F.lit(2**31 - 1).alias("nr"), F.col("n").alias("after"), F.lit(True).alias("at_silence")))
+    order = Window.partitionBy("path").orderBy("nr")
+    rows = ends.withColumn("begins", F.lag("after", 1, 0).over(order)).withColumn("before", F.lag("after", 2, 0).over(order)).withColumn("quiet", F.lag("at_silence").over(order)).withColumn("nr", F.row_number().over(order) - 1)
+    overlap = F.when(F.col("quiet"), int(silence_overlap_s * RATE)).when(~F.col("quiet"), int(hard_overlap_s * RATE)).otherwise(0).cast("long")
+    rows = rows.withColumn("overlap", F.when(F.col("begins") - F.col("before") >= overlap, overlap).otherwise(0)).withColumn("first", F.col("begins") - F.col("overlap")).where("after > begins")
+    found = read_ranges(files.join(rows, "path"))
+    return found.join(rows.select("path", "nr", "overlap"), ["path", "nr"]).select("path", F.col("nr").alias("chunk"), (F.col("at") / RATE).alias("start_s"), "overlap", "n", "rms")
 
 
 def durations(spark: SparkSession, path: str) -> DataFrame:
