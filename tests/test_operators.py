@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from voxloom.functions import mentions
 from voxloom.functions import text as ft
 from voxloom.functions import words as fw
-from voxloom.operators import intervals, library, names, sequences, store
+from voxloom.operators import intervals, library, merges, names, sequences, store
 from voxloom.sources import audio, export, files
 from voxloom.streaming import live
 
@@ -129,6 +129,16 @@ def test_introduced_and_addressed_names(spark):
     assert _said(spark, mentions.addressed_name, greeted) == [None, None, "Lana", None, "Lana", "Imre"]
 
 
+def test_merges(spark):
+    """A path of a thousand ids in any order, a small map, unknown ids, a key without pairs."""
+    rnd = random.Random(2)
+    path = rnd.sample(range(1000), 1000)
+    pairs = [(1, a, b) for a, b in zip(path, path[1:], strict=False)] + [(2, 3, 2), (2, 2, 1), (2, 9, 1), (2, 9, 0), (3, 1, 1)]
+    ids = [(1, k) for k in range(1000)] + [(k, i) for k in (2, 3, 4) for i in range(4)]
+    got = merges.merged(spark.createDataFrame(ids, "key long, id int"), spark.createDataFrame(pairs, "key long, a int, b int"), "key").collect()
+    assert sorted(map(tuple, got)) == [(1, k, 0) for k in range(1000)] + [(2, 0, 0), (2, 1, 1), (2, 2, 1), (2, 3, 1)] + [(k, i, i) for k in (3, 4) for i in range(4)]
+
+
 def test_nearest_marks(spark):
     """Against looking at every mark; marks that end or start together, and recordings without any."""
     rnd = random.Random(3)

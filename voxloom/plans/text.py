@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from voxloom.functions import mentions
 from voxloom.functions import text as ft
 from voxloom.functions import words as fw
-from voxloom.operators import names
+from voxloom.operators import merges, names
 from voxloom.plans.registry import query
 from voxloom.sources import export
 from voxloom.sources import tables as t
@@ -237,8 +237,8 @@ def speakers_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     reply = F.when(F.col("conv_id") % 5 == 4, "not json").otherwise(F.format_string('{"merge": [[3, 2], [2, %d], [1, 1], [9, 1]]}', F.col("conv_id") % 2))
     rows = t.table(spark, sf_dir, "conversations").select("conv_id").distinct()
     pairs = rows.select("conv_id", ft.parse_merges(reply, F.array(*map(F.lit, [0, 1, 2, 3]))).alias("pairs"))
-    merged = fw.arrow(lambda p: [{"id": a, "to": b} for a, b in sorted(fw.merged_ids([0, 1, 2, 3], [tuple(x) for x in p]).items())], "array<struct<id:int,to:int>>")
-    return pairs.select("conv_id", F.explode(merged("pairs")).alias("m")).select("conv_id", "m.id", "m.to")
+    ids = rows.select("conv_id", F.explode(F.array(*map(F.lit, [0, 1, 2, 3]))).alias("id"))
+    return merges.merged(ids, pairs.select("conv_id", F.explode("pairs").alias("p")).select("conv_id", F.get("p", F.lit(0)).alias("a"), F.get("p", F.lit(1)).alias("b")), "conv_id")
 
 
 @query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'meeting' WHEN 4 THEN 'idea' END AS category,
