@@ -512,7 +512,7 @@ def brute_maximal(texts, least=50):
     found = {}
     for length, a, b, _ in op05_repeats.intervals(common, least):
         places = {(d, p) for _, d, p in suffixes[a : b + 1]}
-        if len({texts[d][p - 1] if p else (d, p) for d, p in places}) > 1:
+        if len({texts[d][p - 1] if p else (d, p) for d, p in places}) > 1 and len({d for d, _ in places}) > 1:
             found[suffixes[a][0][:length]] = places
     return found
 
@@ -542,6 +542,41 @@ def test_maximal_repeats(spark, block, hot):
     assert max(map(len, want)) > 400 and len(want) > 15
 
 
+def _maximal(spark, docs, block, hot=16_384):
+    got = {}
+    for r in op05_repeats.maximal_repeats(docs_frame(spark, list(docs.items())), block, hot).collect():
+        got.setdefault(bytes(r.text), []).append((r.doc_id, r.start))
+    assert all(len(x) == len(set(x)) for x in got.values())
+    return {t: set(x) for t, x in got.items()}
+
+
+def test_a_repeat_all_of_whose_parts_occur_elsewhere(spark):
+    rnd = random.Random(1)
+    whole = "".join(rnd.choice("abcdefgh ") for _ in range(200))
+    docs = {1: "x" + whole + "!", 2: "y" + whole + "?", 3: whole[:140], 4: "z" + whole[60:]}
+    got = _maximal(spark, docs, 8_000_000)
+    assert got == brute_maximal({d: t.encode() for d, t in docs.items()})
+    assert {d for d, _ in got[whole.encode()]} == {1, 2}
+
+
+@pytest.mark.parametrize("seed, hot", [(1, 16_384), (2, 1), (3, 16_384)])
+def test_nested_repeats(spark, seed, hot):
+    """Pieces of pieces of a few texts, in any order, with the bytes about them shared or not: every repeat with all its places."""
+    rnd = random.Random(seed)
+    pool = ["".join(rnd.choice("abcdefghijklmnop ") for _ in range(400)) for _ in range(3)]
+    docs = {}
+    for k in range(40):
+        text = ""
+        for _ in range(rnd.randint(1, 4)):
+            source = rnd.choice(pool)
+            a = rnd.choice((0, 0, rnd.randint(0, 300)))
+            text += source[a : a + rnd.choice((400, rnd.randint(20, 200)))] + rnd.choice(("", "", f"<{k}>"))
+        docs[k] = text
+        if rnd.random() < 0.3:
+            pool.append(text[:600])
+    assert _maximal(spark, docs, 3000, hot) == brute_maximal({d: t.encode() for d, t in docs.items()})
+
+
 def test_maximal_repeats_list_all_occurrences(spark, odd_rows):
     rnd = random.Random(3)
     line = prose(rnd, 14)[:70]

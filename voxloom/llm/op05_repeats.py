@@ -18,9 +18,8 @@ always meet in the hash bucket of their anchor. The work goes in three passes ov
 3. Blocks learn the first document of each window and cover the windows whose first
    document has a smaller doc_id.
 
-Stretches have fewer than 2 * LENGTH bytes, so a longer repeat shows up as a chain of
-groups, each a few bytes further. `maximal_repeats` joins the chains and extends them, `repeat_spans` lists the
-covered spans of documents.
+Stretches have fewer than 2 * LENGTH bytes. `maximal_repeats` gathers the windows before which different bytes
+stand with all the repeated text after them, and finds repeats of any length; `repeat_spans` lists the covered spans of documents.
 
 Defined cases: a null text is an empty one; texts shorter than `LENGTH` bytes lose nothing; documents
 with equal doc_id do not cover one another; a null doc_id counts as smaller than any
@@ -36,7 +35,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm.blocks import BLOCK_BYTES, doc_id_array, make_blocks, open_block, plain, press, with_answers
@@ -408,7 +407,7 @@ def _groups(texts: list[bytes], left: np.ndarray) -> Iterator[tuple[int, list[tu
 
 
 def _repeats_of_texts(key: tuple, found: pa.Table) -> pa.Table:
-    """For each asking block and text, its repeats: offset, length and a number made from the repeated bytes."""
+    """For each asking block and text, its repeats: offset, length and a number made from the first `LENGTH` of the repeated bytes."""
     import xxhash
 
     out: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(found.num_rows)]
@@ -416,7 +415,7 @@ def _repeats_of_texts(key: tuple, found: pa.Table) -> pa.Table:
         mine: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         for length, members in _groups(texts, left):
             t, o = members[0]
-            number = xxhash.xxh64_intdigest(texts[t][o : o + length]) - 2**63
+            number = xxhash.xxh64_intdigest(texts[t][o : o + LENGTH]) - 2**63
             for t, o in members:
                 mine[t].append((o, length, number))
         for k, numbers in asks:
@@ -472,22 +471,22 @@ def answered_blocks(docs: DataFrame, block_bytes: int, hot: int, answer) -> tupl
     return with_answers(blocks, anchors.unionAll(found.selectExpr("block", "-1 - bucket as bucket", "data"))), buckets, blocks
 
 
-#: Modulus and salts of the fingerprints of sets of places; all products fit a long.
-_PRIME = (1 << 31) - 1
-_SALTS = (1, 2)
+_PLACES = "seed long, doc_id long, start long, left int, rest long, text binary"
 
 
-def _occurrences(docs: DataFrame, block_bytes: int, hot: int) -> tuple[DataFrame, DataFrame]:
-    """A written table of repeat, block, doc (its number in the block), doc_id, start, length, lo, hi, and the blocks: places of the repeats inside stretches.
+def _places(docs: DataFrame, block_bytes: int, hot: int) -> DataFrame:
+    """A written table of seed, doc_id, start, left, rest, text: all places of the windows at which a maximal repeat may begin.
 
-    From lo to hi the document is covered by repeats without a gap.
+    A seed names a window that different bytes stand before; left is the byte before the place (-1 at a document's start). Repeats cover the
+    document from there to some byte without a gap: rest is the hash of that text, which a block gives once for each seed.
     """
-    names = "repeat long, block long, doc int, doc_id long, start long, length int, lo long, hi long"
-    rows, buckets, blocks = answered_blocks(docs, block_bytes, hot, _repeats_of_texts)
+    import xxhash
+
+    rows, buckets, _ = answered_blocks(docs, block_bytes, hot, _repeats_of_texts)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, heads, data, answers in zip(*batch.columns, strict=True):
+            for heads, data, answers in zip(*batch.columns[1:], strict=True):
                 said = _first_answers(answers.as_py())
                 mine = _Block(heads.as_py(), data.as_py(), buckets)
                 c = _Candidates(mine, said, buckets)
@@ -497,97 +496,85 @@ def _occurrences(docs: DataFrame, block_bytes: int, hot: int) -> tuple[DataFrame
                     ends = np.cumsum(n)
                     for t, a, b in zip(part.tolist(), (ends - n).tolist(), ends.tolist(), strict=True):
                         repeats[t] = list(zip(number[a:b].tolist(), offset[a:b].tolist(), length[a:b].tolist(), strict=True))
-                out = [(number, d, first + o, n) for first, d, t in zip(c.first.tolist(), c.doc.tolist(), c.number.tolist(), strict=True) for number, o, n in repeats[t]]
-                if not out:
+                found = [(number, d, first + o, n) for first, d, t in zip(c.first.tolist(), c.doc.tolist(), c.number.tolist(), strict=True) for number, o, n in repeats[t]]
+                if not found:
                     continue
-                number, doc, at, n = (np.array(x, np.int64) for x in zip(*out, strict=True))
+                at, n = (np.array([x[k] for x in found], np.int64) for k in (2, 3))
                 change = np.zeros(len(mine.raw) + 1, np.int64)
                 np.add.at(change, at, 1)
                 np.add.at(change, at + n, -1)
                 gone = np.cumsum(change[:-1]) > 0
-                edge = np.flatnonzero(~gone[1:] & gone[:-1]) + 1
-                edge = np.unique(np.concatenate([edge, mine.begin, np.flatnonzero(gone[1:] & ~gone[:-1]) + 1]))  # where covered runs begin or end, and documents
-                k = np.searchsorted(edge, at, side="right")
-                lo, hi = edge[k - 1], edge[np.minimum(k, len(edge) - 1)]
-                base = mine.begin[doc]
-                columns = [pa.array(number), pa.array([block.as_py()] * len(out), pa.int64()), pa.array(doc.astype(np.int32)), doc_id_array(mine.ids[doc]), pa.array(at - base), pa.array(n.astype(np.int32)), pa.array(lo - base), pa.array(hi - base)]
-                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in names.split(", ")])
-
-    return written(rows.mapInArrow(unpack, names), "occurrences"), blocks
-
-
-def _seeds(occurrences: DataFrame) -> DataFrame:
-    """A written table of seed (the repeat that its places go by), block, doc, start, end, lo, hi: one place of each chain of repeats.
-
-    Repeats with the same places, but for a shift that is the same for all, are pieces of one longer repeat: they are known by sums over
-    their places that don't change with the shift. Pieces that overlap or touch are one seed.
-    """
-    rows = occurrences
-    for salt in _SALTS:
-        rows = rows.withColumn(f"r{salt}", F.pmod(F.xxhash64("block", "doc", F.lit(salt)), F.lit(_PRIME)))
-    place = F.min(F.struct("block", "doc", "start", "lo", "hi")).alias("p")
-    sums = [F.sum(x).alias(n) for salt in _SALTS for x, n in ((F.col(f"r{salt}"), f"a{salt}"), (F.pmod(F.col(f"r{salt}") * F.col("start"), F.lit(_PRIME)), f"b{salt}"))]
-    each = rows.groupBy("repeat", "length").agg(F.count("*").alias("n"), place, *sums).where("n > 1")
-    fixed = [F.pmod(F.col(f"b{s}") - F.pmod(F.pmod(F.col(f"a{s}"), F.lit(_PRIME)) * F.col("p.start"), F.lit(_PRIME)), F.lit(_PRIME)).alias(f"f{s}") for s in _SALTS]
-    each = each.select("repeat", "n", "p.block", "p.doc", "p.start", (F.col("p.start") + F.col("length")).alias("end"), "p.lo", "p.hi", *fixed)
-    w = Window.partitionBy("n", "block", "doc", *[f"f{s}" for s in _SALTS]).orderBy("start", F.desc("end"), "repeat")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    each = each.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    seeds = each.groupBy("n", "block", "doc", *[f"f{s}" for s in _SALTS], "run").agg(F.min(F.struct("start", "repeat")).alias("s"), F.max("end").alias("end"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return written(seeds.select(F.col("s.repeat").alias("seed"), "block", "doc", F.col("s.start").alias("start"), "end", "lo", "hi"), "seeds")
-
-
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Elements that two arrays begin with in common."""
+                edge = np.unique(np.concatenate([np.flatnonzero(~gone[1:] & gone[:-1]) + 1, mine.begin]))  # where covered runs end, and documents
+                seen: set[tuple[int, int]] = set()
+                out = []
+                for number, d, place in sorted({x[:3] for x in found}):
+                    text = mine.raw[place : int(edge[np.searchsorted(edge, place, side="right")])]
+                    rest = xxhash.xxh64_intdigest(text) - 2**63
+                    begin = int(mine.begin[d])
+                    out.append((number, mine.ids[d], place - begin, mine.raw[place - 1] if place > begin else -1, rest, None if (number, rest) in seen else text))
+                    seen.add((number, rest))
+                    if len(out) == 4096:
+                        yield _place_rows(out)
+                        out = []
+                if out:
+                    yield _place_rows(out)
+
+    return written(rows.mapInArrow(unpack, _PLACES), "places")
+
+
+def _place_rows(rows: list[tuple]) -> pa.RecordBatch:
+    seed, ids, *rest = zip(*rows, strict=True)
+    columns = [pa.array(seed, pa.int64()), doc_id_array(np.array(ids, np.int64)), *[pa.array(x, t) for x, t in zip(rest, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)]]
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _PLACES.split(", ")])
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """Bytes that two texts begin with in common."""
     n = min(len(a), len(b))
-    differ = np.flatnonzero(a[:n] != b[:n])
+    differ = np.flatnonzero(np.frombuffer(a[:n], np.uint8) != np.frombuffer(b[:n], np.uint8))
     return int(differ[0]) if len(differ) else n
 
 
-def maximal_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
-    """repeat_id, doc_id, start, length, text: every occurrence (in bytes) of each repeat of `LENGTH` bytes or more that can be extended neither to the left nor to the right.
+def _maximal(key: tuple, found: pa.Table) -> pa.Table:
+    """rest, length, repeat_id, text: the maximal repeats that begin with one window, for each of its different texts (text: once a repeat).
 
-    Groups from the suffix arrays are joined into chains that go on from stretch to stretch, and every chain is
-    extended as far as all its occurrences agree: one of them lends the covered text around it, all are compared with that, and the least
-    agreement counts. A repeat is found if some part of it inside one stretch has no other occurrences than the whole has.
+    The texts, sorted, are a piece of the corpus's suffix array; their common-prefix intervals and the texts that stand several times are the
+    repeats that cannot be extended to the right. Those with different bytes before them, or a document's start, are maximal.
     """
-    occurrences, blocks = _occurrences(docs, block_bytes, hot)
-    seeds = _seeds(occurrences)
+    import xxhash
 
-    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for heads, data, asked in zip(*batch.columns, strict=True):
-                _, begin, raw = open_block(heads.as_py(), data.as_py())
-                rows = asked.as_py()
-                texts = [raw[begin[r["doc"]] + r["lo"] : begin[r["doc"]] + r["hi"]] for r in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([r["seed"] for r in rows], pa.int64()), pa.array([r["start"] - r["lo"] for r in rows], pa.int64()), pa.array([r["end"] - r["lo"] for r in rows], pa.int64()), pa.array(texts, pa.binary())], names=["seed", "a", "b", "text"])
+    found = found.sort_by("text")
+    texts, rest = found["text"].to_pylist(), found["rest"].to_pylist()
+    low, high, first, last, n = (found[x].to_numpy() for x in ("low", "high", "first", "last", "n"))
+    common = [0, *(_common(a, b) for a, b in pairwise(texts))]
+    nodes = [(length, a, b) for length, a, b, _ in intervals(common, LENGTH)]
+    inner = {(length, k) for length, a, b in nodes for k in range(a, b + 1) if len(texts[k]) == length}
+    nodes += [(len(t), k, k) for k, t in enumerate(texts) if n[k] > 1 and (len(t), k) not in inner]
+    out = []
+    for length, a, b in nodes:
+        here = slice(a, b + 1)
+        starts = low[here].min() < 0
+        if (starts or low[here].min() != high[here].max()) and first[here].min() != last[here].max():
+            text = texts[a][:length]
+            number = xxhash.xxh64_intdigest(text) - 2**63
+            out += [(rest[k], length, number, text if k == a else None) for k in range(a, b + 1)]
+    columns = list(zip(*out, strict=True)) or [()] * 4
+    return pa.table({"seed": pa.array([key[0].as_py()] * len(out), pa.int64()), **{name: pa.array(x, t) for name, x, t in zip(("rest", "length", "repeat_id", "text"), columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)}})
 
-    asked = seeds.groupBy("block").agg(F.collect_list(F.struct("seed", "doc", "start", "end", "lo", "hi")).alias("asked"))
-    lent = written(blocks.join(asked, "block").select("heads", "data", "asked").mapInArrow(around, "seed long, a long, b long, text binary"), "lent")
 
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for heads, data, asked in zip(*batch.columns, strict=True):
-                _, begin, raw = open_block(heads.as_py(), data.as_py())
-                data, out = np.frombuffer(raw, np.uint8), []
-                for r in asked.as_py():
-                    text, a, left, right = np.frombuffer(r["text"], np.uint8), r["a"], r["a"], len(r["text"])
-                    for doc, start in ((x["doc"], x["start"]) for x in r["places"]):
-                        at, end = int(begin[doc]) + start, int(begin[doc + 1])
-                        left = min(left, _common(text[:a][::-1], data[begin[doc] : at][::-1]))
-                        right = min(right, a + _common(text[a:], data[at:end]))
-                    out.append((r["seed"], left, right))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["seed", "left", "right"])
-
-    places = occurrences.select(F.col("repeat").alias("seed"), "block", "doc", "start").join(seeds.select("seed").distinct(), "seed", "left_semi")
-    places = places.groupBy("seed", "block").agg(F.collect_list(F.struct("doc", "start")).alias("places")).join(lent, "seed")
-    asked = places.groupBy("block").agg(F.collect_list(F.struct("seed", "a", "text", "places")).alias("asked"))
-    agreed = blocks.join(asked, "block").select("heads", "data", "asked").mapInArrow(agree, "seed long, left long, right long").groupBy("seed").agg(F.min("left").alias("left"), F.min("right").alias("right"))
-    whole = lent.join(agreed, "seed").select("seed", "left", F.expr("substring(text, cast(a - left + 1 as int), cast(right - a + left as int))").alias("text"))
-    # chains of one repeat have become the same
-    whole = whole.withColumn("repeat_id", F.xxhash64("text")).groupBy("repeat_id").agg(F.min_by(F.struct("seed", "left", "text"), "seed").alias("w")).select("repeat_id", "w.*")
-    found = occurrences.select(F.col("repeat").alias("seed"), "doc_id", "start").join(whole, "seed")
-    return found.select("repeat_id", "doc_id", (F.col("start") - F.col("left")).alias("start"), F.octet_length("text").cast("long").alias("length"), "text")
+def maximal_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
+    """repeat_id, doc_id, start, length, text: every occurrence (in bytes) of each repeat of `LENGTH` bytes or more, of several documents, that can be extended neither to the left nor to the right.
+
+    Such a repeat begins with a window that different bytes stand before. So all places of those windows are gathered, each with the
+    text that follows as far as repeats cover it, equal texts once; a window's texts are sorted, and a stack scan of their common prefixes gives all its
+    repeats with all occurrences, also those of which every part occurs elsewhere, too. A task holds the different texts of one window.
+    """
+    places = _places(docs, block_bytes, hot)
+    id_ = F.coalesce("doc_id", F.lit(-(2**63)))
+    texts = places.groupBy("seed", "rest").agg(F.max("text").alias("text"), F.count("*").alias("n"), F.min("left").alias("low"), F.max("left").alias("high"), F.min(id_).alias("first"), F.max(id_).alias("last"))
+    found = written(texts.groupBy("seed").applyInArrow(_maximal, "seed long, rest long, length long, repeat_id long, text binary"), "maximal")
+    bodies = found.where("text is not null").select("repeat_id", "text")
+    return places.drop("text").join(found.drop("text"), ["seed", "rest"]).join(bodies, "repeat_id").select("repeat_id", "doc_id", "start", "length", "text")
 
 
 def drop_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:

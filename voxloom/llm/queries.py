@@ -38,6 +38,11 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_repeats.drop_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All occurrences of the repeats that op5 removes from later documents, as groups."""
+    return op05_repeats.maximal_repeats(table(spark, sf_dir, "documents")).drop("text")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op06_warc.store_and_read(table(spark, sf_dir, "pages"), work_folder(spark, "op6"))
 
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_filter_audit": op11_filter_audit_,
     "op12_ball_tree": op12_ball_tree_,
     "op13_jaccard": op13_jaccard_,
+    "maximal_repeats": maximal_repeats,
 }
 ORACLES: dict[str, str] = {
     "op11_filter_audit": op11_filter_audit.SQL,
