@@ -51,11 +51,17 @@ def whole_recording(rows: DataFrame, embeddings: DataFrame, speakers: int = 0) -
     return sequences.renumber(merged, "consolidated").select("recording_id", "seq", "start_s", "end_s", F.col("renumbered").alias("speaker"))
 
 
-def chunk_samples(frames: DataFrame, cuts: DataFrame, overlap_s: float = 0.0) -> DataFrame:
-    """Frames (recording_id, at_s, ...) by chunk (recording_id, nr, from_s, to_s); a chunk after a hard cut begins `overlap_s` early."""
-    start = F.when(F.col("c.at_silence"), F.col("c.from_s")).otherwise(F.greatest(F.col("c.from_s") - overlap_s, F.lit(0.0)))
-    f, c = frames.alias("f"), cuts.alias("c")
-    return f.join(c, (F.col("f.recording_id") == F.col("c.recording_id")) & (F.col("f.at_s") >= start) & (F.col("f.at_s") < F.col("c.to_s"))).select("f.*", "c.nr")
+def chunk_samples(frames: DataFrame, cuts: DataFrame, overlap_s: float = 0.0, bucket_s: float = 30.0) -> DataFrame:
+    """Frames (recording_id, at_s, ...) by chunk (recording_id, nr, from_s, to_s); a chunk after a hard cut begins `overlap_s` early.
+
+    A frame meets the chunks of its bucket of time only.
+    """
+    bucket = lambda at: F.floor(at / bucket_s)
+    begins = F.when(F.col("at_silence"), F.col("from_s")).otherwise(F.greatest(F.col("from_s") - overlap_s, F.lit(0.0)))
+    chunks = cuts.select("recording_id", "nr", begins.alias("_from"), F.col("to_s").alias("_to")).where("_to > _from")
+    chunks = chunks.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_from")), bucket(F.col("_to")))))
+    found = frames.withColumn("_bucket", bucket(F.col("at_s"))).join(chunks, ["recording_id", "_bucket"]).where("at_s >= _from and at_s < _to")
+    return found.select(*frames.columns, "nr")
 
 
 def decide(pairs: DataFrame, merged: Column, prior_a: float = 1.0, prior_b: float = 1.0) -> DataFrame:

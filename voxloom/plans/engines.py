@@ -25,8 +25,9 @@ def window_recap_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def diarized_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _windows(spark, sf_dir)
-    vectors = t.table(spark, sf_dir, "embeddings").select((F.col("vec_id")).alias("v"), "embedding")
-    keys = rows.select("recording_id", "seq", F.expr("(recording_id * 7 + local_id * 11) % 500").alias("v"))
+    vectors = t.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), "embedding")
+    size = vectors.agg(F.max("v") + 1).first()[0] or 1
+    keys = rows.select("recording_id", "seq", F.expr(f"(recording_id * 7 + local_id * 11) % {size}").alias("v"))
     return diarization.whole_recording(rows, keys.join(vectors, "v").select("recording_id", "seq", "embedding"))
 
 
@@ -73,11 +74,11 @@ def first_available_option(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diarization.first_available(options, "p_brand")
 
 
-@query("""SELECT p_brand, p_partkey, p_size FROM part WHERE p_type IN ('LARGE', 'SMALL', 'PROMO', 'ECONOMY')
-    QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_partkey % 97 = 5 THEN 0 WHEN p_type = 'LARGE' THEN 1 WHEN p_type IN ('PROMO', 'ECONOMY') THEN 2 ELSE 3 END, p_size DESC, p_partkey) = 1""")
+@query("""SELECT p_brand, p_partkey, p_size FROM part
+    QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_partkey % 97 = 5 THEN 0 WHEN p_type = 'LARGE' THEN 1 WHEN p_type <> 'SMALL' THEN 2 ELSE 3 END, p_size DESC, p_partkey) = 1""")
 def largest_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model that a run in Ukrainian or Dutch uses: the pinned one, one made for the language, the largest general one, any."""
-    rows = t.table(spark, sf_dir, "part").where("p_type in ('LARGE', 'SMALL', 'PROMO', 'ECONOMY')")
+    rows = t.table(spark, sf_dir, "part")
     languages = F.expr("case p_type when 'LARGE' then array('uk', 'pl') when 'SMALL' then array('ar') end")
     models = rows.withColumn("languages", languages).withColumn("pinned", F.col("p_partkey") % 97 == 5)
     return diarization.pick_model(models, "p_brand", "p_size", "p_partkey", ["uk", "nl"]).select("p_brand", "p_partkey", "p_size")

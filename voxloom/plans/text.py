@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions import mentions
@@ -114,20 +114,52 @@ def reading_disputes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.explode("d").alias("d")).select("conv_id", "turn", "d.place", "d.a", "d.b")
 
 
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents and versions of them in which words are changed, left out and moved to the end."""
+    words = F.split("text", r"\s+")
+    new = F.concat(F.transform(F.filter(words, lambda w, i: (i % 53 != 7) & (i >= 5)), lambda w, i: F.when(i % 31 == 30, F.reverse(w)).otherwise(w)), F.slice(words, 1, 5))
+    return t.spread(t.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", F.array_join(new, " ").alias("new"))
+
+
 @query()
 def version_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents against a version in which words are changed, left out and moved to the end."""
+    """Words added, removed and kept."""
 
     def count(a: str, b: str) -> list[int]:
         kinds = [k for _, k in fw.word_diff(a, b)]
         return [kinds.count(k) for k in (fw.ADDED, fw.REMOVED, fw.SAME)]
 
-    words = F.split("text", r"\s+")
-    new = F.concat(F.transform(F.filter(words, lambda w, i: (i % 53 != 7) & (i >= 5)), lambda w, i: F.when(i % 31 == 30, F.reverse(w)).otherwise(w)), F.slice(words, 1, 5))
-    rows = t.spread(t.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", F.array_join(new, " ").alias("new")).withColumn("d", fw.arrow(count, "array<int>")("text", "new"))
+    rows = _versions(spark, sf_dir).withColumn("d", fw.arrow(count, "array<int>")("text", "new"))
     return rows.select("doc_id", *[F.col("d")[k].alias(n) for k, n in enumerate(("added", "removed", "same"))])
 
 
+def version_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, paragraph, run, kind, text of the versions' differences."""
+    found = fw.arrow(lambda a, b: [{"paragraph": p, "run": r, "kind": k, "text": x} for p, r, k, x in fw.diff_runs(fw.word_diff(a, b))], "array<struct<paragraph:int,run:int,kind:string,text:string>>")
+    rows = _versions(spark, sf_dir).withColumn("d", found("text", "new"))
+    return rows.select("doc_id", F.explode("d").alias("d")).select("doc_id", "d.*")
+
+
+#: Words that differ by punctuation or case only count as the same and are shown as in the new version.
+_WORD_KEY_SQL = r"coalesce(nullif(regexp_replace(lower(x), '[^\p{L}\p{Nd}]', '', 'g'), ''), x)"
+
+
+@query(rf"""WITH w AS (SELECT doc_id, string_split_regex(text, '\s+') AS ws FROM documents),
+    f AS (SELECT doc_id, ws, [ws[i + 1] FOR i IN range(len(ws)) IF i % 53 <> 7 AND i >= 5] AS fs FROM w),
+    v AS (SELECT doc_id, ws, [CASE WHEN i % 31 = 30 THEN reverse(fs[i + 1]) ELSE fs[i + 1] END FOR i IN range(len(fs))] || ws[1:5] AS new FROM f)
+    SELECT doc_id, array_to_string([{_WORD_KEY_SQL} FOR x IN ws IF x <> ''], ' ') AS old, array_to_string([x FOR x IN new IF x <> ''], ' ') AS new, true AS sizes_right, true AS runs_right FROM v WHERE len([x FOR x IN ws IF x <> '']) > 0""")
+def versions_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both versions made again from the runs of their differences; paragraphs of at most 160 words, all but the last of 80 at least; runs that take turns and differ from the one before."""
+    order = lambda *kinds: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind").isin(*kinds), F.struct("paragraph", "run", "text")))), lambda x: x["text"]), " ")
+    rows = version_runs(spark, sf_dir).withColumn("n", F.size(F.split("text", " ")))
+    before = Window.partitionBy("doc_id").orderBy("paragraph", "run")
+    rows = rows.withColumn("turns", F.coalesce((F.col("run") == 0) | ((F.lag("kind").over(before) != F.col("kind")) & (F.lag("run").over(before) == F.col("run") - 1)), F.lit(False)))
+    sizes = rows.groupBy("doc_id", "paragraph").agg(F.sum("n").alias("n")).groupBy("doc_id").agg(F.max("n").alias("most"), F.min(F.when(F.col("n") < 80, F.col("paragraph"))).alias("short"), F.max("paragraph").alias("last"))
+    whole = rows.groupBy("doc_id").agg(order(fw.SAME, fw.REMOVED).alias("old"), order(fw.SAME, fw.ADDED).alias("new"), F.every("turns").alias("runs_right")).join(sizes, "doc_id")
+    keys = F.array_join(F.transform(F.split("old", " "), ft.diff_key), " ")
+    return whole.select("doc_id", keys.alias("old"), "new", ((F.col("most") <= 160) & (F.coalesce("short", "last") == F.col("last"))).alias("sizes_right"), "runs_right")
+
+
 @query()
 def texts_destuttered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.table(spark, sf_dir, "conversations").select("conv_id", "turn", fw.arrow(fw.destutter, "string")("text").alias("text"))

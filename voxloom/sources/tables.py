@@ -28,9 +28,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """`rows` dealt to all cores if they come in few parts (a small file may be one), before costly work on each row; a large table's many parts stay where they are."""
+    """`rows` dealt to all cores if they come in fewer parts (a small file is one), before costly work on each row; more parts stay where they are."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= 4 * cores else rows.repartition(cores)
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
