@@ -230,6 +230,24 @@ def streamed_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", "start_s", "end_s", "n", "text", "context")
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 50 = 7 THEN NULL ELSE CAST(round(value * 100) AS BIGINT) END AS cents, CASE WHEN event_id % 50 = 7 THEN 'given up' WHEN event_id % 50 = 9 THEN 'second' ELSE 'first' END AS attempt FROM events""")
+def poisoned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of two batches in which some rows always crash the step and some do so once: all others arrive, and they do at their second attempt."""
+
+    def work(batch: pd.DataFrame) -> pd.DataFrame:
+        if ((batch.event_id % 50 == 7) | ((batch.event_id % 50 == 9) & (batch.attempt == 0))).any():
+            raise ValueError("poison")
+        return pd.DataFrame({"event_id": batch.event_id, "cents": np.rint(batch.value * 100).astype(np.int64)})
+
+    events = t.table(spark, sf_dir, "events").select("event_id", "value")
+    arrivals, state, folder = (files.work_folder(spark, x) for x in ("events", "worked-state", "worked"))
+    for k in range(2):
+        events.where(f"event_id % 2 = {k}").write.mode("append").parquet(arrivals)
+        done, lost = live.worked(spark.readStream.schema(events.schema).parquet(arrivals), work, "event_id long, cents long", state, folder)
+    rows = done.select("event_id", "cents", F.when(F.col("attempt") == 1, "second").otherwise("first").alias("attempt"))
+    return rows.unionByName(lost.select(F.get_json_object("aside", "$.event_id").cast("long").alias("event_id"), F.lit(None).cast("long").alias("cents"), F.lit("given up").alias("attempt")))
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def observed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query that is run again whenever its table gets new rows."""

@@ -207,6 +207,62 @@ def latest_of(stream: DataFrame, key: str, order: str, checkpoint: str, folder:
     return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (key, "batch")]), F.struct(order, "batch")).alias("r")).select(key, "r.*")
 
 
+def isolated(rows: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], returns: str) -> DataFrame:
+    """`work` on batches of `rows`, with two more columns: a row that makes it crash comes back as json in `aside` with its `error`, the others as if it were not there.
+
+    A batch that crashes is halved until the rows that do it stand alone.
+    """
+    names = [*rows.columns]
+
+    def tried(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        if not len(batch):
+            return
+        try:
+            yield work(batch[names]).assign(aside=None, error=None)
+        except Exception as e:  # whatever a row does to `work` is what this is about
+            if len(batch) == 1:
+                yield pd.DataFrame({"aside": batch["_row"], "error": f"{type(e).__name__}: {e}"}).reindex(columns=[*[x.split()[0] for x in returns.split(", ")], "aside", "error"])
+            else:
+                middle = len(batch) // 2
+                yield from tried(batch[:middle])
+                yield from tried(batch[middle:])
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield from tried(batch)
+
+    return rows.withColumn("_row", F.to_json(F.struct(*names))).mapInPandas(each, f"{returns}, aside string, error string")
+
+
+def worked(stream: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], returns: str, checkpoint: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that `work` makes of a stream, with `attempt`, and those given up (aside, error): a row that crashes is set aside, the stream goes on, and the row is tried once more with the next batch or at the end.
+
+    `work` gets a column `attempt`. What a batch did is a table by its number, so a batch that is run again takes the place of its first try.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+    place = lambda batch: f"{folder}/batch={batch}"
+
+    def again(batch: int) -> DataFrame:
+        """Rows that the batch set aside at their first attempt."""
+        failed = spark.read.parquet(place(batch)).where("aside is not null and attempt = 0")
+        return failed.select(F.from_json("aside", schema).alias("r")).select("r.*", F.lit(1).alias("attempt"))
+
+    def step(rows: DataFrame, batch: int) -> None:
+        rows = rows.withColumn("attempt", F.lit(0))
+        if batch > 0:
+            rows = rows.unionByName(again(batch - 1))
+        found = [isolated(rows.where(f"attempt = {k}"), work, returns).withColumn("attempt", F.lit(k)) for k in (0, 1)]
+        found[0].unionByName(found[1]).write.mode("overwrite").parquet(place(batch))
+
+    each_batch(stream, checkpoint, step)
+    done = spark.read.option("basePath", folder).parquet(place("*"))
+    last = done.agg(F.max("batch")).first()[0]
+    # what the last batch set aside waits for no other one
+    isolated(again(last), work, returns).withColumn("attempt", F.lit(1)).write.mode("overwrite").parquet(f"{folder}/rest={last}")
+    done = done.drop("batch").unionByName(spark.read.parquet(f"{folder}/rest={last}"))
+    return done.where("aside is null").drop("aside", "error"), done.where("aside is not null and attempt = 1").select("aside", "error")
+
+
 def _steps(spark: SparkSession, folder: str) -> list[int]:
     """Numbers of the steps below `folder` that were written to their end."""
     jvm = spark.sparkContext._jvm
