@@ -49,10 +49,12 @@ def ensemble_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diarization.decide(pairs, F.col("_m")).select("conv_id", "turn", "text", "ask", F.round("agreement", 6).alias("agreement"))
 
 
-@query()
+@query(r"""WITH w AS (SELECT conv_id, turn, text, string_split(text, ' ') AS a FROM conversations), b AS (SELECT *, [CASE WHEN length(x) > 6 THEN 'x' || reverse(x) ELSE x END FOR x IN a] AS b FROM w),
+    k AS (SELECT *, [i FOR i IN range(1, len(a) + 1) IF regexp_replace(lower(a[i]), '[^\p{L}\p{Nd}]', '', 'g') <> regexp_replace(lower(b[i]), '[^\p{L}\p{Nd}]', '', 'g')] AS d FROM b)
+    SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN array_to_string([regexp_replace(CASE WHEN i IN (d[1], d[3]) THEN b[i] ELSE a[i] END, '\s+', ' ', 'g') FOR i IN range(1, len(a) + 1)], ' ') ELSE text END AS text FROM k""")
 def arbitrated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = t.table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), F.split("text", " ").alias("words_a"))
-    rows = d.withColumn("words_b", F.transform("words_a", lambda w: F.when(F.length(w) > 6, F.upper(F.reverse(w))).otherwise(w))).withColumn("text", F.array_join("words_a", " "))
+    rows = d.withColumn("words_b", F.transform("words_a", lambda w: F.when(F.length(w) > 6, F.concat(F.lit("x"), F.reverse(w))).otherwise(w))).withColumn("text", F.array_join("words_a", " "))
     replies = d.where("key.turn % 2 = 0").select("key", F.array(F.lit(1), F.lit(0), F.lit(1)).alias("choices"))
     return diarization.arbitrated(rows, replies).select("key.conv_id", "key.turn", "text")
 

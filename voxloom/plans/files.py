@@ -104,7 +104,17 @@ def sound_chunks_at_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(_user("path"), "chunk", F.round("start_s", 6).alias("start_s"), "overlap", "n", F.round("rms", 6).alias("rms"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SAMPLES_SQL}, l AS (SELECT user_id, nr, abs(CAST(CAST(CASE WHEN nr % 17 < 6 THEN x / 1000 ELSE x END AS FLOAT) AS DOUBLE)) AS level FROM s),
+    o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY level) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM l),
+    th AS (SELECT user_id, n, least(greatest(2 * level, 0.005), 0.02) AS th FROM o WHERE k = least(CAST(trunc(n * CAST(0.2 AS DOUBLE)) AS BIGINT), n - 1)),
+    i AS (SELECT l.user_id, nr, level < th AS quiet, sum(CASE WHEN level < th THEN 0 ELSE 1 END) OVER (PARTITION BY l.user_id ORDER BY nr) AS island FROM l JOIN th USING (user_id)),
+    ru AS (SELECT user_id, min(nr) AS f0, max(nr) + 1 AS a0 FROM i WHERE quiet GROUP BY user_id, island),
+    us AS (SELECT th.user_id, n, coalesce(list([f0, a0]) FILTER (f0 IS NOT NULL), []) AS runs FROM th LEFT JOIN ru USING (user_id) GROUP BY ALL),
+    c AS (SELECT user_id, n, runs, CAST(0 AS BIGINT) AS cut, CAST(3.0 AS DOUBLE) AS target FROM us
+        UNION ALL SELECT user_id, n, runs, place, CAST(place AS DOUBLE) / 10 + 3 FROM (SELECT user_id, n, runs, least(coalesce(least(list_max([greatest(r[1], pos - 10) FOR r IN runs IF least(r[2], pos + 1) - greatest(r[1], pos - 10) >= 3]) + 1, pos), pos), n) AS place
+            FROM (SELECT *, CAST(trunc(target * 10) AS BIGINT) AS pos FROM c WHERE n > 40 AND target < CAST(n AS DOUBLE) / 10))),
+    e AS (SELECT DISTINCT user_id, n, cut FROM c WHERE cut < n)
+    SELECT user_id AS recording_id, CAST(row_number() OVER w - 1 AS INTEGER) AS nr, CAST(cut AS BIGINT) AS first, CAST(coalesce(lead(cut) OVER w, n) AS BIGINT) AS after FROM e WINDOW w AS (PARTITION BY user_id ORDER BY cut)""")
 def quiet_cut_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges of a sound in memory, cut where it is quiet; an event is a sample of a tenth of a second, loud or not."""
     rows = _frames(spark, sf_dir).selectExpr("recording_id", "frame", "case when frame % 17 < 6 then x / 1000 else x end as x")

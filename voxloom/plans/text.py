@@ -242,7 +242,14 @@ def inferred_speaker_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.speaker_names(seg.withColumn("speaker_name", F.lit(None).cast("string"))).select("recording_id", "seq", "inferred")
 
 
-@query()
+@query(rf"""WITH {t.SEGMENTS_SQL}, m AS (SELECT recording_id, seq, start_s, string_split(text, ' ') AS ws, text, lag(text) OVER (PARTITION BY recording_id ORDER BY seq) AS prev FROM seg),
+    s AS (SELECT recording_id, seq, start_s, CASE WHEN seq % 3 = 1 AND len(ws) > 4 THEN array_to_string(list_slice(string_split(prev, ' '), -4, -1), ' ') || ' ' || text ELSE text END AS text FROM m),
+    b AS (SELECT *, lag(text) OVER (PARTITION BY recording_id ORDER BY start_s, seq) AS before FROM s),
+    k AS (SELECT *, [x FOR x IN string_split_regex(text, '\s+') IF x <> ''] AS now, [{_KEY.format("x")} FOR x IN string_split_regex(before, '\s+') IF x <> ''] AS ka FROM b),
+    j AS (SELECT *, [{_KEY.format("x")} FOR x IN now] AS kb FROM k),
+    o AS (SELECT *, CASE WHEN seq % 3 = 1 THEN list_max([n FOR n IN range(3, least(len(ka), len(kb)) + 1) IF len([1 FOR skip IN range(4) IF skip <= len(kb) - n AND list_slice(ka, len(ka) - n + 1, len(ka)) = list_slice(kb, skip + 1, skip + n)]) > 0]) END AS n FROM j),
+    r AS (SELECT recording_id, seq, CASE WHEN seq % 3 = 1 THEN array_to_string(CASE WHEN n IS NULL THEN now ELSE list_slice(now, n + 1 + list_min([skip FOR skip IN range(4) IF skip <= len(kb) - n AND list_slice(ka, len(ka) - n + 1, len(ka)) = list_slice(kb, skip + 1, skip + n)]), len(now)) END, ' ') ELSE text END AS text FROM o)
+    SELECT * FROM r WHERE text <> ''""")
 def boundary_repeats_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = t.segments(spark, sf_dir).withColumn("speaker", F.lit(0))
     tail = F.expr("array_join(slice(split(lag(text) over (partition by recording_id order by seq), ' '), -4, 4), ' ')")
@@ -283,7 +290,25 @@ def replies_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", ft.parse_category(F.col("reply")).alias("category"), F.array_join(ft.parse_choices(F.col("reply"), F.col("n")).cast("array<string>"), ",").alias("choices"))
 
 
-@query()
+def _stripped_sql(text: str) -> str:
+    return rf"regexp_replace({text}, '^\s+|\s+$', '', 'g')"
+
+
+def _leaks_sql(text: str) -> str:
+    for pattern in ft.LEAKS:
+        text = f"regexp_replace({text}, '{pattern.replace(chr(39), chr(39) * 2)}', '', 'g')"
+    return _stripped_sql(text)
+
+
+@query(rf"""WITH a AS (SELECT doc_id, {_stripped_sql("['Sure, here is the text: ', '=== CONTEXT (DO NOT REPEAT) === x === END CONTEXT === ', 'The previous chunk ended with: foo bar. ', ''][CAST(doc_id % 4 AS INTEGER) + 1] || text")} AS text FROM documents),
+    q AS (SELECT doc_id, CASE WHEN length(text) > 2 AND regexp_matches(text, '(?s)^(?:".+"|“.+”|‘.+’|''.+'')$') THEN substr(text, 2, length(text) - 2) ELSE text END AS text FROM a),
+    p AS (SELECT doc_id, {_leaks_sql(_stripped_sql("regexp_replace(" + _stripped_sql("text") + ", '" + ft.PREAMBLE.replace("'", "''") + "', '')"))} AS text FROM q),
+    m AS (SELECT *, string_split_regex(text, '(?i)\bSpeaker\s+\d+\s*:') AS pieces, regexp_extract_all(text, '(?i)\bSpeaker\s+\d+\s*:') AS marks FROM p),
+    b AS (SELECT *, [{_stripped_sql("x")} FOR x IN pieces[2:]] AS bodies FROM m),
+    c AS (SELECT doc_id, CASE WHEN length(text) >= 30 AND len(bodies) >= 2 AND (bodies[-1] = '' OR bodies[-1] = bodies[-2])
+        THEN regexp_replace(array_to_string(pieces[1:1] || [marks[i] || pieces[i + 1] FOR i IN range(1, coalesce(list_max([i FOR i IN range(1, len(bodies)) IF bodies[i] <> '' AND bodies[i] <> bodies[i + 1]]), 0) + 1)], ''), '\s+$', '') ELSE text END AS text FROM b),
+    w AS (SELECT *, [x FOR x IN [lower(regexp_replace(y, '^[.,;:!?"''()]+|[.,;:!?"''()]+$', '', 'g')) FOR y IN string_split_regex({_stripped_sql(r"regexp_replace(text, '(?i)\bSpeaker\s+\d+\s*:\s*', '', 'g')")}, '[\s,]+')] IF x <> ''] AS ws FROM c)
+    SELECT doc_id, CASE WHEN length(trim(text)) <= 200 AND len(ws) >= 3 AND len([1 FOR x IN ws IF x NOT IN ('yuri', 'len', 'abci')]) = 0 THEN '' ELSE text END AS text FROM w""")
 def replies_scrubbed(spark: SparkSession, sf_dir: str) -> DataFrame:
     lead = F.expr("case doc_id % 4 when 0 then 'Sure, here is the text: ' when 1 then '=== CONTEXT (DO NOT REPEAT) === x === END CONTEXT === ' when 2 then 'The previous chunk ended with: foo bar. ' else '' end")
     d = t.table(spark, sf_dir, "documents").select("doc_id", F.concat(lead, "text").alias("text"))
