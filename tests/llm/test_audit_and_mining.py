@@ -135,3 +135,12 @@ def test_bounds_prune_and_lose_nothing():
 def test_sort_keys():
     numbers = sorted([0, 1, -1, 127, 128, -128, -129, 255, 256, 2**63, -(2**63), 10**40, -(10**40), 10**300])
     assert sorted(numbers, key=op12_ball_tree.sort_key) == numbers
+
+
+@pytest.mark.parametrize("name", ["op11_filter_audit", "op12_ball_tree", "op13_jaccard"])
+def test_same_rows_as_sql(spark, small, name):
+    import compare
+
+    from voxloom.llm import queries
+
+    assert compare.difference(spark, small, queries.QUERIES[name], queries.ORACLES[name], compare.oracle(small)) == ""

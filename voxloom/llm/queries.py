@@ -97,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op11_filter_audit": op11_filter_audit.SQL,
     "op12_ball_tree": op12_ball_tree.SQL,
+    "op13_jaccard": op13_jaccard.SQL,
     "op9_bit_sliced": """
         WITH v AS (
             SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
