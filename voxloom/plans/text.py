@@ -92,7 +92,26 @@ def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.spread(t.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", F.col("text").alias("a"), F.array_join(heard, " ").alias("b"))
 
 
-@query()
+#: The alignment of both readings of each turn: rows of a cost table, then the way back from its end; ps holds (place in a, place in b), 0 for none, from the end.
+_ALIGNED_SQL = rf"""t0 AS (SELECT conv_id, turn, string_split(text, ' ') AS ws FROM conversations),
+    t1 AS (SELECT *, [CASE WHEN (i - 1) % 5 = 2 THEN reverse(ws[i]) WHEN (i - 1) % 11 = 4 THEN ws[i] || ' uh' ELSE ws[i] END FOR i IN range(1, len(ws) + 1) IF (i - 1) % 7 <> 3] AS hs FROM t0),
+    t2 AS (SELECT conv_id, turn, [x FOR x IN string_split_regex(array_to_string(ws, ' '), '\s+') IF x <> ''] AS a, [x FOR x IN string_split_regex(array_to_string(hs, ' '), '\s+') IF x <> ''] AS b FROM t1),
+    t3 AS (SELECT *, [{_KEY.format("x")} FOR x IN a] AS ka, [{_KEY.format("x")} FOR x IN b] AS kb FROM t2),
+    co AS (SELECT conv_id, turn, 0 AS i, ka, kb, range(len(kb) + 1) AS row_ FROM t3
+        UNION ALL SELECT conv_id, turn, i, ka, kb, [list_min(base[1:j]) + j - 1 FOR j IN range(1, len(base) + 1)] AS row_
+            FROM (SELECT conv_id, turn, i + 1 AS i, ka, kb, [CASE WHEN j = 1 THEN i + 1 ELSE least(row_[j] + 1, row_[j - 1] + CASE WHEN ka[i + 1] = kb[j - 1] THEN 0 ELSE 1 END) - (j - 1) END FOR j IN range(1, len(kb) + 2)] AS base FROM co WHERE i < len(ka))),
+    fin AS MATERIALIZED (SELECT conv_id, turn, any_value(ka) AS ka, any_value(kb) AS kb, list(row_ ORDER BY i) AS tab FROM co GROUP BY conv_id, turn),
+    tr AS (SELECT conv_id, turn, len(ka) AS i, len(kb) AS j, CAST([] AS STRUCT(i BIGINT, j BIGINT)[]) AS ps FROM fin
+        UNION ALL SELECT conv_id, turn, CASE WHEN pair OR alone THEN i - 1 ELSE i END, CASE WHEN alone THEN j ELSE j - 1 END, ps || [{{i: CASE WHEN pair OR alone THEN i ELSE 0 END, j: CASE WHEN alone THEN 0 ELSE j END}}]
+        FROM (SELECT conv_id, turn, i, j, ps, pair, NOT pair AND i > 0 AND here = up + 1 AS alone FROM (SELECT conv_id, turn, i, j, ps, tab[i + 1][j + 1] AS here, tab[i][j + 1] AS up, i > 0 AND j > 0 AND tab[i + 1][j + 1] = tab[i][j] + CASE WHEN ka[i] = kb[j] THEN 0 ELSE 1 END AS pair
+            FROM tr JOIN fin USING (conv_id, turn) WHERE i > 0 OR j > 0))),
+    al AS (SELECT conv_id, turn, a, b, t3.ka, t3.kb, list_reverse(ps) AS ps FROM tr JOIN t3 USING (conv_id, turn) WHERE i = 0 AND j = 0)"""
+
+
+@query(rf"""WITH RECURSIVE {_ALIGNED_SQL}, p AS (SELECT *, unnest(range(1, len(ps) + 1)) AS k FROM al), q AS (SELECT conv_id, turn, k, a[ps[k].i] AS x, b[ps[k].j] AS y, ps[k].i AS i, ps[k].j AS j, ka[ps[k].i] = kb[ps[k].j] AS same,
+        0.5 + ((ps[k].i - 1) * 7 % 5) / 10 AS cx, CASE WHEN (ps[k].j - 1) % 3 = 0 THEN 0.7 ELSE 0.5 + ((ps[k].j - 1) * 7 % 5) / 10 END AS cy FROM p),
+    w AS (SELECT conv_id, turn, k, CASE WHEN i > 0 AND j > 0 THEN CASE WHEN same OR cx >= cy THEN x ELSE y END WHEN i > 0 AND cx >= 0.55 THEN x WHEN i = 0 AND cy >= 0.55 THEN y END AS word FROM q)
+    SELECT conv_id, turn, coalesce(string_agg(word, ' ' ORDER BY k), '') AS merged FROM w GROUP BY ALL""")
 def readings_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     def merge(a: str, b: str) -> str:
         # every third word of the second reading has no confidence of its own
@@ -102,7 +121,8 @@ def readings_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _readings(spark, sf_dir).select("conv_id", "turn", fw.arrow(merge, "string")("a", "b").alias("merged"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {_ALIGNED_SQL}, p AS (SELECT *, unnest(range(1, len(ps) + 1)) AS k FROM al)
+    SELECT conv_id, turn, CAST(k - 1 AS INTEGER) AS place, a[ps[k].i] AS a, b[ps[k].j] AS b FROM p WHERE ps[k].i > 0 AND ps[k].j > 0 AND ka[ps[k].i] <> kb[ps[k].j] QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY k) <= 8""")
 def reading_disputes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first disputes of each turn, as many as an arbiter is asked about."""
 
@@ -257,7 +277,12 @@ def boundary_repeats_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.drop_boundary_repeats(rows, seg.where("seq % 3 = 1")).select("recording_id", "seq", "text")
 
 
-@query()
+@query("""WITH RECURSIVE v AS (SELECT vec_id // 40 AS r, list(vec_id ORDER BY vec_id) AS ids, list(CAST(embedding AS DOUBLE[]) ORDER BY vec_id) AS v FROM embeddings GROUP BY ALL),
+    s AS (SELECT r, ids, v, [[i] FOR i IN range(1, len(ids) + 1)] AS g, v AS c FROM v
+        UNION ALL SELECT r, ids, v, [CASE WHEN i = a THEN g[a] || g[b] ELSE g[i] END FOR i IN range(1, len(g) + 1) IF i <> b], [CASE WHEN i = a THEN m ELSE c[i] END FOR i IN range(1, len(g) + 1) IF i <> b]
+        FROM (SELECT *, [list_avg([v[k][d] FOR k IN g[a] || g[b]]) FOR d IN range(1, len(v[1]) + 1)] AS m FROM (SELECT *, p.a AS a, p.b AS b
+            FROM (SELECT *, list_min(flatten([[{d: list_cosine_distance(c[i], c[j]), a: i, b: j} FOR j IN range(i + 1, len(c) + 1)] FOR i IN range(1, len(c))])) AS p FROM s WHERE len(g) > 4))))
+    SELECT r AS recording_id, vec_id, CAST(k - 1 AS INTEGER) AS "cluster" FROM (SELECT r, ids, k, unnest(g[k]) AS i FROM (SELECT r, ids, g, unnest(range(1, len(g) + 1)) AS k FROM s WHERE len(g) <= 4)), LATERAL (SELECT ids[i] AS vec_id)""")
 def speaker_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     import pandas as pd
 
