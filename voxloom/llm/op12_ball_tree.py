@@ -23,7 +23,6 @@ negatives gives no rows, nor does an empty table; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
