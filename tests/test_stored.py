@@ -76,3 +76,24 @@ def test_of_two_changes_at_once_the_later_is_refused(spark, tables, monkeypatch)
     with pytest.raises(stored.Conflict):
         tables.upsert("people", row(2), ["id"])
     assert {(1, "new"), (2, "p2")} <= set(told(tables.read("people")))
+
+
+def test_a_sound_is_written_in_parts_and_the_header_counts_them_all(spark, tmp_path):
+    """Samples or arrays of them give the file that the whole recording would, over several parts, and no task gets a whole recording."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from voxloom.sources import audio, files
+
+    x = np.sin(np.arange(3 * audio.PART + 7) / 5) * 1.2
+    rows = spark.createDataFrame([(k % 2, k // 2, float(v)) for k, v in enumerate(np.repeat(x, 2))], "recording_id long, frame long, x double")
+    parts = audio.sounds(rows.repartition(3), F.concat(F.col("recording_id").cast("string"), F.lit(".wav")))
+    assert parts.count() == 8 and parts.agg(F.max(F.length("body"))).first()[0] <= 2 * audio.PART + 44
+    assert files.write_parts(parts, (tmp_path / "a").as_uri()) == 2
+    blocks = rows.groupBy("recording_id", F.expr("frame div 32 * 32").alias("frame")).agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "x"))), lambda s: s["x"]).alias("x"))
+    assert files.write_parts(audio.sounds(blocks, F.concat(F.col("recording_id").cast("string"), F.lit(".wav"))), (tmp_path / "b").as_uri()) == 2
+    want = audio.wav_bytes(x.astype(np.float32))
+    assert all((tmp_path / d / f"{k}.wav").read_bytes() == want for d in "ab" for k in range(2))
+    stereo = audio.sounds(rows.where("recording_id = 0").withColumn("y", -F.col("x")), F.lit("s.wav"), 2)
+    files.write_parts(stereo, (tmp_path / "c").as_uri())
+    assert (tmp_path / "c" / "s.wav").read_bytes() == audio.wav_bytes(np.stack([x, -x], 1).ravel().astype(np.float32), audio.RATE, 2)

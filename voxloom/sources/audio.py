@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-
-from voxloom.functions.words import resample
+from pyspark.sql.types import ArrayType
 
 RATE = 16_000
 
@@ -94,7 +94,40 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((name, *layout, int(layout[1] * RATE / layout[3])))
             yield pd.DataFrame(rows, columns=["path", "begin", "frames", "channels", "rate", "n"])
 
-    return spark.read.format("binaryFile").load(path).select("path").mapInPandas(plan, _HEADERS)
+    # Spark reads small files by the dozen, so that many of them are many tasks; their names are few bytes
+    return spark.read.format("binaryFile").load(path).select("path").repartition(spark.sparkContext.defaultParallelism).mapInPandas(plan, _HEADERS)
+
+
+#: Ranges of a file that one task reads one after the other, and rows that it gives out at once.
+_RANGES, _ROWS = 16, 10_000
+
+
+def _each_range(ranges: DataFrame, found: Callable, returns: str) -> DataFrame:
+    """Columns that `found` (range, source) makes of each range (columns of :func:`headers`, nr, first, after), in batches; a file is opened once for ranges that follow one another."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, n = [], 0
+        rows = (r for batch in batches for r in batch.itertuples())
+        for path, file in groupby(rows, key=lambda r: r.path):
+            with _opened(path) as source:
+                for r in file:
+                    out.append(found(r, source))
+                    n += len(out[-1][-1])
+                    if n >= _ROWS:
+                        yield _table(out, returns)
+                        out, n = [], 0
+        if out:
+            yield _table(out, returns)
+
+    rows = ranges.where("after > first").repartition("path", F.expr(f"nr div {_RANGES}")).sortWithinPartitions("path", "nr")
+    return rows.mapInPandas(read, returns)
+
+
+def _table(found: list[tuple], returns: str) -> pd.DataFrame:
+    """One table of ranges' columns; a value that is no array holds for all rows of its range."""
+    sizes = [len(f[-1]) for f in found]
+    names = [x.split()[0] for x in returns.split(", ")]
+    return pd.DataFrame({c: np.concatenate([f[k] for f in found]) if isinstance(found[0][k], np.ndarray) else np.repeat(np.array([f[k] for f in found], object), sizes) for k, c in enumerate(names)})
 
 
 def read_ranges(ranges: DataFrame, window: int | None = None) -> DataFrame:
@@ -103,17 +136,14 @@ def read_ranges(ranges: DataFrame, window: int | None = None) -> DataFrame:
     Each range reads its own part of its file, so a task holds one range, however long the sound is, and the ranges of one file are spread over many tasks.
     """
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples():
-                with _opened(r.path) as source:
-                    x = _window(source, (r.begin, r.frames, r.channels, r.rate), r.first, r.after, RATE).astype(float)
-                size = window or len(x)
-                parts = x[: len(x) // size * size].reshape(-1, size)
-                yield pd.DataFrame({"path": r.path, "nr": r.nr, "at": r.first + size * np.arange(len(parts)), "n": size, "rms": np.sqrt((parts * parts).mean(1))})
+    def levels(r, source) -> tuple:
+        x = _window(source, (r.begin, r.frames, r.channels, r.rate), r.first, r.after, RATE).astype(float)
+        size = window or len(x)
+        parts = x[: len(x) // size * size].reshape(-1, size)
+        return r.path, r.nr, r.first + size * np.arange(len(parts)), size, np.sqrt((parts * parts).mean(1))
 
-    rows = ranges.where("after > first").select("path", "begin", "frames", "channels", "rate", "nr", "first", "after")
-    return rows.repartition("path", "nr").mapInPandas(read, "path string, nr int, at long, n long, rms double")
+    rows = ranges.select("path", "begin", "frames", "channels", "rate", "nr", "first", "after")
+    return _each_range(rows, levels, "path string, nr int, at long, n long, rms double")
 
 
 def read_chunks(spark: SparkSession, path: str, chunk_s: float = 30.0, overlap_s: float = 0.0) -> DataFrame:
@@ -163,25 +193,50 @@ def durations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_samples(spark: SparkSession, path: str, rate: int | None = None) -> DataFrame:
-    """path, nr, x: mono samples of each file, brought to `rate` if one is given."""
+    """path, nr, x: mono samples of each file, brought to `rate` if one is given; a task holds a range of them."""
+    size = 60 * RATE
+    n = F.floor(F.col("frames") * F.lit(rate) / F.col("rate")) if rate else F.col("frames")
+    files = headers(spark, path).withColumn("n", n).withColumn("to", F.lit(rate) if rate else F.col("rate")).where("n > 0")
+    ranges = files.withColumn("nr", F.explode(F.expr(f"sequence(0, cast((n - 1) div {size} as int))"))).withColumn("first", F.col("nr").cast("long") * size).withColumn("after", F.least(F.col("first") + size, F.col("n")))
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, data in zip(batch.path, batch.content, strict=True):
-                samples, own = parse_wav(bytes(data))
-                samples = resample(samples, own, rate) if rate and own else samples
-                yield pd.DataFrame({"path": name, "nr": np.arange(len(samples)), "x": samples.astype(float)})
+    def samples(r, source) -> tuple:
+        x = _window(source, (r.begin, r.frames, r.channels, r.rate), r.first, r.after, r.to)
+        return r.path, np.arange(r.first, r.after), x.astype(float)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "path string, nr long, x double")
+    return _each_range(ranges, samples, "path string, nr long, x double")
 
 
-def sounds(frames: DataFrame, name, channels: int = 1) -> DataFrame:
-    """name, body: a WAV file of each recording's frames (recording_id, frame, and x, or with two channels x and y)."""
-    columns = ["x", "y"][:channels]
-    rows = frames.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("frame", *columns))).alias("s"))
+#: Frames of a part of a sound that is written.
+PART = 4096
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"name": batch["name"], "body": [wav_bytes(np.array([[f[c] for c in columns] for f in s], np.float32).ravel(), RATE, channels) for s in batch["s"]]})
 
-    return rows.select(name.alias("name"), "s").mapInPandas(encode, "name string, body binary")
+def _pcm(x: Column) -> Column:
+    """A sample as 16-bit PCM in hexadecimal digits, the low byte first."""
+    x = F.coalesce(F.nanvl(x.cast("float"), F.lit(0.0).cast("float")), F.lit(0.0).cast("float"))
+    v = (F.least(F.greatest(x, F.lit(-1.0).cast("float")), F.lit(1.0).cast("float")) * F.lit(32767).cast("float")).cast("int")
+    return F.lpad(F.hex(F.shiftleft(v.bitwiseAND(255), 8).bitwiseOR(F.shiftright(v, 8).bitwiseAND(255))), 4, "0")
+
+
+def _whole(n: Column, size: int) -> Column:
+    """A whole number as bytes in hexadecimal digits, the low byte first."""
+    return F.concat(*[F.lpad(F.hex(F.shiftright(n.cast("long"), 8 * k).bitwiseAND(255)), 2, "0") for k in range(size)])
+
+
+def sounds(frames: DataFrame, name: Column, channels: int = 1) -> DataFrame:
+    """name, part, body: WAV files of the recordings' frames (recording_id, frame, and x, or with two channels x and y) in parts for :func:`files.write_parts`, the header before the first.
+
+    Instead of a sample x and y may hold an array of those from `frame` on. Parts are small and counted by a window that spills, so no recording is held whole.
+    """
+    columns = ["x", "y"][:channels]
+    if isinstance(frames.schema["x"].dataType, ArrayType):
+        digits = F.array_join(F.transform(F.arrays_zip(*columns), lambda s: F.concat(*[_pcm(s[c]) for c in columns])), "")
+    else:
+        digits = F.concat(*[_pcm(F.col(c)) for c in columns])
+    rows = frames.select("recording_id", F.expr(f"frame div {PART}").alias("part"), F.struct("frame", digits.alias("digits")).alias("s"))
+    rows = rows.groupBy("recording_id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["digits"]), "").alias("digits"))
+    by_part = Window.partitionBy("recording_id").orderBy("part")
+    size = F.sum(F.length("digits") / 2).over(by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    head, rest = wav_bytes(np.zeros(0, np.float32), RATE, channels).hex().upper(), 36
+    header = F.concat(F.lit(head[:8]), _whole(F.col("size") + rest, 4), F.lit(head[16:80]), _whole(F.col("size"), 4))
+    rows = rows.withColumn("size", size).withColumn("first", F.row_number().over(by_part) == 1)
+    return rows.select(name.alias("name"), "part", F.unhex(F.concat(F.when(F.col("first"), header).otherwise(""), "digits")).alias("body"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -31,35 +33,64 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def _put(folder: str, name: str, data: bytes) -> None:
-    """Write under another name, then move; a task that runs twice finds the same file there already."""
-    from pyarrow import fs
-
-    place, path = fs.FileSystem.from_uri(folder)
-    place.create_dir(path, recursive=True)
+@contextmanager
+def _placed(place, path: str, name: str) -> Iterator:
+    """A stream under another name that is moved at its end; a task that runs twice finds the same file there already."""
     part = f"{path}/.{name}.{uuid.uuid4().hex}"
     with place.open_output_stream(part) as out:
-        out.write(data)
+        yield out
+        size = out.tell()
     try:
         place.move(part, f"{path}/{name}")
     except OSError:
-        if place.get_file_info(f"{path}/{name}").size != len(data):
+        if place.get_file_info(f"{path}/{name}").size != size:
             raise
         place.delete_file(part)
 
 
+def _folder(folder: str) -> tuple:
+    """File system and path of a folder, which is there afterwards."""
+    from pyarrow import fs
+
+    place, path = fs.FileSystem.from_uri(folder)
+    place.create_dir(path, recursive=True)
+    return place, path
+
+
 def write_files(files: DataFrame, folder: str) -> int:
     """Write rows (name, body: binary or text) as files of `folder`; returns how many."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, path = _folder(folder)
         for batch in batches:
             for name, body in zip(batch["name"], batch["body"], strict=True):
-                _put(folder, name, body.encode() if isinstance(body, str) else bytes(body))
+                with _placed(place, path, name) as out:
+                    out.write(body.encode() if isinstance(body, str) else bytes(body))
             yield pd.DataFrame({"n": [len(batch)]})
 
     return files.select("name", "body").mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def write_parts(parts: DataFrame, folder: str) -> int:
+    """Write files of `folder` from rows (name, body), which are parts of a file in their order, those of one file one after the other; returns how many files.
+
+    A task holds one batch of parts, however long a file is.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, path = _folder(folder)
+        rows = (r for batch in batches for r in zip(batch["name"], batch["body"], strict=True))
+        n = 0
+        for name, file in groupby(rows, key=lambda r: r[0]):
+            with _placed(place, path, name) as out:
+                for _, body in file:
+                    out.write(bytes(body))
+            n += 1
+        yield pd.DataFrame({"n": [n]})
+
+    return parts.select("name", "body").mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def listing(spark: SparkSession, folder: str) -> DataFrame:
     """name, bytes of the files in `folder`, without reading them; no rows if there is no such folder."""
     jvm = spark.sparkContext._jvm
