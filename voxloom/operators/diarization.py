@@ -71,8 +71,8 @@ def decide(pairs: DataFrame, merged: Column, prior_a: float = 1.0, prior_b: floa
     preferred = a if prior_a >= prior_b else b
     both = (a != "") & (b != "")
     sane = ft.pick_sane(a, b, F.col("seconds"))
-    text = F.when(~both, F.concat(a, b)).when(sane.isNotNull(), sane).when(agreement >= AGREED, preferred).otherwise(F.coalesce(F.nullif(merged, F.lit("")), preferred))
-    return pairs.withColumn("agreement", agreement).withColumn("text", text).withColumn("ask", both & sane.isNull() & (agreement < DISPUTED))
+    text = F.when(~both, F.concat(a, b)).when(sane.isNotNull(), sane).when(F.col("agreement") >= AGREED, preferred).otherwise(F.coalesce(F.nullif(merged, F.lit("")), preferred))
+    return pairs.withColumn("agreement", agreement).withColumn("text", text).withColumn("ask", both & sane.isNull() & (F.col("agreement") < DISPUTED))
 
 
 def arbitrated(rows: DataFrame, replies: DataFrame) -> DataFrame:

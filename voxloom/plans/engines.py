@@ -42,7 +42,7 @@ def samples_by_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ensemble_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole turns as heard by two engines; the second one heard the same, nothing, other words, or got stuck."""
-    d = t.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("text_a"))
+    d = t.spread(t.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("text_a")))
     b = F.when(F.col("turn") % 4 == 0, F.col("text_a")).when(F.col("turn") % 4 == 1, "").when(F.col("turn") % 4 == 2, F.regexp_replace("text_a", r"\b(the|de|la|der)\b", "a")).otherwise(F.repeat(F.lit("la la "), F.lit(20)))
     merged = fw.arrow(lambda x, y: fw.vote([(w, 0.8) for w in x.split()], [(w, 0.9) for w in y.split()]), "string")("text_a", "text_b")
     pairs = d.withColumn("text_b", b).withColumn("seconds", F.lit(20.0)).withColumn("_m", merged)
