@@ -347,3 +347,8 @@ def test_windows_stream(spark, small, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     got = live.replay(spark, live.windows(stream, "1 day"), "win", "complete", str(tmp_path / "cp"))
     assert sorted(map(str, got.collect())) == sorted(map(str, live.windows(df, "1 day").collect()))
+
+
+def test_capitals_keep_the_length_of_a_text(spark):
+    rows = spark.createDataFrame([("Straße, groß.",), ("plain é",), ("ﬁn ŉ ᾳ ǆ",), (None,), ("",), ("ßß",)], "t string")
+    assert [r[0] for r in rows.select(ft.upper(F.col("t"))).collect()] == ["STRAẞE, GROẞ.", "PLAIN É", "ﬁN ŉ ᾼ Ǆ", None, "", "ẞẞ"]

@@ -15,6 +15,19 @@ def key(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}]", "")
 
 
+#: Letters whose capital is more than one, and those of them that have a capital of one letter too.
+_SPREAD = "".join(chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and len(chr(c).upper()) > 1)
+_TITLE = {c: c.title() for c in _SPREAD if len(c.title()) == 1 and c.title() != c} | {"\u00df": "\u1e9e"}
+
+
+def upper(text: Column) -> Column:
+    """Capitals letter by letter, so that the text keeps its length: other than Spark's `upper`, which writes SS for a sharp s, it writes one capital sharp s."""
+    alone = f"[{_SPREAD}]"
+    parts = F.split(text, f"(?={alone})|(?<={alone})")
+    whole = F.array_join(F.transform(parts, lambda x: F.when(x.rlike(f"^{alone}$"), F.translate(x, "".join(_TITLE), "".join(_TITLE.values()))).otherwise(F.upper(x))), "")
+    return F.when(text.rlike(alone), whole).otherwise(F.upper(text))
+
+
 def diff_key(token: Column) -> Column:
     """As :func:`key`, but a token without letters and digits is its own key."""
     return F.coalesce(F.nullif(key(token), F.lit("")), token)

@@ -258,7 +258,7 @@ def versions_restored_over_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = spark.createDataFrame([], "recording_id long, segments_json string, created_at long, version_id long")
     seg = t.segments(spark, sf_dir)
     saved = store.snapshots(seg, none).select("recording_id", F.when(F.col("recording_id") % 10 == 0, "{broken").otherwise(F.col("segments_json")).alias("segments_json"), "n")
-    live = seg.where("seq > 0").withColumn("text", F.upper("text")).select("recording_id", "seq", "start_s", "end_s", "text", "speaker")
+    live = seg.where("seq > 0").withColumn("text", ft.upper(F.col("text"))).select("recording_id", "seq", "start_s", "end_s", "text", "speaker")
     segments, versions = store.restore(live, none, saved, "engine")
     rows = segments.select(F.lit("segment").alias("kind"), "recording_id", "seq", "text")
     return rows.unionByName(versions.select(F.lit("version").alias("kind"), "recording_id", F.lit(1).cast("long").alias("seq"), F.concat_ws(" ", "label", "n").alias("text")))
