@@ -7,6 +7,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -590,3 +591,22 @@ def test_maximal_repeats_list_all_occurrences(spark, odd_rows):
     for text, found in groups.items():
         want = {(d, m.start()) for d, b in texts.items() for m in re.finditer(b"(?=" + re.escape(text) + b")", b)}
         assert found == want and len(found) > 1 and len(text) >= 50
+
+
+def test_maximal_repeats_keep_no_text_for_each_window(spark):
+    """A long copy in which every line begins a window: what is stored grows with its length, not with its square."""
+    from voxloom.llm.shared import shared_root
+
+    rnd = random.Random(8)
+    lines = ["".join(rnd.choice("abcdefghijklmnop ") for _ in range(70)) for _ in range(150)]
+    whole = "\n".join(lines)
+    docs = {1: whole + "x", 2: whole + "y" * 9, **{10 + k: f"{k} {line}" for k, line in enumerate(lines)}}
+    folder = Path(shared_root(spark).removeprefix("file:")) / "voxloom"
+    before = set(folder.glob("*")) if folder.exists() else set()
+    assert _maximal(spark, docs, 8_000_000) == brute_maximal({d: t.encode() for d, t in docs.items()})
+    stored = 0
+    for table in set(folder.glob("*")) - before:
+        rows = spark.read.parquet(f"file://{table}") if list(table.glob("*.parquet")) else None
+        for c, kind in rows.dtypes if rows else ():
+            stored += rows.agg(F.coalesce(F.sum(F.octet_length(c)), F.lit(0))).first()[0] if kind == "binary" else 0
+    assert stored < 15 * sum(map(len, docs.values()))

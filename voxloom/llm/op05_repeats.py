@@ -19,7 +19,7 @@ always meet in the hash bucket of their anchor. The work goes in three passes ov
    document has a smaller doc_id.
 
 Stretches have fewer than 2 * LENGTH bytes. `maximal_repeats` gathers the windows before which different bytes
-stand with all the repeated text after them, and finds repeats of any length; `repeat_spans` lists the covered spans of documents.
+stand, compares the repeated texts after them by hashes of chunks, and finds repeats of any length; `repeat_spans` lists the covered spans of documents.
 
 Defined cases: a null text is an empty one; texts shorter than `LENGTH` bytes lose nothing; documents
 with equal doc_id do not cover one another; a null doc_id counts as smaller than any
@@ -31,15 +31,15 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import pairwise, takewhile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.llm.blocks import BLOCK_BYTES, doc_id_array, make_blocks, open_block, plain, press, with_answers
-from voxloom.llm.shared import written
+from voxloom.llm.shared import drop_written, written
 
 LENGTH, GRAM = 50, 24
 #: Different stretches that an anchor may have, summed over the blocks (up to 255 in each), before its windows are dealt one by one.
@@ -471,22 +471,22 @@ def answered_blocks(docs: DataFrame, block_bytes: int, hot: int, answer) -> tupl
     return with_answers(blocks, anchors.unionAll(found.selectExpr("block", "-1 - bucket as bucket", "data"))), buckets, blocks
 
 
-_PLACES = "seed long, doc_id long, start long, left int, rest long, text binary"
+_PLACES = "seed long, doc_id long, start long, left int, rest long, size long, block long, place long"
 
 
-def _places(docs: DataFrame, block_bytes: int, hot: int) -> DataFrame:
-    """A written table of seed, doc_id, start, left, rest, text: all places of the windows at which a maximal repeat may begin.
+def _places(docs: DataFrame, block_bytes: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """A written table of all places of the windows at which a maximal repeat may begin, and the blocks.
 
     A seed names a window that different bytes stand before; left is the byte before the place (-1 at a document's start). Repeats cover the
-    document from there to some byte without a gap: rest is the hash of that text, which a block gives once for each seed.
+    document from there to some byte without a gap: rest is the hash of that text and size its bytes. The text itself stays in its block, at `place`.
     """
     import xxhash
 
-    rows, buckets, _ = answered_blocks(docs, block_bytes, hot, _repeats_of_texts)
+    rows, buckets, blocks = answered_blocks(docs, block_bytes, hot, _repeats_of_texts)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for heads, data, answers in zip(*batch.columns[1:], strict=True):
+            for block, heads, data, answers in zip(*batch.columns, strict=True):
                 said = _first_answers(answers.as_py())
                 mine = _Block(heads.as_py(), data.as_py(), buckets)
                 c = _Candidates(mine, said, buckets)
@@ -505,29 +505,79 @@ def _places(docs: DataFrame, block_bytes: int, hot: int) -> DataFrame:
                 np.add.at(change, at + n, -1)
                 gone = np.cumsum(change[:-1]) > 0
                 edge = np.unique(np.concatenate([np.flatnonzero(~gone[1:] & gone[:-1]) + 1, mine.begin]))  # where covered runs end, and documents
-                seen: set[tuple[int, int]] = set()
-                out = []
+                raw, out = memoryview(mine.raw), []
                 for number, d, place in sorted({x[:3] for x in found}):
-                    text = mine.raw[place : int(edge[np.searchsorted(edge, place, side="right")])]
-                    rest = xxhash.xxh64_intdigest(text) - 2**63
+                    end = int(edge[np.searchsorted(edge, place, side="right")])
                     begin = int(mine.begin[d])
-                    out.append((number, mine.ids[d], place - begin, mine.raw[place - 1] if place > begin else -1, rest, None if (number, rest) in seen else text))
-                    seen.add((number, rest))
+                    out.append((number, mine.ids[d], place - begin, raw[place - 1] if place > begin else -1, xxhash.xxh64_intdigest(raw[place:end]) - 2**63, end - place, block.as_py(), place))
                     if len(out) == 4096:
                         yield _place_rows(out)
                         out = []
                 if out:
                     yield _place_rows(out)
 
-    return written(rows.mapInArrow(unpack, _PLACES), "places")
+    return written(rows.mapInArrow(unpack, _PLACES), "places"), blocks
 
 
 def _place_rows(rows: list[tuple]) -> pa.RecordBatch:
-    seed, ids, *rest = zip(*rows, strict=True)
-    columns = [pa.array(seed, pa.int64()), doc_id_array(np.array(ids, np.int64)), *[pa.array(x, t) for x, t in zip(rest, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)]]
+    seed, ids, start, left, *rest = zip(*rows, strict=True)
+    columns = [pa.array(seed, pa.int64()), doc_id_array(np.array(ids, np.int64)), pa.array(start, pa.int64()), pa.array(left, pa.int32()), *[pa.array(x, pa.int64()) for x in rest]]
     return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _PLACES.split(", ")])
 
 
+def _looked_up(blocks: DataFrame, asks: DataFrame, find, columns: str) -> DataFrame:
+    """Rows `asks` (block, place and more) with the further columns that `find` makes of a block's bytes and its rows as a table."""
+    kept = [x for x in asks.columns if x != "block"]
+    rows = blocks.select("block", "data").join(asks.groupBy("block").agg(F.collect_list(F.struct(*kept)).alias("asks")), "block").select("block", "data", "asks")
+    types = ", ".join(f"{x} {asks.schema[x].dataType.simpleString()}" for x in kept)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                raw, mine = plain(batch.column(1)[k].as_py()), pa.table(dict(zip(kept, batch.column(2).slice(k, 1).flatten().flatten(), strict=True)))
+                for x in range(0, mine.num_rows, 4096):
+                    part = mine.slice(x, 4096).combine_chunks()
+                    block = pa.array([batch.column(0)[k].as_py()] * part.num_rows, pa.int64())
+                    more = find(raw, part)
+                    yield pa.RecordBatch.from_arrays([block, *[c.combine_chunks() for c in part.columns], *more.values()], names=["block", *kept, *more])
+
+    return rows.mapInArrow(look, f"block long, {types}, {columns}")
+
+
+def _chunk_edges() -> list[int]:
+    """Where the chunks of a text begin: each has an eighth of what is before it, 64 bytes at least."""
+    edges = [0]
+    while edges[-1] < 1 << 40:
+        edges.append(edges[-1] + max(64, edges[-1] // 8))
+    return edges
+
+
+_EDGES = _chunk_edges()
+
+
+def _prints(raw: bytes, asked: pa.Table) -> dict[str, pa.Array]:
+    """The hashes of each text's whole chunks, one after the other."""
+    import xxhash
+
+    view, out = memoryview(raw), []
+    for at, size in zip(asked["place"].to_pylist(), asked["size"].to_pylist(), strict=True):
+        out.append(b"".join(xxhash.xxh64_digest(view[at + a : at + b]) for a, b in takewhile(lambda e: e[1] <= size, pairwise(_EDGES))))  # noqa: B023
+    return {"prints": pa.array(out, pa.binary())}
+
+
+def _chunks(raw: bytes, asked: pa.Table) -> dict[str, pa.Array]:
+    """The chunks at which a text and its neighbours in the order of prints differ: from the one before, and from the one after if that is another."""
+    out: dict[str, list] = {"from_before": [], "from_after": []}
+    for at, size, before, after in zip(*[asked[x].to_pylist() for x in ("place", "size", "before", "after")], strict=True):
+        for name, c in (("from_before", before), ("from_after", None if after == before else after)):
+            out[name].append(None if c is None else raw[at + min(_EDGES[c], size) : at + min(_EDGES[c + 1], size)])
+    return {name: pa.array(x, pa.binary()) for name, x in out.items()}
+
+
+def _bodies(raw: bytes, asked: pa.Table) -> dict[str, pa.Array]:
+    return {"text": pa.array([raw[at : at + n] for at, n in zip(asked["place"].to_pylist(), asked["length"].to_pylist(), strict=True)], pa.binary())}
+
+
 def _common(a: bytes, b: bytes) -> int:
     """Bytes that two texts begin with in common."""
     n = min(len(a), len(b))
@@ -535,46 +585,111 @@ def _common(a: bytes, b: bytes) -> int:
     return int(differ[0]) if len(differ) else n
 
 
-def _maximal(key: tuple, found: pa.Table) -> pa.Table:
-    """rest, length, repeat_id, text: the maximal repeats that begin with one window, for each of its different texts (text: once a repeat).
+_TEXT = "seed long, rest long, size long, n long, low int, high int, first long, last long, block long, place long"
+_RANKED = f"{_TEXT}, rank long, before int, after int, name_before long, name_after long"
 
-    The texts, sorted, are a piece of the corpus's suffix array; their common-prefix intervals and the texts that stand several times are the
-    repeats that cannot be extended to the right. Those with different bytes before them, or a document's start, are maximal.
+
+def _ranked(found: pa.Table) -> pa.Table:
+    """A window's different texts in the order of their prints; before and after: chunks in common with the neighbours, and names for what these hold."""
+    import xxhash
+
+    found = found.sort_by("prints")
+    prints = found["prints"].to_pylist()
+    common = [_common(a, b) // 8 for a, b in pairwise(prints)]
+    names = [xxhash.xxh64_intdigest(x[: 8 * c]) - 2**63 for x, c in zip(prints, common, strict=False)]
+    out = found.drop_columns(["prints"]).append_column("rank", pa.array(range(len(prints)), pa.int64()))
+    for name, values, kind in (("before", [None, *common], pa.int32()), ("after", [*common, None], pa.int32()), ("name_before", [None, *names], pa.int64()), ("name_after", [*names, None], pa.int64())):
+        out = out.append_column(name, pa.array(values, kind))
+    return out.select([x.split()[0] for x in _RANKED.split(", ")])
+
+
+def _in_order(found: dict[str, list]) -> tuple[list[int], list[int], list[int]]:
+    """An order of the texts in which those with a common beginning stand together; the bytes in common with the one before, and a name for these bytes.
+
+    Texts that share chunks stand together already. Where ranges of them part, the chunks at which they do give their order.
     """
     import xxhash
 
-    found = found.sort_by("text")
-    texts, rest = found["text"].to_pylist(), found["rest"].to_pylist()
-    low, high, first, last, n = (found[x].to_numpy() for x in ("low", "high", "first", "last", "n"))
-    common = [0, *(_common(a, b) for a, b in pairwise(texts))]
-    nodes = [(length, a, b) for length, a, b, _ in intervals(common, LENGTH)]
-    inner = {(length, k) for length, a, b in nodes for k in range(a, b + 1) if len(texts[k]) == length}
-    nodes += [(len(t), k, k) for k, t in enumerate(texts) if n[k] > 1 and (len(t), k) not in inner]
+    n = len(found["rank"])
+    shared = np.array([-1, *found["before"][1:]], np.int64)
+    order, common, names = [], [], []
+    todo = [(0, n, 0, 0)]
+    while todo:
+        a, b, length, name = todo.pop()
+        if b - a == 1:
+            order.append(a)
+            common.append(length)
+            names.append(name)
+            continue
+        c = int(shared[a + 1 : b].min())
+        cuts = [a, *(a + 1 + np.flatnonzero(shared[a + 1 : b] == c)).tolist(), b]
+        ranges = []
+        for x, y in pairwise(cuts):
+            k, side = (x, "before") if x > a else (y - 1, "after")
+            chunk = found["from_before"][k] if side == "before" or found["before"][k] == c else found["from_after"][k]
+            ranges.append((chunk, x, y))
+        ranges.sort()
+        prefix = found["name_before"][cuts[1]]
+        parts = [(*ranges[0][1:], length, name)]
+        for (u, *_), (v, x, y) in pairwise(ranges):
+            m = _common(u, v)
+            parts.append((x, y, _EDGES[c] + m, xxhash.xxh64_intdigest(v[:m], prefix & (2**64 - 1)) - 2**63))
+        todo += reversed(parts)
+    return order, common, names
+
+
+_MAXIMAL = "seed long, rest long, length long, repeat_id long, block long, place long"
+
+
+def _maximal(key: tuple, found: pa.Table) -> pa.Table:
+    """rest, length, repeat_id of the maximal repeats that begin with one window, for each of its different texts; block and place of one of them, once a repeat.
+
+    The texts in order are a piece of the corpus's suffix array; their common-prefix intervals and the texts that stand several times are the
+    repeats that cannot be extended to the right. Those with different bytes before them, or a document's start, are maximal.
+    """
+    rows = found.sort_by("rank").to_pydict()
+    order, common, names = _in_order(rows)
+    rest, size, low, high, first, last, n = (np.array(rows[x], np.int64)[order] for x in ("rest", "size", "low", "high", "first", "last", "n"))
+    common[0] = 0
+    steps = np.array(common)
+    nodes = [(length, a, b, names[a + 1 + int(steps[a + 1 : b + 1].argmin())]) for length, a, b, _ in intervals(common, LENGTH)]
+    inner = {(length, k) for length, a, b, _ in nodes for k in range(a, b + 1) if size[k] == length}
+    nodes += [(int(size[k]), k, k, int(rest[k])) for k in range(len(order)) if n[k] > 1 and (int(size[k]), k) not in inner]
     out = []
-    for length, a, b in nodes:
+    for length, a, b, number in nodes:
         here = slice(a, b + 1)
-        starts = low[here].min() < 0
-        if (starts or low[here].min() != high[here].max()) and first[here].min() != last[here].max():
-            text = texts[a][:length]
-            number = xxhash.xxh64_intdigest(text) - 2**63
-            out += [(rest[k], length, number, text if k == a else None) for k in range(a, b + 1)]
-    columns = list(zip(*out, strict=True)) or [()] * 4
-    return pa.table({"seed": pa.array([key[0].as_py()] * len(out), pa.int64()), **{name: pa.array(x, t) for name, x, t in zip(("rest", "length", "repeat_id", "text"), columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)}})
+        if (low[here].min() < 0 or low[here].min() != high[here].max()) and first[here].min() != last[here].max():
+            out += [(int(rest[k]), length, number, *((rows["block"][order[k]], rows["place"][order[k]]) if k == a else (None, None))) for k in range(a, b + 1)]
+    columns = list(zip(*out, strict=True)) or [()] * 5
+    return pa.table({"seed": pa.array([key[0].as_py()] * len(out), pa.int64()), **{name: pa.array(x, pa.int64()) for name, x in zip(("rest", "length", "repeat_id", "block", "place"), columns, strict=True)}})
 
 
-def maximal_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
-    """repeat_id, doc_id, start, length, text: every occurrence (in bytes) of each repeat of `LENGTH` bytes or more, of several documents, that can be extended neither to the left nor to the right.
+def maximal_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT, bodies: bool = True) -> DataFrame:
+    """repeat_id, doc_id, start, length and with `bodies` text: every occurrence (in bytes) of each repeat of `LENGTH` bytes or more, of several documents, that can be extended neither to the left nor to the right.
 
-    Such a repeat begins with a window that different bytes stand before. So all places of those windows are gathered, each with the
-    text that follows as far as repeats cover it, equal texts once; a window's texts are sorted, and a stack scan of their common prefixes gives all its
-    repeats with all occurrences, also those of which every part occurs elsewhere, too. A task holds the different texts of one window.
+    Such a repeat begins with a window that different bytes stand before. All places of those windows are gathered, each with the
+    hash of the text that follows as far as repeats cover it. Of windows with different such texts one text each is compared by hashes of its chunks, and
+    only the chunks at which texts part are fetched from the blocks: a long copy is full of windows, so whole texts would be its size squared.
+    A stack scan of their common prefixes gives all its repeats with all occurrences, also those of which every part occurs elsewhere, too.
     """
-    places = _places(docs, block_bytes, hot)
+    places, blocks = _places(docs, block_bytes, hot)
     id_ = F.coalesce("doc_id", F.lit(-(2**63)))
-    texts = places.groupBy("seed", "rest").agg(F.max("text").alias("text"), F.count("*").alias("n"), F.min("left").alias("low"), F.max("left").alias("high"), F.min(id_).alias("first"), F.max(id_).alias("last"))
-    found = written(texts.groupBy("seed").applyInArrow(_maximal, "seed long, rest long, length long, repeat_id long, text binary"), "maximal")
-    bodies = found.where("text is not null").select("repeat_id", "text")
-    return places.drop("text").join(found.drop("text"), ["seed", "rest"]).join(bodies, "repeat_id").select("repeat_id", "doc_id", "start", "length", "text")
+    any_ = F.min_by(F.struct("block", "place"), F.xxhash64("block", "place"))
+    texts = places.groupBy("seed", "rest").agg(F.max("size").alias("size"), F.count("*").alias("n"), F.min("left").alias("low"), F.max("left").alias("high"), F.min(id_).alias("first"), F.max(id_).alias("last"), any_.alias("at"))
+    texts = texts.withColumn("texts", F.count("*").over(Window.partitionBy("seed"))).select(*[x.split()[0] for x in _TEXT.split(", ")[:-2]], "at.block", "at.place", "texts")
+    texts = written(texts, "texts")
+    ranked = _looked_up(blocks, texts.where("texts > 1").drop("texts"), _prints, "prints binary").groupBy("seed").applyInArrow(_ranked, _RANKED)
+    ranked = written(ranked, "ranked")
+    found = _looked_up(blocks, ranked, _chunks, "from_before binary, from_after binary").groupBy("seed").applyInArrow(_maximal, _MAXIMAL)
+    alone = texts.where("texts = 1 and n > 1 and (low < 0 or low <> high) and first <> last").selectExpr("seed", "rest", "size as length", "rest as repeat_id", "block", "place")
+    found = written(found.unionByName(alone), "maximal")
+    for done in (texts, ranked):
+        drop_written(done)
+    rows = places.select("seed", "rest", "doc_id", "start").join(found.select("seed", "rest", "length", "repeat_id"), ["seed", "rest"])
+    if not bodies:
+        return rows.select("repeat_id", "doc_id", "start", "length")
+    text = _looked_up(blocks, found.where("block is not null").select("block", "place", "length", "repeat_id"), _bodies, "text binary").select("repeat_id", "text")
+    return rows.join(text, "repeat_id").select("repeat_id", "doc_id", "start", "length", "text")
 
 
 def drop_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:

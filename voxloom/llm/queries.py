@@ -40,7 +40,7 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All occurrences of the repeats that op5 removes from later documents, as groups."""
-    return op05_repeats.maximal_repeats(table(spark, sf_dir, "documents")).drop("text")
+    return op05_repeats.maximal_repeats(table(spark, sf_dir, "documents"), bodies=False)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
