@@ -359,3 +359,16 @@ def test_words_of_bytes_leave_python_in_small_batches(spark, small):
     from voxloom import plans
 
     assert "ArrowEvalPython" not in plans.QUERIES["words_of_bytes"](spark, small)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stream_keeps_what_is_before_its_clock_begins(spark, tmp_path):
+    """Negative seconds are no earlier than the first watermark; in the query they are in the first third."""
+    from voxloom.plans import QUERIES
+
+    df = spark.createDataFrame([(1, -50.0, "a"), (1, -49.5, "b"), (1, -40.0, "c"), (2, -1.0, "d"), (2, 0.5, "e"), (1, 1e5, None), (2, 1e5, None)], "user_id long, at double, text string").coalesce(1)
+    df.write.parquet(str(tmp_path / "in"))
+    found = live.streamed_utterances(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), str(tmp_path / "cp"), str(tmp_path / "out"), "1 second")
+    assert {tuple(r)[:5] for r in found.collect()} == {(1, -50.0, -49.5, 2, "a b"), (1, -40.0, -40.0, 1, "c"), (2, -1.0, -1.0, 1, "d"), (2, 0.5, 0.5, 1, "e")}
+    events = spark.createDataFrame([(k, f"{day} 00:00:00", 1, kind) for k, (day, kind) in enumerate((("2023-12-01", "click"), ("2023-12-20", "click"), ("2024-01-05", "click")))], "event_id long, ts string, user_id long, event_type string")
+    events.selectExpr("event_id", "cast(ts as timestamp_ntz) as ts", "user_id", "event_type", "0.5D as value").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    assert QUERIES["streamed_utterances"](spark, str(tmp_path)).count() == QUERIES["live_utterances"](spark, str(tmp_path)).count() == 3

@@ -20,6 +20,8 @@ SILENCE_S, WORDLESS_S, LONGEST_S = 1.4, 2.4, 20.0
 #: Characters of an utterance that the next one gets as context.
 CONTEXT = 200
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Seconds added to a clock where it becomes event time: the first watermark is 0, and what is before it would get lost. Dates of pandas end at 2262.
+ORIGIN_S = 1 << 32
 UTTERANCE = "user_id long, start_s double, end_s double, n long, text string"
 _STATE = "start_s double, end_s double, n long, text string"
 _NAMES = [x.split()[0] for x in UTTERANCE.split(", ")]
@@ -91,7 +93,7 @@ class _Utterances(StatefulProcessor):
             self.handle.deleteTimer(timer)
         if open_:
             self.open.update(open_)
-            over = math.ceil((open_[1] + (SILENCE_S if open_[3] else WORDLESS_S)) * 1000)
+            over = math.ceil((open_[1] + (SILENCE_S if open_[3] else WORDLESS_S)) * 1000) + ORIGIN_S * 1000
             self.handle.registerTimer(max(over, timerValues.getCurrentWatermarkInMs() + 1))
         else:
             self.open.clear()
@@ -111,7 +113,7 @@ def utterances(stream: DataFrame, late: str = "1 minute") -> DataFrame:
     """
     if "at" not in stream.columns:
         stream = stream.withColumn("at", F.col("ts").cast("timestamp").cast("double"))
-    rows = stream.select("user_id", "at", "text", F.timestamp_micros(F.floor(F.col("at") * 1_000_000).cast("long")).alias("ts")).withWatermark("ts", late)
+    rows = stream.select("user_id", "at", "text", F.timestamp_micros(F.floor(F.col("at") * 1_000_000).cast("long") + ORIGIN_S * 1_000_000).alias("ts")).withWatermark("ts", late)
     return rows.groupBy("user_id").transformWithStateInPandas(_Utterances(), f"{UTTERANCE}, context string", "Append", "EventTime")
 
 
