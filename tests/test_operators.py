@@ -372,3 +372,20 @@ def test_stream_keeps_what_is_before_its_clock_begins(spark, tmp_path):
     events = spark.createDataFrame([(k, f"{day} 00:00:00", 1, kind) for k, (day, kind) in enumerate((("2023-12-01", "click"), ("2023-12-20", "click"), ("2024-01-05", "click")))], "event_id long, ts string, user_id long, event_type string")
     events.selectExpr("event_id", "cast(ts as timestamp_ntz) as ts", "user_id", "event_type", "0.5D as value").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     assert QUERIES["streamed_utterances"](spark, str(tmp_path)).count() == QUERIES["live_utterances"](spark, str(tmp_path)).count() == 3
+
+
+def test_rows_that_crash_are_found_with_few_tries(spark, tmp_path):
+    calls = tmp_path / "calls"
+
+    def work(batch):
+        with calls.open("a") as f:
+            f.write("x")
+        if (batch.k % 1024 == 1023).any():
+            raise ValueError("poison")
+        return batch[["k"]] * 2
+
+    rows = spark.range(1024).selectExpr("id as k").coalesce(1)
+    found = live.isolated(rows, work, "k long").collect()
+    assert sorted(r.k for r in found if r.aside is None) == [2 * k for k in range(1023)]
+    assert [(r.aside, r.error) for r in found if r.aside] == [('{"k":1023}', "ValueError: poison")]
+    assert len(calls.read_text()) <= 12  # a try of the whole, ten first halves, the row alone
