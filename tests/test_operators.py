@@ -389,3 +389,17 @@ def test_rows_that_crash_are_found_with_few_tries(spark, tmp_path):
     assert sorted(r.k for r in found if r.aside is None) == [2 * k for k in range(1023)]
     assert [(r.aside, r.error) for r in found if r.aside] == [('{"k":1023}', "ValueError: poison")]
     assert len(calls.read_text()) <= 12  # a try of the whole, ten first halves, the row alone
+
+
+def test_texts_are_dealt_by_their_bytes(spark):
+    """Work that makes rows of words gets parts of bounded size, however few parts the texts come in; a pair's words stay in its part."""
+    from voxloom.operators import names
+    from voxloom.sources import tables
+
+    rows = spark.range(40).select("id", F.repeat(F.lit("é b c d "), 111_111).alias("text")).coalesce(1)
+    assert tables.text_parts(rows, "text") == 5 and tables.text_parts(rows, "text", 1_000_000) == 40  # 9 bytes a time
+    assert tables.spread(rows, "text").rdd.getNumPartitions() == 5
+    pairs = spark.createDataFrame([(1, "a b b c", "B b d"), (2, "", "x"), (3, None, "x"), (4, "q r", "R q")], "k long, a string, b string")
+    found = names.agreement(pairs, "k", F.col("a"), F.col("b"), 7)
+    assert found.rdd.getNumPartitions() == 7
+    assert {(r.k, round(r.dice, 6)) for r in found.collect()} == {(1, round(4 / 7, 6)), (2, 0.0), (3, 0.0), (4, 1.0)}

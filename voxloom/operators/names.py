@@ -27,10 +27,16 @@ def lowercase_counts(texts: DataFrame, keys: DataFrame | None = None) -> DataFra
     return words.groupBy("key").agg(F.sum("n").alias("low"))
 
 
-def agreement(rows: DataFrame, key: str, a: Column, b: Column) -> DataFrame:
-    """key, dice: twice the words in common over all words of two texts, counting repeats; 0 if either has none. Words are counted as rows, so texts may be long."""
-    words = lambda text, side: rows.select(key, F.explode_outer(ft.word_tokens(F.lower(text))).alias("w"), F.lit(side).alias("side"))
-    counts = words(a, 1).unionAll(words(b, -1)).groupBy(key, "w").agg(F.count_if(F.expr("side = 1")).alias("x"), F.count_if(F.expr("side = -1")).alias("y"))
+def agreement(rows: DataFrame, key: str, a: Column, b: Column, parts: int | None = None) -> DataFrame:
+    """key, dice: twice the words in common over all words of two texts, counting repeats; 0 if either has none. Words are counted as rows, so texts may be long.
+
+    Pairs are dealt by key to `parts` tasks before words become rows, so a task counts only the words of its own pairs, and words are never shuffled.
+    """
+    words = lambda text, side: F.transform(ft.word_tokens(F.lower(text)), lambda w: F.struct(w.alias("w"), F.lit(side).alias("side")))
+    dealt = rows.select(key, a.alias("a"), b.alias("b"))
+    dealt = dealt.repartition(parts, key) if parts else dealt.repartition(key)
+    said = dealt.select(key, F.explode_outer(F.concat(words(F.col("a"), 1), words(F.col("b"), -1))).alias("said")).select(key, "said.w", "said.side")
+    counts = said.groupBy(key, "w").agg(F.count_if(F.expr("side = 1")).alias("x"), F.count_if(F.expr("side = -1")).alias("y"))
     known = F.col("w").isNotNull()
     total = counts.groupBy(key).agg(F.sum(F.when(known, F.col("x")).otherwise(0)).alias("x"), F.sum(F.when(known, F.col("y")).otherwise(0)).alias("y"), F.sum(F.when(known, F.least("x", "y")).otherwise(0)).alias("c"))
     return total.select(key, F.when((F.col("x") == 0) | (F.col("y") == 0), 0.0).otherwise(2.0 * F.col("c") / (F.col("x") + F.col("y"))).alias("dice"))

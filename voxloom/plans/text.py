@@ -60,9 +60,9 @@ _PAIR = "p AS (SELECT a.doc_id, list_filter(string_split_regex(lower(a.text), '[
     c AS (SELECT ca.doc_id, sum(least(ca.n, cb.n)) AS c FROM ca JOIN cb USING (doc_id, w) GROUP BY ALL)
     SELECT p.doc_id, round(CASE WHEN len(wa) = 0 OR len(wb) = 0 THEN 0 ELSE 2.0 * coalesce(c, 0) / (len(wa) + len(wb)) END, 6) AS dice FROM p LEFT JOIN c USING (doc_id)""")
 def reading_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = t.spread(t.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = t.table(spark, sf_dir, "documents").select("doc_id", "text")
     pairs = d.select("doc_id", F.col("text").alias("a")).join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("b")), "doc_id")
-    return names.agreement(pairs, "doc_id", F.col("a"), F.col("b")).withColumn("dice", F.round("dice", 6))
+    return names.agreement(pairs, "doc_id", F.col("a"), F.col("b"), 2 * t.text_parts(d, "text")).withColumn("dice", F.round("dice", 6))
 
 
 #: Text that a failed chunk ends with, by document.

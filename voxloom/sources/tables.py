@@ -27,12 +27,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """`rows` dealt to all cores if they come in fewer parts (a small file is one), before costly work on each row; more parts stay where they are."""
+#: UTF-8 bytes of texts in a part whose words become rows.
+PART_BYTES = 8_000_000
+
+
+def spread(rows: DataFrame, text: str | None = None) -> DataFrame:
+    """`rows` dealt to all cores if they come in fewer parts (a small file is one), before costly work on each row; more parts stay where they are.
+
+    With the name of a column `text` all are dealt, to as many parts as hold about `PART_BYTES` of it each, for work that makes many rows of each text.
+    """
     cores = rows.sparkSession.sparkContext.defaultParallelism
+    if text:
+        return rows.repartition(text_parts(rows, text))
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
+def text_parts(rows: DataFrame, text: str, size: int = PART_BYTES) -> int:
+    """Parts of about `size` bytes of a column of texts, one for each core at least."""
+    n = rows.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // size))
+
+
 def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, title, text, language, folder."""
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("title"), "text", F.col("lang").alias("language"), F.col("source").alias("folder"))
