@@ -225,7 +225,7 @@ _NAMES_SQL = rf"""rec AS (SELECT doc_id AS r, text || '. ' || ['{"', '".join(x.r
 
 def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.array(*map(F.lit, _SAID))
-    return t.spread(t.recordings(spark, sf_dir)).select(F.col("id").alias("recording_id"), F.concat("text", F.lit(". "), F.get(said, (F.col("id") % 5).cast("int"))).alias("text"))
+    return t.spread(t.recordings(spark, sf_dir), "text").select(F.col("id").alias("recording_id"), F.concat("text", F.lit(". "), F.get(said, (F.col("id") % 5).cast("int"))).alias("text"))
 
 
 @query(f"""WITH {_NAMES_SQL}, low AS (SELECT key, count(*) AS low FROM lw GROUP BY key), h AS (SELECT * FROM cn WHERE key NOT IN ('kaiko', 'blitsinsurance')),
