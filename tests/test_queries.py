@@ -39,3 +39,11 @@ def test_entry(spark):
 def test_joins_have_equality_keys(spark, small, name):
     plan = plans.QUERIES[name](spark, small)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("name", ["versions_rebuilt"])
+def test_texts_are_compared_once_and_after_they_are_dealt(spark, small, name):
+    plan = plans.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    python = [line for line in plan.splitlines() if "ArrowEvalPython" in line or "MapInArrow" in line]
+    assert len(python) == 1 and "Join" not in plan
+    assert "Exchange RoundRobin" in plan[plan.index(python[0]) :]

@@ -33,6 +33,12 @@ def diff_key(token: Column) -> Column:
     return F.coalesce(F.nullif(key(token), F.lit("")), token)
 
 
+def diff_keys(text: Column) -> Column:
+    """:func:`diff_key` of each word of a text whose words are parted by single spaces."""
+    keys = F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd} ]", ""), " ")
+    return F.array_join(F.zip_with(keys, F.split(text, " "), lambda k, w: F.coalesce(F.nullif(k, F.lit("")), w)), " ")
+
+
 def whitespace_tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda x: x != "")
 

@@ -155,9 +155,7 @@ def version_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def version_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, paragraph, run, kind, text of the versions' differences."""
-    found = fw.arrow(lambda a, b: [{"paragraph": p, "run": r, "kind": k, "text": x} for p, r, k, x in fw.diff_runs(fw.word_diff(a, b))], "array<struct<paragraph:int,run:int,kind:string,text:string>>")
-    rows = _versions(spark, sf_dir).withColumn("d", found("text", "new"))
-    return rows.select("doc_id", F.explode("d").alias("d")).select("doc_id", "d.*")
+    return fw.rows_of(_versions(spark, sf_dir), ["doc_id"], ["text", "new"], lambda a, b: fw.diff_runs(fw.word_diff(a, b)), "paragraph int, run int, kind string, text string")
 
 
 #: Words that differ by punctuation or case only count as the same and are shown as in the new version.
@@ -170,14 +168,16 @@ _WORD_KEY_SQL = r"coalesce(nullif(regexp_replace(lower(x), '[^\p{L}\p{Nd}]', '',
     SELECT doc_id, array_to_string([{_WORD_KEY_SQL} FOR x IN ws IF x <> ''], ' ') AS old, array_to_string([x FOR x IN new IF x <> ''], ' ') AS new, true AS sizes_right, true AS runs_right FROM v WHERE len([x FOR x IN ws IF x <> '']) > 0""")
 def versions_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both versions made again from the runs of their differences; paragraphs of at most 160 words, all but the last of 80 at least; runs that take turns and differ from the one before."""
-    order = lambda *kinds: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind").isin(*kinds), F.struct("paragraph", "run", "text")))), lambda x: x["text"]), " ")
     rows = version_runs(spark, sf_dir).withColumn("n", F.size(F.split("text", " ")))
     before = Window.partitionBy("doc_id").orderBy("paragraph", "run")
     rows = rows.withColumn("turns", F.coalesce((F.col("run") == 0) | ((F.lag("kind").over(before) != F.col("kind")) & (F.lag("run").over(before) == F.col("run") - 1)), F.lit(False)))
-    sizes = rows.groupBy("doc_id", "paragraph").agg(F.sum("n").alias("n")).groupBy("doc_id").agg(F.max("n").alias("most"), F.min(F.when(F.col("n") < 80, F.col("paragraph"))).alias("short"), F.max("paragraph").alias("last"))
-    whole = rows.groupBy("doc_id").agg(order(fw.SAME, fw.REMOVED).alias("old"), order(fw.SAME, fw.ADDED).alias("new"), F.every("turns").alias("runs_right")).join(sizes, "doc_id")
-    keys = F.array_join(F.transform(F.split("old", " "), ft.diff_key), " ")
-    return whole.select("doc_id", keys.alias("old"), "new", ((F.col("most") <= 160) & (F.coalesce("short", "last") == F.col("last"))).alias("sizes_right"), "runs_right")
+    # all by document, so that the runs are made and shuffled once
+    rows = rows.withColumn("size", F.sum("n").over(Window.partitionBy("doc_id", "paragraph")))
+    runs = F.sort_array(F.collect_list(F.struct("paragraph", "run", "kind", "text"))).alias("runs")
+    whole = rows.groupBy("doc_id").agg(runs, F.every("turns").alias("runs_right"), F.max("size").alias("most"), F.min(F.when(F.col("size") < 80, F.col("paragraph"))).alias("short"), F.max("paragraph").alias("last"))
+    side = lambda kind: F.array_join(F.transform(F.filter("runs", lambda x: x["kind"].isin(fw.SAME, kind)), lambda x: x["text"]), " ")
+    whole = whole.select("doc_id", side(fw.REMOVED).alias("old"), side(fw.ADDED).alias("new"), "most", "short", "last", "runs_right")
+    return whole.select("doc_id", ft.diff_keys(F.col("old")).alias("old"), "new", ((F.col("most") <= 160) & (F.coalesce("short", "last") == F.col("last"))).alias("sizes_right"), "runs_right")
 
 
 @query()
