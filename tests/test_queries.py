@@ -41,7 +41,7 @@ def test_joins_have_equality_keys(spark, small, name):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
-@pytest.mark.parametrize("name", ["versions_rebuilt"])
+@pytest.mark.parametrize("name", ["versions_rebuilt", "reading_disputes"])
 def test_texts_are_compared_once_and_after_they_are_dealt(spark, small, name):
     plan = plans.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
     python = [line for line in plan.splitlines() if "ArrowEvalPython" in line or "MapInArrow" in line]

@@ -126,12 +126,12 @@ def readings_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reading_disputes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first disputes of each turn, as many as an arbiter is asked about."""
 
-    def find(a: str, b: str) -> list[dict]:
-        x, y = ([(w, 1.0) for w in s.split()] for s in (a, b))
-        return [{"place": k, "a": p, "b": q} for k, p, q in fw.disputes(x, y)[: fw.MOST_DISPUTES]]
+    def find(x: str, y: str) -> list[tuple[int, str, str]]:
+        a, b = ([(w, 1.0) for w in s.split()] for s in (x, y))
+        return fw.disputes(a, b)[: fw.MOST_DISPUTES]
 
-    rows = _readings(spark, sf_dir).withColumn("d", fw.arrow(find, "array<struct<place:int,a:string,b:string>>")("a", "b"))
-    return rows.select("conv_id", "turn", F.explode("d").alias("d")).select("conv_id", "turn", "d.place", "d.a", "d.b")
+    rows = _readings(spark, sf_dir).withColumnsRenamed({"a": "x", "b": "y"})
+    return fw.rows_of(rows, ["conv_id", "turn"], ["x", "y"], find, "place int, a string, b string")
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
