@@ -47,3 +47,9 @@ def test_texts_are_compared_once_and_after_they_are_dealt(spark, small, name):
     python = [line for line in plan.splitlines() if "ArrowEvalPython" in line or "MapInArrow" in line]
     assert len(python) == 1 and "Join" not in plan
     assert "Exchange RoundRobin" in plan[plan.index(python[0]) :]
+
+
+@pytest.mark.parametrize("name", ["sound_chunks", "sound_samples", "sound_resampled", "sound_durations"])
+def test_sound_files_that_were_written_are_not_listed(spark, small, name):
+    plan = plans.QUERIES[name](spark, small)._jdf.queryExecution().toString()
+    assert "binaryFile" not in plan

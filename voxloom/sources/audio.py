@@ -81,8 +81,14 @@ def _window(source, layout: tuple[int, int, int, int], first: int, after: int, r
 _HEADERS = "path string, begin long, frames long, channels int, rate int, n long"
 
 
-def headers(spark: SparkSession, path: str) -> DataFrame:
-    """path, begin, frames, channels, rate of the readable files, and n, their samples at 16 kHz. Only headers are read."""
+def _paths(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """The files of a folder, or those that a table names, dealt to all cores: Spark reads small files by the dozen, so that many of them are many tasks; their names are few bytes."""
+    found = path if isinstance(path, DataFrame) else spark.read.format("binaryFile").load(path)
+    return found.select("path").repartition(spark.sparkContext.defaultParallelism)
+
+
+def headers(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """path, begin, frames, channels, rate of the readable files in a folder or a table (path), and n, their samples at 16 kHz. Only headers are read."""
 
     def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -94,8 +100,7 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((name, *layout, int(layout[1] * RATE / layout[3])))
             yield pd.DataFrame(rows, columns=["path", "begin", "frames", "channels", "rate", "n"])
 
-    # Spark reads small files by the dozen, so that many of them are many tasks; their names are few bytes
-    return spark.read.format("binaryFile").load(path).select("path").repartition(spark.sparkContext.defaultParallelism).mapInPandas(plan, _HEADERS)
+    return _paths(spark, path).mapInPandas(plan, _HEADERS)
 
 
 #: Ranges of a file that one task reads one after the other, and rows that it gives out at once.
@@ -146,7 +151,7 @@ def read_ranges(ranges: DataFrame, window: int | None = None) -> DataFrame:
     return _each_range(rows, levels, "path string, nr int, at long, n long, rms double")
 
 
-def read_chunks(spark: SparkSession, path: str, chunk_s: float = 30.0, overlap_s: float = 0.0) -> DataFrame:
+def read_chunks(spark: SparkSession, path: str | DataFrame, chunk_s: float = 30.0, overlap_s: float = 0.0) -> DataFrame:
     """path, chunk, start_s, rms, n of each file: chunks of `chunk_s` that overlap by `overlap_s`, at 16 kHz; the last may be short."""
     size, step, overlap = int(chunk_s * RATE), int((chunk_s - overlap_s) * RATE), int(overlap_s * RATE)
     chunks = F.expr(f"cast(ceil(greatest(n - {overlap}, least(n, 1)) / {step}) as int)")
@@ -177,7 +182,7 @@ def chunks_at_cuts(files: DataFrame, cuts: DataFrame, hard_overlap_s: float = 0.
     return found.join(rows.select("path", "nr", "overlap"), ["path", "nr"]).select("path", F.col("nr").alias("chunk"), (F.col("at") / RATE).alias("start_s"), "overlap", "n", "rms")
 
 
-def durations(spark: SparkSession, path: str) -> DataFrame:
+def durations(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """path, duration_s as the headers state it, cut to the bytes that are there; 0 for an unreadable file. Samples are not read."""
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,10 +194,10 @@ def durations(spark: SparkSession, path: str) -> DataFrame:
                 found.append(layout[1] / layout[3] if layout else 0.0)
             yield pd.DataFrame({"path": batch.path, "duration_s": found})
 
-    return spark.read.format("binaryFile").load(path).select("path").mapInPandas(probe, "path string, duration_s double")
+    return _paths(spark, path).mapInPandas(probe, "path string, duration_s double")
 
 
-def read_samples(spark: SparkSession, path: str, rate: int | None = None) -> DataFrame:
+def read_samples(spark: SparkSession, path: str | DataFrame, rate: int | None = None) -> DataFrame:
     """path, nr, x: mono samples of each file, brought to `rate` if one is given; a task holds a range of them."""
     size = 60 * RATE
     n = F.floor(F.col("frames") * F.lit(rate) / F.col("rate")) if rate else F.col("frames")

@@ -76,19 +76,37 @@ def write_parts(parts: DataFrame, folder: str) -> int:
 
     A task holds one batch of parts, however long a file is.
     """
+    return _by_parts(parts, folder).count()
 
+
+def parts_written(parts: DataFrame, folder: str) -> DataFrame:
+    """As :func:`write_parts`, but returns the files' paths, as a table that is written with them.
+
+    Who reads the files needs no listing of the folder then, which the driver would hold and deal to a task for every few dozen files.
+    """
+    return written(_by_parts(parts, folder), "paths")
+
+
+#: Paths that leave Python at once.
+_PATHS = 10_000
+
+
+def _by_parts(parts: DataFrame, folder: str) -> DataFrame:
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place, path = _folder(folder)
         rows = (r for batch in batches for r in zip(batch["name"], batch["body"], strict=True))
-        n = 0
+        done = []
         for name, file in groupby(rows, key=lambda r: r[0]):
             with _placed(place, path, name) as out:
                 for _, body in file:
                     out.write(bytes(body))
-            n += 1
-        yield pd.DataFrame({"n": [n]})
+            done.append(f"{folder}/{name}")
+            if len(done) >= _PATHS:
+                yield pd.DataFrame({"path": done})
+                done = []
+        yield pd.DataFrame({"path": done}, dtype="object")
 
-    return parts.select("name", "body").mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return parts.select("name", "body").mapInPandas(write, "path string")
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
