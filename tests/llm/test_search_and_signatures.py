@@ -107,6 +107,19 @@ def test_empty_table(spark):
     assert op01_simhash.keep_first(none).count() == 0
 
 
+def test_large_groups_get_narrow_keys_only_where_their_wildcard_matters(spark):
+    rng, low = random.Random(5), 0x89ABCDEF
+    template = {low | rng.getrandbits(32) << 32 for _ in range(50)}
+    cloud = {low ^ 1 << rng.randrange(4) | (0x1234 << 48 ^ 1 << rng.randrange(32, 64)) for _ in range(60)}
+    frame = lambda fps: spark.createDataFrame([(signed(v),) for v in fps], "fp long")
+    for fps in (template, cloud, template | cloud):
+        want = within_two(fps)
+        got = {r.node: r.label for r in components.components(op01_simhash.links(frame(fps))).collect()}
+        assert len({(got.get(v, v), x) for v, x in want.items()}) == len(set(want.values())) == len({got.get(v, v) for v in want})
+    # members that all agree in a segment have six keys each
+    assert op01_simhash._narrow(op01_simhash._variants(frame(template)).where("key < 137438953472")).count() == 6 * len(template)
+
+
 def test_keep_first_drops_near_copies_and_keeps_others(spark):
     rnd = random.Random(9)
     words = [a + b + c for a in "ba de ki lo mu na pe ro".split() for b in "ra sti nta ly sho ve".split() for c in "n m t s".split()]

@@ -8,9 +8,10 @@ a variant are compared in full.
 
 A variant's group is summed up before the shuffle by its count, least, greatest and the
 XOR of its members, which spells out groups of up to three members. The members of
-larger groups, found by an equality join, get 70 narrower keys. Either one segment is equal and of the
-three thirds of the other one is, too (6 keys of 42 or 43 bits); or both segments differ in one
-bit, so with the first one's bit as a wildcard a half of the second is equal (64 keys of 47 bits). Such a group has 22
+larger groups, found by an equality join, get narrower keys. Either one segment is equal and of the
+three thirds of the other one is, too (6 keys of 42 or 43 bits for each member); or both segments differ in one
+bit, so with the low one's bit as a wildcard a half of the high one is equal (2 keys of 47 bits in each
+of a member's groups whose wildcard stands for both bits). Such a group has 22
 free bits at most, so a task that gathers one holds at most 2 ** 22 longs, however hot the template
 is; it hands out a spanning forest of its links, never its pairs.
 
@@ -79,12 +80,22 @@ def _variants(fps: DataFrame) -> DataFrame:
     return fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("w")).select(F.expr(f"shiftleft(cast(w as bigint), 32) | (({segment}) & ~shiftleft(1L, w % 32))").alias("key"), "fp")
 
 
-def _narrow_masks() -> list[int]:
-    """The bits that each of the narrower keys keeps."""
+def _narrow(hot: DataFrame) -> DataFrame:
+    """kind, rest, fp: the narrower keys of fingerprints in large groups of variants, `hot` (key, fp).
+
+    Two that have one segment in common get a common one of six keys, whatever groups they are in. Two that differ by one bit in each segment
+    meet in the group in which the low segment's one is the wildcard, and have a half of the other segment in common; groups whose members all have the wildcard's bit alike need no such keys.
+    """
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
     low, thirds, halves = (1 << 32) - 1, [(0, 11), (11, 22), (22, 32)], [(0, 16), (16, 32)]
     run = lambda a, b: (1 << b) - (1 << a)
     exact = [m for a, b in thirds for m in (low | run(a, b) << 32, low << 32 | run(a, b))]
-    return exact + [low & ~(1 << w) | run(a, b) << 32 for w in range(32) for a, b in halves]
+    by_mask = lambda masks: F.posexplode(F.array(*[F.lit(signed(m)) for m in masks])).alias("nr", "mask")
+    one = hot.select("fp").distinct().select("fp", by_mask(exact)).select(F.col("nr").alias("kind"), F.col("fp").bitwiseAND(F.col("mask")).alias("rest"), "fp")
+    rows = hot.where(f"key < {32 << 32}").withColumn("w", F.expr("cast(shiftright(key, 32) as int)"))
+    mixed = rows.groupBy("key", "w").agg((F.bit_or("fp").bitwiseXOR(F.bit_and("fp"))).alias("vary")).where("shiftright(vary, w) & 1 = 1").select("key")
+    both = rows.join(mixed, "key", "left_semi").select("fp", "w", by_mask([low | run(a, b) << 32 for a, b in halves]))
+    return one.unionAll(both.select(F.expr(f"{len(exact)} + 2 * w + nr").alias("kind"), F.expr("fp & mask & ~shiftleft(1L, w)").alias("rest"), "fp"))
 
 
 def _sum_up(rows: DataFrame, *key: str) -> DataFrame:
@@ -143,10 +154,8 @@ def links(fps: DataFrame, parts: int = 1) -> DataFrame:
     """
     fps = fps.repartition(parts, "fp")
     groups = written(_sum_up(_variants(fps), "key"), "groups")
-    members = written(_variants(fps).join(groups.where("n > 3").select("key"), "key", "left_semi").select("fp").distinct(), "members")
-
-    masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in _narrow_masks()])
-    narrow = members.repartition(parts, "fp").select("fp", F.posexplode(masks).alias("kind", "mask")).select("kind", F.col("fp").bitwiseAND(F.col("mask")).alias("rest"), "fp")
+    hot = written(_variants(fps).join(groups.where("n > 3").select("key"), "key", "left_semi"), "hot")
+    narrow = written(_narrow(hot), "keys")
     inner = written(_sum_up(narrow, "kind", "rest"), "narrow")
 
     def trees(found: pa.Table) -> pa.Table:
@@ -156,7 +165,7 @@ def links(fps: DataFrame, parts: int = 1) -> DataFrame:
     large = narrow.join(inner.where("n > 3").select("kind", "rest"), ["kind", "rest"], "left_semi")
     trees_ = large.groupBy("kind", "rest").applyInArrow(trees, "a long, b long")
     found = written(_spelled_out(groups).unionAll(_spelled_out(inner)).unionAll(trees_).distinct(), "links")
-    for done in (groups, members, inner):
+    for done in (groups, hot, narrow, inner):
         drop_written(done)
     return found
 
