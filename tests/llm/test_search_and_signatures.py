@@ -136,6 +136,16 @@ def test_keep_first_drops_near_copies_and_keeps_others(spark):
     assert kept.where("doc_id is null").count() == 1
 
 
+def test_keep_first_takes_simhash_links_besides_exact_ones(spark):
+    """Texts of one shingle said over and over have one fingerprint, though they share less than 0.8 of their shingles."""
+    said = "one two three four five " * 40
+    rows = [(1, said + "and then some more words here"), (2, said + "but now quite other ones follow it"), (3, "nothing of the kind is said in this text")]
+    assert op01_simhash.fingerprint(rows[0][1], 5) != 0
+    far = (op01_simhash.fingerprint(rows[0][1], 5) ^ op01_simhash.fingerprint(rows[1][1], 5)) & (2**64 - 1)
+    assert far.bit_count() <= 2
+    assert sorted(r.doc_id for r in op01_simhash.keep_first(docs_frame(spark, rows, True)).collect()) == [1, 3]
+
+
 def test_keep_first_goes_by_rows(spark):
     """Unlike texts with one doc_id both stay; the same row twice stays once."""
     rnd = random.Random(3)

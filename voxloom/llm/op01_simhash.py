@@ -195,13 +195,37 @@ def similar_documents(docs: DataFrame, shingle: int = 5, percent: int = PERCENT)
     return rows.join(named.join(least, "label").select("id", F.col("least.doc_id").alias("component_id")), "id").select("doc_id", "component_id")
 
 
+def _with_simhash(docs: DataFrame, rows: DataFrame, named: DataFrame, shingle: int) -> DataFrame:
+    """`named` (:func:`similar_sets`) with the labels joined that the rows' SimHash groups connect."""
+    ids = F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [fingerprint(x.as_py(), shingle) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], names=["doc_id", "hash", "fp"])
+
+    prints = written(docs.select(*ids, "text").mapInArrow(apply, "doc_id long, hash long, fp long"), "fingerprints")
+    edges = links(prints.select("fp").distinct(), input_parts(docs))
+    groups = written(components(edges), "labels").select(F.col("node").alias("fp"), F.col("label").alias("group"))
+    prints = prints.join(groups, "fp", "left").select(F.col("doc_id").alias("d"), F.col("hash").alias("h"), F.coalesce("group", "fp").alias("group"))
+    # a row is its doc_id and text: all sets that a group's rows have
+    at = rows.join(named.select("id", "label"), "id").select("doc_id", "hash", "label")
+    met = written(at.join(prints, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h"))).select("group", "label").distinct(), "met")
+    first = met.groupBy("group").agg(F.min("label").alias("b"))
+    joined = written(components(met.join(first, "group").where("label <> b").select(F.col("label").alias("a"), "b")), "labels")
+    return named.join(joined.select(F.col("node").alias("label"), F.col("label").alias("wider")), "label", "left").select("id", "m", "first", F.coalesce("wider", "label").alias("label"))
+
+
 def keep_first(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
     """One row of `docs` for each group of similar documents: that with the smallest doc_id, of several that whose text's hash is least.
 
+    Documents are linked by SimHash, and by an exact join that finds those which share `percent` of their shingles but differ by more bits.
+
     Rows without a doc_id stay. Rows that repeat a doc_id are documents of their own unless their texts are similar.
     Null and empty texts are copies of one another. Columns of any name stay as they are; an empty table stays empty.
     """
-    named = similar_sets(docs, shingle, percent)[1]
+    rows, named = similar_sets(docs, shingle, percent)
+    named = _with_simhash(docs, rows, named, shingle)
     kept = named.groupBy("label").agg(F.min("first").alias("least")).where("least.doc_id is not null")
     tag = free_name(docs, "_keep")
     kept = kept.select(F.col("least.doc_id").alias(f"{tag}_d"), F.col("least.hash").alias(f"{tag}_h"))
