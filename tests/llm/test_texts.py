@@ -5,18 +5,20 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from samples import docs_frame, prose
 from pyspark.sql import functions as F
 
 from voxloom.llm import op02_token_planes, op03_packing, op04_tiling, op05_repeats, op07_pii, op08_quality, op10_bilinear
 from voxloom.llm.shared import work_folder
-from voxloom.llm.tokens import END, WordEncoder, default_tokenizer
+from voxloom.llm.tokens import END, WordEncoder, chunks, default_tokenizer
 
 
 def direct_ids(texts):
@@ -33,6 +35,29 @@ def test_encoder_equals_the_tokenizer():
     assert enc.encode([None, ""]) == [END, END]
 
 
+def test_encoder_keeps_no_words():
+    """A Python worker holds the tokenizer, and not the words of the texts before."""
+    rnd = random.Random(8)
+    enc = WordEncoder(default_tokenizer())
+    enc.encode(["warm up, été x1"])
+    tracemalloc.start()
+    for _ in range(3):
+        words = ["".join(rnd.choices("abcdefgé", k=9)) for _ in range(30_000)]
+        texts = [" ".join(words[k : k + 100]) for k in range(0, len(words), 100)]
+        assert sum(len(x) for x in enc.encode(texts)) > 4 * len(words)
+    del words, texts
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 3_000_000
+
+
+def test_chunks_hold_all_rows_in_order():
+    texts = pa.array(["a" * 5, None, "", "b" * 30, "é" * 5, "c", None])
+    assert list(chunks(texts, 10)) == [(0, 3), (3, 1), (4, 1), (5, 2)]
+    assert list(chunks(texts.slice(3, 3), 10)) == [(0, 1), (1, 1), (2, 1)]
+    assert list(chunks(texts.slice(0, 0))) == []
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_planes_round_trip(kind):
     rnd = np.random.default_rng(1)

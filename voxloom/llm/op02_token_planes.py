@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.llm.shared import input_parts, put_file
-from voxloom.llm.tokens import encoder
+from voxloom.llm.tokens import chunks, encoder
 
 MAGIC = b"VXTP"
 NULL_ID = -(2**63)
@@ -145,8 +145,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, kind: str =
 
         for batch in batches:
             texts = batch.column(1)
-            for at in range(0, batch.num_rows, 256):
-                for doc_id, ids in zip(batch.column(0).slice(at, 256).to_pylist(), enc.encode(texts.slice(at, 256).to_pylist()), strict=True):
+            for at, rows in chunks(texts):
+                for doc_id, ids in zip(batch.column(0).slice(at, rows).to_pylist(), enc.encode(texts.slice(at, rows)), strict=True):
                     doc_ids.append(NULL_ID if doc_id is None else doc_id)
                     lengths.append(len(ids) // 4)
                     held.append(ids)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm.shared import written
-from voxloom.llm.tokens import encoder
+from voxloom.llm.tokens import chunks, encoder
 
 WINDOW = 2048
 #: A shard is closed at this many ids; a partition holds several shards.
@@ -56,9 +56,8 @@ def token_table(docs: DataFrame, tokenizer: str) -> DataFrame:
         enc, press, counts = encoder(tokenizer), zstandard.ZstdCompressor(level=1), np.zeros(0, np.int64)
         names = ["doc_id", "sig", "n", "ids"]
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                texts = batch.column(1).slice(at, 256).to_pylist()
-                ids = [np.frombuffer(x, "<u4") for x in enc.encode(texts)]
+            for at, rows in chunks(batch.column(1)):
+                ids = [np.frombuffer(x, "<u4") for x in enc.encode(batch.column(1).slice(at, rows))]
                 each = [np.unique(x) for x in ids]
                 seen = np.bincount(np.concatenate(each), minlength=len(counts))
                 seen[: len(counts)] += counts
@@ -66,7 +65,7 @@ def token_table(docs: DataFrame, tokenizer: str) -> DataFrame:
                 # ids that fit two bytes are stored so; a negative n marks wider ones
                 packed = [press.compress(x.astype("<u2").tobytes() if x.max() < 65536 else x.tobytes()) for x in ids]
                 wide = [x.max() >= 65536 for x in ids]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), pa.array([signature(x) for x in ids], pa.int64()), pa.array([-len(x) if w else len(x) for x, w in zip(ids, wide, strict=True)], pa.int64()), pa.array(packed, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), pa.array([signature(x) for x in ids], pa.int64()), pa.array([-len(x) if w else len(x) for x, w in zip(ids, wide, strict=True)], pa.int64()), pa.array(packed, pa.binary())], names=names)
         used = np.flatnonzero(counts)
         if len(used):
             rows = press.compress(np.array([used, counts[used]], "<i8").tobytes())
