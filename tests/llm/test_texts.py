@@ -4,6 +4,8 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import time
 import tracemalloc
 import zlib
@@ -16,7 +18,7 @@ import pytest
 from samples import docs_frame, prose
 from pyspark.sql import functions as F
 
-from voxloom.llm import op02_token_planes, op03_packing, op04_tiling, op05_repeats, op07_pii, op08_quality, op10_bilinear
+from voxloom.llm import blocks, op02_token_planes, op03_packing, op04_tiling, op05_repeats, op07_pii, op08_quality, op10_bilinear
 from voxloom.llm.shared import work_folder
 from voxloom.llm.tokens import END, WordEncoder, chunks, default_tokenizer
 
@@ -58,6 +60,36 @@ def test_chunks_hold_all_rows_in_order():
     assert list(chunks(texts.slice(0, 0))) == []
 
 
+def test_words_are_numbered_by_bytes():
+    rnd = random.Random(3)
+    texts = [bytes(rnd.choice(b" \t\n\x0b\x0c\r\x1c\x00aAzZ\xc3\xa9\xed\xa0\x80\xff") for _ in range(rnd.randint(0, 20))) for _ in range(500)] + [b"", b" "]
+    words, places, sizes = blocks.lower_words(texts)
+    want = [x.lower().split() for x in texts]
+    assert [words[k] for k in places] == [w for x in want for w in x] and sizes.tolist() == [len(x) for x in want]
+    assert words == list(dict.fromkeys(w for x in want for w in x))
+
+
+def test_arrow_keeps_no_freed_memory():
+    """Making a block leaves no large pool behind in the Python worker (Linux: resident memory)."""
+    code = """
+import re, random
+from pathlib import Path
+from voxloom.llm import blocks, jaccard
+held = lambda: int(re.search(r"VmRSS:\\s+(\\d+)", Path("/proc/self/status").read_text())[1]) // 1024
+rnd = random.Random(1)
+texts = [" ".join("".join(rnd.choices("abcdefgh", k=6)) for _ in range(500)).encode() for _ in range(2000)]
+pack = jaccard._packer(5)
+pack([1], [b"a"]); blocks.release_arrow()
+before = held()
+pack(list(range(2000)), texts)
+most = held() - before
+blocks.release_arrow()
+print(most, held() - before)
+"""
+    most, left = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2]).stdout.split())
+    assert left < 0.7 * most
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_planes_round_trip(kind):
     rnd = np.random.default_rng(1)

@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.shared import input_parts, work_folder
+from voxloom.llm.shared import input_parts, release_arrow, work_folder
 
 #: UTF-8 bytes at which a block is closed. A longer document is a block of its own.
 BLOCK_BYTES = 8_000_000
@@ -42,6 +43,19 @@ def pack_texts(ids: list[int], texts: list[bytes]) -> tuple[bytes, ...]:
     return press(np.array([ids, [len(x) for x in texts]], "<i8").tobytes()), press(b"".join(texts))
 
 
+def lower_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different words of texts in order of appearance (A-Z in lower case, cut at ASCII white space), the number of each word of the texts, and how many words each text has."""
+    data = pa.array(texts, pa.binary())
+    # Arrow's ASCII functions take strings; they look at single bytes, so these need not be UTF-8
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.Array.from_buffers(pa.string(), len(data), data.buffers())))
+    words = split.flatten()
+    full = pc.greater(pc.binary_length(words), 0)
+    before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    sizes = np.diff(before[split.offsets.to_numpy()])
+    coded = words.filter(full).dictionary_encode()
+    return coded.dictionary.view(pa.binary()).to_pylist(), coded.indices.to_numpy(), sizes
+
+
 def make_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, pack=pack_texts, columns: str = "heads binary, data binary") -> DataFrame:
     """A table block, heads, data: the documents (doc_id, text) in blocks, in the order in which a scan meets them; or with the columns that another `pack` makes.
 
@@ -60,6 +74,7 @@ def make_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, pack=pack_texts
             out = pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *[pa.array([x], pa.binary()) for x in packed]], names=["block", *[x.split()[0] for x in columns.split(", ")]])
             block, size = block + 1, 0
             ids.clear(), held.clear()
+            release_arrow()
             return out
 
         for batch in batches:

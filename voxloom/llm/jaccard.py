@@ -22,7 +22,6 @@ sequence; an empty table gives empty tables; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.blocks import doc_id_array, make_blocks, plain, press, with_answers
+from voxloom.llm.blocks import doc_id_array, lower_words, make_blocks, plain, press, with_answers
 from voxloom.llm.components import components
 from voxloom.llm.shared import drop_written, written
 
@@ -88,10 +87,8 @@ def _name(hashes: np.ndarray) -> int:
 
 def _packer(shingle: int):
     def pack(ids: list[int], texts: list[bytes]) -> tuple[bytes, ...]:
-        words = [x.lower().split() for x in texts]  # bytes: A-Z and ASCII white space only
-        sizes = np.array([len(x) for x in words], np.int64)
-        coded = pa.array(list(chain.from_iterable(words)), pa.binary()).dictionary_encode()
-        different, places = word_hashes(coded.dictionary.to_pylist()), coded.indices.to_numpy()
+        words, places, sizes = lower_words(texts)
+        different = word_hashes(words)
         sets = [shingle_set(x, shingle) for x in np.split(different[places], np.cumsum(sizes)[:-1])]
         arrays = [np.array(ids, "<i8"), np.array([xxhash.xxh64_intdigest(x, SEED) for x in texts], "<u8"), sizes.astype("<i8"), np.array([_name(x) for x in sets], "<u8"), np.array([len(x) for x in sets], "<i8"), different.astype("<u8")]
         return (*[press(x.tobytes()) for x in arrays], _planes(places))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm.shared import input_parts, put_file
+from voxloom.llm.shared import input_parts, put_file, release_arrow
 from voxloom.llm.tokens import chunks, encoder
 
 MAGIC = b"VXTP"
@@ -153,6 +153,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, kind: str =
                     n_held += len(ids) // 4
                     if n_held >= shard_ids:
                         flush()
+                release_arrow()
         if doc_ids:
             flush()
         yield pa.RecordBatch.from_pydict({"part": [part], "n": [total]}, schema=pa.schema([("part", pa.int32()), ("n", pa.int64())]))

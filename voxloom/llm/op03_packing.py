@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.shared import written
+from voxloom.llm.shared import release_arrow, written
 from voxloom.llm.tokens import chunks, encoder
 
 WINDOW = 2048
@@ -66,6 +66,7 @@ def token_table(docs: DataFrame, tokenizer: str) -> DataFrame:
                 packed = [press.compress(x.astype("<u2").tobytes() if x.max() < 65536 else x.tobytes()) for x in ids]
                 wide = [x.max() >= 65536 for x in ids]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), pa.array([signature(x) for x in ids], pa.int64()), pa.array([-len(x) if w else len(x) for x, w in zip(ids, wide, strict=True)], pa.int64()), pa.array(packed, pa.binary())], names=names)
+                release_arrow()
         used = np.flatnonzero(counts)
         if len(used):
             rows = press.compress(np.array([used, counts[used]], "<i8").tobytes())

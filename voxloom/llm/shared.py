@@ -10,6 +10,7 @@ import posixpath
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -78,6 +79,11 @@ def put_file(uri: str, name: str, data: bytes) -> None:
         store.delete_file(part)
 
 
+def release_arrow() -> None:
+    """Give the system back what Arrow's pool has kept of freed memory: a Python worker lives on after its task, beside those of later steps."""
+    pa.default_memory_pool().release_unused()
+
+
 def quoted(column: str) -> str:
     """A column's name, whatever its signs, as a reference to it."""
     return "`" + column.replace("`", "``") + "`"

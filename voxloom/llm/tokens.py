@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: UTF-8 bytes of text at which a chunk is closed. A longer text is a chunk of its own.
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 #: Parts of words that are sent to the model in one string.
 PARTS_AT_ONCE = 4096
 #: The id that ends a document.
@@ -61,7 +61,11 @@ def chunks(texts: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[in
 def _runs(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The runs of `flat` that begin at `start`, one after the other."""
     ends = np.cumsum(size)
-    return flat[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((start - (ends - size)).astype(kind), size)
+    at += np.arange(total, dtype=kind)
+    return flat[at]
 
 
 class WordEncoder:
