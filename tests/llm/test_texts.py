@@ -90,6 +90,16 @@ print(most, held() - before)
     assert left < 0.7 * most
 
 
+@pytest.mark.parametrize("size", [1.0, 30.0, 500.0])
+def test_sums_of_exponentials(size):
+    """In place, single precision, as plain formulas in double precision give them; large scores do not overflow."""
+    x = (np.random.default_rng(2).normal(size=(50, 40)) * size).astype(np.float32)
+    wide = x.astype(np.float64)
+    assert np.allclose(op10_bilinear._log_sums(x.copy()), np.logaddexp.reduce(wide, 1), rtol=1e-5, atol=1e-5)
+    weight = np.arange(50, dtype=np.float32)[:, None]
+    assert np.allclose(op10_bilinear._shares(weight, x.copy()), weight / (1 + np.exp(np.clip(wide, -700, 700))), rtol=1e-4, atol=1e-30)
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_planes_round_trip(kind):
     rnd = np.random.default_rng(1)

@@ -29,14 +29,14 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.blocks import NULL_ID, doc_id_array, make_blocks, plain, press, with_answers
+from voxloom.llm.blocks import NULL_ID, doc_id_array, lower_words, make_blocks, plain, press, with_answers
 from voxloom.llm.shared import drop_written, written
 
 TOP, TAIL, GROUPS = 255, 256, 16
@@ -48,6 +48,8 @@ DIM, NOISE, BATCH, RATE, EPOCHS, ROUNDS = 24, 64, 2048, 0.08, 1, 2
 LEAST_SHARE, LEAST_COUNT = 1e-6, 5
 #: Steps over a choice's tokens, their rate, and noise outcomes for each token.
 STEPS, STEP_RATE, NOISE_OF_CHOICE = 4, 0.2, 4
+#: Tokens of a choice that are worked on at once.
+ROWS = 2048
 #: The end's place among the words; no word holds a space.
 END_WORD = b" "
 LOG10 = float(np.log(10))
@@ -77,10 +79,7 @@ BLOCK = "ids binary, held binary, sizes binary, words binary, counts binary, tex
 def pack_words(ids: list[int], texts: list[bytes]) -> tuple[bytes, ...]:
     """The columns `BLOCK` of some documents; words are lower-cased (A-Z only, as these are bytes)."""
     held = np.array([is_held_out(x) for x in ids], bool)
-    words = [x.lower().split() for x in texts]
-    sizes = np.array([len(x) for x in words], np.int64)
-    coded = pa.array(list(chain.from_iterable(words)), pa.binary()).dictionary_encode()
-    place, different = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    different, place, sizes = lower_words(texts)
     counts = np.bincount(place[np.repeat(~held, sizes)], minlength=len(different))
     arrays = (np.array(ids, "<i8").tobytes(), held.tobytes(), sizes.astype("<i8").tobytes(), b" ".join(different), counts.astype("<u4").tobytes(), planes(place))
     return tuple(map(press, arrays))
@@ -303,67 +302,102 @@ class Bilinear:
         draw = np.random.default_rng(seed)
         log_noise = np.log(NOISE * noise).astype(np.float32)
         square = np.full(self.SIZE, 1.0, np.float32)
-        grad = np.zeros(self.SIZE, np.float32)
+        grad, step = np.zeros(self.SIZE, np.float32), np.empty(self.SIZE, np.float32)
         g = Bilinear(grad)
         cumulated = np.cumsum(noise)
         weight = (weight / weight.mean()).astype(np.float32)
+        columns = [np.ascontiguousarray(x) for x in grams.T]
         for _ in range(EPOCHS):
             # every so many-th of the trigrams, which are sorted by class, so a batch is spread over all classes
             parts = max(1, round(len(grams) / BATCH))
             for at in draw.permutation(parts).tolist():
-                a, b, c = grams[at::parts].T
+                a, b, c = (x[at::parts] for x in columns)
                 w = weight[at::parts]
-                ra, sb = self.R[a], self.S[b]
-                r = self.u * ra + self.v * sb
+                r = self.context(a, b)
                 others = np.minimum(np.searchsorted(cumulated, draw.random(NOISE)), CLASSES - 1)
                 qc, qo = self.Q[c], self.Q[others]
-                gc = _sigmoid(np.einsum("ij,ij->i", r, qc) + self.bias[c] - log_noise[c])
-                gc = (gc - 1) * w
-                go = _sigmoid(r @ qo.T + (self.bias[others] - log_noise[others])) * w[:, None]
-                dr = gc[:, None] * qc + go @ qo
+                gc = log_noise[c] - self.bias[c] - np.einsum("ij,ij->i", r, qc)
+                gc = _shares(w, gc) - w
+                go = r @ -qo.T
+                go += log_noise[others] - self.bias[others]
+                go = _shares(w[:, None], go)
+                qc *= gc[:, None]
+                dr = go @ qo
+                dr += qc
                 grad[:] = 0
-                _scatter(g.Q, c, gc[:, None] * r)
                 np.add.at(g.Q, others, go.T @ r)
                 g.bias += np.bincount(c, gc, CLASSES).astype(np.float32)
                 g.bias += np.bincount(others, go.sum(0), CLASSES).astype(np.float32)
-                _scatter(g.R, a, dr * self.u)
-                _scatter(g.S, b, dr * self.v)
-                g.u[:], g.v[:] = (dr * ra).sum(0), (dr * sb).sum(0)
-                square += grad * grad
-                self.theta -= RATE * grad / np.sqrt(square)
+                r *= gc[:, None]
+                _scatter_sorted(g.Q, c, r)
+                _scatter(g.R, a, dr)
+                _scatter(g.S, b, dr)
+                # the sums of dr for each class give the gradients of the weights, and times the weights those of the vectors
+                g.u[:], g.v[:] = (g.R * self.R).sum(0), (g.S * self.S).sum(0)
+                g.R *= self.u
+                g.S *= self.v
+                np.multiply(grad, grad, out=step)
+                square += step
+                np.sqrt(square, out=step)
+                np.divide(grad, step, out=step)
+                step *= RATE
+                self.theta -= step
 
     def context(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """h of the classes one and two places before."""
-        return self.u * self.R[a] + self.v * self.S[b]
+        h = (self.u * self.R)[a]
+        h += (self.v * self.S)[b]
+        return h
 
     def log_probability(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
         """log10 P(c | a, b) of each token: each different context is normalised over all classes once."""
         code = a.astype(np.int64) * CLASSES + b
-        different, which = np.unique(code, return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        first = np.flatnonzero(np.diff(code, prepend=-1))
+        different, which = code[first], np.repeat(np.arange(len(first)), np.diff(first, append=len(code)))
         out = np.empty(len(code))
-        order = np.argsort(which, kind="stable")
-        edges = np.searchsorted(which[order], np.arange(0, len(different) + 4096, 4096))
-        for k, first in enumerate(range(0, len(different), 4096)):
-            part = different[first : first + 4096]
-            r = self.u * self.R[part // CLASSES] + self.v * self.S[part % CLASSES]
-            scores = r @ self.Q.T + self.bias
-            scores -= scores.max(1, keepdims=True)
-            scores -= np.log(np.exp(scores).sum(1, keepdims=True))
-            mine = order[edges[k] : edges[k + 1]]
-            out[mine] = scores[which[mine] - first, c[mine]]
+        edges = [*first[::4096].tolist(), len(code)]
+        for k, at in enumerate(range(0, len(different), 4096)):
+            part = different[at : at + 4096]
+            scores = self.context(part // CLASSES, part % CLASSES) @ self.Q.T
+            scores += self.bias
+            mine = slice(edges[k], edges[k + 1])
+            row = which[mine] - at
+            said = scores[row, c[order[mine]]]
+            out[order[mine]] = said - _log_sums(scores)[row]
         return out / LOG10
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+def _shares(weight: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """weight / (1 + exp(x)), written over x."""
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    return np.divide(weight, x, out=x)
+
+
+def _log_sums(scores: np.ndarray) -> np.ndarray:
+    """log of the sum of exp(scores) in each row; `scores` is written over. Only scores whose exponentials may leave single precision are shifted first."""
+    top = None
+    if scores.size and max(scores.max(), -scores.min()) > 60:
+        top = scores.max(1)
+        scores -= top[:, None]
+    np.exp(scores, out=scores)
+    sums = np.log(scores @ np.ones(scores.shape[1], scores.dtype))
+    return sums if top is None else sums + top
 
 
 def _scatter(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     """Add values to rows, those of one row summed up first."""
     order = np.argsort(rows.astype(np.uint16), kind="stable")  # by radix
-    rows = rows[order]
+    _scatter_sorted(into, rows[order], values[order])
+
+
+def _scatter_sorted(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """The same for ascending rows."""
     first = np.flatnonzero(np.diff(rows, prepend=-1))
-    into[rows[first]] += np.add.reduceat(values[order], first, axis=0)
+    into[rows[first]] += np.add.reduceat(values, first, axis=0)
 
 
 class Choices:
@@ -391,19 +425,31 @@ class Choices:
         """Take some steps on tokens with contexts `h` (the last column one) and ascending outcomes; add each choice's parameters, times its tokens, to `sums`, and these to `tokens`."""
         log_k = np.float32(np.log(NOISE_OF_CHOICE))
         share = NOISE_OF_CHOICE * np.exp(self.log_noise)
-        for c, at, end, lo, hi in self._parts(outcome):
-            x, w, mine = h[at:end], weight[at:end], self.theta[lo:hi].copy()
-            n = w.sum()
+        parts = list(self._parts(outcome))
+        # memory that all choices use; tokens go by `ROWS`, which stay in the cache
+        room = np.empty(max(((end - at) * (hi - lo) for _, at, end, lo, hi in parts), default=0), np.float32)
+        part = np.empty(ROWS * max((hi - lo for *_, lo, hi in parts), default=0), np.float32)
+        for c, at, end, lo, hi in parts:
+            w, mine = weight[at:end], self.theta[lo:hi].copy()
+            n, size = w.sum(), hi - lo
             tokens[c] += n
-            if hi - lo > 1:
-                expected = w[:, None] * share[lo:hi]
-                row, y = np.arange(end - at), outcome[at:end] - lo
+            if size > 1:
+                own = room[: (end - at) * size].reshape(-1, size)
+                rows = [(h[at + k : min(at + k + ROWS, end)], own[k : k + ROWS]) for k in range(0, end - at, ROWS)]
+                # what each token adds to its own outcome, whatever the parameters are
+                own[:] = 0
+                own[np.arange(end - at), outcome[at:end] - lo] = w
+                right = sum(mark.T @ x for x, mark in rows)
+                own += w[:, None] * share[lo:hi]
                 square = np.ones_like(mine)
                 for _ in range(STEPS):
-                    p = 1 / (1 + np.exp(log_k - x @ mine.T))  # that an outcome is no noise
-                    g = expected * p
-                    g[row, y] += (p[row, y] - 1) * w
-                    grad = g.T @ x
+                    # times the probability that an outcome is no noise; the last column of x is one
+                    minus = -mine
+                    minus[:, -1] += log_k
+                    grad = -right
+                    for x, expected in rows:
+                        g = np.matmul(x, minus.T, out=part[: expected.size].reshape(-1, size))
+                        grad += _shares(expected, g).T @ x
                     square += grad * grad
                     mine -= STEP_RATE * grad / np.sqrt(square)
             sums[lo:hi] += mine * n
@@ -411,11 +457,13 @@ class Choices:
     def log_probability(self, h: np.ndarray, outcome: np.ndarray) -> np.ndarray:
         """log10 of each token's outcome within its choice; `h` and outcomes as in :meth:`learn`."""
         out = np.zeros(len(outcome))
+        theta = self.theta.copy()
+        theta[:, -1] += self.log_noise
         for _, at, end, lo, hi in self._parts(outcome):
             if hi - lo > 1:
-                scores = h[at:end] @ self.theta[lo:hi].T + self.log_noise[lo:hi]
-                top = scores.max(1)
-                out[at:end] = scores[np.arange(end - at), outcome[at:end] - lo] - top - np.log(np.exp(scores - top[:, None]).sum(1))
+                scores = h[at:end] @ theta[lo:hi].T
+                said = scores[np.arange(end - at), outcome[at:end] - lo]
+                out[at:end] = said - _log_sums(scores)
         return out / LOG10
 
 
