@@ -677,3 +677,30 @@ def test_maximal_repeats_keep_no_text_for_each_window(spark):
         for c, kind in rows.dtypes if rows else ():
             stored += rows.agg(F.coalesce(F.sum(F.octet_length(c)), F.lit(0))).first()[0] if kind == "binary" else 0
     assert stored < 15 * sum(map(len, docs.values()))
+
+
+@pytest.mark.parametrize("rows_of_batch", [1, 3, 10_000])
+def test_windows_of_repeats_stream_by(spark, monkeypatch, rows_of_batch):
+    """Many windows with a few texts each: no call of Python for each window, and a window's texts may come in several batches."""
+    rnd = random.Random(5)
+    lines = [f"{k} " + "".join(rnd.choice("abcdefghijklmnop ") for _ in range(75)) for k in range(40)]
+    docs = {}
+    for k, line in enumerate(lines):
+        for copy in range(4):
+            docs[10 * k + copy] = f"{copy}{line[: 60 + 5 * copy]}|{'' if copy < 2 else rnd.choice(lines)}"
+    plans = {}
+    kept = op05_repeats.written
+
+    def written(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return kept(df, name)
+
+    monkeypatch.setattr(op05_repeats, "written", written)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_of_batch)
+    try:
+        assert _maximal(spark, docs, 8_000_000) == brute_maximal({d: t.encode() for d, t in docs.items()})
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for name in ("ranked", "maximal"):
+        assert "FlatMapGroups" not in plans[name]

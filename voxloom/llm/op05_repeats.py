@@ -589,18 +589,40 @@ _TEXT = "seed long, rest long, size long, n long, low int, high int, first long,
 _RANKED = f"{_TEXT}, rank long, before int, after int, name_before long, name_after long"
 
 
-def _ranked(found: pa.Table) -> pa.Table:
-    """A window's different texts in the order of their prints; before and after: chunks in common with the neighbours, and names for what these hold."""
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of seed and prints with a window's texts numbered; before and after: chunks in common with the neighbours, and names for what these hold.
+
+    A row goes out when the one after it is known, so rows stream by, however many texts a window has.
+    """
     import xxhash
 
-    found = found.sort_by("prints")
-    prints = found["prints"].to_pylist()
-    common = [_common(a, b) // 8 for a, b in pairwise(prints)]
-    names = [xxhash.xxh64_intdigest(x[: 8 * c]) - 2**63 for x, c in zip(prints, common, strict=False)]
-    out = found.drop_columns(["prints"]).append_column("rank", pa.array(range(len(prints)), pa.int64()))
-    for name, values, kind in (("before", [None, *common], pa.int32()), ("after", [*common, None], pa.int32()), ("name_before", [None, *names], pa.int64()), ("name_after", [*names, None], pa.int64())):
-        out = out.append_column(name, pa.array(values, kind))
-    return out.select([x.split()[0] for x in _RANKED.split(", ")])
+    kept = [x.split()[0] for x in _TEXT.split(", ")]
+    held, seed, prints, rank, here, name = None, None, b"", 0, None, None
+    for batch in batches:
+        added: tuple[list, ...] = ([], [], [], [], [])
+        if held is not None:  # the last row of the batch before
+            batch = pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(held.columns, batch.columns, strict=True)], names=batch.schema.names)
+        fresh = zip(batch["seed"].to_pylist()[held is not None :], batch["prints"].to_pylist()[held is not None :], strict=True)
+        for s, x in fresh:
+            if s == seed:
+                c = _common(prints, x) // 8
+                after = (c, xxhash.xxh64_intdigest(x[: 8 * c]) - 2**63)
+            else:
+                after = (None, None)
+            if seed is not None:
+                for column, value in zip(added, (rank, here, after[0], name, after[1]), strict=True):
+                    column.append(value)
+            rank, seed, prints, (here, name) = rank + 1 if s == seed else 0, s, x, after
+        if batch.num_rows:
+            yield _numbered(batch.slice(0, batch.num_rows - 1).select(kept), added)
+            held = batch.slice(batch.num_rows - 1)
+    if held is not None:
+        yield _numbered(held.select(kept), ([rank], [here], [None], [name], [None]))
+
+
+def _numbered(rows: pa.RecordBatch, added: tuple[list, ...]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([*rows.columns, *[pa.array(x, kind) for x, kind in zip(added, kinds, strict=True)]], names=[x.split()[0] for x in _RANKED.split(", ")])
 
 
 def _in_order(found: dict[str, list]) -> tuple[list[int], list[int], list[int]]:
@@ -638,30 +660,103 @@ def _in_order(found: dict[str, list]) -> tuple[list[int], list[int], list[int]]:
     return order, common, names
 
 
-_MAXIMAL = "seed long, rest long, length long, repeat_id long, block long, place long"
+_MAXIMAL = "seed long, rest long, lengths array<long>, repeat_ids array<long>, own int, block long, place long"
+#: Repeats, over the texts of a batch, that leave Python at once.
+_LISTED = 100_000
+
+
+def _nodes(common: list[int], names: list[int], sides: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """(first, last, length, name) of the common-prefix intervals of `LENGTH` or more that stand behind different bytes (or a document's start) in several documents; sides are the least and greatest byte before each text and doc_id of it."""
+    stack: list[tuple[int, int, int, tuple[int, int, int, int]]] = []
+    for k in range(1, len(common) + 1):
+        here = common[k] if k < len(common) else 0
+        here = here if here >= LENGTH else 0
+        first, seen = k - 1, sides[k - 1]
+        while stack and stack[-1][0] >= here:
+            length, first, name, side = stack.pop()
+            seen = (min(side[0], seen[0]), max(side[1], seen[1]), min(side[2], seen[2]), max(side[3], seen[3]))
+            if length == here:
+                stack.append((length, first, name, seen))
+                break
+            if _maximal_left(seen):
+                yield first, k - 1, length, name
+        else:
+            if here:
+                stack.append((here, first, names[k], seen))
+
+
+def _maximal_left(side: tuple[int, int, int, int]) -> bool:
+    low, high, first, last = side
+    return (low < 0 or low != high) and first != last
 
 
-def _maximal(key: tuple, found: pa.Table) -> pa.Table:
-    """rest, length, repeat_id of the maximal repeats that begin with one window, for each of its different texts; block and place of one of them, once a repeat.
+def _of_texts(rows: dict[str, list]) -> Iterator[tuple[int, list[int], list[int], int, int, int]]:
+    """rest, lengths and repeat_ids of the maximal repeats that begin with one window, for each of its different texts that has some; block and place of the text, which
+    stands for the last `own` repeats of its lists: each repeat has one such text.
 
     The texts in order are a piece of the corpus's suffix array; their common-prefix intervals and the texts that stand several times are the
     repeats that cannot be extended to the right. Those with different bytes before them, or a document's start, are maximal.
     """
-    rows = found.sort_by("rank").to_pydict()
     order, common, names = _in_order(rows)
-    rest, size, low, high, first, last, n = (np.array(rows[x], np.int64)[order] for x in ("rest", "size", "low", "high", "first", "last", "n"))
     common[0] = 0
-    steps = np.array(common)
-    nodes = [(length, a, b, names[a + 1 + int(steps[a + 1 : b + 1].argmin())]) for length, a, b, _ in intervals(common, LENGTH)]
-    inner = {(length, k) for length, a, b, _ in nodes for k in range(a, b + 1) if size[k] == length}
-    nodes += [(int(size[k]), k, k, int(rest[k])) for k in range(len(order)) if n[k] > 1 and (int(size[k]), k) not in inner]
-    out = []
-    for length, a, b, number in nodes:
-        here = slice(a, b + 1)
-        if (low[here].min() < 0 or low[here].min() != high[here].max()) and first[here].min() != last[here].max():
-            out += [(int(rest[k]), length, number, *((rows["block"][order[k]], rows["place"][order[k]]) if k == a else (None, None))) for k in range(a, b + 1)]
-    columns = list(zip(*out, strict=True)) or [()] * 5
-    return pa.table({"seed": pa.array([key[0].as_py()] * len(out), pa.int64()), **{name: pa.array(x, pa.int64()) for name, x in zip(("rest", "length", "repeat_id", "block", "place"), columns, strict=True)}})
+    sides = list(zip(*([rows[x][k] for k in order] for x in ("low", "high", "first", "last")), strict=True))
+    nodes = sorted(_nodes(common, names, sides), key=lambda x: (-x[0], -x[2]))  # taken from the end: by first text, outer ones first
+    lengths: list[int] = []
+    ids: list[int] = []
+    ends: list[int] = []
+    for k, row in enumerate(order):
+        while ends and ends[-1] < k:
+            ends.pop(), lengths.pop(), ids.pop()
+        own = 0
+        while nodes and nodes[-1][0] == k:
+            _, end, length, name = nodes.pop()
+            ends.append(end), lengths.append(length), ids.append(name)
+            own += 1
+        size, rest = rows["size"][row], rows["rest"][row]
+        if rows["n"][row] > 1 and _maximal_left(sides[k]) and size not in (common[k], common[k + 1] if k + 1 < len(order) else 0):
+            yield rest, [*lengths, size], [*ids, rest], own + 1, rows["block"][row], rows["place"][row]
+        elif lengths:
+            yield rest, lengths[:], ids[:], own, rows["block"][row], rows["place"][row]
+
+
+def _maximal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The maximal repeats of each text, from rows in order of seed and rank. One window's texts are held at a time, and a batch of its repeats."""
+    out: list[tuple] = []
+    listed = 0
+
+    def packed() -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _MAXIMAL.split(", ")])
+
+    for seed, rows in _by_seed(batches):
+        for found in _of_texts(rows):
+            out.append((seed, *found))
+            listed += len(found[1])
+            if listed >= _LISTED:
+                yield packed()
+                out, listed = [], 0
+    if out:
+        yield packed()
+
+
+def _by_seed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, list]]]:
+    """Each seed with its rows, column by column, from batches in which the rows of one stand together."""
+    seed, held = None, None
+    for batch in batches:
+        columns = batch.to_pydict()
+        seeds = np.array(columns.pop("seed"), np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(seeds)) + 1).tolist(), len(seeds)] if len(seeds) else []
+        for a, b in pairwise(cuts):
+            mine = {x: values[a:b] for x, values in columns.items()}
+            if held is not None and seeds[a] == seed:
+                for x, values in mine.items():
+                    held[x] += values
+                continue
+            if held is not None:
+                yield seed, held
+            seed, held = int(seeds[a]), mine
+    if held is not None:
+        yield seed, held
 
 
 def maximal_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT, bodies: bool = True) -> DataFrame:
@@ -678,17 +773,22 @@ def maximal_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int =
     texts = places.groupBy("seed", "rest").agg(F.max("size").alias("size"), F.count("*").alias("n"), F.min("left").alias("low"), F.max("left").alias("high"), F.min(id_).alias("first"), F.max(id_).alias("last"), any_.alias("at"))
     texts = texts.withColumn("texts", F.count("*").over(Window.partitionBy("seed"))).select(*[x.split()[0] for x in _TEXT.split(", ")[:-2]], "at.block", "at.place", "texts")
     texts = written(texts, "texts")
-    ranked = _looked_up(blocks, texts.where("texts > 1").drop("texts"), _prints, "prints binary").groupBy("seed").applyInArrow(_ranked, _RANKED)
-    ranked = written(ranked, "ranked")
-    found = _looked_up(blocks, ranked, _chunks, "from_before binary, from_after binary").groupBy("seed").applyInArrow(_maximal, _MAXIMAL)
-    alone = texts.where("texts = 1 and n > 1 and (low < 0 or low <> high) and first <> last").selectExpr("seed", "rest", "size as length", "rest as repeat_id", "block", "place")
+    prints = _looked_up(blocks, texts.where("texts > 1").drop("texts"), _prints, "prints binary").select(*[x.split()[0] for x in _TEXT.split(", ")], "prints")
+    # windows are many and mostly small: a task streams past all of its own, as a call for each would take most of the time
+    ranked = written(prints.repartition("seed").sortWithinPartitions("seed", "prints").mapInArrow(_ranked, _RANKED), "ranked")
+    parted = _looked_up(blocks, ranked, _chunks, "from_before binary, from_after binary")
+    found = parted.repartition("seed").sortWithinPartitions("seed", "rank").mapInArrow(_maximal, _MAXIMAL)
+    alone = texts.where("texts = 1 and n > 1 and (low < 0 or low <> high) and first <> last").selectExpr("seed", "rest", "array(size) as lengths", "array(rest) as repeat_ids", "1 as own", "block", "place")
     found = written(found.unionByName(alone), "maximal")
     for done in (texts, ranked):
         drop_written(done)
-    rows = places.select("seed", "rest", "doc_id", "start").join(found.select("seed", "rest", "length", "repeat_id"), ["seed", "rest"])
+    # the repeats of a text become rows after the join, which then moves each text once
+    rows = places.select("seed", "rest", "doc_id", "start").join(found.select("seed", "rest", "lengths", "repeat_ids"), ["seed", "rest"])
+    rows = rows.select("doc_id", "start", F.inline(F.arrays_zip("repeat_ids", "lengths")).alias("repeat_id", "length")).select("repeat_id", "doc_id", "start", "length")
     if not bodies:
-        return rows.select("repeat_id", "doc_id", "start", "length")
-    text = _looked_up(blocks, found.where("block is not null").select("block", "place", "length", "repeat_id"), _bodies, "text binary").select("repeat_id", "text")
+        return rows
+    mine = F.expr("inline(slice(arrays_zip(repeat_ids, lengths), -own, own))").alias("repeat_id", "length")
+    text = _looked_up(blocks, found.where("own > 0").select("block", "place", mine), _bodies, "text binary").select("repeat_id", "text")
     return rows.join(text, "repeat_id").select("repeat_id", "doc_id", "start", "length", "text")
 
 
