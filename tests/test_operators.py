@@ -219,6 +219,27 @@ def test_backup_skips_unchanged_files(spark, tmp_path):
     assert (tmp_path / "out" / "c").read_text() == "longer"
 
 
+def test_backup_asks_for_its_own_files_only(spark, tmp_path):
+    """A folder of many files is not listed, and files count whatever their names."""
+    rows = spark.createDataFrame([("_a", "audio", "x"), (".b", "audio", "yy"), ("c d%20é?", "audio", "zz"), ("e", "transcript", "t"), ("f", "audio", "new"), ("g", "audio", "longer")], "name string, kind string, body string")
+    out = tmp_path / "out"
+    out.mkdir()
+    for k in range(400):
+        (out / f"other-{k}").write_text("x")
+    for name, body in (("_a", "1"), (".b", "22"), ("c d%20é?", "33"), ("e", "t"), ("g", "short")):
+        (out / name).write_text(body)
+    spark.sparkContext.setJobGroup("backup", "backup")
+    try:
+        found = {tuple(r) for r in files.backup(spark, rows, "file://" + str(out).replace(" ", "%20")).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found == {("skipped", 3), ("written", 1), ("copied", 2)}
+    assert [(out / x).read_text() for x in ("_a", ".b", "c d%20é?", "e", "f", "g")] == ["1", "22", "33", "t", "new", "longer"]
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("backup") for s in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) <= 4
+
+
 def test_utterances_end_by_silence_length_and_stops():
     end = lambda events: live.fold_utterances(events, None)[0]
     assert end([(0, "a"), (1.3, "b"), (2.8, "c")]) == [(0, 1.3, 2, "a b")]

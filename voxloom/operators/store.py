@@ -96,7 +96,11 @@ def backup_plan(wanted: DataFrame, present: DataFrame) -> DataFrame:
     """Column outcome: skipped if a file with the name and size is there, else copied; transcripts are always written."""
     here = present.select("name", "bytes").distinct().withColumn("_here", F.lit(True))
     rows = wanted.join(here, ["name", "bytes"], "left")
-    return rows.withColumn("outcome", F.when(F.col("kind") == "transcript", "written").when(F.col("_here"), "skipped").otherwise("copied")).drop("_here")
+    return rows.withColumn("outcome", backup_outcome(F.col("kind"), F.col("_here"))).drop("_here")
+
+
+def backup_outcome(kind: Column, here: Column) -> Column:
+    return F.when(kind == "transcript", "written").when(here, "skipped").otherwise("copied")
 
 
 def backup_outcomes(wanted: DataFrame, present: DataFrame) -> DataFrame:

@@ -109,20 +109,27 @@ def _by_parts(parts: DataFrame, folder: str) -> DataFrame:
     return parts.select("name", "body").mapInPandas(write, "path string")
 
 
-def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """name, bytes of the files in `folder`, without reading them; no rows if there is no such folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], "name string, bytes long")
-    files = spark.read.format("binaryFile").load(folder).select("path", F.col("length").alias("bytes"))
-    return files.select(F.url_decode(F.substring_index("path", "/", -1)).alias("name"), "bytes")
+def is_there(folder: str):
+    """A column function of (name, bytes): whether `folder` has a file of that name and size.
+
+    Tasks ask for their own files. A listing of the folder would be held by the driver, and grows with all that is there.
+    """
+
+    @F.pandas_udf("boolean")
+    def there(name: pd.Series, size: pd.Series) -> pd.Series:
+        from pyarrow import fs
+
+        place, path = fs.FileSystem.from_uri(folder)
+        found = place.get_file_info([f"{path}/{x}" for x in name])
+        return pd.Series([x.type == fs.FileType.File and x.size == n for x, n in zip(found, size, strict=True)], dtype="bool")
+
+    return there.asNondeterministic()
 
 
 def backup(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
     """Copy `files` (name, kind, body) to `folder`; outcome and n: transcripts are always written, others skipped if a file of that name and size is there."""
-    wanted = files.withColumn("bytes", F.octet_length("body").cast("long"))
-    rows = store.backup_plan(wanted, listing(spark, folder))
+    here = is_there(folder)(F.col("name"), F.octet_length("body").cast("long"))
+    rows = files.withColumn("_here", here).withColumn("outcome", store.backup_outcome(F.col("kind"), F.col("_here"))).drop("_here")
     outcomes = [tuple(r) for r in rows.groupBy("outcome").agg(F.count("*").alias("n")).collect()]  # three at most
     write_files(rows.where("outcome <> 'skipped'"), folder)
     return spark.createDataFrame(outcomes, "outcome string, n long")
